@@ -28,6 +28,12 @@ AUDIT_SCHEMA = T.StructType(
     ]
 )
 
+# Spark writes times in JSON to the millisecond unless told otherwise.
+JSON_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 UNAVAILABLE_REASON = "Denied: audit sink unavailable (fail-closed policy)"
 
 
@@ -77,7 +83,7 @@ def _events(
 
 def log_lines(events: DataFrame) -> DataFrame:
     """Each event as one line of JSON in a column ``value``, for text sinks."""
-    return events.select(F.to_json(F.struct(*AUDIT_COLUMNS)).alias("value"))
+    return events.select(F.to_json(F.struct(*AUDIT_COLUMNS), JSON_TIMES).alias("value"))
 
 
 def record_then_release(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 from sparkward.functions.sqltext import JVM_CALL_WORDS
 from sparkward.operators import policy as rules
 from sparkward.operators.audit import event_id, query_events, record_then_release
+from sparkward.operators.checks import run_suite
 from sparkward.operators.policy import Policy, PolicyDenied
 from sparkward.plans.footprint import Footprint, NotEstimable, estimate
 from sparkward.session import local_frame
+from sparkward.sources.specs import CheckSpec
 
 _REQUEST = T.StructType(
     [
@@ -95,6 +97,26 @@ class GovernedSession:
         """Number of rows behind a capped result, as one row."""
         return self._checked(sql, actor).agg(F.count(F.lit(1)).alias("total_rows"))
 
+    def run_checks(
+        self, specs: Sequence[CheckSpec], *, actor: str, as_of: str | None = None
+    ) -> tuple[DataFrame | None, dict[str, str]]:
+        """Results of the tables the policy allows, and reasons for the others.
+
+        Each table is decided once, before any is scanned; a denied table does
+        not cost the others their results.
+        """
+        denied: dict[str, str] = {}
+        tables: dict[str, DataFrame] = {}
+        for table in dict.fromkeys(spec.table for spec in specs):
+            try:
+                self._authorize(f"SELECT * FROM `{table}`", actor, "quality_checks")
+            except PolicyDenied as denial:
+                denied[table] = denial.reason
+            else:
+                tables[table] = self._session.table(f"`{table}`")
+        allowed = [spec for spec in specs if spec.table in tables]
+        return (run_suite(tables, allowed, as_of=as_of) if allowed else None), denied
+
     def row_cap(self, requested: int | None = None) -> int:
         if requested is None:
             return self._policy.max_rows

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkward.operators.audit import AUDIT_COLUMNS, AUDIT_SCHEMA, log_lines
+from sparkward.operators.audit import AUDIT_COLUMNS, AUDIT_SCHEMA, JSON_TIMES, log_lines
 from sparkward.operators.newest import newest, newest_per_key
 
 _BATCH_NAME = r"[A-Za-z0-9_.-]+"
@@ -27,7 +27,8 @@ def _checked(batch: str) -> str:
 
 def append_events(events: DataFrame, path: str, batch: str) -> None:
     """Append a batch of events as JSON lines."""
-    events.select(*AUDIT_COLUMNS).write.mode("overwrite").json(f"{path}/batch={_checked(batch)}")
+    folder = f"{path}/batch={_checked(batch)}"
+    events.select(*AUDIT_COLUMNS).write.mode("overwrite").options(**JSON_TIMES).json(folder)
 
 
 def append_log_lines(events: DataFrame, path: str, batch: str) -> None:
