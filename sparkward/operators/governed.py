@@ -15,7 +15,7 @@ from sparkward.operators import policy as rules
 from sparkward.operators.audit import event_id, query_events, record_then_release
 from sparkward.operators.checks import run_suite
 from sparkward.operators.policy import Policy, PolicyDenied
-from sparkward.plans.footprint import Footprint, NotEstimable, estimate
+from sparkward.plans.footprint import Footprint, NotEstimable, estimate, footprint_frame
 from sparkward.session import local_frame
 from sparkward.sources.specs import CheckSpec
 
@@ -89,6 +89,11 @@ class GovernedSession:
         """Bytes, cost and tables of a statement; denied like a query would be."""
         return self._authorize(sql, actor, "sql_estimate")
 
+    def footprints(self, statements: Mapping[str, str], *, actor: str) -> DataFrame:
+        """Footprints of several named statements as rows."""
+        found = {name: self.estimate(sql, actor=actor) for name, sql in statements.items()}
+        return footprint_frame(self._spark, found)
+
     def query(self, sql: str, *, actor: str, row_limit: int | None = None) -> DataFrame:
         """Rows of a statement, at most ``row_limit`` and the policy's ceiling."""
         return self._checked(sql, actor).limit(self.row_cap(row_limit))

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkward.functions.globs import matches_any
 from sparkward.functions.sqltext import (
@@ -27,6 +28,8 @@ from sparkward.functions.text import quoted, quoted_names
 # for allow-lists that are tables.
 MAX_WILDCARD_PATTERNS = 1_000
 
+PATTERN_SCHEMA = T.StructType([T.StructField("pattern", T.StringType(), False)])
+
 PREFLIGHT, AUTHORIZE = "preflight", "authorize"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,12 +98,12 @@ def estimate(session: SparkSession, sql: str) -> Footprint:
     return Footprint(scanned, tuple(tables))
 
 
-def footprint_frame(session: SparkSession, statements: dict[str, str]) -> DataFrame:
-    """Footprints of named statements as rows."""
-    rows = []
-    for name, sql in statements.items():
-        found = estimate(session, sql)
-        rows.append((name, found.estimated_bytes, list(found.referenced_tables)))
-    return local_frame(session, _FOOTPRINT, rows).withColumn(
+def footprint_frame(spark: SparkSession, footprints: Mapping[str, Footprint]) -> DataFrame:
+    """Footprints of named statements as rows, with their cost."""
+    rows = [
+        (name, found.estimated_bytes, list(found.referenced_tables))
+        for name, found in footprints.items()
+    ]
+    return local_frame(spark, _FOOTPRINT, rows).withColumn(
         "estimated_cost_usd", cost_usd(F.col("estimated_bytes"))
     )

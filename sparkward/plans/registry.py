@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from sparkward.plans import queries_checks
+from sparkward.plans import queries_checks, queries_governed, queries_policy
 
-REGISTERED = {**queries_checks.QUERIES}
+REGISTERED = {**queries_checks.QUERIES, **queries_policy.QUERIES, **queries_governed.QUERIES}
