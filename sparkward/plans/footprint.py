@@ -19,12 +19,25 @@ _TIB = 1024.0**4
 _UNITS = {"B": 0, "KiB": 1, "MiB": 2, "GiB": 3, "TiB": 4, "PiB": 5, "EiB": 6}
 _TREE = r"^[\s:|+\-]*"
 _LEAF = re.compile(
-    _TREE + r"(?:Relation|RelationV2|HiveTableRelation|LogicalRDD|DataSourceV2\w*)\b"
+    _TREE + r"(?:Relation|RelationV2|HiveTableRelation|InMemoryRelation|LogicalRDD|Range)\b"
     r".*?Statistics\(sizeInBytes=([0-9.E+]+) (\w+)"
 )
 _VIEW = re.compile(_TREE + r"View \((.+?), \[")
 _NAMED = re.compile(_TREE + r"(?:Relation|RelationV2|HiveTableRelation)(?:\[[^\]]*\])? ([\w`.]+)\[?")
-_COMMAND = re.compile(_TREE + r"'?(?:\w*Command|InsertInto\w*|\w*Into\w*Statement|Append\w+|Overwrite\w+)\b")
+_NODE = re.compile(_TREE + r"'?(\w+)")
+# What the root of a query can be, and what must occur nowhere: commands, writes,
+# and the clause that pipes rows through a shell.
+_QUERY_ROOTS = {
+    "Aggregate", "Deduplicate", "Distinct", "Except", "Expand", "Filter", "Generate",
+    "GlobalLimit", "HiveTableRelation", "InMemoryRelation", "Intersect", "Join", "LocalLimit",
+    "LocalRelation", "LogicalRDD", "Offset", "OneRowRelation", "Project", "Range",
+    "RebalancePartitions", "Relation", "RelationV2", "Repartition", "RepartitionByExpression",
+    "Sample", "Sort", "Tail", "Union", "Window", "WindowGroupLimit", "WithCTE",
+}
+_REFUSED = re.compile(
+    r"\w*Command|InsertInto\w*|\w+Into\w*Statement|AppendData|Overwrite\w+|ReplaceData|WriteDelta"
+    r"|DeleteFrom\w+|Update\w+|Merge\w+|CreateTable\w*|ReplaceTable\w*|ScriptTransformation"
+)
 _FORMATS = {"parquet", "orc", "json", "csv", "text", "avro", "binaryFile"}
 
 
@@ -79,8 +92,10 @@ def estimate(session: SparkSession, sql: str) -> Footprint:
     """Footprint of a statement in a session, without running it."""
     analyzed = _section(_explain(session, "EXTENDED", sql), "Analyzed Logical Plan")
     optimized = _section(_explain(session, "COST", sql), "Optimized Logical Plan")
-    if any(_COMMAND.match(line) for line in analyzed + optimized):
-        raise NotEstimable("Statement is not a query")
+    root = _NODE.match(optimized[0])
+    nodes = [found.group(1) for found in map(_NODE.match, analyzed + optimized) if found]
+    if root is None or root.group(1) not in _QUERY_ROOTS or any(map(_REFUSED.fullmatch, nodes)):
+        raise NotEstimable("Statement is not a plain query")
     tables: dict[str, None] = {}
     for line in analyzed:
         found = _VIEW.match(line)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkward.operators.audit import AUDIT_COLUMNS, AUDIT_SCHEMA, JSON_TIMES, log_lines
 from sparkward.operators.newest import newest, newest_per_key
+from sparkward.session import local_frame
 
 _BATCH_NAME = r"[A-Za-z0-9_.-]+"
 
@@ -26,8 +27,14 @@ def _checked(batch: str) -> str:
 
 
 def append_events(events: DataFrame, path: str, batch: str) -> None:
-    """Append a batch of events as JSON lines."""
+    """Append a batch of events as JSON lines.
+
+    A name that was used for other events is an error: the trail only grows.
+    """
     folder = f"{path}/batch={_checked(batch)}"
+    written = read_events(events.sparkSession, folder)
+    if not written.join(events, "event_id", "left_anti").isEmpty():
+        raise ValueError(f"Batch name {batch!r} was already used for other events")
     events.select(*AUDIT_COLUMNS).write.mode("overwrite").options(**JSON_TIMES).json(folder)
 
 
@@ -43,7 +50,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], AUDIT_SCHEMA)
+        return local_frame(spark, AUDIT_SCHEMA, [])
     return trail.select(*AUDIT_COLUMNS)
 
 
