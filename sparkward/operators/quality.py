@@ -211,10 +211,17 @@ def suggest_checks(
 
 @dataclass(frozen=True)
 class Contract:
-    """Expected column types, and named conditions every row must meet."""
+    """Expected column types, and named conditions (Columns or SQL) every row must meet."""
 
     types: Mapping[str, str]
-    rules: Mapping[str, Column]
+    rules: Mapping[str, Column | str]
+
+    def broken(self) -> dict[str, Column]:
+        """Per rule: is it broken? A rule that is unknown (null) for a row is."""
+        return {
+            name: ~F.coalesce(F.expr(rule) if isinstance(rule, str) else rule, F.lit(False))
+            for name, rule in self.rules.items()
+        }
 
 
 def schema_violations(df: DataFrame, contract: Contract) -> DataFrame:
@@ -239,32 +246,24 @@ def schema_violations(df: DataFrame, contract: Contract) -> DataFrame:
 def row_violations(df: DataFrame, contract: Contract) -> DataFrame:
     """Rows that break a rule, with the names of the rules they break.
 
-    A rule that is unknown (null) for a row is broken. Row-local: no shuffle.
+    Row-local: no shuffle.
     """
     broken = F.array_compact(
-        F.array(
-            *[
-                F.when(~F.coalesce(rule, F.lit(False)), F.lit(name))
-                for name, rule in contract.rules.items()
-            ]
-        )
+        F.array(*[F.when(fails, F.lit(name)) for name, fails in contract.broken().items()])
     )
     return df.withColumn("broken_rules", broken).where(F.size("broken_rules") > 0)
 
 
 def rule_report(df: DataFrame, contract: Contract) -> DataFrame:
     """Per rule: rows checked and rows breaking it, all rules in one scan."""
-    names = list(contract.rules)
+    broken = contract.broken()
     wide = df.agg(
         F.count(F.lit(1)).alias("checked"),
-        *[
-            F.count_if(~F.coalesce(rule, F.lit(False))).alias(f"broken_{i}")
-            for i, rule in enumerate(contract.rules.values())
-        ],
+        *[F.count_if(fails).alias(f"broken_{i}") for i, fails in enumerate(broken.values())],
     )
     rows = [
         F.struct(F.lit(n).alias("rule"), F.col("checked"), F.col(f"broken_{i}").alias("broken"))
-        for i, n in enumerate(names)
+        for i, n in enumerate(broken)
     ]
     return wide.select(F.inline(F.array(*rows)))
 
