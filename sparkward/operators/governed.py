@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,14 +30,13 @@ _REQUEST = T.StructType(
     ]
 )
 
-_DECIDED = T.StructType(
+_JUDGED = T.StructType(
     _REQUEST.fields
     + [
+        T.StructField("read_only", T.BooleanType()),
+        T.StructField("sql_reason", T.StringType()),
         T.StructField("candidate_tables", T.ArrayType(T.StringType())),
-        T.StructField("phase", T.StringType()),
-        T.StructField("allowed", T.BooleanType()),
-        T.StructField("decision", T.StringType()),
-        T.StructField("reason", T.StringType()),
+        T.StructField("preflight_reason", T.StringType()),
     ]
 )
 
@@ -134,30 +133,28 @@ class GovernedSession:
         return self._session.sql(sql)
 
     def _authorize(self, sql: str, actor: str, operation: str) -> Footprint:
-        request = [uuid.uuid4().hex, datetime.now(timezone.utc), actor, sql]
-        # The text is judged before Spark sees it, then the estimate.
-        decided = self._decide([*request, None, None])
-        if decided["phase"] == rules.PREFLIGHT:
-            self._record(decided, operation)
+        request = [uuid.uuid4().hex, datetime.now(timezone.utc), actor, sql, None, None]
+        frame = local_frame(self._spark, _REQUEST, [request])
+        # The text is judged before Spark plans it.
+        judged = rules.judge_text(frame, self._policy, extra_words=JVM_CALL_WORDS).first()
+        judged = judged.asDict()
+        if judged["preflight_reason"] is not None:
+            self._release(judged, operation)
         try:
             footprint = estimate(self._session, sql)
         except NotEstimable as cause:
             # Nothing could be resolved, which the second phase refuses.
-            self._record(decided, operation, cause)
+            self._release(judged, operation, cause)
             raise
-        decided = self._decide(
-            [*request, list(footprint.referenced_tables), footprint.estimated_bytes]
-        )
-        self._record(decided, operation)
+        judged["referenced_tables"] = list(footprint.referenced_tables)
+        judged["estimated_bytes"] = footprint.estimated_bytes
+        self._release(judged, operation)
         return footprint
 
-    def _decide(self, request: list) -> Row:
-        frame = local_frame(self._spark, _REQUEST, [request])
-        return rules.decide(frame, self._policy, extra_words=JVM_CALL_WORDS).first()
-
-    def _record(self, decided: Row, operation: str, cause: Exception | None = None) -> None:
-        """Write the decision to the trail, then raise if it is a denial."""
-        decisions = local_frame(self._spark, _DECIDED, [[decided[n] for n in _DECIDED.names]])
+    def _release(self, judged: dict, operation: str, cause: Exception | None = None) -> None:
+        """Decide and write the decision to the trail, then raise if it is a denial."""
+        frame = local_frame(self._spark, _JUDGED, [[judged[name] for name in _JUDGED.names]])
+        decisions = rules.judge_estimate(frame, self._policy)
         released = record_then_release(
             decisions,
             query_events(decisions, operation),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,14 +88,20 @@ def newest_per_key(
 ) -> DataFrame:
     """The ``limit`` newest events of each key.
 
-    Ranked twice: first within random-looking slices of each key, so that a key
-    with a third of all events is spread over many tasks, then among the few
-    survivors.
+    Ranked twice: within slices of each key, then among the survivors, so that
+    a key with a third of all events is spread over many tasks. A slice is made
+    of whole input partitions; up to Spark's group-limit threshold each task
+    therefore sends at most ``limit`` events per key into the first shuffle. The
+    outcome does not depend on how the slices fall.
     """
+    conf = events.sparkSession.conf
     if salts is None:
-        salts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = int(conf.get("spark.sql.shuffle.partitions"))
+        if limit <= int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+            # Both rankings then see about equally many events of one key.
+            salts = max(8, isqrt(salts))
     order = [F.desc_nulls_last(time), F.desc_nulls_last(key)]
-    salted = events.withColumn("_salt", F.pmod(F.xxhash64(key, time), F.lit(salts)))
+    salted = events.withColumn("_salt", F.spark_partition_id() % F.lit(salts))
     within_slice = Window.partitionBy(*keys, "_salt").orderBy(*order)
     within_key = Window.partitionBy(*keys).orderBy(*order)
     return (

@@ -159,62 +159,78 @@ def _with_refusal(judged: DataFrame, policy: Policy) -> DataFrame:
     return judged.withColumn("first_off_list", first_off_list).withColumn("refusal", refusal)
 
 
-_WORKING_COLUMNS = [
-    "cleaned", "words", "forbidden", "read_only", "sql_reason", "off_list", "first_off_list",
-]
-
-
-def preflight(
+def judge_text(
     log: DataFrame,
     policy: Policy,
     *,
     mode: str = "strict",
     extra_words: list[str] | None = None,
 ) -> DataFrame:
-    """Judge the text alone: ``preflight_reason`` is the denial, null defers.
+    """First phase: add what the text alone says, for ``judge_estimate``.
 
-    A preflight never allows: names found in text prove nothing.
+    ``preflight_reason`` is the denial; null defers to the second phase.
     """
     classified = classify_sql(log, mode=mode, extra_words=extra_words)
-    return _with_preflight(classified, policy).drop(*_WORKING_COLUMNS)
+    return _with_preflight(classified, policy).drop("cleaned", "words", "forbidden", "off_list")
 
 
-def authorize(
+def judge_estimate(judged: DataFrame, policy: Policy) -> DataFrame:
+    """Second phase: one decision per request from ``judge_text`` and an estimate."""
+    refused = _with_refusal(judged, policy).withColumn(
+        "refusal", F.coalesce("preflight_reason", "refusal")
+    )
+    stopped = F.col("preflight_reason").isNotNull()
+    by_names = stopped & F.col("read_only") if policy.read_only else stopped
+    return (
+        _decision(refused)
+        .withColumn("phase", F.when(stopped, F.lit(PREFLIGHT)).otherwise(F.lit(AUTHORIZE)))
+        .withColumn("candidate_tables", F.when(by_names, F.col("candidate_tables")))
+        .drop("preflight_reason", "read_only", "sql_reason", "first_off_list")
+    )
+
+
+def decide(
     log: DataFrame,
     policy: Policy,
     *,
     mode: str = "strict",
     extra_words: list[str] | None = None,
 ) -> DataFrame:
-    """Judge text, ``referenced_tables`` and ``estimated_bytes`` of an estimate."""
-    classified = classify_sql(log, mode=mode, extra_words=extra_words)
-    return _decision(_with_refusal(classified, policy)).drop(*_WORKING_COLUMNS)
+    """Both phases, one decision per request.
 
+    Adds ``phase`` (where the decision fell), ``allowed``, ``decision``,
+    ``reason`` and ``candidate_tables`` (set where they were the reason). A
+    request denied by its text never reaches the second phase.
+    """
+    return judge_estimate(judge_text(log, policy, mode=mode, extra_words=extra_words), policy)
 
-def decide(
+
+def preflight(
     log: DataFrame,
     policy: Policy,
     *,
     mode: str = "strict",
     extra_words: list[str] | None = None,
 ) -> DataFrame:
-    """Both phases, one decision per request.
+    """The first phase alone: adds ``candidate_tables`` and ``preflight_reason``.
 
-    Adds ``phase`` (where the decision fell), ``allowed``, ``decision``,
-    ``reason`` and ``candidate_tables`` (set where they were the reason). A
-    request denied by its text never reaches the second phase.
+    A preflight never allows: names found in text prove nothing.
     """
+    judged = judge_text(log, policy, mode=mode, extra_words=extra_words)
+    return judged.drop("read_only", "sql_reason")
+
+
+def authorize(
+    log: DataFrame,
+    policy: Policy,
+    *,
+    mode: str = "strict",
+    extra_words: list[str] | None = None,
+) -> DataFrame:
+    """The second phase alone: text, ``referenced_tables`` and ``estimated_bytes``."""
     classified = classify_sql(log, mode=mode, extra_words=extra_words)
-    judged = _with_refusal(_with_preflight(classified, policy), policy).withColumn(
-        "refusal", F.coalesce("preflight_reason", "refusal")
-    )
-    stopped = F.col("preflight_reason").isNotNull()
-    by_names = stopped & F.col("read_only") if policy.read_only else stopped
-    return (
-        _decision(judged)
-        .withColumn("phase", F.when(stopped, F.lit(PREFLIGHT)).otherwise(F.lit(AUTHORIZE)))
-        .withColumn("candidate_tables", F.when(by_names, F.col("candidate_tables")))
-        .drop("preflight_reason", *_WORKING_COLUMNS)
+    return _decision(_with_refusal(classified, policy)).drop(
+        "cleaned", "words", "forbidden", "read_only", "sql_reason", "first_off_list"
     )
 
 
