@@ -71,7 +71,7 @@ def sql_words(cleaned: Column) -> Column:
 def forbidden_words(words: Column, extra: list[str] | None = None) -> Column:
     """Forbidden words present, distinct and sorted."""
     banned = F.array(*[F.lit(word) for word in FORBIDDEN_WORDS + (extra or [])])
-    return F.array_sort(F.array_intersect(words, banned))
+    return F.sort_array(F.array_intersect(words, banned))
 
 
 def has_more_statements(cleaned: Column) -> Column:

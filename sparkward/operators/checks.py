@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,8 @@ from sparkward.functions.metrics import Target, get_check, registered_checks
 from sparkward.session import footer_counts_enabled
 from sparkward.sources.specs import CheckSpec, specs_frame
 
+Moment = Column | str | None
+
 # Wider aggregations fall out of generated code; more checks take another scan.
 METRICS_PER_AGGREGATE = 60
 
@@ -35,7 +37,7 @@ def _reference(schema: T.StructType, path: str) -> Column:
     return F.col(f"`{path}`" if path in schema.fieldNames() else path)
 
 
-def metric_column(df: DataFrame, spec: CheckSpec, as_of: Column | str | None) -> Column:
+def metric_column(df: DataFrame, spec: CheckSpec, as_of: Moment) -> Column:
     """The aggregate Column of a spec, checked against the table's schema."""
     check = get_check(spec.check_type)
     column = data_type = None
@@ -88,31 +90,29 @@ def split_specs(
     return shared + list(by_distinct.values())
 
 
-def _measure(df: DataFrame, group: Sequence[CheckSpec], as_of: Column | str | None) -> DataFrame:
-    wide = df.agg(
-        *[metric_column(df, spec, as_of).alias(f"metric_{spec.check_id}") for spec in group]
-    )
+def _measure(df: DataFrame, group: Sequence[CheckSpec], as_of: Moment) -> DataFrame:
     pairs = [
         F.struct(
             F.lit(spec.check_id).cast("long").alias("check_id"),
-            F.col(f"metric_{spec.check_id}").cast("double").alias("metric_value"),
+            metric_column(df, spec, as_of).cast("double").alias("metric_value"),
         )
         for spec in group
     ]
-    return wide.select(F.inline(F.array(*pairs)))
+    return df.agg(F.inline(F.array(*pairs)))
 
 
 def measure(
     tables: Mapping[str, DataFrame],
     specs: Sequence[CheckSpec],
     *,
-    as_of: Column | str | None = None,
+    as_of: Moment | Mapping[str, Moment] = None,
     footer_counts: bool | None = None,
 ) -> DataFrame:
     """Metrics of all specs as rows ``(check_id, metric_value)``.
 
-    ``as_of`` is the moment freshness is measured at; it is a parameter, so
-    that a suite gives the same answer whenever it is run. ``footer_counts``
+    ``as_of`` is the moment freshness is measured at, one for all tables or one
+    per table; it is a parameter, so that a suite gives the same answer whenever
+    it is run. ``footer_counts``
     follows the session's settings unless given.
     """
     if not specs:
@@ -128,43 +128,58 @@ def measure(
         use_footers = footer_counts
         if use_footers is None:
             use_footers = footer_counts_enabled(df.sparkSession)
+        moment = as_of.get(table) if isinstance(as_of, Mapping) else as_of
         parts += [
-            _measure(df, group, as_of)
+            _measure(df, group, moment)
             for group in split_specs(of_table, footer_counts=use_footers)
         ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)
 
 
-def judge(metrics: DataFrame, specs: DataFrame) -> DataFrame:
+def judge(
+    metrics: DataFrame, specs: DataFrame, kinds: Iterable[str] | None = None
+) -> DataFrame:
     """Compare metrics with their specs (joined on ``check_id``).
 
     The specs are what the metrics were built from, so both sides are small;
-    Spark broadcasts the specs by their known size.
+    Spark broadcasts the specs by their known size. ``kinds`` are the types of
+    check that occur, all registered ones unless given.
     """
     metric, threshold = F.col("metric_value"), F.col("threshold")
-    passed = detail = None
-    for name, check in registered_checks().items():
-        matches = F.col("check_type") == name
-        verdict, text = check.verdict(metric, threshold), check.detail(metric, threshold)
-        passed = F.when(matches, verdict) if passed is None else passed.when(matches, verdict)
-        detail = F.when(matches, text) if detail is None else detail.when(matches, text)
-    return (
-        metrics.join(specs, "check_id")
-        .withColumns({"passed": passed, "detail": detail})
-        .select(*RESULT_COLUMNS)
+    names = list(dict.fromkeys(registered_checks() if kinds is None else kinds))
+    checks = {name: get_check(name) for name in names}
+    return metrics.join(specs, "check_id").select(
+        "check_id",
+        "check_type",
+        "table",
+        "column",
+        _by_kind({n: c.verdict(metric, threshold) for n, c in checks.items()}).alias("passed"),
+        "metric_value",
+        "threshold",
+        _by_kind({n: c.detail(metric, threshold) for n, c in checks.items()}).alias("detail"),
     )
 
 
+def _by_kind(values: Mapping[str, Column]) -> Column:
+    """The value that belongs to the row's type of check."""
+    first, *others = values.items()
+    chosen = F.when(F.col("check_type") == first[0], first[1])
+    for name, value in others:
+        chosen = chosen.when(F.col("check_type") == name, value)
+    return chosen
+
+
 def run_suite(
     tables: Mapping[str, DataFrame],
     specs: Sequence[CheckSpec],
     *,
-    as_of: Column | str | None = None,
+    as_of: Moment | Mapping[str, Moment] = None,
     footer_counts: bool | None = None,
 ) -> DataFrame:
     """One result row per check; order by ``check_id`` for the given order."""
     metrics = measure(tables, specs, as_of=as_of, footer_counts=footer_counts)
-    return judge(metrics, specs_frame(metrics.sparkSession, list(specs)))
+    kinds = [spec.check_type for spec in specs]
+    return judge(metrics, specs_frame(metrics.sparkSession, list(specs)), kinds)
 
 
 def overall_verdict(results: DataFrame, tables: DataFrame | None = None) -> DataFrame:
@@ -185,3 +200,21 @@ def overall_verdict(results: DataFrame, tables: DataFrame | None = None) -> Data
         F.coalesce("checks", F.lit(0)).cast("long").alias("checks"),
         F.coalesce("failed", F.lit(0)).cast("long").alias("failed"),
     )
+
+
+def suite_reports(results: DataFrame) -> DataFrame:
+    """Per table one JSON text: the verdict and every result, in the given order.
+
+    The results of a table are as many as its checks, not its rows.
+    """
+    fields = [name for name in RESULT_COLUMNS if name != "check_id"]
+    ordered = F.array_sort(F.collect_list(F.struct("check_id", F.struct(*fields).alias("result"))))
+    reports = results.groupBy("table").agg(
+        F.every("passed").alias("overall_passed"), ordered.alias("ordered")
+    )
+    report = F.struct(
+        "table",
+        "overall_passed",
+        F.transform("ordered", lambda entry: entry["result"]).alias("checks"),
+    )
+    return reports.select("table", F.to_json(report, {"ignoreNullFields": "false"}).alias("report"))

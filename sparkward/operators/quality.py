@@ -33,24 +33,17 @@ def trend(df: DataFrame, time: str, specs: Sequence[CheckSpec]) -> DataFrame:
 def _measure_days(dated: DataFrame, group: Sequence[CheckSpec]) -> DataFrame:
     # Inside an aggregate of the day, any value of the day's end is the same.
     end_of_day = F.max(F.date_add("_day", 1))
-    wide = dated.groupBy("_day").agg(
-        *[
-            metric_column(dated, spec, end_of_day).alias(f"metric_{spec.check_id}")
-            for spec in group
-        ]
-    )
     rows = [
         F.struct(
             F.lit(spec.table).alias("table"),
             F.lit(spec.check_type).alias("check_type"),
             F.lit(spec.column).cast("string").alias("column"),
-            F.col(f"metric_{spec.check_id}").cast("double").alias("metric_value"),
+            metric_column(dated, spec, end_of_day).cast("double").alias("metric_value"),
         )
         for spec in group
     ]
-    return wide.select(F.col("_day").alias("day"), F.inline(F.array(*rows))).select(
-        "table", "check_type", "column", "day", "metric_value"
-    )
+    daily = dated.groupBy(F.col("_day").alias("day")).agg(F.inline(F.array(*rows)))
+    return daily.select("table", "check_type", "column", "day", "metric_value")
 
 
 def _series() -> Window:

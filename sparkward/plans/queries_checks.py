@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkward.operators import loads, masking, quality
-from sparkward.operators.checks import overall_verdict, run_suite
+from sparkward.operators.checks import overall_verdict, run_suite, suite_reports
 from sparkward.plans.derived import (
     EVENTS_AS_OF,
     LABELLED_SQL,
@@ -74,13 +74,12 @@ def _tables(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
 
 
 def _suite(checks: dict):
-    """A suite and its SQL. All freshness checks of one suite share one moment."""
-    moment = next((_AS_OF[name] for name in checks if name in _AS_OF), None)
+    """A suite and its SQL."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run_suite(_tables(spark, sf_dir, checks), parse_checks(checks), as_of=moment)
+        return run_suite(_tables(spark, sf_dir, checks), parse_checks(checks), as_of=_AS_OF)
 
-    return run, suite_sql(checks, _SOURCES, dict.fromkeys(checks, moment))
+    return run, suite_sql(checks, _SOURCES, _AS_OF)
 
 
 FLAGSHIP_CHECKS = {
@@ -156,6 +155,24 @@ def _verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overall_verdict(_flagship(spark, sf_dir))
 
 
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suite_reports(_flagship(spark, sf_dir))
+
+
+# Numbers are written out as one engine writes them: whole ones with ".0".
+_JSON_NUMBER = (
+    "CASE WHEN {v} = round({v}) THEN concat({v}::BIGINT::VARCHAR, '.0') ELSE {v}::VARCHAR END"
+)
+_REPORT_SQL = f"""
+SELECT "table", concat('{{"table":"', "table", '","overall_passed":', bool_and(passed)::VARCHAR,
+  ',"checks":[', string_agg(concat('{{"check_type":"', check_type, '","table":"', "table",
+    '","column":', coalesce('"' || "column" || '"', 'null'), ',"passed":', passed::VARCHAR,
+    ',"metric_value":', {_JSON_NUMBER.format(v="metric_value")},
+    ',"threshold":', {_JSON_NUMBER.format(v="threshold")},
+    ',"detail":"', detail, '"}}'), ',' ORDER BY check_id), ']}}') AS report
+FROM ({_flagship_sql}) AS r
+GROUP BY "table" """
+
 # --- trends -----------------------------------------------------------------
 
 _TREND_CHECKS = {
@@ -510,6 +527,7 @@ QUERIES = {
         _verdict,
         f'SELECT "table", {_VERDICT_COLUMNS} FROM ({_flagship_sql}) AS r GROUP BY "table"',
     ),
+    "dq_report": (_report, _REPORT_SQL),
     "quality_trend": (_trend, _TREND_SQL),
     "quality_null_drift": (_null_drift, _NULL_DRIFT_SQL),
     "quality_anomaly": (_anomalies, _ANOMALY_SQL),

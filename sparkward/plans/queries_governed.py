@@ -29,12 +29,16 @@ def _name(table: str) -> str:
     return f"shop.gold.{table}"
 
 
-def governed_session(spark: SparkSession, sf_dir: str) -> GovernedSession:
-    """All tables under their three-part names; decisions go to a JSON trail."""
+def _used(*statements: str) -> list[str]:
+    return [table for table in _TABLES if any(f"{{{table}}}" in text for text in statements)]
+
+
+def governed_session(spark: SparkSession, sf_dir: str, tables: list[str]) -> GovernedSession:
+    """Tables under their three-part names; decisions go to a JSON trail."""
     path = shared_dir(spark, "governed-trail")
     return GovernedSession(
         spark,
-        {_name(table): f"{sf_dir}/{table}.parquet" for table in _TABLES},
+        {_name(table): f"{sf_dir}/{table}.parquet" for table in tables},
         POLICY,
         lambda events: trail.append_events(events, path, uuid.uuid4().hex),
     )
@@ -50,7 +54,7 @@ def _plain_text(statement: str) -> str:
 
 def _governed(statement: str, row_limit: int | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        session = governed_session(spark, sf_dir)
+        session = governed_session(spark, sf_dir, _used(statement))
         return session.query(_spark_text(statement), actor="agent-1", row_limit=row_limit)
 
     limit = min(row_limit or POLICY.max_rows, POLICY.max_rows)
@@ -144,21 +148,21 @@ def _arrays():
         return _spark_text(filled) if quoted else _plain_text(filled)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        session = governed_session(spark, sf_dir)
+        session = governed_session(spark, sf_dir, _used(_ARRAYS))
         return session.query(text(_ARRAYS, 0, True), actor="agent-1")
 
     return run, text(_ARRAYS, 1, False)
 
 
 def _total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    session = governed_session(spark, sf_dir)
+    session = governed_session(spark, sf_dir, _used(_LARGE_LINES))
     return session.total_rows(_spark_text(_LARGE_LINES), actor="agent-1")
 
 
 def _footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Footprints of statements over the tables; the bytes depend on the engine."""
-    session = governed_session(spark, sf_dir)
     statements = {"large_lines": _LARGE_LINES, "join": _JOIN, "semi_join": _SEMI_JOIN}
+    session = governed_session(spark, sf_dir, _used(*statements.values()))
     return session.footprints(
         {name: _spark_text(text) for name, text in statements.items()}, actor="agent-1"
     )
