@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkward.functions.text import fixed
-
-_HOUR_IN_MICROS = 3_600_000_000
+from sparkward.functions.times import whole_hours
 
 
 @dataclass(frozen=True)
@@ -71,27 +70,6 @@ def surplus_rows(column: Column) -> Column:
     return (F.count(F.lit(1)) - F.count_distinct(column)).cast("double")
 
 
-def _micros_of_day(moment: Column) -> Column:
-    minutes = (F.hour(moment) * 60 + F.minute(moment)).cast("long")
-    seconds = F.extract(F.lit("SECOND"), moment)
-    return minutes * 60_000_000 + (seconds * 1_000_000).cast("long")
-
-
-def whole_hours(start: Column, end: Column, data_type: T.DataType) -> Column:
-    """Whole elapsed hours, cut towards zero.
-
-    An instant (TIMESTAMP) is measured in elapsed time, wall-clock values by
-    their calendar difference: neither depends on the session time zone.
-    """
-    if isinstance(data_type, T.TimestampType):
-        micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start)
-    else:
-        start, end = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
-        days = F.datediff(end, start).cast("long")
-        micros = days * (24 * _HOUR_IN_MICROS) + _micros_of_day(end) - _micros_of_day(start)
-    return F.call_function("div", micros, F.lit(_HOUR_IN_MICROS))
-
-
 def age_hours(target: Target) -> Column:
     """Whole hours from the newest value to ``as_of``; infinite if there is none.
 

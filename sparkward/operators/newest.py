@@ -5,29 +5,27 @@ from __future__ import annotations
 from functools import reduce
 from math import isqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Up to this many rows Spark's own top-N (a small heap in every task, merged in
-# one) is the right plan; above, the rows stay where they are.
-TOP_N_ROWS = 100_000
+from sparkward.functions.times import micros, moment_of
 
-# Lengths of the sort key's prefix that are looked at in turn. The key is the
-# time with 18 or 20 digits, coarse to fine, followed by the identifier.
-_PREFIXES = [6, 8, 10, 12, 14, 16, 18, 20, 22, 24, 28, 32]
+# Spark's own top-N sends this many rows of every task to one task.
+DIRECT_ROWS = 100
 
-_MICROS_SINCE_YEAR_1 = 62_135_596_800_000_000
+# A time span with at most this many rows is ranked without narrowing it further.
+RANKED_ROWS = 1_000_000
 
+# Widths, in microseconds, of the time spans that are looked at in turn: about
+# twelve days, three hours, a hundred seconds, a second, a millisecond, one.
+_SPANS = [10**12, 10**10, 10**8, 10**6, 10**3, 1]
 
-def _sort_key(events: DataFrame, time: str, key: str) -> Column:
-    """Text that sorts like ``(time, key)``, whatever the session time zone."""
-    if isinstance(events.schema[time].dataType, T.TimestampType):
-        micros = F.unix_micros(F.col(time)) + F.lit(_MICROS_SINCE_YEAR_1)
-        digits = F.lpad(micros.cast("string"), 18, "0")
-    else:
-        digits = F.date_format(F.col(time), "yyyyMMddHHmmssSSSSSS")
-    return F.coalesce(F.concat(digits, F.coalesce(F.col(key), F.lit(""))), F.lit(""))
+# Of events at one and the same time, lengths of the identifier's prefix.
+_KEY_PREFIXES = [2, 4, 8, 16, 64]
+
+
+def _order(time: str, key: str) -> list[Column]:
+    return [F.desc_nulls_last(time), F.desc_nulls_last(key)]
 
 
 def newest(
@@ -36,45 +34,75 @@ def newest(
     *,
     time: str = "timestamp",
     key: str = "event_id",
-    top_n_rows: int = TOP_N_ROWS,
+    direct_rows: int = DIRECT_ROWS,
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
-    """The ``limit`` newest events by ``(time, key)``.
+    """The ``limit`` newest events by ``(time, key)``, nulls last.
 
-    A large ``limit`` is not sorted into one task. The time of the oldest event
-    to keep is narrowed down by counting events per time prefix, and everything
-    later is kept by a filter; only the rest is ranked.
+    A few are found by Spark's top-N, some by ranking slices of the input and
+    then the best of each. For more, the time of the oldest event to keep is
+    narrowed down by counting events per span of time, which reads nothing but
+    the times; the result is then a filter on the time, which skips older files,
+    and a ranking of the few events in the last span.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
-    order = [F.desc_nulls_last(time), F.desc_nulls_last(key)]
-    if limit <= top_n_rows:
-        return events.orderBy(*order).limit(limit)
-    within = events.withColumn("_sort_key", _sort_key(events, time, key))
-    kept: list[DataFrame] = []
-    wanted = limit
-    for length in _PREFIXES:
-        prefix = F.substring("_sort_key", 1, length)
-        counts = within.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-        # One row per prefix: bounded by the calendar, not by the events.
-        running = F.sum("n").over(
-            Window.orderBy(F.desc("prefix")).rowsBetween(Window.unboundedPreceding, 0)
-        )
-        cut = (
-            counts.withColumn("running", running)
-            .where(F.col("running") >= wanted)
-            .orderBy(F.desc("prefix"))
-            .first()
-        )
+    if limit <= direct_rows:
+        return events.orderBy(*_order(time, key)).limit(limit)
+    if limit <= _group_limit_threshold(events):
+        return newest_per_key(events, [], limit, time=time, key=key)
+    return _newest_by_time(events, limit, time, key, ranked_rows)
+
+
+def _cut(within: DataFrame, bucket: Column, wanted: int) -> Row | None:
+    """The bucket that holds the ``wanted``-th newest event; None if there are fewer.
+
+    There is one row per bucket, which the calendar bounds, not the events.
+    """
+    counts = within.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    newest_first = F.desc_nulls_last("bucket")
+    up_to = Window.orderBy(newest_first).rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.withColumn("running", F.sum("n").over(up_to))
+    return running.where(F.col("running") >= wanted).orderBy(newest_first).first()
+
+
+def _newest_by_time(
+    events: DataFrame, limit: int, time: str, key: str, ranked_rows: int
+) -> DataFrame:
+    moment, data_type = F.col(time), events.schema[time].dataType
+    later, within, wanted, cut = None, events, limit, None
+    for span in _SPANS:
+        at = micros(moment, data_type)
+        cut = _cut(within, at - F.pmod(at, F.lit(span)), wanted)
         if cut is None:
             return events
-        kept.append(within.where(prefix > cut["prefix"]))
-        within = within.where(prefix == cut["prefix"])
         wanted -= cut["running"] - cut["n"]
-        if wanted == cut["n"] or wanted <= top_n_rows:
+        if cut["bucket"] is None:
+            later, within = events.where(moment.isNotNull()), events.where(moment.isNull())
+            break
+        start = moment_of(cut["bucket"], data_type)
+        end = moment_of(cut["bucket"] + span, data_type)
+        later = events.where(moment >= end)
+        within = events.where((moment >= start) & (moment < end))
+        if cut["n"] <= ranked_rows or wanted == cut["n"]:
+            break
+    kept = [later]
+    for length in _KEY_PREFIXES:
+        if cut["n"] <= ranked_rows or wanted == cut["n"]:
             break
+        # Many events at one time: go on with their identifiers.
+        prefix = F.substring(F.coalesce(key, F.lit("")), 1, length)
+        cut = _cut(within, prefix, wanted)
+        wanted -= cut["running"] - cut["n"]
+        kept.append(within.where(prefix > cut["bucket"]))
+        within = within.where(prefix == cut["bucket"])
     if wanted < cut["n"]:
-        within = within.orderBy(*order).limit(wanted)
-    return reduce(DataFrame.unionByName, [*kept, within]).drop("_sort_key")
+        within = within.orderBy(*_order(time, key)).limit(wanted)
+    return reduce(DataFrame.unionByName, [*kept, within])
+
+
+def _group_limit_threshold(events: DataFrame) -> int:
+    return int(events.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
 
 
 def newest_per_key(
@@ -84,9 +112,9 @@ def newest_per_key(
     *,
     time: str = "timestamp",
     key: str = "event_id",
-    salts: int | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
-    """The ``limit`` newest events of each key.
+    """The ``limit`` newest events of each key (of all events, without keys).
 
     Ranked twice: within slices of each key, then among the survivors, so that
     a key with a third of all events is spread over many tasks. A slice is made
@@ -94,20 +122,18 @@ def newest_per_key(
     therefore sends at most ``limit`` events per key into the first shuffle. The
     outcome does not depend on how the slices fall.
     """
-    conf = events.sparkSession.conf
-    if salts is None:
-        salts = int(conf.get("spark.sql.shuffle.partitions"))
-        if limit <= int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+    if slices is None:
+        slices = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if limit <= _group_limit_threshold(events):
             # Both rankings then see about equally many events of one key.
-            salts = max(8, isqrt(salts))
-    order = [F.desc_nulls_last(time), F.desc_nulls_last(key)]
-    salted = events.withColumn("_salt", F.spark_partition_id() % F.lit(salts))
-    within_slice = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    within_key = Window.partitionBy(*keys).orderBy(*order)
+            slices = max(8, isqrt(slices))
+    sliced = events.withColumn("_slice", F.spark_partition_id() % F.lit(slices))
+    within_slice = Window.partitionBy(*keys, "_slice").orderBy(*_order(time, key))
+    within_key = Window.partitionBy(*keys).orderBy(*_order(time, key))
     return (
-        salted.withColumn("_rank", F.row_number().over(within_slice))
+        sliced.withColumn("_rank", F.row_number().over(within_slice))
         .where(F.col("_rank") <= limit)
         .withColumn("_rank", F.row_number().over(within_key))
         .where(F.col("_rank") <= limit)
-        .drop("_rank", "_salt")
+        .drop("_rank", "_slice")
     )

@@ -184,29 +184,37 @@ FROM (SELECT event_id AS request_id,
 _TYPES_SQL = " ".join(
     f"WHEN '{extension}' THEN '{mime}'" for extension, mime in object_source.CONTENT_TYPES.items()
 )
+# Hosts of one domain share a bucket; a page that was saved twice is one object.
+_INVENTORY = [
+    "regexp_extract(bucket, '[^.]+[.][^.]+$', 0) AS bucket",
+    "concat(bucket, '/', name) AS name",
+    "size_bytes",
+]
 _OBJECTS_SQL = f"""
-SELECT bucket, name, size_bytes,
+SELECT bucket, name, max(size_bytes) AS size_bytes,
   CASE lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) {_TYPES_SQL} END AS content_type
-FROM ({derived.select_sql(derived.OBJECTS, "pages")}) AS o"""
+FROM (SELECT {", ".join(_INVENTORY)} FROM ({derived.select_sql(derived.OBJECTS, "pages")}) AS p)
+  AS o GROUP BY bucket, name"""
 
 
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.objects(spark, sf_dir).select(
-        "bucket",
-        "name",
-        "size_bytes",
-        object_source.content_type(F.col("name")).alias("content_type"),
+    pages = derived.objects(spark, sf_dir).selectExpr(*_INVENTORY)
+    return (
+        pages.groupBy("bucket", "name")
+        .agg(F.max("size_bytes").alias("size_bytes"))
+        .withColumn("content_type", object_source.content_type(F.col("name")))
     )
 
 
 def _objects_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inventory = _inventory(spark, sf_dir)
-    return object_source.list_objects(inventory, "blog.tionsh.example.net", "e")
+    return object_source.list_objects(_inventory(spark, sf_dir), "example.net", "m.")
 
 
 def _objects_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look up the last object of a bucket."""
     inventory = _inventory(spark, sf_dir)
-    return object_source.object_metadata(inventory, "ththre.example.com", "fr/825")
+    name = inventory.where("bucket = 'example.net'").agg(F.max("name")).first()[0]
+    return object_source.object_metadata(inventory, "example.net", name)
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +246,10 @@ FROM (SELECT dag_id, run_id, body::JSON AS body
 
 
 def _run_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.find_run(_run_status(spark, sf_dir), "dag-4", "run-0")
+    """Look up the run of the newest order."""
+    orders = derived.table(spark, sf_dir, "orders")
+    newest = orders.agg(F.max_by("o_custkey", "o_orderkey"), F.max("o_orderkey")).first()
+    return runs.find_run(_run_status(spark, sf_dir), f"dag-{newest[0] % 5}", f"run-{newest[1]}")
 
 
 def _service_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,19 +289,20 @@ QUERIES = {
     "scan_cost": (_costs, _COSTS_SQL),
     "objects_list": (
         _objects_list,
-        f"SELECT * FROM ({_OBJECTS_SQL}) AS q WHERE bucket = 'blog.tionsh.example.net' "
-        "AND starts_with(name, 'e') ORDER BY name LIMIT 100",
+        f"SELECT * FROM ({_OBJECTS_SQL}) AS q WHERE bucket = 'example.net' "
+        "AND starts_with(name, 'm.') ORDER BY name LIMIT 100",
     ),
     "objects_metadata": (
         _objects_metadata,
-        f"SELECT * FROM ({_OBJECTS_SQL}) AS q WHERE bucket = 'ththre.example.com' "
-        "AND name = 'fr/825'",
+        f"WITH o AS ({_OBJECTS_SQL}) SELECT * FROM o WHERE bucket = 'example.net' "
+        "AND name = (SELECT max(name) FROM o WHERE bucket = 'example.net')",
     ),
     "objects_files": (_files, None),
     "runs_status": (_run_status, _RUN_STATUS_SQL),
     "runs_lookup": (
         _run_lookup,
-        f"SELECT * FROM ({_RUN_STATUS_SQL}) AS r WHERE dag_id = 'dag-4' AND run_id = 'run-0'",
+        f"SELECT * FROM ({_RUN_STATUS_SQL}) AS r "
+        "WHERE run_id = (SELECT concat('run-', max(o_orderkey)) FROM orders)",
     ),
     "runs_service_levels": (_service_levels, _SERVICE_LEVELS_SQL),
 }
