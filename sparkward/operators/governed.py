@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,23 @@ def open_session(
     return session
 
 
+@dataclass(frozen=True)
+class _Outcome:
+    """The decision on one statement."""
+
+    allowed: bool
+    reason: str
+    event_id: str
+    footprint: Footprint | None
+    cause: NotEstimable | None
+
+    def require(self) -> Footprint:
+        """The footprint of an allowed statement; a denial is raised."""
+        if not self.allowed:
+            raise PolicyDenied(self.reason, self.event_id) from self.cause
+        return self.footprint
+
+
 class GovernedSession:
     """Estimates and runs statements that pass the policy.
 
@@ -86,11 +104,12 @@ class GovernedSession:
 
     def estimate(self, sql: str, *, actor: str) -> Footprint:
         """Bytes, cost and tables of a statement; denied like a query would be."""
-        return self._authorize(sql, actor, "sql_estimate")
+        return self._authorize([sql], actor, "sql_estimate")[0].require()
 
     def footprints(self, statements: Mapping[str, str], *, actor: str) -> DataFrame:
-        """Footprints of several named statements as rows."""
-        found = {name: self.estimate(sql, actor=actor) for name, sql in statements.items()}
+        """Footprints of several named statements as rows; one denial is an error."""
+        outcomes = self._authorize(list(statements.values()), actor, "sql_estimate")
+        found = {name: o.require() for name, o in zip(statements, outcomes, strict=True)}
         return footprint_frame(self._spark, found)
 
     def query(self, sql: str, *, actor: str, row_limit: int | None = None) -> DataFrame:
@@ -109,15 +128,15 @@ class GovernedSession:
         Each table is decided once, before any is scanned; a denied table does
         not cost the others their results.
         """
-        denied: dict[str, str] = {}
-        tables: dict[str, DataFrame] = {}
-        for table in dict.fromkeys(spec.table for spec in specs):
-            try:
-                self._authorize(f"SELECT * FROM `{table}`", actor, "quality_checks")
-            except PolicyDenied as denial:
-                denied[table] = denial.reason
-            else:
-                tables[table] = self._session.table(f"`{table}`")
+        names = list(dict.fromkeys(spec.table for spec in specs))
+        statements = [f"SELECT * FROM `{name}`" for name in names]
+        outcomes = dict(
+            zip(names, self._authorize(statements, actor, "quality_checks"), strict=True)
+        )
+        denied = {name: o.reason for name, o in outcomes.items() if not o.allowed}
+        tables = {
+            name: self._session.table(f"`{name}`") for name, o in outcomes.items() if o.allowed
+        }
         allowed = [spec for spec in specs if spec.table in tables]
         return (run_suite(tables, allowed, as_of=as_of) if allowed else None), denied
 
@@ -129,40 +148,52 @@ class GovernedSession:
         return min(requested, self._policy.max_rows)
 
     def _checked(self, sql: str, actor: str) -> DataFrame:
-        self._authorize(sql, actor, "sql_query")
+        self._authorize([sql], actor, "sql_query")[0].require()
         return self._session.sql(sql)
 
-    def _authorize(self, sql: str, actor: str, operation: str) -> Footprint:
-        request = [uuid.uuid4().hex, datetime.now(timezone.utc), actor, sql, None, None]
-        frame = local_frame(self._spark, _REQUEST, [request])
+    def _authorize(self, statements: list[str], actor: str, operation: str) -> list[_Outcome]:
+        """Decide on some statements and write all decisions to the trail at once."""
+        now = datetime.now(timezone.utc)
+        requests = [[uuid.uuid4().hex, now, actor, sql, None, None] for sql in statements]
+        frame = local_frame(self._spark, _REQUEST, requests)
         # The text is judged before Spark plans it.
-        judged = rules.judge_text(frame, self._policy, extra_words=JVM_CALL_WORDS).first()
-        judged = judged.asDict()
-        if judged["preflight_reason"] is not None:
-            self._release(judged, operation)
-        try:
-            footprint = estimate(self._session, sql)
-        except NotEstimable as cause:
-            # Nothing could be resolved, which the second phase refuses.
-            self._release(judged, operation, cause)
-            raise
-        judged["referenced_tables"] = list(footprint.referenced_tables)
-        judged["estimated_bytes"] = footprint.estimated_bytes
-        self._release(judged, operation)
-        return footprint
-
-    def _release(self, judged: dict, operation: str, cause: Exception | None = None) -> None:
-        """Decide and write the decision to the trail, then raise if it is a denial."""
-        frame = local_frame(self._spark, _JUDGED, [[judged[name] for name in _JUDGED.names]])
+        text = rules.judge_text(frame, self._policy, extra_words=JVM_CALL_WORDS)
+        judged = {row["request_id"]: row.asDict() for row in text.collect()}
+        footprints: dict[str, Footprint] = {}
+        causes: dict[str, NotEstimable] = {}
+        for request_id, row in judged.items():
+            if row["preflight_reason"] is None:
+                try:
+                    found = footprints[request_id] = estimate(self._session, row["sql"])
+                except NotEstimable as cause:
+                    # Nothing could be resolved, which the second phase refuses.
+                    causes[request_id] = cause
+                else:
+                    row["referenced_tables"] = list(found.referenced_tables)
+                    row["estimated_bytes"] = found.estimated_bytes
+        frame = local_frame(
+            self._spark, _JUDGED, [[row[name] for name in _JUDGED.names] for row in judged.values()]
+        )
         decisions = rules.judge_estimate(frame, self._policy)
         released = record_then_release(
             decisions,
             query_events(decisions, operation),
             self._write_events,
             fail_closed=self._fail_closed,
+        ).select(
+            "request_id",
+            "allowed",
+            "reason",
+            event_id(F.col("request_id"), F.col("phase")).alias("event_id"),
         )
-        row = released.withColumn(
-            "event_id", event_id(F.col("request_id"), F.col("phase"))
-        ).first()
-        if not row["allowed"]:
-            raise PolicyDenied(row["reason"], row["event_id"]) from cause
+        found = {row["request_id"]: row for row in released.collect()}
+        return [
+            _Outcome(
+                found[i]["allowed"],
+                found[i]["reason"],
+                found[i]["event_id"],
+                footprints.get(i),
+                causes.get(i),
+            )
+            for i, *_ in requests
+        ]

@@ -66,6 +66,15 @@ def _cut(within: DataFrame, bucket: Column, wanted: int) -> Row | None:
     return running.where(F.col("running") >= wanted).orderBy(newest_first).first()
 
 
+def oldest_needed(events: DataFrame, bucket: Column, limit: int):
+    """The bucket (say, a date) of the oldest of the ``limit`` newest events.
+
+    None if every bucket is needed.
+    """
+    cut = _cut(events, bucket, limit)
+    return None if cut is None else cut["bucket"]
+
+
 def _newest_by_time(
     events: DataFrame, limit: int, time: str, key: str, ranked_rows: int
 ) -> DataFrame:

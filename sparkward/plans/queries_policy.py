@@ -375,6 +375,12 @@ _FAIL_CLOSED_SQL = (
 )
 
 
+def _recent_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "audit-table")
+    trail.append_table(_events(spark, sf_dir), path, "log")
+    return _plain_time(trail.read_recent_from_table(spark, path, 500))
+
+
 def _audit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written twice under one name, as after a restart, and read back."""
     path = shared_dir(spark, "audit-table")
@@ -445,5 +451,6 @@ QUERIES = {
     "audit_decision_counts": (_counts, _COUNTS_SQL),
     "audit_fail_closed": (_fail_closed, _FAIL_CLOSED_SQL),
     "audit_table": (_audit_table, _AUDIT_TABLE_SQL),
+    "audit_table_recent": (_recent_table, _newest_sql(500)),
     "audit_stream_windows": (_stream_windows, _STREAM_WINDOWS_SQL),
 }

@@ -10,13 +10,16 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkward.functions.times import HOUR_IN_MICROS, micros
 from sparkward.operators.audit import AUDIT_COLUMNS, AUDIT_SCHEMA, JSON_TIMES, log_lines
-from sparkward.operators.newest import newest, newest_per_key
+from sparkward.operators.newest import newest, newest_per_key, oldest_needed
 from sparkward.session import local_frame
 
+_DAY_IN_MICROS = 24 * HOUR_IN_MICROS
+
 _BATCH_NAME = r"[A-Za-z0-9_.-]+"
 
 
@@ -76,15 +79,22 @@ def compact(spark: SparkSession, path: str, target: str, max_events: int = 1000)
     append_events(retain_newest(read_events(spark, path), max_events), target, "compacted")
 
 
+def _utc_date(events: DataFrame, time: str) -> Column:
+    """Calendar date that grows with the time, whatever the session time zone."""
+    at = micros(F.col(time), events.schema[time].dataType)
+    day = (at - F.pmod(at, F.lit(_DAY_IN_MICROS))) / F.lit(_DAY_IN_MICROS)
+    return F.date_from_unix_date(day.cast("int"))
+
+
 def append_table(events: DataFrame, path: str, batch: str) -> None:
-    """Append a batch to the Parquet audit table, partitioned by event date.
+    """Append a batch to the Parquet audit table, partitioned by event date (UTC).
 
     Rows are brought together by date before writing, in as many pieces per
     date as their number asks for, so a batch leaves few files.
     """
     dated = events.select(
         *AUDIT_COLUMNS,
-        F.to_date("timestamp").alias("event_date"),
+        _utc_date(events, "timestamp").alias("event_date"),
         F.lit(_checked(batch)).alias("batch"),
     )
     (
@@ -101,3 +111,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     schema = "event_date DATE, batch STRING"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in AUDIT_SCHEMA)
     return spark.read.schema(f"{fields}, {schema}").parquet(path)
+
+
+def read_recent_from_table(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
+    """The newest events of the Parquet audit table, newest first.
+
+    The dates that can hold them are found by counting rows per folder, which
+    reads no column; the other folders are then never opened.
+    """
+    table = read_table(spark, path)
+    first = oldest_needed(table, F.col("event_date"), limit)
+    recent = table if first is None else table.where(F.col("event_date") >= F.lit(first))
+    return (
+        newest(recent, limit)
+        .select(*AUDIT_COLUMNS)
+        .orderBy(F.desc("timestamp"), F.desc("event_id"))
+    )

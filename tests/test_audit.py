@@ -111,6 +111,21 @@ def test_audit_table_is_partitioned_by_date(spark, folder):
     assert "PartitionFilters: [isnotnull(event_date" in plan(day)
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/New_York"])
+def test_newest_of_the_table_opens_few_folders(spark, conf, folder, zone):
+    conf("spark.sql.session.timeZone", zone)
+    rows = [event(i, 60 * i) for i in range(100)] + [event(999, timestamp=None)]
+    trail.append_table(events_of(spark, rows), folder, "b")
+    for limit in (0, 1, 3, 30, 100, 101, 500):
+        recent = trail.read_recent_from_table(spark, folder, limit)
+        expected = newest(events_of(spark, rows), limit)
+        assert sorted(map(str, recent.collect())) == sorted(map(str, expected.collect()))
+    few = trail.read_recent_from_table(spark, folder, 3)
+    assert few.first()["event_id"] == "e0099"
+    assert "PartitionFilters: [isnotnull(event_date#" in plan(few)
+    assert ">= 2024-01-05)]" in plan(few)
+
+
 def test_log_lines_are_json(spark, folder):
     trail.append_log_lines(events_of(spark, [event(1, reason='"q"\n')]), folder, "b")
     lines = [r["value"] for r in spark.read.text(folder).collect()]
