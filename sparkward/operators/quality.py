@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +46,7 @@ def _measure_days(dated: DataFrame, group: Sequence[CheckSpec]) -> DataFrame:
     return daily.select("table", "check_type", "column", "day", "metric_value")
 
 
-def _series() -> Window:
+def _series() -> WindowSpec:
     return Window.partitionBy("table", "check_type", "column").orderBy("day")
 
 
@@ -94,6 +94,43 @@ def anomalies(
 
 # --- profiles ---------------------------------------------------------------
 
+_ORDERED_TYPES = (
+    T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType,
+)
+
+
+def _column_profile(
+    name: str, data_type: T.DataType, sketch: bool, percentiles: Sequence[float]
+) -> Column:
+    """One profile row; values a type does not have are null."""
+    column = F.col(f"`{name}`")
+    ordered = isinstance(data_type, _ORDERED_TYPES)
+    numeric = isinstance(data_type, T.NumericType)
+
+    def value(has: bool, aggregate: Callable[[Column], Column], kind: str, alias: str) -> Column:
+        return (aggregate(column) if has else F.lit(None)).cast(kind).alias(alias)
+
+    fields = [
+        F.lit(name).alias("column"),
+        F.lit(data_type.simpleString()).alias("data_type"),
+        F.count(F.lit(1)).alias("rows"),
+        (F.count(F.lit(1)) - F.count(column)).alias("nulls"),
+        value(ordered, F.min, "string", "min_value"),
+        value(ordered, F.max, "string", "max_value"),
+        value(numeric, F.avg, "double", "mean_value"),
+        value(ordered and sketch, F.approx_count_distinct, "long", "distinct_values"),
+    ]
+    if percentiles:
+        fields.append(
+            value(
+                numeric,
+                lambda c: F.percentile_approx(c, list(percentiles)),
+                "array<double>",
+                "percentiles",
+            )
+        )
+    return F.struct(*fields)
+
 
 def profile(
     df: DataFrame,
@@ -110,56 +147,22 @@ def profile(
     """
     if distinct not in ("approximate", "exact", "none"):
         raise ValueError(f"Unknown distinct {distinct!r}")
-    names = list(columns or df.columns)
-    wide: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    rows = []
-    for i, name in enumerate(names):
-        data_type = df.schema[name].dataType
-        numeric = isinstance(data_type, T.NumericType)
-        ordered = numeric or isinstance(
-            data_type, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
-        )
-        column = F.col(f"`{name}`")
-        wide.append(F.count(column).alias(f"count_{i}"))
-        if ordered:
-            wide += [F.min(column).alias(f"min_{i}"), F.max(column).alias(f"max_{i}")]
-        if numeric:
-            wide.append(F.avg(column).alias(f"mean_{i}"))
-            if percentiles:
-                wide.append(F.percentile_approx(column, list(percentiles)).alias(f"perc_{i}"))
-        if distinct == "approximate" and ordered:
-            wide.append(F.approx_count_distinct(column).alias(f"distinct_{i}"))
-        sketched = distinct == "approximate" and ordered
-
-        def part(stem: str, there: bool, kind: str, i: int = i) -> Column:
-            return (F.col(f"{stem}_{i}") if there else F.lit(None)).cast(kind)
-
-        fields = [
-            F.lit(name).alias("column"),
-            F.lit(data_type.simpleString()).alias("data_type"),
-            F.col("rows"),
-            (F.col("rows") - F.col(f"count_{i}")).alias("nulls"),
-            part("min", ordered, "string").alias("min_value"),
-            part("max", ordered, "string").alias("max_value"),
-            part("mean", numeric, "double").alias("mean_value"),
-            part("distinct", sketched, "long").alias("distinct_values"),
-        ]
-        if percentiles:
-            fields.append(
-                part("perc", numeric, "array<double>").alias("percentiles")
-            )
-        rows.append(F.struct(*fields))
-    profiled = df.agg(*wide).select(F.inline(F.array(*rows)))
+    types = {name: df.schema[name].dataType for name in columns or df.columns}
+    rows = [
+        _column_profile(name, data_type, distinct == "approximate", percentiles)
+        for name, data_type in types.items()
+    ]
+    profiled = df.agg(F.inline(F.array(*rows)))
     if distinct != "exact":
         return profiled
     counts = reduce(
-        DataFrame.unionByName,
+        DataFrame.union,
         [
             df.agg(F.count_distinct(F.col(f"`{name}`")).alias("exact_values")).select(
                 F.lit(name).alias("column"), "exact_values"
             )
-            for name in names
-            if not isinstance(df.schema[name].dataType, T.MapType)
+            for name, data_type in types.items()
+            if isinstance(data_type, _ORDERED_TYPES)
         ],
     )
     return (
@@ -289,6 +292,32 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(kept).select(*keys, "kept.*").select(*df.columns)
 
 
+def surplus_copies(
+    df: DataFrame, keys: Sequence[str], order: str, slices: int = 16
+) -> DataFrame:
+    """The rows ``keep_first`` leaves out, with the ``order`` of the one it keeps.
+
+    Rows are matched with their key's first row in ``slices`` slices per key, so
+    that a key with a third of all rows is spread over many tasks; only keys
+    that do occur more than once are copied per slice. ``order`` must be unique
+    and not null.
+    """
+    firsts = (
+        df.groupBy(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)])
+        .agg(F.min(order).alias("kept"), F.count(F.lit(1)).alias("_copies"))
+        .where(F.col("_copies") > 1)
+        .withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        .drop("_copies")
+    )
+    rows = df.withColumn("_slice", F.pmod(F.xxhash64(order), F.lit(slices)).cast("int"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    return (
+        rows.join(firsts, [*same, F.col("_slice") == F.col("_of")])
+        .where(F.col(order) != F.col("kept"))
+        .select(*df.columns, "kept")
+    )
+
+
 # --- reports ----------------------------------------------------------------
 
 

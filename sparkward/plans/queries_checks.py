@@ -378,6 +378,16 @@ SELECT doc_id, lang, source FROM documents
 QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
 
 
+def _surplus_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.surplus_copies(documents, ["text"], "doc_id").select("doc_id", "lang", "kept")
+
+
+_SURPLUS_COPIES_SQL = """
+SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY text) AS kept FROM documents
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1"""
+
+
 def _exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.exception_summary(_flagship(spark, sf_dir))
 
@@ -538,6 +548,7 @@ QUERIES = {
     "quality_contract_rows": (_contract_rows, _CONTRACT_ROWS_SQL),
     "quality_duplicates": (_duplicates, _DUPLICATES_SQL),
     "quality_keep_first": (_keep_first, _KEEP_FIRST_SQL),
+    "quality_surplus_copies": (_surplus_copies, _SURPLUS_COPIES_SQL),
     "quality_exceptions": (_exceptions, _EXCEPTIONS_SQL),
     "quality_playbook": (_playbook, _PLAYBOOK_SQL),
     "mask_columns": (_mask, _MASK_SQL),
