@@ -164,7 +164,7 @@ def test_surplus_copies_are_what_is_left_out(spark):
     df = spark.range(3000).select(
         F.col("id"),
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, F.lit(None))
-        .otherwise(F.col("id") % 1500).cast("string").alias("key"),
+        .otherwise((F.col("id") % 1500).cast("string")).alias("key"),
         (F.col("id") % 2).alias("part"),
     )
     left_out = quality.surplus_copies(df, ["key", "part"], "id")
