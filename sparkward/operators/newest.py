@@ -39,18 +39,15 @@ def newest(
 ) -> DataFrame:
     """The ``limit`` newest events by ``(time, key)``, nulls last.
 
-    A few are found by Spark's top-N, some by ranking slices of the input and
-    then the best of each. For more, the time of the oldest event to keep is
-    narrowed down by counting events per span of time, which reads nothing but
-    the times; the result is then a filter on the time, which skips older files,
-    and a ranking of the few events in the last span.
+    A few are found by Spark's top-N. For more, the time of the oldest event to
+    keep is narrowed down by counting events per span of time, which reads
+    nothing but the times; the result is then a filter on the time, which skips
+    older files, and a ranking of the few events in the last span.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
     if limit <= direct_rows:
         return events.orderBy(*_order(time, key)).limit(limit)
-    if limit <= _group_limit_threshold(events):
-        return newest_per_key(events, [], limit, time=time, key=key)
     return _newest_by_time(events, limit, time, key, ranked_rows)
 
 
@@ -110,10 +107,6 @@ def _newest_by_time(
     return reduce(DataFrame.unionByName, [*kept, within])
 
 
-def _group_limit_threshold(events: DataFrame) -> int:
-    return int(events.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-
-
 def newest_per_key(
     events: DataFrame,
     keys: list[str],
@@ -123,7 +116,7 @@ def newest_per_key(
     key: str = "event_id",
     slices: int | None = None,
 ) -> DataFrame:
-    """The ``limit`` newest events of each key (of all events, without keys).
+    """The ``limit`` newest events of each key.
 
     Ranked twice: within slices of each key, then among the survivors, so that
     a key with a third of all events is spread over many tasks. A slice is made
@@ -131,9 +124,10 @@ def newest_per_key(
     therefore sends at most ``limit`` events per key into the first shuffle. The
     outcome does not depend on how the slices fall.
     """
+    conf = events.sparkSession.conf
     if slices is None:
-        slices = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        if limit <= _group_limit_threshold(events):
+        slices = int(conf.get("spark.sql.shuffle.partitions"))
+        if limit <= int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
             # Both rankings then see about equally many events of one key.
             slices = max(8, isqrt(slices))
     sliced = events.withColumn("_slice", F.spark_partition_id() % F.lit(slices))

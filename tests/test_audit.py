@@ -184,27 +184,26 @@ def skewed(spark, kind):
 
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
 @pytest.mark.parametrize("limit", [0, 1, 7, 150, 400, 500, 700, 900, 901, 902, 903, 5000])
-def test_large_limits_equal_a_sort(spark, conf, kind, limit):
+def test_large_limits_equal_a_sort(spark, kind, limit):
     df = skewed(spark, kind)
     expected = df.orderBy(F.desc_nulls_last("timestamp"), F.desc_nulls_last("event_id")).limit(limit)
     rows = sorted(map(str, expected.collect()))
     assert sorted(map(str, newest(df, limit).collect())) == rows
-    conf("spark.sql.optimizer.windowGroupLimitThreshold", "0")
     for ranked in (1, 20):
         got = newest(df, limit, direct_rows=0, ranked_rows=ranked)
         assert sorted(map(str, got.collect())) == rows
 
 
-def test_a_large_limit_skips_older_files(spark, conf, folder):
+def test_a_large_limit_skips_older_files(spark, folder):
     df = skewed(spark, "timestamp")
     df.write.parquet(folder)
-    conf("spark.sql.optimizer.windowGroupLimitThreshold", "0")
     text = plan(newest(spark.read.parquet(folder), 200, ranked_rows=1))
     assert "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual(timestamp," in text
 
 
 @pytest.mark.parametrize("limit", [1, 5, 300, 2000])
-def test_newest_per_key_equals_a_ranking(spark, limit):
+@pytest.mark.parametrize("slices", [1, 3, None])
+def test_newest_per_key_equals_a_ranking(spark, limit, slices):
     df = skewed(spark, "timestamp")
     df.createOrReplaceTempView("skewed_events")
     expected = spark.sql(
@@ -212,7 +211,7 @@ def test_newest_per_key_equals_a_ranking(spark, limit):
         "ORDER BY timestamp DESC NULLS LAST, event_id DESC NULLS LAST) AS r FROM skewed_events) "
         f"WHERE r <= {limit}"
     )
-    got = newest_per_key(df, ["actor"], limit, slices=8)
+    got = newest_per_key(df, ["actor"], limit, slices=slices)
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
 
 
