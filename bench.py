@@ -27,12 +27,12 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = [
     "dq_suite", "dq_fused", "dq_many_distinct", "dq_verdict",
     "policy_decision", "policy_read_only", "policy_allow_list",
-    "audit_events", "audit_recent", "audit_retention_per_actor", "audit_table",
-    "audit_stream_windows",
+    "audit_events", "audit_recent", "audit_retention", "audit_retention_per_actor",
+    "audit_table", "audit_table_recent", "audit_stream_windows",
     "governed_query", "governed_join", "governed_rollup", "governed_window",
     "objects_list", "runs_status", "runs_service_levels",
     "quality_trend", "quality_anomaly", "quality_profile", "quality_contract_rows",
-    "quality_duplicates", "quality_keep_first",
+    "quality_duplicates", "quality_keep_first", "quality_surplus_copies",
     "mask_columns", "incremental_load", "key_skew",
 ]
 

@@ -28,6 +28,24 @@ from sparkward.functions.text import quoted, quoted_names
 # for allow-lists that are tables.
 MAX_WILDCARD_PATTERNS = 1_000
 
+# The reasons, in the order they are tested.
+EMPTY = "Empty query"
+NO_WORDS = "No SQL tokens found"
+WRONG_START = "Statement must start with SELECT or WITH, found '%s'"
+FORBIDDEN = "Forbidden keyword(s) present: %s"
+SEVERAL = "Multiple statements are not permitted"
+READ_ONLY = "Statement is read-only"
+NAMES_OFF_LIST = "Table(s) %s are not in the allow-list (preflight check)"
+NO_TABLE = "Query does not reference any resolvable table"
+TABLE_OFF_LIST = "Table %s is not in the allow-list"
+TOO_LARGE = "Estimated %s bytes exceeds ceiling of %s"
+PASSED = "Query passed all guardrails"
+ACCESS_DENIED = "%s %s is not in the allow-list"
+ACCESS_ALLOWED = "%s is allow-listed"
+
+# Of this library alone: a request whose scan nobody estimated.
+NOT_ESTIMATED = "Query has no estimate of the bytes scanned"
+
 PATTERN_SCHEMA = T.StructType([T.StructField("pattern", T.StringType(), False)])
 
 PREFLIGHT, AUTHORIZE = "preflight", "authorize"
@@ -81,26 +99,18 @@ def classify_sql(
     )
     first = F.get(F.col("words"), F.lit(0))
     refusal = (
-        F.when(F.col("cleaned") == "", F.lit("Empty query"))
-        .when(F.size("words") == 0, F.lit("No SQL tokens found"))
-        .when(
-            ~first.isin(LEADING_WORDS),
-            F.concat(
-                F.lit("Statement must start with SELECT or WITH, found '"), first, F.lit("'")
-            ),
-        )
+        F.when(F.col("cleaned") == "", F.lit(EMPTY))
+        .when(F.size("words") == 0, F.lit(NO_WORDS))
+        .when(~first.isin(LEADING_WORDS), F.format_string(WRONG_START, first))
         .when(
-            F.size("forbidden") > 0,
-            F.concat(F.lit("Forbidden keyword(s) present: "), quoted_names(F.col("forbidden"))),
-        )
-        .when(
-            has_more_statements(F.col("cleaned")), F.lit("Multiple statements are not permitted")
+            F.size("forbidden") > 0, F.format_string(FORBIDDEN, quoted_names(F.col("forbidden")))
         )
+        .when(has_more_statements(F.col("cleaned")), F.lit(SEVERAL))
     )
     return (
         steps.withColumn("refusal", refusal)
         .withColumn("read_only", F.col("refusal").isNull())
-        .withColumn("sql_reason", F.coalesce("refusal", F.lit("Statement is read-only")))
+        .withColumn("sql_reason", F.coalesce("refusal", F.lit(READ_ONLY)))
         .drop("refusal")
     )
 
@@ -121,11 +131,7 @@ def _with_preflight(classified: DataFrame, policy: Policy) -> DataFrame:
     )
     off_list = F.when(
         _unless_empty(F.col("off_list")),
-        F.concat(
-            F.lit("Table(s) "),
-            quoted_names(F.col("off_list")),
-            F.lit(" are not in the allow-list (preflight check)"),
-        ),
+        F.format_string(NAMES_OFF_LIST, quoted_names(F.col("off_list"))),
     )
     return named.withColumn("preflight_reason", F.coalesce(_read_only_refusal(policy), off_list))
 
@@ -136,23 +142,13 @@ def _with_refusal(judged: DataFrame, policy: Policy) -> DataFrame:
     first, estimated = F.col("first_off_list"), F.col("estimated_bytes")
     refusal = F.coalesce(
         _read_only_refusal(policy),
-        F.when(
-            ~_unless_empty(F.col("referenced_tables")),
-            F.lit("Query does not reference any resolvable table"),
-        ),
-        F.when(
-            first.isNotNull(),
-            F.concat(F.lit("Table "), quoted(first), F.lit(" is not in the allow-list")),
-        ),
+        F.when(~_unless_empty(F.col("referenced_tables")), F.lit(NO_TABLE)),
+        F.when(first.isNotNull(), F.format_string(TABLE_OFF_LIST, quoted(first))),
         F.when(
             estimated > policy.max_bytes,
-            F.concat(
-                F.lit("Estimated "),
-                estimated.cast("string"),
-                F.lit(f" bytes exceeds ceiling of {policy.max_bytes}"),
-            ),
+            F.format_string(TOO_LARGE, estimated.cast("string"), F.lit(str(policy.max_bytes))),
         ),
-        F.when(estimated.isNull(), F.lit("Query has no estimate of the bytes scanned")),
+        F.when(estimated.isNull(), F.lit(NOT_ESTIMATED)),
     )
     # A name that is null can be matched by no pattern either.
     first_off_list = F.get(F.transform(off_list, lambda n: F.coalesce(n, F.lit(""))), F.lit(0))
@@ -234,32 +230,25 @@ def authorize(
     )
 
 
-def _decision(judged: DataFrame) -> DataFrame:
+def _decision(judged: DataFrame, passed: str = PASSED) -> DataFrame:
     allowed = F.col("refusal").isNull()
     return judged.withColumns(
         {
             "allowed": allowed,
             "decision": F.when(allowed, F.lit("allowed")).otherwise(F.lit("denied")),
-            "reason": F.coalesce("refusal", F.lit("Query passed all guardrails")),
+            "reason": F.coalesce("refusal", F.lit(passed)),
         }
     ).drop("refusal")
 
 
-def _decide_access(requests: DataFrame, column: str, patterns: Sequence[str], noun: str):
-    allowed = matches_any(F.col(column), patterns)
-    denied_reason = F.concat(
-        F.lit(f"{noun} "),
-        quoted(F.coalesce(F.col(column), F.lit(""))),
-        F.lit(" is not in the allow-list"),
-    )
-    return requests.withColumn("allowed", allowed).withColumns(
-        {
-            "decision": F.when(F.col("allowed"), F.lit("allowed")).otherwise(F.lit("denied")),
-            "reason": F.when(F.col("allowed"), F.lit(f"{noun} is allow-listed")).otherwise(
-                denied_reason
-            ),
-        }
+def _decide_access(
+    requests: DataFrame, column: str, patterns: Sequence[str], noun: str
+) -> DataFrame:
+    asked = quoted(F.coalesce(F.col(column), F.lit("")))
+    denied = F.when(
+        ~matches_any(F.col(column), patterns), F.format_string(ACCESS_DENIED, F.lit(noun), asked)
     )
+    return _decision(requests.withColumn("refusal", denied), ACCESS_ALLOWED % noun)
 
 
 def decide_buckets(requests: DataFrame, policy: Policy, column: str = "bucket") -> DataFrame:
