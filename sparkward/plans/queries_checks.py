@@ -200,6 +200,14 @@ def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.trend(events, "ts", parse_checks(_TREND_CHECKS))
 
 
+def _day_as_text(trends: DataFrame) -> DataFrame:
+    return trends.withColumn("day", F.col("day").cast("string"))
+
+
+def _trend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _day_as_text(_trend(spark, sf_dir))
+
+
 def _trend_sql(specs: list[CheckSpec]) -> str:
     parts = []
     for spec in specs:
@@ -209,7 +217,7 @@ def _trend_sql(specs: list[CheckSpec]) -> str:
         column = f"'{spec.column}'" if spec.column else "NULL::VARCHAR"
         parts.append(
             f"SELECT '{spec.table}' AS \"table\", '{spec.check_type}' AS check_type, "
-            f'{column} AS "column", CAST(ts AS DATE) AS day, '
+            f'{column} AS "column", CAST(CAST(ts AS DATE) AS VARCHAR) AS day, '
             f"{metric.format(c=spec.column)} AS metric_value "
             f"FROM ({_SPARSE_SQL}) AS s GROUP BY CAST(ts AS DATE)"
         )
@@ -221,7 +229,7 @@ _SERIES_SQL = 'PARTITION BY "table", check_type, "column" ORDER BY day'
 
 
 def _null_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.null_drift(_trend(spark, sf_dir), 0.02).withColumns(
+    return _day_as_text(quality.null_drift(_trend(spark, sf_dir), 0.02)).withColumns(
         {name: F.round(name, 9) for name in ("metric_value", "previous", "change")}
     )
 
@@ -237,7 +245,8 @@ FROM d"""
 
 
 def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.anomalies(_trend(spark, sf_dir), window=7, min_points=3, max_score=2.0).select(
+    scored = quality.anomalies(_trend(spark, sf_dir), window=7, min_points=3, max_score=2.0)
+    return _day_as_text(scored).select(
         "table", "check_type", "column", "day", "points", "anomalous",
         F.round("score", 6).alias("score"),
     )
@@ -471,7 +480,10 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.col("o_orderkey").alias("order_id"))
     )
     source = table(spark, sf_dir, "lineitem")
-    return loads.incremental_load(source, loaded, _LOAD_MAPPING, ["order_id"], _LOAD_ORDER)
+    rows = loads.incremental_load(source, loaded, _LOAD_MAPPING, ["order_id"], _LOAD_ORDER)
+    return rows.withColumns(
+        {"shipped_on": F.col("shipped_on").cast("string"), "amount": F.col("amount").cast("double")}
+    )
 
 
 _INCREMENTAL_SQL = """
@@ -480,7 +492,9 @@ WITH m AS (SELECT l_orderkey AS order_id, l_linenumber::BIGINT AS line,
                   l_partkey AS part_id, l_suppkey AS supplier_id FROM lineitem),
 latest AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY order_id
            ORDER BY shipped_on DESC, line DESC, part_id DESC, supplier_id DESC, amount DESC) = 1)
-SELECT * FROM latest WHERE order_id NOT IN
+SELECT order_id, line, shipped_on::VARCHAR AS shipped_on, amount::DOUBLE AS amount, part_id,
+       supplier_id
+FROM latest WHERE order_id NOT IN
   (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"""
 
 
@@ -538,7 +552,7 @@ QUERIES = {
         f'SELECT "table", {_VERDICT_COLUMNS} FROM ({_flagship_sql}) AS r GROUP BY "table"',
     ),
     "dq_report": (_report, _REPORT_SQL),
-    "quality_trend": (_trend, _TREND_SQL),
+    "quality_trend": (_trend_rows, _TREND_SQL),
     "quality_null_drift": (_null_drift, _NULL_DRIFT_SQL),
     "quality_anomaly": (_anomalies, _ANOMALY_SQL),
     "quality_profile": (_profile, _profile_sql()),

@@ -68,7 +68,7 @@ _LARGE_LINES = (
 )
 
 _JOIN = """
-SELECT r_name, n_name, count(*) AS line_count, sum(CAST(l_quantity AS BIGINT)) AS quantity,
+SELECT r_name, n_name, count(*) AS line_count, CAST(sum(l_quantity) AS BIGINT) AS quantity,
        round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 JOIN {customer} ON o_custkey = c_custkey
@@ -94,8 +94,8 @@ WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_partkey = p.p_partkey
 GROUP BY p_brand"""
 
 _ROLLUP = """
-SELECT l_returnflag, l_linestatus, grouping(l_returnflag) + grouping(l_linestatus) AS level,
-       count(*) AS line_count, count(DISTINCT l_suppkey) AS suppliers,
+SELECT l_returnflag, l_linestatus,
+       CAST(grouping(l_returnflag) + grouping(l_linestatus) AS BIGINT) AS level, count(*) AS line_count, count(DISTINCT l_suppkey) AS suppliers,
        round(avg(l_discount), 6) AS discount, max(l_shipdate) AS last_shipped
 FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)"""
 
@@ -105,7 +105,7 @@ SELECT o_orderstatus, o_orderpriority, count(*) AS order_count,
 FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)"""
 
 _WINDOW = """
-SELECT o_custkey, o_orderkey, price_rank, round(running, 2) AS running,
+SELECT o_custkey, o_orderkey, CAST(price_rank AS BIGINT) AS price_rank, round(running, 2) AS running,
        round(before, 2) AS before
 FROM (SELECT o_custkey, o_orderkey,
              row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)
@@ -126,14 +126,14 @@ ORDER BY id"""
 
 _FUNCTIONS = """
 SELECT event_type, upper(substr(event_type, 1, 3)) AS code, count(*) AS event_count,
-       max(length(props)) AS longest, round(sum(sqrt(abs(value))), 4) AS roots,
-       sum(CAST(floor(value) AS BIGINT)) AS floors,
+       CAST(max(length(props)) AS BIGINT) AS longest, round(sum(sqrt(abs(value))), 4) AS roots,
+       CAST(sum(floor(value)) AS BIGINT) AS floors,
        count(DISTINCT CASE WHEN value > 10 THEN user_id END) AS users,
        min(coalesce(nullif(event_type, 'view'), 'seen')) AS label
 FROM {events} GROUP BY event_type"""
 
 _ARRAYS = """
-SELECT label, count(*) AS vectors, min(cardinality(embedding)) AS dimensions,
+SELECT label, count(*) AS vectors, CAST(min(cardinality(embedding)) AS BIGINT) AS dimensions,
        round(sum(CAST(embedding[{first}] AS DOUBLE)), 4) AS first_sum
 FROM {embeddings} GROUP BY label"""
 

@@ -389,14 +389,14 @@ def _audit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         trail.append_table(events, path, "log")
     return (
         trail.read_table(spark, path)
-        .groupBy("event_date", "decision")
+        .groupBy(F.col("event_date").cast("string").alias("event_date"), "decision")
         .agg(F.count(F.lit(1)).alias("events"))
     )
 
 
 _AUDIT_TABLE_SQL = _with(
     _EVENTS_CTES,
-    'SELECT "timestamp"::DATE AS event_date, decision, count(*)::BIGINT AS events '
+    'SELECT "timestamp"::DATE::VARCHAR AS event_date, decision, count(*)::BIGINT AS events '
     "FROM events_out GROUP BY ALL",
 )
 
