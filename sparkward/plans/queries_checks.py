@@ -14,7 +14,9 @@ from sparkward.plans.derived import (
     labelled_documents,
     table,
 )
+from sparkward.session import shared_dir
 from sparkward.sources.specs import CheckSpec, parse_checks
+from sparkward.streaming import monitor
 
 # How each metric and each detail text is computed in plain SQL.
 _METRIC_SQL = {
@@ -266,6 +268,40 @@ SELECT "table", check_type, "column", day, points::BIGINT AS points,
        CASE WHEN enough AND NOT steady THEN round(raw, 6) END AS score
 FROM s"""
 
+
+def _stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts and null rates per six hours of the events as a stream."""
+    schema = table(spark, sf_dir, "events").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    events = reader.parquet(sf_dir).selectExpr(
+        "CAST(ts AS TIMESTAMP) AS ts", f"{_SPARSE} AS value", "user_id"
+    )
+    windows = monitor.metric_windows(events, "ts", ["value", "user_id"], window="6 hours")
+    out = shared_dir(spark, "metric-windows")
+    monitor.run_to_files(windows, out, shared_dir(spark, "metric-state")).awaitTermination()
+    return (
+        spark.read.schema(windows.schema)
+        .parquet(out)
+        .withColumns(
+            {
+                "window_start": F.col("window_start").cast("timestamp_ntz"),
+                "window_end": F.col("window_end").cast("timestamp_ntz"),
+                "null_rate_value": F.round("null_rate_value", 9),
+            }
+        )
+    )
+
+
+_STREAM_WINDOWS_SQL = f"""
+WITH s AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, {_SPARSE} AS value, user_id
+           FROM events),
+seen AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 MINUTE AS watermark FROM events)
+SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, count(*)::BIGINT AS rows,
+       round((count(*) - count(value))::DOUBLE / count(*), 9) AS null_rate_value,
+       (count(*) - count(user_id))::DOUBLE / count(*) AS null_rate_user_id
+FROM s WHERE window_start + INTERVAL 6 HOUR <= (SELECT watermark FROM seen)
+GROUP BY window_start"""
+
 # --- profiles, contracts, duplicates, reports --------------------------------
 
 _PROFILED = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double"}
@@ -553,6 +589,7 @@ QUERIES = {
     ),
     "dq_report": (_report, _REPORT_SQL),
     "quality_trend": (_trend_rows, _TREND_SQL),
+    "quality_stream_windows": (_stream_windows, _STREAM_WINDOWS_SQL),
     "quality_null_drift": (_null_drift, _NULL_DRIFT_SQL),
     "quality_anomaly": (_anomalies, _ANOMALY_SQL),
     "quality_profile": (_profile, _profile_sql()),

@@ -99,6 +99,37 @@ SELECT l_returnflag, l_linestatus,
        round(avg(l_discount), 6) AS discount, max(l_shipdate) AS last_shipped
 FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)"""
 
+_FULL_JOIN = """
+SELECT coalesce(s.region, c.region) AS region, suppliers, customers, balance
+FROM (SELECT n_regionkey AS region, count(*) AS suppliers
+      FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+      WHERE s_acctbal > 5000 GROUP BY n_regionkey) AS s
+FULL OUTER JOIN (SELECT n_regionkey AS region, count(*) AS customers,
+                        round(sum(c_acctbal), 2) AS balance
+                 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+                 WHERE c_mktsegment = 'BUILDING' GROUP BY n_regionkey) AS c
+ON s.region = c.region"""
+
+_GROUPING_SETS = """
+SELECT p_brand, p_size, count(*) AS parts, round(avg(p_retailprice), 6) AS price,
+       CAST(grouping(p_brand) * 2 + grouping(p_size) AS BIGINT) AS level
+FROM {part} GROUP BY GROUPING SETS ((p_brand), (p_size), ())"""
+
+_SETOP_ALL = """
+SELECT o_orderstatus AS code, count(*) AS n FROM (
+  SELECT o_orderstatus FROM {orders}
+  UNION ALL SELECT l_linestatus FROM {lineitem}
+  EXCEPT ALL SELECT l_returnflag FROM {lineitem}) AS codes
+GROUP BY o_orderstatus"""
+
+# A CTE's name would count as a table that is not on the list.
+_SUBQUERY = """
+SELECT c_mktsegment, count(*) AS customers, round(max(total), 2) AS largest
+FROM {customer} JOIN (SELECT o_custkey, sum(o_totalprice) AS total FROM {orders}
+                      GROUP BY o_custkey) AS spending ON c_custkey = o_custkey
+WHERE total > (SELECT 20 * avg(o_totalprice) FROM {orders} WHERE o_orderstatus = 'F')
+GROUP BY c_mktsegment"""
+
 _CUBE = """
 SELECT o_orderstatus, o_orderpriority, count(*) AS order_count,
        round(sum(o_totalprice), 2) AS total
@@ -277,6 +308,10 @@ QUERIES = {
     ),
     "governed_join": _governed(_JOIN),
     "governed_outer_join": _governed(_OUTER_JOIN),
+    "governed_full_join": _governed(_FULL_JOIN),
+    "governed_grouping_sets": _governed(_GROUPING_SETS),
+    "governed_setop_all": _governed(_SETOP_ALL),
+    "governed_subquery": _governed(_SUBQUERY),
     "governed_semi_join": _governed(_SEMI_JOIN),
     "governed_anti_join": _governed(_ANTI_JOIN),
     "governed_rollup": _governed(_ROLLUP),
