@@ -60,6 +60,8 @@ def open_session(
         df = session.read.parquet(source) if isinstance(source, str) else source(session)
         df.select("*").createOrReplaceTempView(f"`{name}`")
     session.conf.set("spark.sql.runSQLOnFiles", "false")
+    # Plans are read in full before a statement runs.
+    session.conf.set("spark.sql.debug.maxToStringFields", str(2**31 - 1))
     return session
 
 

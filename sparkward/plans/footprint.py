@@ -38,6 +38,13 @@ _REFUSED = re.compile(
     r"\w*Command|InsertInto\w*|\w+Into\w*Statement|AppendData|Overwrite\w+|ReplaceData|WriteDelta"
     r"|DeleteFrom\w+|Update\w+|Merge\w+|CreateTable\w*|ReplaceTable\w*|ScriptTransformation"
 )
+# However the name was written in the statement.
+_JVM_CALL = re.compile(r"(?i)\b(?:(?:try_)?reflect|java_method)\(")
+
+_ALL_TITLES = [
+    "Parsed Logical Plan", "Analyzed Logical Plan", "Optimized Logical Plan", "Physical Plan",
+]
+
 _FORMATS = {"parquet", "orc", "json", "csv", "text", "avro", "binaryFile"}
 
 
@@ -72,16 +79,21 @@ def cost_usd(scanned_bytes: Column) -> Column:
     return F.bround(scanned_bytes / F.lit(_TIB) * F.lit(PRICE_PER_TIB), 6)
 
 
-def _explain(session: SparkSession, kind: str, sql: str) -> str:
+def _sections(session: SparkSession, kind: str, sql: str, titles: list[str]) -> list[list[str]]:
+    """Lines of the sections of a plan, in order; the last title only ends one.
+
+    A string or a name in the statement may hold any text, a whole plan
+    included. It can add lines, and with them tables and bytes, but it cannot
+    take a line away or move a section: a title that occurs twice is refused.
+    """
     text = session.sql(f"EXPLAIN {kind} {sql}").first()[0]
-    if "AnalysisException" in text.split("\n", 1)[0] or "== Physical Plan ==" not in text:
+    marks = [f"== {title} ==" for title in titles]
+    if any(text.count(mark) != 1 for mark in marks):
         raise NotEstimable(text.strip().split("\n", 1)[0])
-    return text
-
-
-def _section(text: str, title: str) -> list[str]:
-    after = text.split(f"== {title} ==\n", 1)[1]
-    return after.split("\n\n== ", 1)[0].split("\n")
+    found = []
+    for mark, following in zip(marks, marks[1:]):
+        found.append(text.split(mark, 1)[1].split(following, 1)[0].strip("\n").split("\n"))
+    return found
 
 
 def _plain(name: str) -> str:
@@ -90,12 +102,16 @@ def _plain(name: str) -> str:
 
 def estimate(session: SparkSession, sql: str) -> Footprint:
     """Footprint of a statement in a session, without running it."""
-    analyzed = _section(_explain(session, "EXTENDED", sql), "Analyzed Logical Plan")
-    optimized = _section(_explain(session, "COST", sql), "Optimized Logical Plan")
+    _, analyzed, _ = _sections(session, "EXTENDED", sql, _ALL_TITLES)
+    (optimized,) = _sections(session, "COST", sql, _ALL_TITLES[2:])
+    if "AnalysisException" in analyzed[0]:
+        raise NotEstimable(analyzed[0])
     root = _NODE.match(optimized[0])
     nodes = [found.group(1) for found in map(_NODE.match, analyzed + optimized) if found]
     if root is None or root.group(1) not in _QUERY_ROOTS or any(map(_REFUSED.fullmatch, nodes)):
         raise NotEstimable("Statement is not a plain query")
+    if any(map(_JVM_CALL.search, analyzed + optimized)):
+        raise NotEstimable("Statement calls a method of the JVM")
     tables: dict[str, None] = {}
     for line in analyzed:
         found = _VIEW.match(line)

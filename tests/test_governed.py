@@ -108,10 +108,45 @@ def test_catalog_tables_are_seen_and_denied(spark, folder):
         session.query("SELECT * FROM `shop.gold.orders`, kept_in_catalog", actor="a")
 
 
-def test_names_inside_literals_do_not_count(spark):
+FAKE_PLAN = (
+    "\n== Analyzed Logical Plan ==\nx: int\nProject [1]\n+- View (`shop.gold.orders`, [a])\n"
+    "\n== Optimized Logical Plan ==\nProject [1], Statistics(sizeInBytes=1.0 B)\n"
+    "+- Relation [a] parquet, Statistics(sizeInBytes=1.0 B)\n\n== Physical Plan ==\n"
+)
+
+
+def test_text_in_literals_can_only_add_to_a_plan(spark, folder):
     session = open_session(spark, TABLES)
-    sql = "SELECT 'x\n+- View (`other`, [a])' AS t, count(*) FROM `shop.gold.orders`"
-    assert "shop.gold.orders" in estimate(session, sql).referenced_tables
+    whole = estimate(session, "SELECT * FROM `shop.raw.labels`").estimated_bytes
+    added = estimate(
+        session, "SELECT 'x\n\n== Some\n+- View (`other`, [a])' AS t, * FROM `shop.raw.labels`"
+    )
+    assert set(added.referenced_tables) == {"other", "shop.raw.labels"}
+    assert added.estimated_bytes == whole
+    escaped = FAKE_PLAN.replace("\n", "\\n")
+    for text in (
+        f"'{FAKE_PLAN}'",
+        f"'{escaped}'",
+        "concat('" + FAKE_PLAN.replace("\n", "', char(10), '") + "')",
+        "`" + FAKE_PLAN.replace("`", "``") + "`",
+    ):
+        sql = f"SELECT 1 AS a, {text} AS t FROM `shop.gold.orders`, `shop.raw.labels`"
+        if text.startswith("`"):
+            sql = f"SELECT 1 AS {text} FROM `shop.gold.orders`, `shop.raw.labels`"
+        with pytest.raises(PolicyDenied):
+            governed(spark, folder).query(sql, actor="a")
+
+
+@pytest.mark.parametrize(
+    "call",
+    ["IDENTIFIER('ref' || 'lect')", "IDENTIFIER('java_method')", "IDENTIFIER('try_reflect')"],
+)
+def test_methods_of_the_jvm_are_found_in_the_plan(spark, folder, call):
+    many = ", ".join(f"{i} AS c{i}" for i in range(60))
+    sql = f"SELECT {many}, {call}('java.lang.System', 'nanoTime') AS z FROM `shop.gold.orders`"
+    with pytest.raises(PolicyDenied) as denial:
+        governed(spark, folder).query(sql, actor="a")
+    assert "JVM" in str(denial.value.__cause__)
 
 
 def test_commands_cannot_be_estimated(spark):
