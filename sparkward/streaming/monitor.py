@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkward.operators.audit import AUDIT_SCHEMA
-from sparkward.sources.trail import append_table
+from sparkward.operators.audit import AUDIT_SCHEMA, log_lines
+from sparkward.sources.trail import append_events, append_table
 
 
 def read_events_stream(
@@ -83,18 +85,38 @@ def run_to_files(results: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
-def stream_to_table(events: DataFrame, path: str, checkpoint: str, name: str) -> StreamingQuery:
-    """Copy a stream of events into the Parquet audit table.
-
-    A micro-batch that is run again after a failure replaces its own files.
-    """
+def _in_batches(
+    events: DataFrame, write: Callable[[DataFrame, str], None], checkpoint: str, name: str
+) -> StreamingQuery:
+    """Hand each micro-batch to ``write`` under a name it keeps when it is run again."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        append_table(batch, path, f"{name}-{batch_id}")
+    def run(batch: DataFrame, batch_id: int) -> None:
+        write(batch, f"{name}-{batch_id}")
 
     return (
-        events.writeStream.foreachBatch(write)
+        events.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def stream_to_trail(events: DataFrame, path: str, checkpoint: str, name: str) -> StreamingQuery:
+    """Append a stream of events to a JSON trail, each micro-batch once."""
+    return _in_batches(events, lambda b, n: append_events(b, path, n), checkpoint, name)
+
+
+def stream_to_table(events: DataFrame, path: str, checkpoint: str, name: str) -> StreamingQuery:
+    """Copy a stream of events into the Parquet audit table, each micro-batch once."""
+    return _in_batches(events, lambda b, n: append_table(b, path, n), checkpoint, name)
+
+
+def stream_log_lines(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write a stream of events as lines of JSON text for a log shipper."""
+    return (
+        log_lines(events)
+        .writeStream.format("text")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(path)
+    )

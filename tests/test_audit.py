@@ -259,6 +259,22 @@ def test_stream_into_the_audit_table(spark, folder):
     assert trail.read_table(spark, folder + "-table").count() == 10
 
 
+def test_stream_into_a_trail_and_into_lines(spark, folder):
+    trail.append_events(events_of(spark, [event(i, i) for i in range(10)]), folder, "b1")
+    for _ in range(2):
+        stream = monitor.read_events_stream(spark, folder)
+        monitor.stream_to_trail(
+            stream, folder + "-copy", folder + "-state", "s"
+        ).awaitTermination()
+        monitor.stream_log_lines(stream, folder + "-lines", folder + "-ls").awaitTermination()
+    copied = trail.read_events(spark, folder + "-copy")
+    assert sorted(map(tuple, copied.collect())) == sorted(
+        map(tuple, trail.read_events(spark, folder).collect())
+    )
+    lines = [json.loads(r["value"]) for r in spark.read.text(folder + "-lines").collect()]
+    assert sorted(line["event_id"] for line in lines) == [f"e{i:04}" for i in range(10)]
+
+
 def test_metric_windows_equal_the_batch(spark, folder):
     rows = [(START + timedelta(minutes=i), None if i % 4 == 0 else 1.0) for i in range(200)]
     spark.createDataFrame(rows, "ts TIMESTAMP, value DOUBLE").write.parquet(folder)
