@@ -95,7 +95,8 @@ GROUP BY p_brand"""
 
 _ROLLUP = """
 SELECT l_returnflag, l_linestatus,
-       CAST(grouping(l_returnflag) + grouping(l_linestatus) AS BIGINT) AS level, count(*) AS line_count, count(DISTINCT l_suppkey) AS suppliers,
+       CAST(grouping(l_returnflag) + grouping(l_linestatus) AS BIGINT) AS level,
+       count(*) AS line_count, count(DISTINCT l_suppkey) AS suppliers,
        round(avg(l_discount), 6) AS discount, max(l_shipdate) AS last_shipped
 FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)"""
 
