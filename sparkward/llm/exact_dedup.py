@@ -72,16 +72,16 @@ def _normalised(row: str) -> Column:
 
 def _runs(keyed: DataFrame, frequent: list[DataFrame]) -> DataFrame:
     """Rows in content order with their place in the run of equal texts, its first id and length."""
+    deal = ["opening", "hash"]
     if frequent:
         part = F.pmod(F.xxhash64("row.doc_id"), F.col("slices"))
         keyed = keyed.join(F.broadcast(frequent[0]), "hash", "left").withColumn(
             "slice", F.when(F.col("slices").isNull(), 0).otherwise(part).cast("int")
         )
-    else:
-        keyed = keyed.withColumn("slice", F.lit(0))
-    dealt = keyed.repartitionByRange("opening", "hash", "slice")
+        deal = [*deal, "slice"]
+    dealt = keyed.repartitionByRange(*deal)
     # The range partitioning already brings a run together: no second shuffle.
-    run = Window.partitionBy("opening", "hash", "slice", "norm")
+    run = Window.partitionBy(*deal, "norm")
     return dealt.withColumn("norm", _normalised("row")).select(
         "row",
         "norm",
