@@ -109,7 +109,7 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     learnable: Column,
-    rows_per_label: int = 10_000,
+    rows_per_label: int = 5_000,
     voters: int = 300,
     terms: int = 20_000,
 ) -> Model:
