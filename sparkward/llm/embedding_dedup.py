@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkward.llm.common import stored
 from sparkward.llm.components import components
-from sparkward.llm.pairs import buckets, forest, in_units
+from sparkward.llm.pairs import buckets, forest, in_units, ordered
 
 
 def shape(vectors: int, threshold: float, missed: float, fewest: int = 8, most: int = 20) -> tuple[int, int]:
@@ -69,8 +69,10 @@ def link_vectors(
         F.lit(False),
     )
     # Adding zero makes equal vectors of those that differ in the sign of a zero.
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    zero = F.lit(0).cast(kind)
     rows = vectors.select(
-        "vec_id", F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("vector"), sound.alias("sound")
+        "vec_id", F.transform("embedding", lambda x: x + zero).alias("vector"), sound.alias("sound")
     )
     nodes = (
         rows.where("sound").groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
@@ -78,32 +80,42 @@ def link_vectors(
     )
     nodes = stored(nodes, "vectors")
     bits, tables = shape(nodes.count(), threshold, missed)
-    schema = "node bigint, copies bigint, vector array<double>, signs array<int>"
+    schema = f"node bigint, copies bigint, vector array<{kind}>, signs array<int>"
     signed = stored(nodes.mapInPandas(_signer(bits, tables), schema), "signs")
     members = signed.select("node", F.posexplode("signs").alias("table", "sign"), F.size("vector").alias("length"))
     members = members.select("node", "table", F.xxhash64("length", "table", "sign").alias("bucket"))
     units = in_units(members, rows_per_unit, rows_per_block).join(signed, "node")
 
     def compare(unit: pd.DataFrame) -> pd.DataFrame:
+        unit = ordered(unit)
+        groups = unit.groupby(unit["vector"].map(len)).indices  # a bucket has one length only
+        unit_vectors = [np.empty(0)] * len(unit)
+        for rows in groups.values():
+            matrix = np.array(unit["vector"].iloc[rows].tolist(), dtype=float)
+            matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+            for place, vector in zip(rows, matrix, strict=True):
+                unit_vectors[place] = vector
+        signs, table = np.array(unit["signs"].tolist()), unit["table"].to_numpy()
+        ids, copies = unit["node"].to_numpy(), unit["copies"].to_numpy()
         node, root, links = [], [], []
         for part, met in buckets(unit):
-            matrix = np.array(part["vector"].tolist())
-            matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+            matrix = np.array(unit_vectors[part])
             near = (matrix @ matrix.T >= threshold) & met
-            signs, table = np.array(part["signs"].tolist()), int(part["table"].iloc[0])
+            if not near.any():
+                continue
             first, second = np.nonzero(near)
-            new = ~(signs[first, :table] == signs[second, :table]).any(axis=1)
-            copies, ids = part["copies"].to_numpy(), part["node"].to_numpy()
-            count = np.zeros(len(part), dtype=np.int64)
-            np.add.at(count, first[new], copies[second[new]])
-            np.add.at(count, second[new], copies[first[new]])
+            earlier = signs[part, : table[part.start]]
+            new = ~(earlier[first] == earlier[second]).any(axis=1)
+            count = np.zeros(len(matrix), dtype=np.int64)
+            np.add.at(count, first[new], copies[part][second[new]])
+            np.add.at(count, second[new], copies[part][first[new]])
             for member, top in forest(near | near.T):
-                node.append(ids[member])
-                root.append(ids[top])
+                node.append(ids[part][member])
+                root.append(ids[part][top])
                 links.append(0)
             linked = np.flatnonzero(count)
-            node.extend(ids[linked])
-            root.extend(ids[linked])
+            node.extend(ids[part][linked])
+            root.extend(ids[part][linked])
             links.extend(count[linked])
         return pd.DataFrame({"node": node, "root": root, "links": links}, dtype="int64")
 
@@ -135,7 +147,7 @@ def _signer(bits: int, tables: int):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, same in batch.groupby(batch["vector"].map(len)):
-                matrix = np.array(same["vector"].tolist())
+                matrix = np.array(same["vector"].tolist(), dtype=float)
                 above = matrix @ _planes(matrix.shape[1], bits, tables) >= 0
                 signs = (above.reshape(len(matrix), tables, bits) @ weights).astype(np.int32)
                 yield same[["node", "copies", "vector"]].assign(signs=list(signs))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkward.llm.common import LOWER, in_chunks, stored
 from sparkward.llm.components import components
-from sparkward.llm.pairs import buckets, in_units
+from sparkward.llm.pairs import buckets, in_units, ordered
 
 # Registers are floor(1 - log_BASE(h)) of the smallest exponential h with RATE.
 # With a base so near 1, equal registers are about as likely as equal minima.
@@ -187,18 +187,18 @@ def link_documents(
     )
 
     def compare(unit: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        unit = ordered(unit)
+        sketch, component = _matrix(unit["sketch"]), unit["component"].to_numpy()
+        size, node = unit["n_shingles"].to_numpy(dtype=float), unit["node"].to_numpy()
+        found = [np.empty((0, 2), dtype=np.int64)]
         for part, met in buckets(unit):
-            component = part["component"].to_numpy()
-            first, second = np.nonzero(met & (component[:, None] != component[None, :]))
-            sketch = _matrix(part["sketch"])
-            size, node = part["n_shingles"].to_numpy(dtype=float), part["node"].to_numpy()
+            own = component[part]
+            first, second = np.nonzero(met & (own[:, None] != own[None, :]))
             for i in range(0, len(first), 20_000):
-                f, s = first[i : i + 20_000], second[i : i + 20_000]
+                f, s = first[i : i + 20_000] + part.start, second[i : i + 20_000] + part.start
                 ok = likely(sketch[f], sketch[s], size[f], size[s], threshold)
                 found.append(np.stack([node[f[ok]], node[s[ok]]], axis=1))
-        found = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
-        return pd.DataFrame(np.unique(found, axis=0), columns=["a", "b"])
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
     more = units.groupBy("unit", "left", "right").applyInPandas(compare, "a bigint, b bigint").distinct()
     more = stored(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "crossing")

@@ -35,18 +35,27 @@ def in_units(members: DataFrame, rows_per_unit: int, rows_per_block: int) -> Dat
     return small.unionByName(large).drop("size")
 
 
-def buckets(unit: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """The buckets of a unit, each with a matrix telling which ordered pairs are to be met."""
-    unit = unit.sort_values(["bucket", "node"]).reset_index(drop=True)
-    ends = np.flatnonzero(np.diff(unit["bucket"].to_numpy())) + 1
-    for start, end in zip([0, *ends], [*ends, len(unit)], strict=True):
-        rows = unit.iloc[start:end]
-        upper = np.triu(np.ones((len(rows), len(rows)), dtype=bool), 1)
-        left, right = int(rows["left"].iloc[0]), int(rows["right"].iloc[0])
-        if left != right:  # pairs inside a block are met in the block's own unit
-            own = rows["own"].to_numpy()
-            upper &= own[:, None] != own[None, :]
-        yield rows, upper
+def ordered(unit: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a unit as :func:`buckets` expects them."""
+    return unit.sort_values(["bucket", "node"]).reset_index(drop=True)
+
+
+def buckets(unit: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
+    """The buckets of an ordered unit, each with a matrix telling which ordered pairs are to be met."""
+    bucket, own = unit["bucket"].to_numpy(), unit["own"].to_numpy()
+    apart = len(unit) > 0 and unit["left"].iloc[0] != unit["right"].iloc[0]
+    ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(unit)).tolist()
+    uppers: dict[int, np.ndarray] = {}
+    start = 0
+    for end in ends:
+        size = end - start
+        if size not in uppers:
+            uppers[size] = np.triu(np.ones((size, size), dtype=bool), 1)
+        met = uppers[size]
+        if apart:  # pairs inside a block are met in the block's own unit
+            met = met & (own[start:end, None] != own[None, start:end])
+        yield slice(start, end), met
+        start = end
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
