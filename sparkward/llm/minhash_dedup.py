@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkward.llm.common import LOWER, in_chunks, stored
 from sparkward.llm.components import components
-from sparkward.llm.pairs import buckets, in_units, ordered
+from sparkward.llm.pairs import buckets, forest, in_units, ordered
 
 # Registers are floor(1 - log_BASE(h)) of the smallest exponential h with RATE.
 # With a base so near 1, equal registers are about as likely as equal minima.
@@ -87,7 +87,7 @@ def likely(
 
     How many registers are larger left, larger right or equal has a likelihood given
     the similarity and the sizes of both sets, which are known. A pair is ruled out if
-    ``threshold`` is more than e^-14 times less likely than the best estimate below it.
+    ``threshold`` is more than e^-10 times less likely than the best estimate below it.
     """
     larger = (left > right).sum(axis=1)[:, None]
     smaller = (left < right).sum(axis=1)[:, None]
@@ -104,7 +104,7 @@ def likely(
     same = np.maximum(1 - more - less, 1e-12)
     score = larger * np.log(more) + smaller * np.log(less) + equal * np.log(same)
     possible = np.minimum(n_left, n_right) >= threshold * np.maximum(n_left, n_right) - 1e-9
-    return possible & (score[:, -1] >= score.max(axis=1) - 14)
+    return possible & (score[:, -1] >= score.max(axis=1) - 10)
 
 
 def _bands(sketch: np.ndarray) -> np.ndarray:
@@ -137,9 +137,11 @@ def link_documents(
        likelihood of both sketches drops the hopeless pairs, the rest is verified on
        full sets, and components are formed. A group of n near copies costs n pairs
        a band.
-    4. Whatever shares a bucket but is still in different components, and was not
-       yet tested, is compared inside the tasks by its sketches; all pairs that the
-       likelihood leaves are verified. So no link between components is lost to 3.
+    4. What shares a bucket but is still in different components is compared inside
+       the tasks, first by sketches, then, with the full sets of those that have a
+       plausible partner, exactly. Each pair is met in the first band it shares. Every
+       plausible pair across components is verified, so no link is lost; but only a spanning
+       forest of the links leaves a task, never the pairs of a group.
 
     A text without words, empty or null has no shingles and links with nothing. Rows
     with the same identifier but different texts are different nodes. ``kept`` is
@@ -168,42 +170,17 @@ def link_documents(
         members.join(firsts, "bucket").where("node <> top")
         .select(F.col("top").alias("a"), F.col("node").alias("b")).distinct()
     )
-    tested = stored(_plausible(pairs, nodes, threshold), "tested")
-    links = stored(_verified(tested, nodes, docs, words, percent), "verified")
+    likely_pairs = stored(_plausible(pairs, nodes, threshold), "likely")
+    links = stored(_verified(likely_pairs, nodes, docs, words, percent), "verified")
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    labelled = members.join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
-    )
-    divided = (
-        labelled.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-        .where("size > 2 and low <> high")
-        .select("bucket")
-    )
-    left = labelled.join(divided, "bucket", "left_semi")
-    units = in_units(left, rows_per_unit, rows_per_block).join(
-        nodes.select("node", "n_shingles", "sketch"), "node"
+    crossing = stored(
+        _crossing(members, nodes, joined, threshold, rows_per_unit, rows_per_block), "crossing"
     )
-
-    def compare(unit: pd.DataFrame) -> pd.DataFrame:
-        unit = ordered(unit)
-        sketch, component = _matrix(unit["sketch"]), unit["component"].to_numpy()
-        size, node = unit["n_shingles"].to_numpy(dtype=float), unit["node"].to_numpy()
-        found = [np.empty((0, 2), dtype=np.int64)]
-        for part, met in buckets(unit):
-            own = component[part]
-            first, second = np.nonzero(met & (own[:, None] != own[None, :]))
-            for i in range(0, len(first), 20_000):
-                f, s = first[i : i + 20_000] + part.start, second[i : i + 20_000] + part.start
-                ok = likely(sketch[f], sketch[s], size[f], size[s], threshold)
-                found.append(np.stack([node[f[ok]], node[s[ok]]], axis=1))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
-
-    more = units.groupBy("unit", "left", "right").applyInPandas(compare, "a bigint, b bigint").distinct()
-    more = stored(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
-    if not more.isEmpty():
-        links = links.unionByName(stored(_verified(more, nodes, docs, words, percent), "verified"))
+    if not crossing.isEmpty():
+        sets = _sets(crossing.select("node").distinct(), nodes, docs, words)
+        more = _linked(crossing, sets, nodes, percent, rows_per_unit // 4, rows_per_block)
+        links = links.unionByName(stored(more, "verified"))
         joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     nodes = nodes.join(joined.withColumnRenamed("id", "node"), "node", "left").select(
@@ -219,6 +196,96 @@ def link_documents(
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _crossing(
+    members: DataFrame, nodes: DataFrame, joined: DataFrame, threshold: float,
+    rows_per_unit: int, rows_per_block: int,
+) -> DataFrame:
+    """``node, bucket, component`` of what has a plausible partner in another component there."""
+    labelled = members.join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
+    divided = (
+        labelled.groupBy("bucket")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+        .where("size > 2 and low <> high")
+        .select("bucket")
+    )
+    units = in_units(labelled.join(divided, "bucket", "left_semi"), rows_per_unit, rows_per_block)
+
+    def compare(unit: pd.DataFrame) -> pd.DataFrame:
+        unit = ordered(unit)
+        some = np.zeros(len(unit), dtype=bool)
+        for first, second in _plausible_across(unit, threshold):
+            some[first] = some[second] = True
+        return unit.loc[some, ["node", "bucket", "component"]]
+
+    sided = units.join(nodes.select("node", "n_shingles", "sketch"), "node")
+    return (
+        sided.groupBy("unit", "left", "right")
+        .applyInPandas(compare, "node bigint, bucket bigint, component bigint").distinct()
+    )
+
+
+def _plausible_across(unit: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per bucket the rows of pairs across components that meet in no earlier band and may be similar."""
+    sketch, component = _matrix(unit["sketch"]), unit["component"].to_numpy()
+    size, bands = unit["n_shingles"].to_numpy(dtype=float), _bands(sketch)
+    band = np.argmax(bands == unit["bucket"].to_numpy()[:, None], axis=1)
+    for part, met in buckets(unit):
+        own, start = component[part], part.start
+        first, second = np.nonzero(met & (own[:, None] != own[None, :]))
+        keep = np.zeros(len(first), dtype=bool)
+        for i in range(0, len(first), 20_000):
+            f, s = first[i : i + 20_000] + start, second[i : i + 20_000] + start
+            new = ~(bands[f, : band[start]] == bands[s, : band[start]]).any(axis=1)
+            new[new] = likely(sketch[f[new]], sketch[s[new]], size[f[new]], size[s[new]], threshold)
+            keep[i : i + 20_000] = new
+        yield first[keep] + start, second[keep] + start
+
+
+def _linked(
+    crossing: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int,
+    rows_per_unit: int, rows_per_block: int,
+) -> DataFrame:
+    """Links ``a, b`` that join what verified pairs across components in each bucket join."""
+    units = in_units(crossing, rows_per_unit, rows_per_block)
+    units = units.join(nodes.select("node", "n_shingles", "sketch"), "node").join(sets, "node")
+
+    def verify(unit: pd.DataFrame) -> pd.DataFrame:
+        unit = ordered(unit)
+        node, sets = unit["node"].to_numpy(), unit["shingles"].tolist()
+        found = [np.empty((0, 2), dtype=np.int64)]
+        for first, second in _plausible_across(unit, percent / 100):
+            if len(first):
+                ok = _similar(sets, first, second, percent)
+                rows, place = np.unique(np.concatenate([first[ok], second[ok]]), return_inverse=True)
+                linked = np.zeros((len(rows), len(rows)), dtype=bool)
+                linked[place[: ok.sum()], place[ok.sum() :]] = True
+                pairs = np.array(forest(linked | linked.T), dtype=np.int64).reshape(-1, 2)
+                found.append(node[rows[pairs]])
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+    return units.groupBy("unit", "left", "right").applyInPandas(verify, "a bigint, b bigint").distinct()
+
+
+def _similar(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sorted sets are similar enough. The member of more pairs is looked up once for all."""
+    pairs_of = np.bincount(np.concatenate([first, second]))
+    swap = pairs_of[second] > pairs_of[first]
+    first, second = np.where(swap, second, first), np.where(swap, first, second)
+    result = np.zeros(len(first), dtype=bool)
+    order = np.argsort(first, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
+        own = sets[first[group[0]]]
+        others = [sets[i] for i in second[group]]
+        lengths = np.array([len(o) for o in others])
+        flat = np.concatenate(others)
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum(lengths) - lengths)
+        result[group] = 100 * both >= percent * (len(own) + lengths - both)
+    return result
+
+
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
     identifier = docs.schema["doc_id"].dataType.simpleString()
 
@@ -277,9 +344,8 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return sides.mapInPandas(keep, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough. Only sets that occur in a pair are made again."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``node, shingles``, sorted: the full sets of some nodes, made again from their texts."""
     wanted = nodes.join(wanted, "node", "left_semi").select("node", "digest", F.col("doc_id").alias("id"))
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
 
@@ -288,7 +354,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
             for first, chunk in in_chunks(batch["text"], 1_000_000):
                 part = batch.iloc[first : first + len(chunk)]
                 rows = [
-                    (node, shingles.view(np.int64))
+                    (node, np.sort(shingles.view(np.int64)))
                     for node, digest, shingles in zip(
                         part["node"], part["digest"], shingle_sets(chunk, words), strict=True
                     )
@@ -297,7 +363,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
                 yield pd.DataFrame(rows, columns=["node", "shingles"])
 
     sets = texts.select("node", "digest", "text").mapInPandas(make, "node bigint, shingles array<bigint>")
-    sets = stored(sets.dropDuplicates(["node"]), "sets")
+    return stored(sets.dropDuplicates(["node"]), "sets")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar enough. Only sets that occur in a pair are made again."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets(wanted, nodes, docs, words)
     both = F.size(F.array_intersect("set_a", "set_b"))
     similar = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
     return (
