@@ -317,7 +317,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def _matrix(sketch: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(sketch), dtype="<u2").reshape(len(sketch), -1)
+    return np.frombuffer(b"".join(sketch), dtype="<u2").reshape(len(sketch), REGISTERS)
 
 
 def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -77,6 +77,9 @@ def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rounds:
     """
     votes = np.column_stack([votes, ~votes.any(axis=1), gold == 1, gold == 0]).astype(float)
     posterior = np.where(gold == 1, 0.95, 0.02)
+    # Abstentions say nothing, so votes can't tell how common either label is: the labels do.
+    share_of_one = np.clip((weight * gold).sum() / weight.sum(), 1e-6, 1 - 1e-6)
+    prior = np.log(share_of_one / (1 - share_of_one))
     for _ in range(rounds):
         sums = np.array([(weight * (1 - posterior)).sum(), (weight * posterior).sum()])
         rates = np.stack([(weight * (1 - posterior)) @ votes, (weight * posterior) @ votes])
@@ -89,8 +92,7 @@ def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rounds:
         np.fill_diagonal(correlation, 0)
         share = 1 / (1 + np.maximum(correlation - 0.05, 0).sum(axis=1))
         share[-2:] = 1  # its two sides are one voter
-        prior = sums / sums.sum()
-        logit = np.log(prior[1] / prior[0]) + votes @ (np.log(rates[1] / rates[0]) * share)
+        logit = prior + votes @ (np.log(rates[1] / rates[0]) * share)
         posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return posterior
 
