@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_LOG = logging.getLogger(__name__)
+
 ALLOWED, DENIED = "allowed", "denied"
 
 AUDIT_COLUMNS = [
@@ -95,14 +98,15 @@ def record_then_release(
 ) -> DataFrame:
     """Write the events first, then hand out the decisions.
 
-    If the trail cannot be written, every decision of the batch becomes a
-    denial; with ``fail_closed=False`` the error is raised instead.
+    If the trail cannot be written, the cause is logged and every decision of the
+    batch becomes a denial; with ``fail_closed=False`` the error is raised instead.
     """
     try:
         write(events)
     except Exception:
         if not fail_closed:
             raise
+        _LOG.exception("The audit trail could not be written; the batch is denied")
         return decisions.withColumns(
             {
                 "allowed": F.lit(False),

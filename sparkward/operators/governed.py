@@ -82,6 +82,16 @@ class _Outcome:
         return self.footprint
 
 
+@dataclass(frozen=True)
+class QueryResult:
+    """Rows of a statement with the number behind a cut, and what reading them takes."""
+
+    rows: DataFrame
+    total_rows: int
+    truncated: bool
+    footprint: Footprint
+
+
 class GovernedSession:
     """Estimates and runs statements that pass the policy.
 
@@ -116,7 +126,20 @@ class GovernedSession:
 
     def query(self, sql: str, *, actor: str, row_limit: int | None = None) -> DataFrame:
         """Rows of a statement, at most ``row_limit`` and the policy's ceiling."""
-        return self._checked(sql, actor).limit(self.row_cap(row_limit))
+        return self._capped(self._checked(sql, actor), row_limit)
+
+    def run(self, sql: str, *, actor: str, row_limit: int | None = None) -> QueryResult:
+        """Rows as :meth:`query` gives them, and what was cut: decided and recorded once."""
+        outcome = self._authorize([sql], actor, "sql_query")[0]
+        footprint = outcome.require()
+        whole = self._session.sql(sql)
+        total, cap = whole.count(), self.row_cap(row_limit)
+        cut = cap is not None and total > cap
+        return QueryResult(self._capped(whole, row_limit), total, cut, footprint)
+
+    def _capped(self, rows: DataFrame, row_limit: int | None) -> DataFrame:
+        cap = self.row_cap(row_limit)
+        return rows if cap is None else rows.limit(cap)
 
     def total_rows(self, sql: str, *, actor: str) -> DataFrame:
         """Number of rows behind a capped result, as one row."""
@@ -142,12 +165,12 @@ class GovernedSession:
         allowed = [spec for spec in specs if spec.table in tables]
         return (run_suite(tables, allowed, as_of=as_of) if allowed else None), denied
 
-    def row_cap(self, requested: int | None = None) -> int:
-        if requested is None:
-            return self._policy.max_rows
-        if requested < 1:
+    def row_cap(self, requested: int | None = None) -> int | None:
+        """The smaller of what is asked for and the policy's ceiling; None is no cap."""
+        if requested is not None and requested < 1:
             raise ValueError("row_limit must be at least 1")
-        return min(requested, self._policy.max_rows)
+        given = [cap for cap in (requested, self._policy.max_rows) if cap is not None]
+        return min(given, default=None)
 
     def _checked(self, sql: str, actor: str) -> DataFrame:
         self._authorize([sql], actor, "sql_query")[0].require()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 from math import isqrt
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkward.functions.times import micros, moment_of
 
@@ -20,8 +22,8 @@ RANKED_ROWS = 1_000_000
 # twelve days, three hours, a hundred seconds, a second, a millisecond, one.
 _SPANS = [10**12, 10**10, 10**8, 10**6, 10**3, 1]
 
-# Of events at one and the same time, lengths of the identifier's prefix.
-_KEY_PREFIXES = [2, 4, 8, 16, 64]
+# Of events at one and the same time, into so many spans numeric identifiers are cut at most.
+_KEY_SPANS = 1_000
 
 
 def _order(time: str, key: str) -> list[Column]:
@@ -37,7 +39,7 @@ def newest(
     direct_rows: int = DIRECT_ROWS,
     ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
-    """The ``limit`` newest events by ``(time, key)``, nulls last.
+    """The ``limit`` newest events by ``(time, key)``, nulls last, in no fixed order.
 
     A few are found by Spark's top-N. For more, the time of the oldest event to
     keep is narrowed down by counting events per span of time, which reads
@@ -54,7 +56,7 @@ def newest(
 def _cut(within: DataFrame, bucket: Column, wanted: int) -> Row | None:
     """The bucket that holds the ``wanted``-th newest event; None if there are fewer.
 
-    There is one row per bucket, which the calendar bounds, not the events.
+    There is one row per bucket, which the calendar or the kind of bucket bounds, not the events.
     """
     counts = within.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     newest_first = F.desc_nulls_last("bucket")
@@ -93,20 +95,47 @@ def _newest_by_time(
         if cut["n"] <= ranked_rows or wanted == cut["n"]:
             break
     kept = [later]
-    for length in _KEY_PREFIXES:
-        if cut["n"] <= ranked_rows or wanted == cut["n"]:
-            break
+    while cut["n"] > ranked_rows and wanted < cut["n"]:
         # Many events at one time: go on with their identifiers.
-        prefix = F.substring(F.coalesce(key, F.lit("")), 1, length)
-        cut = _cut(within, prefix, wanted)
+        bucket = _key_bucket(within, key)
+        if bucket is None:
+            break
+        cut = _cut(within, bucket, wanted)
         wanted -= cut["running"] - cut["n"]
-        kept.append(within.where(prefix > cut["bucket"]))
-        within = within.where(prefix == cut["bucket"])
+        if cut["bucket"] is None:
+            kept.append(within.where(bucket.isNotNull()))
+            within = within.where(bucket.isNull())
+        else:
+            kept.append(within.where(bucket > F.lit(cut["bucket"])))
+            within = within.where(bucket == F.lit(cut["bucket"]))
     if wanted < cut["n"]:
         within = within.orderBy(*_order(time, key)).limit(wanted)
     return reduce(DataFrame.unionByName, [*kept, within])
 
 
+def _key_bucket(within: DataFrame, key: str) -> Column | None:
+    """A coarser identifier with few values that keeps the order; None if it has one value.
+
+    Text is cut one sign behind what all begin with, whole numbers to spans of a
+    power of ten; identifiers of other types are ranked as they are.
+    """
+    kind = within.schema[key].dataType
+    if not isinstance(kind, T.StringType | T.IntegralType):
+        return None
+    low, high, nulls = within.agg(F.min(key), F.max(key), F.count_if(F.col(key).isNull())).first()
+    if low is None or (low == high and not nulls):
+        return None
+    if isinstance(kind, T.StringType):
+        same = len(commonprefix([low, high]))
+        # A missing identifier stays null, so that it comes last.
+        return F.substring(key, 1, same + 1)
+    span = 1
+    while (high - low) // span >= _KEY_SPANS:
+        span *= 10
+    number = F.col(key).cast("decimal(38,0)")
+    return number - F.pmod(number, F.lit(span).cast("decimal(38,0)"))
+
+
 def newest_per_key(
     events: DataFrame,
     keys: list[str],

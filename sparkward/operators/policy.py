@@ -55,19 +55,20 @@ PREFLIGHT, AUTHORIZE = "preflight", "authorize"
 class Policy:
     """What requests may touch. Empty pattern lists allow nothing.
 
-    Ceilings default to 10 GB scanned and 10,000 rows returned.
+    Ceilings default to 10 GB scanned and 10,000 rows returned; ``max_rows=None``
+    returns results whole.
     """
 
     tables: Sequence[str] = field(default_factory=tuple)
     buckets: Sequence[str] = field(default_factory=tuple)
     dags: Sequence[str] = field(default_factory=tuple)
     max_bytes: int = 10_000_000_000
-    max_rows: int = 10_000
+    max_rows: int | None = 10_000
     read_only: bool = True
 
     def __post_init__(self) -> None:
         for name in ("max_bytes", "max_rows"):
-            if getattr(self, name) <= 0:
+            if getattr(self, name) is not None and getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
 
 

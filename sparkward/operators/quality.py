@@ -293,34 +293,36 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def surplus_copies(
-    df: DataFrame, keys: Sequence[str], order: str, slices: int = 16
+    df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int = 100_000
 ) -> DataFrame:
     """The rows ``keep_first`` leaves out, with the ``order`` of the one it keeps.
 
-    Rows are matched with their key's first row in ``slices`` slices per key, so
-    that a key with a third of all rows is spread over many tasks; only keys
-    that do occur more than once are copied per slice. ``order`` must be unique
-    and not null.
+    Rows are matched with their key's first row. A key with more than
+    ``rows_per_slice`` rows is matched in as many slices as its number asks for,
+    so that one with a third of all rows is spread over many tasks; no other is
+    copied. ``order`` must be unique and not null.
     """
+    names = [f"_key_{i}" for i in range(len(keys))]
     firsts = (
-        df.groupBy(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)])
+        df.groupBy(*[F.col(k).alias(name) for k, name in zip(keys, names, strict=True)])
         .agg(F.min(order).alias("kept"), F.count(F.lit(1)).alias("_copies"))
         .where(F.col("_copies") > 1)
-        .withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        .drop("_copies")
+        .withColumn("_slices", F.ceil(F.col("_copies") / rows_per_slice).cast("int"))
     )
-    rows = df.withColumn("_slice", F.pmod(F.xxhash64(order), F.lit(slices)).cast("int"))
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    hot = firsts.where("_slices > 1").select(*[F.col(n).alias(f"_hot{n}") for n in names], F.col("_slices").alias("_parts"))
+    is_hot = [F.col(k).eqNullSafe(F.col(f"_hot{n}")) for k, n in zip(keys, names, strict=True)]
+    # At most one in rows_per_slice rows of the table is in this list.
+    rows = df.join(F.broadcast(hot), is_hot, "left").withColumn(
+        "_slice", F.coalesce(F.pmod(F.xxhash64(order), F.col("_parts")), F.lit(0)).cast("int")
+    )
+    sliced = firsts.withColumn("_of", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
     return (
-        rows.join(firsts, [*same, F.col("_slice") == F.col("_of")])
+        rows.join(sliced, [*same, F.col("_slice") == F.col("_of")])
         .where(F.col(order) != F.col("kept"))
         .select(*df.columns, "kept")
     )
 
-
-# --- reports ----------------------------------------------------------------
-
-
 def exception_summary(results: DataFrame) -> DataFrame:
     """Checks and failures per table and kind, per table, and in all.
 

@@ -22,7 +22,7 @@ _TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "labels", "embeddings",
 ]
-POLICY = Policy(tables=["shop.gold.*"], max_bytes=10**15)
+POLICY = Policy(tables=["shop.gold.*"], max_bytes=10**15, max_rows=None)
 
 
 def _name(table: str) -> str:
@@ -57,8 +57,27 @@ def _governed(statement: str, row_limit: int | None = None):
         session = governed_session(spark, sf_dir, _used(statement))
         return session.query(_spark_text(statement), actor="agent-1", row_limit=row_limit)
 
-    limit = min(row_limit or POLICY.max_rows, POLICY.max_rows)
-    return run, f"SELECT * FROM ({_plain_text(statement)}) AS q LIMIT {limit}"
+    limit = "" if row_limit is None else f" LIMIT {row_limit}"
+    return run, f"SELECT * FROM ({_plain_text(statement)}) AS q{limit}"
+
+
+def _truncated(statement: str, row_limit: int):
+    """How much of a result a cap lets through, and that it says so."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session = governed_session(spark, sf_dir, _used(statement))
+        result = session.run(_spark_text(statement), actor="agent-1", row_limit=row_limit)
+        return result.rows.agg(F.count(F.lit(1)).alias("returned_rows")).select(
+            "returned_rows",
+            F.lit(result.total_rows).cast("bigint").alias("total_rows"),
+            F.lit(result.truncated).alias("truncated"),
+        )
+
+    sql = (
+        f"SELECT least({row_limit}, count(*)) AS returned_rows, count(*) AS total_rows, "
+        f"count(*) > {row_limit} AS truncated FROM ({_plain_text(statement)}) AS q"
+    )
+    return run, sql
 
 
 _LARGE_LINES = (
@@ -307,6 +326,7 @@ QUERIES = {
         _total_rows,
         f"SELECT count(*)::BIGINT AS total_rows FROM ({_plain_text(_LARGE_LINES)}) AS q",
     ),
+    "governed_truncated": _truncated(_LARGE_LINES, 50),
     "governed_join": _governed(_JOIN),
     "governed_outer_join": _governed(_OUTER_JOIN),
     "governed_full_join": _governed(_FULL_JOIN),

@@ -1,8 +1,8 @@
 """The audit trail on disk: append-only JSON lines, or a Parquet table by date.
 
-Every append carries a batch name, unique to that batch, and touches only that
-batch's own files. A batch that is written again, because a job or a stream was
-restarted, therefore leaves each event once, without comparing it with the past.
+Every append carries a batch name, unique to that batch, and only adds files. A
+batch that is written again, because a job or a stream was restarted, adds what
+is missing of it and leaves each event once, compared with its own batch only.
 """
 
 from __future__ import annotations
@@ -29,21 +29,35 @@ def _checked(batch: str) -> str:
     return batch
 
 
+def _missing(events: DataFrame, written: DataFrame, batch: str) -> DataFrame:
+    """The events of a batch that are not on disk yet.
+
+    Nothing is ever replaced: a batch that is run again only adds what a failed
+    run left out, and a name that was used for other events is an error.
+    """
+    if not written.join(events, "event_id", "left_anti").isEmpty():
+        raise ValueError(f"Batch name {batch!r} was already used for other events")
+    return events.join(written.select("event_id").distinct(), "event_id", "left_anti")
+
+
 def append_events(events: DataFrame, path: str, batch: str) -> None:
     """Append a batch of events as JSON lines.
 
     A name that was used for other events is an error: the trail only grows.
     """
     folder = f"{path}/batch={_checked(batch)}"
-    written = read_events(events.sparkSession, folder)
-    if not written.join(events, "event_id", "left_anti").isEmpty():
-        raise ValueError(f"Batch name {batch!r} was already used for other events")
-    events.select(*AUDIT_COLUMNS).write.mode("overwrite").options(**JSON_TIMES).json(folder)
+    missing = _missing(events, read_events(events.sparkSession, folder), batch)
+    missing.select(*AUDIT_COLUMNS).write.mode("append").options(**JSON_TIMES).json(folder)
 
 
 def append_log_lines(events: DataFrame, path: str, batch: str) -> None:
-    """Append a batch of events as text lines for a log shipper (write-only)."""
-    log_lines(events).write.mode("overwrite").text(f"{path}/batch={_checked(batch)}")
+    """Append a batch of events as text lines for a log shipper (write-only).
+
+    A name that was used for other events is an error.
+    """
+    folder = f"{path}/batch={_checked(batch)}"
+    missing = _missing(events, read_events(events.sparkSession, folder), batch)
+    log_lines(missing).write.mode("append").text(folder)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -90,20 +104,23 @@ def append_table(events: DataFrame, path: str, batch: str) -> None:
     """Append a batch to the Parquet audit table, partitioned by event date (UTC).
 
     Rows are brought together by date before writing, in as many pieces per
-    date as their number asks for, so a batch leaves few files.
+    date as their number asks for, so a batch leaves few files. The batch is a
+    column: what it wrote before, under any date, is found by the statistics of
+    the files. A name that was used for other events is an error.
     """
-    dated = events.select(
+    spark = events.sparkSession
+    try:
+        written = read_table(spark, path).where(F.col("batch") == _checked(batch))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        written = local_frame(spark, AUDIT_SCHEMA, [])
+    dated = _missing(events, written, batch).select(
         *AUDIT_COLUMNS,
         _utc_date(events, "timestamp").alias("event_date"),
-        F.lit(_checked(batch)).alias("batch"),
-    )
-    (
-        dated.hint("rebalance", "event_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "batch")
-        .parquet(path)
+        F.lit(batch).alias("batch"),
     )
+    dated.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,10 +89,14 @@ def run_to_files(results: DataFrame, path: str, checkpoint: str) -> StreamingQue
 def _in_batches(
     events: DataFrame, write: Callable[[DataFrame, str], None], checkpoint: str, name: str
 ) -> StreamingQuery:
-    """Hand each micro-batch to ``write`` under a name it keeps when it is run again."""
+    """Hand each micro-batch to ``write`` under a name it keeps when it is run again.
+
+    The checkpoint is part of the name: with another one the numbers start anew.
+    """
+    origin = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        write(batch, f"{name}-{batch_id}")
+        write(batch, f"{name}-{origin}-{batch_id}")
 
     return (
         events.writeStream.foreachBatch(run)

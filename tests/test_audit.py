@@ -103,6 +103,29 @@ def test_a_batch_written_again_leaves_each_event_once(spark, folder):
         trail.append_events(events_of(spark, [event(2)]), folder, "same")
 
 
+def test_reused_names_and_reruns_lose_nothing(spark, folder):
+    two = events_of(spark, [event(1, 1), event(2, 2)])
+    trail.append_events(two, folder, "b")
+    three = events_of(spark, [event(1, 1), event(2, 2), event(3, 3)])
+    fails = F.when(F.col("event_id") == "e0003", F.raise_error(F.lit("disk full"))).otherwise(F.col("reason"))
+    with pytest.raises(Exception, match="disk full"):
+        trail.append_events(three.withColumn("reason", fails), folder, "b")
+    assert trail.read_events(spark, folder).count() == 2
+    trail.append_log_lines(two, folder + "-log", "b")
+    with pytest.raises(ValueError, match="already used for other events"):
+        trail.append_log_lines(events_of(spark, [event(7)]), folder + "-log", "b")
+    assert spark.read.text(folder + "-log").count() == 2
+    table = folder + "-table"
+    trail.append_table(two, table, "b")
+    with pytest.raises(ValueError, match="already used for other events"):
+        trail.append_table(events_of(spark, [event(9, 1)]), table, "b")
+    # A rerun that moves an event to another date leaves it once.
+    trail.append_table(events_of(spark, [event(1, 1), event(2, 60 * 24 * 3)]), table, "b")
+    # One that failed half way is completed.
+    trail.append_table(events_of(spark, [event(1, 1), event(2, 2), event(4, 4)]), table, "b")
+    assert sorted(r["event_id"] for r in trail.read_table(spark, table).collect()) == ["e0001", "e0002", "e0004"]
+
+
 def test_audit_table_is_partitioned_by_date(spark, folder):
     rows = [event(i, 60 * 24 * i) for i in range(3)]
     trail.append_table(events_of(spark, rows), folder, "b")
@@ -194,6 +217,18 @@ def test_large_limits_equal_a_sort(spark, kind, limit):
         assert sorted(map(str, got.collect())) == rows
 
 
+@pytest.mark.parametrize("limit", [150, 199])
+def test_many_events_of_one_time(spark, limit):
+    moment = F.lit(START).cast("timestamp")
+    ids = spark.range(200).select((F.col("id") * 37 % 1000 - 300).alias("n")).repartition(3)
+    for key in (F.col("n"), F.format_string("event-000000000000-%04d", F.col("n") + 300), F.col("n").cast("int")):
+        df = ids.select(key.alias("event_id"), moment.alias("timestamp"))
+        df = df.unionByName(df.limit(1).withColumn("event_id", F.lit(None).cast(df.schema["event_id"].dataType)))
+        expected = df.orderBy(F.desc_nulls_last("event_id")).limit(limit)
+        got = newest(df, limit, direct_rows=0, ranked_rows=10)
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
 def test_a_large_limit_skips_older_files(spark, folder):
     df = skewed(spark, "timestamp")
     df.write.parquet(folder)
