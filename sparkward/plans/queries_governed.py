@@ -286,6 +286,17 @@ def _run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _run_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth payload is cut off half way: those rows have no state."""
+    payloads = derived.run_payloads(spark, sf_dir)
+    number = F.regexp_extract("run_id", r"(\d+)$", 1).cast("bigint")
+    cut = F.expr("substring(body, 1, length(body) div 2)")
+    status = runs.run_status(
+        payloads.withColumn("body", F.when(number % 5 == 0, cut).otherwise(F.col("body"))), strict=False
+    )
+    return status.select("dag_id", "run_id", "state", F.col("start_date").cast("timestamp_ntz").alias("start_date"))
+
+
 _RUN_STATUS_SQL = f"""
 SELECT dag_id, run_id,
   CASE WHEN body ->> '$.state' IN ('queued', 'running', 'success', 'failed')
@@ -355,6 +366,12 @@ QUERIES = {
     ),
     "objects_files": (_files, None),
     "runs_status": (_run_status, _RUN_STATUS_SQL),
+    "runs_broken": (
+        _run_broken,
+        "SELECT dag_id, run_id, CASE WHEN cut THEN NULL ELSE state END AS state, "
+        "CASE WHEN cut THEN NULL ELSE start_date END AS start_date FROM (SELECT *, "
+        f"CAST(regexp_extract(run_id, '([0-9]+)$', 1) AS BIGINT) % 5 = 0 AS cut FROM ({_RUN_STATUS_SQL}) AS r) AS s",
+    ),
     "runs_lookup": (
         _run_lookup,
         f"SELECT * FROM ({_RUN_STATUS_SQL}) AS r "

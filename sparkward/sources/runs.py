@@ -33,13 +33,24 @@ def parse_time(text: Column, *, strict: bool = True) -> Column:
     return F.try_to_timestamp(text)
 
 
+def is_broken(body: Column) -> Column:
+    """A payload that is null, cut off, or no JSON object."""
+    return ~F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False))
+
+
 def run_status(payloads: DataFrame, *, strict: bool = True) -> DataFrame:
-    """Run records from ``(dag_id, run_id, body)``, ``body`` being JSON text."""
-    decoded = payloads.select("dag_id", "run_id", F.from_json("body", _BODY).alias("body"))
+    """Run records from ``(dag_id, run_id, body)``, ``body`` being JSON text.
+
+    A broken payload is an error. With ``strict=False`` it gives a row without
+    state and times instead, so that it is not taken for a run in an unknown state.
+    """
+    refused = F.raise_error(F.concat(F.lit("Broken payload of run "), F.coalesce("run_id", F.lit("null"))))
+    body = F.when(is_broken(F.col("body")), refused if strict else F.lit(None)).otherwise(F.col("body"))
+    decoded = payloads.select("dag_id", "run_id", F.from_json(body.cast("string"), _BODY).alias("body"))
     return decoded.select(
         "dag_id",
         "run_id",
-        normalize_state(F.col("body.state")).alias("state"),
+        F.when(F.col("body").isNotNull(), normalize_state(F.col("body.state"))).alias("state"),
         parse_time(F.col("body.start_date"), strict=strict).alias("start_date"),
         parse_time(F.col("body.end_date"), strict=strict).alias("end_date"),
     )

@@ -114,6 +114,14 @@ def test_times_that_are_none(spark):
     assert runs.run_status(bad, strict=False).first()["start_date"] is None
 
 
+@pytest.mark.parametrize("body", [None, "", "down for repair", '{"state": "succ', "[1]", '"success"'])
+def test_broken_payloads(spark, body):
+    bad = spark.createDataFrame([("d", "r", body)], "dag_id STRING, run_id STRING, body STRING")
+    with pytest.raises(Exception, match="Broken payload of run r"):
+        runs.run_status(bad).collect()
+    assert tuple(runs.run_status(bad, strict=False).first()) == ("d", "r", None, None, None)
+
+
 def test_lookup(spark):
     status = runs.run_status(payloads(spark))
     assert runs.require_run(status, "d1", "r2")["state"] == "running"
