@@ -7,6 +7,7 @@ three-part names, in the comparison their own.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from sparkward.plans import derived, footprint
 from sparkward.session import shared_dir
 from sparkward.sources import objects as object_source
 from sparkward.sources import runs, trail
+from sparkward.sources.specs import parse_checks
 
 _TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -205,6 +207,51 @@ def _arrays():
     return run, text(_ARRAYS, 1, False)
 
 
+_CHECKED, _REFUSED = _name("lineitem"), "shop.raw.orders"
+
+
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A suite under the policy: one table is checked, the other refused with its reason."""
+    path = shared_dir(spark, "governed-trail")
+    session = GovernedSession(
+        spark,
+        {_CHECKED: f"{sf_dir}/lineitem.parquet", _REFUSED: f"{sf_dir}/orders.parquet"},
+        POLICY,
+        lambda events: trail.append_events(events, path, uuid.uuid4().hex),
+    )
+    specs = parse_checks(
+        {
+            _CHECKED: [
+                {"type": "row_count", "min_rows": 1},
+                {"type": "null_rate", "column": "l_tax", "max_null_rate": 0.5},
+                {"type": "uniqueness", "column": "l_orderkey"},
+            ],
+            _REFUSED: [{"type": "row_count", "min_rows": 1}],
+        }
+    )
+    results, denied = session.run_checks(specs, actor="agent-1")
+    checked = results.select("table", "check_type", "passed", F.col("metric_value").cast("double").alias("metric_value"))
+    refused = [
+        spark.range(1).select(F.lit(table).alias("table"), F.lit(reason).alias("reason"))
+        for table, reason in denied.items()
+    ]
+    return reduce(
+        lambda all_, one: all_.unionByName(one, allowMissingColumns=True),
+        refused,
+        checked.withColumn("reason", F.lit(None).cast("string")),
+    )
+
+
+_CHECKS_SQL = f"""
+SELECT '{_CHECKED}' AS "table", check_type, passed, metric_value, CAST(NULL AS VARCHAR) AS reason FROM (
+ SELECT 'row_count' AS check_type, count(*) >= 1 AS passed, count(*)::DOUBLE AS metric_value FROM lineitem
+ UNION ALL SELECT 'null_rate', avg((l_tax IS NULL)::INT) <= 0.5, avg((l_tax IS NULL)::INT)::DOUBLE FROM lineitem
+ UNION ALL SELECT 'uniqueness', count(*) = count(DISTINCT l_orderkey),
+  (count(*) - count(DISTINCT l_orderkey))::DOUBLE FROM lineitem) AS checks
+UNION ALL SELECT '{_REFUSED}', NULL, NULL, NULL,
+ 'Table(s) [''{_REFUSED}''] are not in the allow-list (preflight check)'"""
+
+
 def _total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = governed_session(spark, sf_dir, _used(_LARGE_LINES))
     return session.total_rows(_spark_text(_LARGE_LINES), actor="agent-1")
@@ -337,6 +384,7 @@ QUERIES = {
         _total_rows,
         f"SELECT count(*)::BIGINT AS total_rows FROM ({_plain_text(_LARGE_LINES)}) AS q",
     ),
+    "governed_checks": (_checks, _CHECKS_SQL),
     "governed_truncated": _truncated(_LARGE_LINES, 50),
     "governed_join": _governed(_JOIN),
     "governed_outer_join": _governed(_OUTER_JOIN),
