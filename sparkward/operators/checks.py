@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from sparkward.sources.specs import CheckSpec, specs_frame
 
 Moment = Column | str | None
 
-# Wider aggregations fall out of generated code; more checks take another scan.
+# Default of ``per_scan``: wider aggregations fall out of generated code.
 METRICS_PER_AGGREGATE = 60
 
 RESULT_COLUMNS = [
@@ -59,7 +59,10 @@ def metric_column(df: DataFrame, spec: CheckSpec, as_of: Moment) -> Column:
 
 
 def split_specs(
-    specs: Sequence[CheckSpec], *, footer_counts: bool = False
+    specs: Sequence[CheckSpec],
+    *,
+    footer_counts: bool = False,
+    per_scan: int = METRICS_PER_AGGREGATE,
 ) -> list[list[CheckSpec]]:
     """Group the specs of one table so that each group is one aggregation.
 
@@ -69,7 +72,8 @@ def split_specs(
     make Spark copy each row once per column, and one beside other metrics
     would carry their buffers through the shuffle. With ``footer_counts`` the
     metrics that Parquet footers can answer stay apart too, so that no data
-    page is read for them.
+    page is read for them. More than ``per_scan`` metrics take another scan; the
+    results are the same.
     """
     plain: list[CheckSpec] = []
     counts: list[CheckSpec] = []
@@ -83,13 +87,31 @@ def split_specs(
         else:
             plain.append(spec)
     shared = [
-        some[i : i + METRICS_PER_AGGREGATE]
+        some[i : i + per_scan]
         for some in (counts, plain)
-        for i in range(0, len(some), METRICS_PER_AGGREGATE)
+        for i in range(0, len(some), per_scan)
     ]
     return shared + list(by_distinct.values())
 
 
+def scan_counts(
+    spark: SparkSession, specs: Sequence[CheckSpec], *, per_scan: int = METRICS_PER_AGGREGATE
+) -> dict[str, int]:
+    """How often each table is read by :func:`run_suite`, in the order of the specs."""
+    footers = footer_counts_enabled(spark)
+    names = dict.fromkeys(spec.table for spec in specs)
+    return {
+        name: len(
+            split_specs(
+                [spec for spec in specs if spec.table == name],
+                footer_counts=footers,
+                per_scan=per_scan,
+            )
+        )
+        for name in names
+    }
+
+
 def _measure(df: DataFrame, group: Sequence[CheckSpec], as_of: Moment) -> DataFrame:
     pairs = [
         F.struct(
@@ -107,6 +129,7 @@ def measure(
     *,
     as_of: Moment | Mapping[str, Moment] = None,
     footer_counts: bool | None = None,
+    per_scan: int = METRICS_PER_AGGREGATE,
 ) -> DataFrame:
     """Metrics of all specs as rows ``(check_id, metric_value)``.
 
@@ -131,7 +154,7 @@ def measure(
         moment = as_of.get(table) if isinstance(as_of, Mapping) else as_of
         parts += [
             _measure(df, group, moment)
-            for group in split_specs(of_table, footer_counts=use_footers)
+            for group in split_specs(of_table, footer_counts=use_footers, per_scan=per_scan)
         ]
     return reduce(DataFrame.union, parts)
 
@@ -175,9 +198,12 @@ def run_suite(
     *,
     as_of: Moment | Mapping[str, Moment] = None,
     footer_counts: bool | None = None,
+    per_scan: int = METRICS_PER_AGGREGATE,
 ) -> DataFrame:
     """One result row per check; order by ``check_id`` for the given order."""
-    metrics = measure(tables, specs, as_of=as_of, footer_counts=footer_counts)
+    metrics = measure(
+        tables, specs, as_of=as_of, footer_counts=footer_counts, per_scan=per_scan
+    )
     kinds = [spec.check_type for spec in specs]
     return judge(metrics, specs_frame(metrics.sparkSession, list(specs)), kinds)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 from sparkward.functions.sqltext import JVM_CALL_WORDS
 from sparkward.operators import policy as rules
 from sparkward.operators.audit import event_id, query_events, record_then_release
-from sparkward.operators.checks import run_suite
+from sparkward.operators.checks import run_suite, scan_counts
 from sparkward.operators.policy import Policy, PolicyDenied
 from sparkward.plans.footprint import Footprint, NotEstimable, estimate, footprint_frame
-from sparkward.session import local_frame
+from sparkward.session import V1_SOURCES, local_frame
 from sparkward.sources.specs import CheckSpec
 
 _REQUEST = T.StructType(
@@ -43,19 +43,26 @@ _JUDGED = T.StructType(
 
 
 def open_session(
-    spark: SparkSession, tables: Mapping[str, str | Callable[[SparkSession], DataFrame]]
+    spark: SparkSession,
+    tables: Mapping[str, str | Callable[[SparkSession], DataFrame]],
+    *,
+    whole_files: bool = False,
 ) -> SparkSession:
     """A session that sees the given tables and nothing else by name.
 
     ``tables`` maps logical names (``project.dataset.table``; quote them with
     backticks in SQL) to Parquet paths, or to functions that read a DataFrame in
     the session given to them. Reading files by path is switched off, and each
-    view is a projection, which no INSERT is accepted into.
+    view is a projection, which no INSERT is accepted into. ``whole_files`` keeps
+    Spark's default readers, whose sizes are those of the files, whichever reader
+    the given session uses.
     """
     session = spark.newSession()
     for name, value in spark.conf.getAll.items():
         if name.startswith("spark.sql.") and session.conf.isModifiable(name):
             session.conf.set(name, value)
+    if whole_files:
+        session.conf.unset(V1_SOURCES)
     for name, source in tables.items():
         df = session.read.parquet(source) if isinstance(source, str) else source(session)
         df.select("*").createOrReplaceTempView(f"`{name}`")
@@ -110,6 +117,11 @@ class GovernedSession:
     ) -> None:
         self._spark = spark
         self._session = open_session(spark, tables)
+        # Another reader scales the sizes of files by the columns read; bounds come from the default.
+        same_reader = spark.conf.get(V1_SOURCES) == spark.newSession().conf.get(V1_SOURCES)
+        self._planning = (
+            self._session if same_reader else open_session(spark, tables, whole_files=True)
+        )
         self._policy = policy
         self._write_events = write_events
         self._fail_closed = fail_closed
@@ -150,14 +162,14 @@ class GovernedSession:
     ) -> tuple[DataFrame | None, dict[str, str]]:
         """Results of the tables the policy allows, and reasons for the others.
 
-        Each table is decided once, before any is scanned; a denied table does
-        not cost the others their results.
+        Each table is decided once, before any is scanned, and charged for every
+        scan its checks need; a denied table does not cost the others their results.
         """
-        names = list(dict.fromkeys(spec.table for spec in specs))
+        scans = scan_counts(self._spark, specs)
+        names = list(scans)
         statements = [f"SELECT * FROM `{name}`" for name in names]
-        outcomes = dict(
-            zip(names, self._authorize(statements, actor, "quality_checks"), strict=True)
-        )
+        decided = self._authorize(statements, actor, "quality_checks", list(scans.values()))
+        outcomes = dict(zip(names, decided, strict=True))
         denied = {name: o.reason for name, o in outcomes.items() if not o.allowed}
         tables = {
             name: self._session.table(f"`{name}`") for name, o in outcomes.items() if o.allowed
@@ -176,26 +188,35 @@ class GovernedSession:
         self._authorize([sql], actor, "sql_query")[0].require()
         return self._session.sql(sql)
 
-    def _authorize(self, statements: list[str], actor: str, operation: str) -> list[_Outcome]:
-        """Decide on some statements and write all decisions to the trail at once."""
+    def _authorize(
+        self, statements: list[str], actor: str, operation: str, scans: list[int] | None = None
+    ) -> list[_Outcome]:
+        """Decide on some statements and write all decisions to the trail at once.
+
+        ``scans`` is how often each statement is going to read its tables, once unless given.
+        """
         now = datetime.now(timezone.utc)
         requests = [[uuid.uuid4().hex, now, actor, sql, None, None] for sql in statements]
         frame = local_frame(self._spark, _REQUEST, requests)
         # The text is judged before Spark plans it.
         text = rules.judge_text(frame, self._policy, extra_words=JVM_CALL_WORDS)
-        judged = {row["request_id"]: row.asDict() for row in text.collect()}
+        found = {row["request_id"]: row.asDict() for row in text.collect()}
+        judged = {i: found[i] for i, *_ in requests}
+        times = dict(zip(judged, scans or [1] * len(judged), strict=True))
         footprints: dict[str, Footprint] = {}
         causes: dict[str, NotEstimable] = {}
         for request_id, row in judged.items():
             if row["preflight_reason"] is None:
                 try:
-                    found = footprints[request_id] = estimate(self._session, row["sql"])
+                    once = estimate(self._planning, row["sql"])
                 except NotEstimable as cause:
                     # Nothing could be resolved, which the second phase refuses.
                     causes[request_id] = cause
                 else:
-                    row["referenced_tables"] = list(found.referenced_tables)
-                    row["estimated_bytes"] = found.estimated_bytes
+                    scanned = once.estimated_bytes * times[request_id]
+                    footprints[request_id] = replace(once, estimated_bytes=scanned)
+                    row["referenced_tables"] = list(once.referenced_tables)
+                    row["estimated_bytes"] = scanned
         frame = local_frame(
             self._spark, _JUDGED, [[row[name] for name in _JUDGED.names] for row in judged.values()]
         )

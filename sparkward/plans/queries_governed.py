@@ -7,13 +7,15 @@ three-part names, in the comparison their own.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkward.operators.access import GuardedInventories
 from sparkward.operators.governed import GovernedSession
-from sparkward.operators.policy import Policy
+from sparkward.operators.policy import Policy, PolicyDenied
 from sparkward.plans import derived, footprint
 from sparkward.session import shared_dir
 from sparkward.sources import objects as object_source
@@ -211,7 +213,7 @@ _CHECKED, _REFUSED = _name("lineitem"), "shop.raw.orders"
 
 
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A suite under the policy: one table is checked, the other refused with its reason."""
+    """Suites under the policy: one table is checked, one refused by its name, one suite by its bytes."""
     path = shared_dir(spark, "governed-trail")
     session = GovernedSession(
         spark,
@@ -230,6 +232,19 @@ def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     results, denied = session.run_checks(specs, actor="agent-1")
+    # Room for two scans of the table, and a suite that needs three.
+    room = 2 * session.estimate(f"SELECT * FROM `{_CHECKED}`", actor="agent-1").estimated_bytes
+    narrow = GovernedSession(
+        spark,
+        {_CHECKED: f"{sf_dir}/lineitem.parquet"},
+        Policy(tables=["shop.gold.*"], max_bytes=room),
+        lambda events: trail.append_events(events, path, uuid.uuid4().hex),
+    )
+    columns = ["l_orderkey", "l_partkey", "l_suppkey"]
+    three = [{"type": "uniqueness", "column": column} for column in columns]
+    _, too_large = narrow.run_checks(parse_checks({_CHECKED: three}), actor="agent-2")
+    denied |= {table: reason.split(" bytes")[1] for table, reason in too_large.items()}
+    denied = {k: v.replace(str(room), "the ceiling") for k, v in denied.items()}
     checked = results.select("table", "check_type", "passed", F.col("metric_value").cast("double").alias("metric_value"))
     refused = [
         spark.range(1).select(F.lit(table).alias("table"), F.lit(reason).alias("reason"))
@@ -248,6 +263,7 @@ SELECT '{_CHECKED}' AS "table", check_type, passed, metric_value, CAST(NULL AS V
  UNION ALL SELECT 'null_rate', avg((l_tax IS NULL)::INT) <= 0.5, avg((l_tax IS NULL)::INT)::DOUBLE FROM lineitem
  UNION ALL SELECT 'uniqueness', count(*) = count(DISTINCT l_orderkey),
   (count(*) - count(DISTINCT l_orderkey))::DOUBLE FROM lineitem) AS checks
+UNION ALL SELECT '{_CHECKED}', NULL, NULL, NULL, ' exceeds ceiling of the ceiling'
 UNION ALL SELECT '{_REFUSED}', NULL, NULL, NULL,
  'Table(s) [''{_REFUSED}''] are not in the allow-list (preflight check)'"""
 
@@ -257,15 +273,6 @@ def _total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.total_rows(_spark_text(_LARGE_LINES), actor="agent-1")
 
 
-def _footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Footprints of statements over the tables; the bytes depend on the engine."""
-    statements = {"large_lines": _LARGE_LINES, "join": _JOIN, "semi_join": _SEMI_JOIN}
-    session = governed_session(spark, sf_dir, _used(*statements.values()))
-    return session.footprints(
-        {name: _spark_text(text) for name, text in statements.items()}, actor="agent-1"
-    )
-
-
 def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = derived.query_log(spark, sf_dir)
     scanned = log.select("request_id", (F.col("estimated_bytes") * 1_000_000).alias("bytes"))
@@ -315,9 +322,52 @@ def _objects_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return object_source.object_metadata(inventory, "example.net", name)
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The data folder's own files."""
-    return object_source.list_files(spark, sf_dir).select("name", "size_bytes", "content_type")
+def _guarded(spark: SparkSession, path: str) -> GuardedInventories:
+    return GuardedInventories(
+        spark,
+        Policy(buckets=["example.*"], dags=["dag-[0-3]"]),
+        lambda events: trail.append_events(events, path, uuid.uuid4().hex),
+    )
+
+
+def _outcomes(spark: SparkSession, path: str, asked: str, requests: Mapping) -> DataFrame:
+    """Rows of the allowed requests, refusals of the others, and what the trail holds of both."""
+    parts = []
+    for value, request in requests.items():
+        try:
+            parts.append(request(value).select(F.lit("row").alias("kind"), F.to_json(F.struct("*")).alias("body")))
+        except PolicyDenied as denial:
+            refusal = F.lit(denial.reason).alias("body")
+            parts.append(spark.range(1).select(F.lit("refused").alias("kind"), refusal))
+    events = trail.read_events(spark, path).select(
+        F.lit("event").alias("kind"),
+        F.concat_ws(" ", "tool_name", "actor", F.get_json_object("parameters", f"$.{asked}"), "decision").alias("body"),
+    )
+    return reduce(DataFrame.unionByName, [*parts, events])
+
+
+_LISTED, _UNLISTED = "example.net", "sample.org"
+
+
+def _guarded_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An allowed and a refused bucket, each recorded before anything is listed."""
+    path = shared_dir(spark, "guarded-trail")
+    access = _guarded(spark, path)
+    inventory = _inventory(spark, sf_dir).select("bucket", "name", "size_bytes")
+
+    def listed(bucket: str) -> DataFrame:
+        return access.list_objects(inventory, bucket, f"m.{bucket}", actor="agent-1")
+
+    return _outcomes(spark, path, "bucket", dict.fromkeys([_LISTED, _UNLISTED], listed))
+
+
+_GUARDED_LISTING_SQL = f"""
+SELECT 'row' AS kind, concat('{{"bucket":"', bucket, '","name":"', name, '","size_bytes":', size_bytes, '}}') AS body
+FROM (SELECT * FROM ({_OBJECTS_SQL}) AS q WHERE bucket = '{_LISTED}' AND starts_with(name, 'm.{_LISTED}')
+      ORDER BY name LIMIT 100) AS l
+UNION ALL SELECT 'refused', 'Bucket ''{_UNLISTED}'' is not in the allow-list'
+UNION ALL SELECT 'event', 'object_list agent-1 {_LISTED} allowed'
+UNION ALL SELECT 'event', 'object_list agent-1 {_UNLISTED} denied'"""
 
 
 # --- runs -------------------------------------------------------------------
@@ -361,6 +411,29 @@ def _run_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.find_run(_run_status(spark, sf_dir), f"dag-{newest[0] % 5}", f"run-{newest[1]}")
 
 
+def _guarded_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest run of an allowed and of a refused pipeline, each recorded."""
+    path = shared_dir(spark, "guarded-trail")
+    access, status = _guarded(spark, path), _run_status(spark, sf_dir)
+    number = F.regexp_extract("run_id", r"(\d+)$", 1).cast("bigint")
+    newest = dict(status.groupBy("dag_id").agg(F.max_by("run_id", number)).where("dag_id IN ('dag-1', 'dag-4')").collect())
+
+    def found(dag_id: str) -> DataFrame:
+        run = access.run_status(status, dag_id, newest.get(dag_id, ""), actor="agent-2")
+        return run.select("dag_id", "run_id", "state")
+
+    return _outcomes(spark, path, "dag_id", dict.fromkeys(["dag-1", "dag-4"], found))
+
+
+_GUARDED_RUN_SQL = f"""
+SELECT 'row' AS kind, concat('{{"dag_id":"', dag_id, '","run_id":"', run_id, '","state":"', state, '"}}') AS body
+FROM ({_RUN_STATUS_SQL}) AS r WHERE run_id = (
+  SELECT concat('run-', max(o_orderkey)) FROM orders WHERE o_custkey % 5 = 1)
+UNION ALL SELECT 'refused', 'DAG ''dag-4'' is not in the allow-list'
+UNION ALL SELECT 'event', 'run_status agent-2 dag-1 allowed'
+UNION ALL SELECT 'event', 'run_status agent-2 dag-4 denied'"""
+
+
 def _service_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = runs.run_status(derived.run_payloads(spark, sf_dir))
     return runs.service_levels(status, max_minutes=720).withColumn(
@@ -400,7 +473,6 @@ QUERIES = {
     "governed_setop": _governed(_SETOP),
     "governed_functions": _governed(_FUNCTIONS),
     "governed_arrays": _arrays(),
-    "scan_footprint": (_footprints, None),
     "scan_cost": (_costs, _COSTS_SQL),
     "objects_list": (
         _objects_list,
@@ -412,7 +484,8 @@ QUERIES = {
         f"WITH o AS ({_OBJECTS_SQL}) SELECT * FROM o WHERE bucket = 'example.net' "
         "AND name = (SELECT max(name) FROM o WHERE bucket = 'example.net')",
     ),
-    "objects_files": (_files, None),
+    "governed_listing": (_guarded_listing, _GUARDED_LISTING_SQL),
+    "governed_run_status": (_guarded_run_status, _GUARDED_RUN_SQL),
     "runs_status": (_run_status, _RUN_STATUS_SQL),
     "runs_broken": (
         _run_broken,

@@ -13,15 +13,16 @@ from pyspark.sql import types as T
 
 # Let row counts and null counts be answered from Parquet footers. Both are
 # needed: the aggregate push-down exists only in the newer Parquet reader.
+V1_SOURCES = "spark.sql.sources.useV1SourceList"
 FOOTER_COUNT_CONF = {
-    "spark.sql.sources.useV1SourceList": "",
+    V1_SOURCES: "",
     "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 
 def footer_counts_enabled(spark: SparkSession) -> bool:
     """True if this session answers COUNT(*) and COUNT(column) from footers."""
-    v1_sources = spark.conf.get("spark.sql.sources.useV1SourceList", "parquet")
+    v1_sources = spark.conf.get(V1_SOURCES, "parquet")
     pushdown = spark.conf.get("spark.sql.parquet.aggregatePushdown", "false")
     return pushdown == "true" and "parquet" not in v1_sources.split(",")
 

@@ -7,23 +7,16 @@ it is the inventory table such stores can write themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from sparkward.session import local_frame, shared_dir
 
 OBJECT_COLUMNS = ["bucket", "name", "size_bytes", "content_type", "updated_at", "etag"]
 
 DEFAULT_MAX_RESULTS = 100
 
-_ENTRIES_PER_BATCH = 10_000
-_FOLDER = T.StructType([T.StructField("name", T.StringType())])
-_ENTRY = "name STRING, folder BOOLEAN, size_bytes LONG, mtime_ns LONG"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 # File extension and MIME type.
 CONTENT_TYPES = {
@@ -56,63 +49,26 @@ def content_type(name: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), extension)
 
 
-def _list_level(root: str):
-    """A function from folders (relative to ``root``) to the entries in them."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file_system, base = pafs.FileSystem.from_uri(root)
-        base = base.rstrip("/")
-        for batch in batches:
-            for folder in batch["name"]:
-                selector = pafs.FileSelector(f"{base}/{folder}".rstrip("/") or "/")
-                entries = file_system.get_file_info(selector)
-                for start in range(0, len(entries), _ENTRIES_PER_BATCH):
-                    some = entries[start : start + _ENTRIES_PER_BATCH]
-                    yield pd.DataFrame(
-                        {
-                            "name": [entry.path[len(base) + 1 :] for entry in some],
-                            "folder": [entry.type == pafs.FileType.Directory for entry in some],
-                            "size_bytes": [entry.size or 0 for entry in some],
-                            "mtime_ns": [entry.mtime_ns or 0 for entry in some],
-                        }
-                    )
-
-    return run
+def _without_scheme(path: str) -> str:
+    return re.sub(_SCHEME, "", path).rstrip("/")
 
 
 def list_files(spark: SparkSession, root: str, bucket: str | None = None) -> DataFrame:
-    """All files below ``root`` as objects; names are relative to it.
+    """The files below ``root`` as objects; names are relative to it.
 
-    Spark's own file sources leave out empty and hidden files, and list on the
-    driver. Here the tasks list the folders, one level of the tree after the
-    other; each level is written to the shared folder, so that a lost executor
-    does not make the walk start again. Contents are never read, and the file
-    system offers no entity tag.
+    Listed by Spark through its file systems and their credentials, in parallel
+    once there are many folders; contents are never read. As in every file source
+    of Spark, empty files and names that begin with ``.`` or ``_`` are left out,
+    and no entity tag is known.
     """
-    listing = shared_dir(spark, "listing")
-    level = local_frame(spark, _FOLDER, [("",)])
-    depth = folders = 1
-    while folders:
-        # A given number of partitions: sized by the work, not by the few bytes.
-        tasks = min(folders, 4 * spark.sparkContext.defaultParallelism)
-        found = level.repartition(tasks).mapInPandas(_list_level(root), _ENTRY)
-        found.write.parquet(f"{listing}/depth={depth}")
-        level = (
-            spark.read.schema(_ENTRY)
-            .parquet(f"{listing}/depth={depth}")
-            .where("folder")
-            .select("name")
-        )
-        depth, folders = depth + 1, level.count()
-    files = spark.read.schema(_ENTRY).parquet(listing).where("NOT folder")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = _without_scheme(root)
     return files.select(
-        F.lit(bucket or root.rstrip("/").rsplit("/", 1)[-1]).alias("bucket"),
-        "name",
-        "size_bytes",
-        content_type(F.col("name")).alias("content_type"),
-        F.when(F.col("mtime_ns") > 0, F.timestamp_micros(F.expr("mtime_ns div 1000"))).alias(
-            "updated_at"
-        ),
+        F.lit(bucket or base.rsplit("/", 1)[-1]).alias("bucket"),
+        F.substr(F.regexp_replace("path", _SCHEME, ""), F.lit(len(base) + 2)).alias("name"),
+        F.col("length").alias("size_bytes"),
+        content_type(F.col("path")).alias("content_type"),
+        F.col("modificationTime").alias("updated_at"),
         F.lit(None).cast("string").alias("etag"),
     )
 

@@ -19,8 +19,8 @@ TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
-# SQL has no way to say these: approximate values, sizes on this machine.
-WITHOUT_SQL = {"quality_profile_approx", "scan_footprint", "objects_files"}
+# SQL has no way to say this: approximate values.
+WITHOUT_SQL = {"quality_profile_approx"}
 
 
 @pytest.fixture(scope="module")

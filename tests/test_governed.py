@@ -10,6 +10,7 @@ from conftest import DATA
 from sparkward.operators.governed import GovernedSession, open_session
 from sparkward.operators.policy import Policy, PolicyDenied
 from sparkward.plans.footprint import Footprint, NotEstimable, estimate
+from sparkward.session import FOOTER_COUNT_CONF
 from sparkward.sources import trail
 from sparkward.sources.specs import parse_checks
 
@@ -209,3 +210,37 @@ def test_checks_under_the_policy(spark, folder):
     assert sorted((t, d) for t, d, _ in recorded(spark, folder)) == [
         ("quality_checks", "allowed"), ("quality_checks", "denied"),
     ]
+
+
+@pytest.mark.parametrize("sql", ["SELECT l_orderkey", "SELECT count(*)", "SELECT *"])
+def test_estimates_do_not_depend_on_the_reader(spark, folder, conf, sql):
+    statement = f"{sql} FROM `shop.gold.lineitem`"
+    whole = governed(spark, folder).estimate(statement, actor="a").estimated_bytes
+    for name, value in FOOTER_COUNT_CONF.items():
+        conf(name, value)
+    found = governed(spark, folder).estimate(statement, actor="a")
+    assert found.estimated_bytes == whole
+    assert found.referenced_tables == ("shop.gold.lineitem",)
+    with pytest.raises(PolicyDenied, match="exceeds ceiling"):
+        governed(spark, folder, max_bytes=whole - 1).query(statement, actor="a")
+
+
+def test_footprints_of_several_statements(spark, folder):
+    found = governed(spark, folder).footprints(
+        {"rows": ORDERS, "join": f"SELECT * FROM ({ORDERS}) JOIN `shop.gold.customer` ON o_orderkey = c_custkey"},
+        actor="a",
+    )
+    rows = {r["statement"]: r for r in found.collect()}
+    assert rows["join"]["estimated_bytes"] > rows["rows"]["estimated_bytes"] > 0
+    assert sorted(rows["join"]["referenced_tables"]) == ["shop.gold.customer", "shop.gold.orders"]
+
+
+def test_a_suite_is_charged_for_every_scan(spark, folder):
+    name = "shop.gold.orders"
+    one = governed(spark, folder).estimate(f"SELECT * FROM `{name}`", actor="a").estimated_bytes
+    checks = [{"type": "uniqueness", "column": c} for c in ("o_orderkey", "o_custkey")]
+    specs = parse_checks({name: [*checks, {"type": "row_count", "min_rows": 1}]})
+    _, denied = governed(spark, folder, max_bytes=3 * one - 1).run_checks(specs, actor="a")
+    assert denied == {name: f"Estimated {3 * one} bytes exceeds ceiling of {3 * one - 1}"}
+    results, denied = governed(spark, folder, max_bytes=3 * one).run_checks(specs, actor="a")
+    assert not denied and results.count() == 3
