@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,9 +101,12 @@ def record_then_release(
 
     If the trail cannot be written, the cause is logged and every decision of the
     batch becomes a denial; with ``fail_closed=False`` the error is raised instead.
+    A fault of the program (an unresolved column, a wrong type) is always raised.
     """
     try:
         write(events)
+    except (AnalysisException, TypeError, NameError, AttributeError):
+        raise
     except Exception:
         if not fail_closed:
             raise

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ def apply_mapping(source: DataFrame, mappings: Sequence[Mapping]) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The newest row of each key by ``order``.
+    """The newest row of each key by ``order``, which must tell a key's rows apart: any of
+    several that are equal in it may come out.
 
     An aggregation, so each task sends one row per key: a key with a third of
     all rows costs no more than another.
@@ -36,6 +38,27 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.groupBy(*keys).agg(latest).select(*keys, "latest.*").select(*df.columns)
 
 
+def high_water_mark(target: DataFrame, column: str):
+    """The largest value loaded so far; None for an empty target."""
+    return target.agg(F.max(column)).first()[0]
+
+
+def changed_since(source: DataFrame, column: str, mark) -> DataFrame:
+    """Rows behind a mark: a filter that skips older files. All of them without a mark.
+
+    For sources that only add rows with growing values. A mark that is a date
+    stands for the whole day. Rows without a value are not behind any mark: they
+    are kept on every run, to be told apart by their keys.
+    """
+    if mark is None:
+        return source
+    if isinstance(mark, date) and not isinstance(mark, datetime):
+        behind = F.col(column) >= F.lit(mark + timedelta(days=1))
+    else:
+        behind = F.col(column) > F.lit(mark)
+    return source.where(behind | F.col(column).isNull())
+
+
 def new_rows(mapped: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key the target does not hold yet (a null key is never held)."""
     # Distinct first: the target's keys are then reduced before they are shuffled.
@@ -49,7 +72,11 @@ def incremental_load(
     keys: Sequence[str],
     order: Sequence[str],
 ) -> DataFrame:
-    """Mapped rows to append: the newest of each key that is new to the target."""
+    """Mapped rows to append: the newest of each key that is new to the target.
+
+    Reads all of ``source``; hand in what :func:`changed_since` leaves of it where
+    the source only grows.
+    """
     mapped = apply_mapping(source, mappings)
     return new_rows(latest_per_key(mapped, keys, order), target, keys)
 

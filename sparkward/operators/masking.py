@@ -12,8 +12,9 @@ def _hide(column: Column) -> Column:
     return F.mask(column.cast("string"))
 
 
-def _hash(column: Column) -> Column:
-    return F.sha2(column.cast("string"), 256)
+def keyed_hash(column: Column, key: str) -> Column:
+    """A stable pseudonym; without the key, values can't be found by trying them."""
+    return F.sha2(F.concat(F.lit(f"{key}|"), column.cast("string")), 256)
 
 
 def _last_four(column: Column) -> Column:
@@ -27,20 +28,30 @@ def _null(column: Column) -> Column:
     return F.when(F.lit(False), column)
 
 
-# "mask" replaces letters and digits, "hash" is a stable pseudonym, "last4"
-# shows four characters, "null" drops the value and keeps the type.
-MASKS = {"mask": _hide, "hash": _hash, "last4": _last_four, "null": _null}
+# "mask" replaces letters and digits, "last4" shows four characters, "null" drops
+# the value and keeps the type.
+MASKS = {"mask": _hide, "last4": _last_four, "null": _null}
 
 
-def mask_columns(df: DataFrame, masks: Mapping[str, str]) -> DataFrame:
-    """Replace columns by masked ones: ``{column: kind of mask}``."""
-    unknown = sorted(set(masks.values()) - set(MASKS))
+def mask_columns(
+    df: DataFrame, masks: Mapping[str, str], *, hash_key: str | None = None
+) -> DataFrame:
+    """Replace columns by masked ones: ``{column: kind of mask}``.
+
+    The kind ``hash`` is a pseudonym and needs ``hash_key``, which is to be kept secret.
+    """
+    kinds = dict(MASKS)
+    if hash_key:
+        kinds["hash"] = lambda column: keyed_hash(column, hash_key)
+    elif "hash" in masks.values():
+        raise ValueError("The mask 'hash' needs a hash_key")
+    unknown = sorted(set(masks.values()) - set(kinds))
     if unknown:
-        raise ValueError(f"Unknown masks {unknown}; expected some of {sorted(MASKS)}")
+        raise ValueError(f"Unknown masks {unknown}; expected some of {sorted(kinds)}")
     missing = sorted(set(masks) - set(df.columns))
     if missing:
         raise ValueError(f"No columns {missing}")
-    return df.withColumns({name: MASKS[kind](F.col(f"`{name}`")) for name, kind in masks.items()})
+    return df.withColumns({name: kinds[kind](F.col(f"`{name}`")) for name, kind in masks.items()})
 
 
 def visible_rows(

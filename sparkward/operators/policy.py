@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkward.functions.globs import matches_any
+from sparkward.functions.globs import glob_to_regex, matches_any
 from sparkward.functions.sqltext import (
     LEADING_WORDS,
     clean_sql,
@@ -24,10 +25,6 @@ from sparkward.functions.sqltext import (
 )
 from sparkward.functions.text import quoted, quoted_names
 
-# More patterns than this are no configuration any more: see ``allow_list_report``
-# for allow-lists that are tables.
-MAX_WILDCARD_PATTERNS = 1_000
-
 # The reasons, in the order they are tested.
 EMPTY = "Empty query"
 NO_WORDS = "No SQL tokens found"
@@ -287,29 +284,49 @@ def reference_counts(log: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.StringType())
+def _regex_of(patterns: pd.Series) -> pd.Series:
+    return patterns.map(glob_to_regex)
+
+
 def allow_list_report(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """Match names (column ``table_name``) against an allow-list that is a table.
 
-    Entries without a wildcard may be of any number: they are joined by
-    equality. Entries with one are few by nature; they are counted and become
-    one condition. The patterns need a column ``pattern``.
+    Entries (column ``pattern``) may be of any number, with or without
+    wildcards. Those without are joined by equality. The others are joined by
+    the literal text before their first or behind their last wildcard, whichever
+    is longer, and only then tested: a name meets the entries that share that
+    text with it. A null name is allowed by none.
     """
     is_wild = F.col("pattern").rlike(r"[*?\[]")
-    wild = [
-        row["pattern"]
-        for row in patterns.where(is_wild)
-        .select("pattern")
-        .distinct()
-        .limit(MAX_WILDCARD_PATTERNS + 1)
-        .collect()
-    ]
-    if len(wild) > MAX_WILDCARD_PATTERNS:
-        raise ValueError(f"More than {MAX_WILDCARD_PATTERNS} wildcard patterns in an allow-list")
-    plain = patterns.where(~is_wild).select(F.col("pattern").alias("table_name")).distinct()
-    listed = plain.withColumn("listed", F.lit(True))
+    entries = patterns.select("pattern").where(F.col("pattern").isNotNull()).distinct()
+    plain = entries.where(~is_wild).select(F.col("pattern").alias("table_name"))
+    head = F.regexp_extract("pattern", r"^[^*?\[]*", 0)
+    tail = F.regexp_extract("pattern", r"[^*?\[\]]*\z", 0)
+    by_head = F.length(head) >= F.length(tail)
+    wild = entries.where(is_wild).select(
+        by_head.alias("by_head"),
+        F.when(by_head, head).otherwise(tail).alias("anchor"),
+        _regex_of("pattern").alias("regex"),
+    )
+    # Every beginning and every end of a name, the empty one as a beginning only.
+    name, length = F.col("table_name"), F.length("table_name")
+    heads = F.transform(
+        F.sequence(F.lit(0), length),
+        lambda n: F.struct(F.lit(True).alias("by_head"), F.left(name, n).alias("anchor")),
+    )
+    tails = F.transform(
+        F.sequence(F.lit(1), length),
+        lambda n: F.struct(F.lit(False).alias("by_head"), F.right(name, n).alias("anchor")),
+    )
+    named = names.select("table_name").where(F.length("table_name") > 0).distinct()
+    found = (
+        named.select("table_name", F.inline(F.concat(heads, tails)))
+        .join(wild, ["by_head", "anchor"])
+        .where(F.rlike(F.col("table_name"), F.col("regex")))
+        .select("table_name")
+    )
+    listed = plain.union(found).distinct().withColumn("listed", F.lit(True))
     return names.join(listed, "table_name", "left").select(
-        *names.columns,
-        (F.coalesce("listed", F.lit(False)) | matches_any(F.col("table_name"), wild)).alias(
-            "allowed"
-        ),
+        *names.columns, F.coalesce("listed", F.lit(False)).alias("allowed")
     )

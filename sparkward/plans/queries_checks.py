@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkward.functions.metrics import Check, at_most, register_check, registered_checks
 from sparkward.operators import loads, masking, quality
 from sparkward.operators.checks import overall_verdict, run_suite, suite_reports
 from sparkward.plans.derived import (
@@ -304,7 +305,10 @@ GROUP BY window_start"""
 
 # --- profiles, contracts, duplicates, reports --------------------------------
 
-_PROFILED = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double"}
+_PROFILED = {
+    "event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string",
+    "value": "double", "props": "string",
+}
 
 
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,30 +320,54 @@ def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sparse_events_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
-        "event_id", "user_id", "event_type", f"{_SPARSE} AS value"
+        "event_id", "ts", "user_id", "event_type", f"{_SPARSE} AS value", "props"
     )
 
 
 def _profile_sql() -> str:
     parts = []
     for name, data_type in _PROFILED.items():
-        mean = f"round(avg({name}), 6)" if data_type != "string" else "NULL::DOUBLE"
+        mean = f"round(avg({name}), 6)" if data_type in ("bigint", "double") else "NULL::DOUBLE"
         parts.append(
             f"SELECT '{name}' AS \"column\", '{data_type}' AS data_type, "
             f"count(*)::BIGINT AS rows, (count(*) - count({name}))::BIGINT AS nulls, "
             f"min({name})::VARCHAR AS min_value, max({name})::VARCHAR AS max_value, "
             f"{mean}::DOUBLE AS mean_value, count(DISTINCT {name})::BIGINT AS distinct_values "
-            f"FROM (SELECT event_id, user_id, event_type, {_SPARSE} AS value FROM events) AS s"
+            f"FROM (SELECT event_id, ts, user_id, event_type, {_SPARSE} AS value, props "
+            "FROM events) AS s"
         )
     return " UNION ALL ".join(parts)
 
 
 def _profile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.profile(
-        table(spark, sf_dir, "lineitem"),
-        ["l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag"],
-        distinct="approximate",
-        percentiles=[0.25, 0.5, 0.75],
+    """Sketches over all columns, held against exact values: are they near?"""
+    lines = table(spark, sf_dir, "lineitem")
+    sketched = quality.profile(lines, distinct="approximate", percentiles=[0.25, 0.5, 0.75])
+    exact = quality.profile(lines, distinct="exact").select(
+        "column", F.col("distinct_values").alias("exact_values")
+    )
+    return sketched.join(exact, "column").select(
+        "column",
+        "data_type",
+        "rows",
+        "nulls",
+        "exact_values",
+        (F.abs(F.col("distinct_values") - F.col("exact_values")) <= 0.2 * F.col("exact_values")).alias("near"),
+        (F.array_sort("percentiles") == F.col("percentiles")).alias("percentiles_rise"),
+    )
+
+
+def _profile_approx_sql() -> str:
+    numbers = {
+        "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int",
+        "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+    }
+    others = {"l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS \"column\", '{kind}' AS data_type, count(*)::BIGINT AS rows, "
+        f"(count(*) - count({name}))::BIGINT AS nulls, count(DISTINCT {name})::BIGINT AS exact_values, "
+        f"true AS near, {'true' if name in numbers else 'NULL::BOOLEAN'} AS percentiles_rise FROM lineitem"
+        for name, kind in (numbers | others).items()
     )
 
 
@@ -357,6 +385,7 @@ SELECT 'events' AS "table", 'null_rate' AS check_type, "column",
        round(least(nulls::DOUBLE / rows + 0.05, 1.0), 9) AS threshold FROM p
 UNION ALL SELECT 'events', 'uniqueness', "column", 0.0::DOUBLE FROM p
           WHERE nulls = 0 AND distinct_values = rows
+UNION ALL SELECT 'events', 'freshness', "column", 24.0::DOUBLE FROM p WHERE data_type = 'timestamp_ntz'
 UNION ALL SELECT 'events', 'row_count', NULL::VARCHAR, max(rows)::DOUBLE FROM p"""
 
 
@@ -389,6 +418,20 @@ _CONTRACT_SQL = " UNION ALL ".join(
 )
 
 
+_ORDER_TYPES = {
+    "o_orderkey": "bigint", "o_custkey": "string", "o_orderstatus": "string", "o_clerk": "string",
+    "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+}
+
+
+def _schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that break the contract, with the rows that hold a value there."""
+    orders = table(spark, sf_dir, "orders")
+    found = quality.schema_violations(orders, quality.Contract(types=_ORDER_TYPES, rules={}))
+    filled = quality.profile(orders, distinct="none").selectExpr("column", "rows - nulls AS filled")
+    return found.join(filled, "column", "left")
+
+
 def _contract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.row_violations(table(spark, sf_dir, "orders"), _contract()).select(
         "o_orderkey", F.array_join("broken_rules", ",").alias("broken_rules")
@@ -466,10 +509,36 @@ _PLAYBOOK_SQL = (
 # --- masking, loads ---------------------------------------------------------
 
 
+def _incremental_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only lines shipped after what the target holds already are read and mapped."""
+    source = table(spark, sf_dir, "lineitem")
+    target = loads.apply_mapping(source.where("l_shipdate < TIMESTAMP_NTZ '1997-01-01 00:00:00'"), _LOAD_MAPPING)
+    mark = loads.high_water_mark(target, "shipped_on")
+    rows = loads.incremental_load(
+        loads.changed_since(source, "l_shipdate", mark), target, _LOAD_MAPPING, ["order_id"], _LOAD_ORDER
+    )
+    return rows.withColumns(
+        {"shipped_on": F.col("shipped_on").cast("string"), "amount": F.col("amount").cast("double")}
+    )
+
+
+_INCREMENTAL_SINCE_SQL = """
+WITH m AS (SELECT l_orderkey AS order_id, l_linenumber::BIGINT AS line,
+                  l_shipdate::DATE AS shipped_on, l_extendedprice::DECIMAL(12,2) AS amount,
+                  l_partkey AS part_id, l_suppkey AS supplier_id FROM lineitem),
+latest AS (SELECT * FROM m WHERE shipped_on >= DATE '1997-01-01'
+           QUALIFY row_number() OVER (PARTITION BY order_id
+           ORDER BY shipped_on DESC, line DESC, part_id DESC, supplier_id DESC, amount DESC) = 1)
+SELECT order_id, line, shipped_on::VARCHAR AS shipped_on, amount::DOUBLE AS amount, part_id,
+       supplier_id
+FROM latest WHERE order_id NOT IN (SELECT order_id FROM m WHERE shipped_on < DATE '1997-01-01')"""
+
+
 def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masking.mask_columns(
         table(spark, sf_dir, "customer"),
         {"c_name": "mask", "c_mktsegment": "hash", "c_acctbal": "null"},
+        hash_key="of the test",
     ).withColumn("c_phone", masking.MASKS["last4"](F.col("c_custkey") + 1_000_000))
 
 
@@ -477,7 +546,7 @@ _MASK_SQL = """
 SELECT c_custkey,
   regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'),
     '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g') AS c_name,
-  c_nationkey, NULL::DOUBLE AS c_acctbal, sha256(c_mktsegment) AS c_mktsegment,
+  c_nationkey, NULL::DOUBLE AS c_acctbal, sha256(concat('of the test', '|', c_mktsegment)) AS c_mktsegment,
   concat(repeat('*', length((c_custkey + 1000000)::VARCHAR) - 4),
          right((c_custkey + 1000000)::VARCHAR, 4)) AS c_phone
 FROM customer"""
@@ -545,6 +614,45 @@ SELECT l_suppkey, count(*)::BIGINT AS rows,
        round(count(*)::DOUBLE / (SELECT count(*) FROM lineitem), 9) AS share
 FROM lineitem GROUP BY l_suppkey ORDER BY rows DESC, l_suppkey LIMIT 20"""
 
+
+def _own_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A check of one's own, registered next to the given ones and run in the same scan."""
+    if "mean" not in registered_checks():
+        register_check(
+            Check(
+                name="mean",
+                parameter="max_mean",
+                metric=lambda target: F.avg(target.column),
+                verdict=at_most,
+                detail=lambda metric, threshold: F.concat(F.lit("mean "), F.round(metric, 4).cast("string")),
+            )
+        )
+    specs = parse_checks(
+        {
+            "lineitem": [
+                {"type": "mean", "column": "l_quantity", "max_mean": 10},
+                {"type": "mean", "column": "l_discount", "max_mean": 0.5},
+                {"type": "row_count", "min_rows": 1},
+            ]
+        }
+    )
+    results = run_suite({"lineitem": table(spark, sf_dir, "lineitem")}, specs)
+    return results.select(
+        "check_type", "column", "passed", F.round("metric_value", 6).alias("metric_value"), "threshold"
+    )
+
+
+_OWN_CHECK_SQL = """
+SELECT 'mean' AS check_type, 'l_quantity' AS "column", avg(l_quantity) <= 10 AS passed,
+       round(avg(l_quantity), 6)::DOUBLE AS metric_value, 10.0::DOUBLE AS threshold FROM lineitem
+UNION ALL SELECT 'mean', 'l_discount', avg(l_discount) <= 0.5, round(avg(l_discount), 6), 0.5 FROM lineitem
+UNION ALL SELECT 'row_count', NULL, count(*) >= 1, count(*)::DOUBLE, 1.0 FROM lineitem"""
+
+_SCHEMA_SQL = """
+SELECT 'o_custkey' AS "column", 'string' AS expected_type, 'bigint' AS actual_type,
+       'type' AS problem, count(o_custkey)::BIGINT AS filled FROM orders
+UNION ALL SELECT 'o_clerk', 'string', NULL, 'missing', NULL"""
+
 QUERIES = {
     "dq_suite": (_flagship, _flagship_sql),
     "dq_null_rate": _suite(
@@ -593,7 +701,7 @@ QUERIES = {
     "quality_null_drift": (_null_drift, _NULL_DRIFT_SQL),
     "quality_anomaly": (_anomalies, _ANOMALY_SQL),
     "quality_profile": (_profile, _profile_sql()),
-    "quality_profile_approx": (_profile_approx, None),
+    "quality_profile_approx": (_profile_approx, _profile_approx_sql()),
     "quality_rules": (_rules, _RULES_SQL),
     "quality_contract": (_contract_report, _CONTRACT_SQL),
     "quality_contract_rows": (_contract_rows, _CONTRACT_ROWS_SQL),
@@ -604,6 +712,9 @@ QUERIES = {
     "quality_playbook": (_playbook, _PLAYBOOK_SQL),
     "mask_columns": (_mask, _MASK_SQL),
     "row_policy": (_row_policy, _ROW_POLICY_SQL),
+    "incremental_since": (_incremental_since, _INCREMENTAL_SINCE_SQL),
+    "quality_schema": (_schema_report, _SCHEMA_SQL),
+    "dq_own_check": (_own_check, _OWN_CHECK_SQL),
     "incremental_load": (_incremental, _INCREMENTAL_SQL),
     "key_skew": (_key_skew, _KEY_SKEW_SQL),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkward.functions.sqltext import FORBIDDEN_WORDS
 from sparkward.operators import audit, policy
+from sparkward.operators.newest import newest
 from sparkward.operators.policy import Policy
 from sparkward.plans.derived import (
     OBJECTS,
@@ -17,6 +18,7 @@ from sparkward.plans.derived import (
     run_payloads,
     select_sql,
 )
+from sparkward.plans.derived import table as derived_table
 from sparkward.session import local_frame, shared_dir
 from sparkward.sources import trail
 from sparkward.streaming import monitor
@@ -170,6 +172,26 @@ _ALLOW_LIST_SQL = _with(
 )
 
 
+def _wild_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry per customer, two thirds of them with wildcards, against one name per order."""
+    patterns = derived_table(spark, sf_dir, "customer").selectExpr(
+        "CASE c_custkey % 3 WHEN 0 THEN concat('shop.c', c_custkey, '.o[0-3]') "
+        "WHEN 1 THEN concat('*.c', c_custkey, '.o5') "
+        "ELSE concat('shop.c', c_custkey, '.o6') END AS pattern"
+    )
+    names = derived_table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "concat('shop.c', o_custkey, '.o', o_orderkey % 7) AS table_name"
+    )
+    return policy.allow_list_report(names, patterns)
+
+
+_WILD_ALLOW_LIST_SQL = """
+SELECT o_orderkey, concat('shop.c', o_custkey, '.o', o_orderkey % 7) AS table_name,
+  c_custkey IS NOT NULL AND CASE o_custkey % 3 WHEN 0 THEN o_orderkey % 7 <= 3
+    WHEN 1 THEN o_orderkey % 7 = 5 ELSE o_orderkey % 7 = 6 END AS allowed
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
+
+
 def _preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.preflight(query_log(spark, sf_dir), POLICY).select(
         "request_id", "preflight_reason"
@@ -430,12 +452,100 @@ seen AS (SELECT date_trunc('millisecond', max("timestamp")) - INTERVAL 1 MINUTE
     "GROUP BY window_start, tool_name, decision",
 )
 
+
+def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch written twice, its name tried for other events, then those under their own."""
+    decisions = _decide(spark, sf_dir)
+    halves = [
+        audit.query_events(decisions.where(F.col("request_id") % 2 == half)).withColumn(
+            "timestamp", F.col("timestamp").cast("timestamp")
+        )
+        for half in (0, 1)
+    ]
+    parts = []
+    for sink, append, read in (
+        ("json", trail.append_events, trail.read_events),
+        ("table", trail.append_table, trail.read_table),
+    ):
+        path = shared_dir(spark, f"replay-{sink}")
+        append(halves[0], path, "first")
+        append(halves[0], path, "first")
+        refused = False
+        try:
+            append(halves[1], path, "first")
+        except ValueError:
+            refused = True
+        append(halves[1], path, "second")
+        counted = read(spark, path).groupBy("decision").agg(
+            F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids")
+        )
+        parts.append(counted.select(F.lit(sink).alias("sink"), "*", F.lit(refused).alias("refused")))
+    return parts[0].unionByName(parts[1])
+
+
+_REPLAY_SQL = _with(
+    _EVENTS_CTES,
+    "SELECT sink, decision, count(*)::BIGINT AS events, count(*)::BIGINT AS ids, true AS refused "
+    "FROM events_out, (VALUES ('json'), ('table')) AS s(sink) GROUP BY sink, decision",
+)
+
+
+def _newest_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many events of one time, told apart by whole numbers."""
+    days = derived_table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts"))
+    days = days.select("event_id", F.col("day").cast("timestamp_ntz").alias("day"), "event_type")
+    return newest(days, 1500, time="day", key="event_id", ranked_rows=100)
+
+
+_NEWEST_NUMERIC_SQL = (
+    "SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day, event_type FROM events "
+    "ORDER BY day DESC, event_id DESC LIMIT 1500"
+)
+
+
+def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the events arrives after their windows were closed: counted, not lost."""
+    decisions = _decide(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    last = decisions.agg(F.max("ts")).first()[0]
+    late = (F.col("request_id") % 5 == 0) & (F.col("ts") < F.lit(last) - F.expr("INTERVAL 1 DAY"))
+    path, out = shared_dir(spark, "late-trail"), shared_dir(spark, "late-windows")
+    state = shared_dir(spark, "late-state")
+    for batch, arriving in (("in-time", ~late), ("late", late)):
+        trail.append_events(audit.query_events(decisions.where(arriving)), path, batch)
+        windows = monitor.decision_windows(monitor.read_events_stream(spark, path))
+        monitor.run_to_files(windows, out, state).awaitTermination()
+    closed = spark.read.schema(windows.schema).parquet(out)
+    compared = monitor.late_events(trail.read_events(spark, path), closed)
+    return compared.withColumns(
+        {name: F.col(name).cast("timestamp_ntz") for name in ("window_start", "window_end")}
+    )
+
+
+_STREAM_LATE_SQL = _with(
+    _DECIDED_CTES
+    + """,
+seen AS (SELECT max(ts) AS last, date_trunc('millisecond', max(ts)) - INTERVAL 1 MINUTE AS watermark
+         FROM decided),
+counted AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start,
+                   time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS window_end,
+                   decision, count(*) AS recorded,
+                   count(*) FILTER (WHERE NOT (request_id % 5 = 0 AND ts < last - INTERVAL 1 DAY)) AS in_time
+            FROM decided, seen GROUP BY ALL),
+closed AS (SELECT max(window_end) AS last_end FROM counted, seen
+           WHERE window_end <= watermark AND in_time > 0)""",
+    "SELECT window_start, window_end, 'sql_query' AS tool_name, decision, recorded::BIGINT AS recorded, "
+    "CASE WHEN window_end <= last_end THEN in_time ELSE 0 END::BIGINT AS counted, "
+    "window_end > last_end AS open, "
+    "CASE WHEN window_end <= last_end THEN recorded - in_time END::BIGINT AS late FROM counted, closed",
+)
+
 QUERIES = {
     "policy_clean_sql": (_clean, _with(_TEXT_CTES, "SELECT request_id, cleaned FROM cleaned")),
     "policy_clean_sql_compat": (_compat, _COMPAT_SQL),
     "policy_read_only": (_read_only, _READ_ONLY_SQL),
     "policy_table_refs": (_table_refs, _TABLE_REFS_SQL),
     "policy_allow_list": (_allow_list, _ALLOW_LIST_SQL),
+    "policy_allow_list_wild": (_wild_allow_list, _WILD_ALLOW_LIST_SQL),
     "policy_preflight": (_preflight, _PREFLIGHT_SQL),
     "policy_authorize": (_authorize, _AUTHORIZE_SQL),
     "policy_decision": (_decision, _DECISION_SQL),
@@ -451,6 +561,9 @@ QUERIES = {
     "audit_decision_counts": (_counts, _COUNTS_SQL),
     "audit_fail_closed": (_fail_closed, _FAIL_CLOSED_SQL),
     "audit_table": (_audit_table, _AUDIT_TABLE_SQL),
+    "audit_replay": (_replay, _REPLAY_SQL),
+    "audit_newest_numeric": (_newest_numeric, _NEWEST_NUMERIC_SQL),
+    "audit_stream_late": (_stream_late, _STREAM_LATE_SQL),
     "audit_table_recent": (_recent_table, _newest_sql(500)),
     "audit_stream_windows": (_stream_windows, _STREAM_WINDOWS_SQL),
 }

@@ -47,6 +47,43 @@ def decision_windows(
     )
 
 
+def late_events(
+    events: DataFrame, closed: DataFrame, *, window: str = "10 minutes"
+) -> DataFrame:
+    """The trail's own counts per window beside those that :func:`decision_windows` gave out.
+
+    A stream leaves out what arrives behind its watermark. Here every event of
+    the trail is counted once (``recorded``); for windows up to the last one given
+    out, ``late`` is what the stream left out, later windows are ``open``.
+    """
+    recorded = (
+        events.dropDuplicates(["event_id"])
+        .groupBy(F.window("timestamp", window), "tool_name", "decision")
+        .agg(F.count(F.lit(1)).alias("recorded"))
+        .select(
+            F.col("window.start").alias("window_start"),
+            F.col("window.end").alias("window_end"),
+            "tool_name",
+            "decision",
+            "recorded",
+        )
+    )
+    last = closed.agg(F.max("window_end").alias("last")).scalar()
+    given = closed.select(
+        "window_start", "window_end", "tool_name", "decision", F.col("events").alias("given")
+    )
+    keys = ["window_start", "window_end", "tool_name", "decision"]
+    counted = F.coalesce("given", F.lit(0)).cast("long")
+    is_open = F.coalesce(F.col("window_end") > last, F.lit(True))
+    return recorded.join(given, keys, "left").select(
+        *keys,
+        "recorded",
+        counted.alias("counted"),
+        is_open.alias("open"),
+        F.when(~is_open, F.col("recorded") - counted).alias("late"),
+    )
+
+
 def metric_windows(
     rows: DataFrame,
     time: str,

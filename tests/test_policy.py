@@ -202,7 +202,7 @@ def test_many_stars_stay_cheap(spark):
     assert glob_to_regex("a*b").startswith("(?s)")
 
 
-def test_allow_list_as_a_table(spark, monkeypatch):
+def test_allow_list_as_a_table(spark):
     names = spark.createDataFrame([("p.a",), ("p.b",), ("q.c",), ("r.d",)], "table_name STRING")
     patterns = spark.createDataFrame([("p.a",), ("q.*",), ("q.?",), ("p.a",)], "pattern STRING")
     report = policy.allow_list_report(names, patterns)
@@ -212,9 +212,23 @@ def test_allow_list_as_a_table(spark, monkeypatch):
     none = policy.allow_list_report(names, patterns.where("false"))
     assert not any(r["allowed"] for r in none.collect())
     assert "NestedLoop" not in plan(report) and "Cartesian" not in plan(report)
-    monkeypatch.setattr(policy, "MAX_WILDCARD_PATTERNS", 1)
-    with pytest.raises(ValueError, match="wildcard patterns"):
-        policy.allow_list_report(names, patterns)
+
+
+def test_allow_lists_of_any_size(spark):
+    names = spark.range(300).selectExpr("concat('p.t', id, '.x') AS table_name")
+    odd = [("",), (None,), ("p.t7.x",), ("zz",), ("a]b",)]
+    names = names.union(spark.createDataFrame(odd, "table_name STRING"))
+    patterns = spark.range(3000).selectExpr(
+        "CASE id % 3 WHEN 0 THEN concat('p.t', id, '.?') WHEN 1 THEN concat('*.t', id, '.x') "
+        "ELSE concat('q', id, '*') END AS pattern"
+    )
+    more = spark.createDataFrame([("z[a-z]",), ("[b-c]*",), (None,), ("*]b",)], "pattern STRING")
+    report = policy.allow_list_report(names, patterns.union(more))
+    assert report.count() == 305
+    allowed = sorted(r["table_name"] for r in report.where("allowed").collect())
+    expected = [f"p.t{i}.x" for i in range(300) if i % 3 < 2] + ["p.t7.x", "zz", "a]b"]
+    assert allowed == sorted(expected)
+    assert "NestedLoop" not in plan(report) and "Cartesian" not in plan(report)
 
 
 # --- decisions --------------------------------------------------------------

@@ -203,7 +203,11 @@ def test_masks(spark):
     masked = masking.mask_columns(df, {"s": "mask", "n": "last4", "d": "null"})
     assert [tuple(r) for r in masked.collect()] == [("Xx-nn", "*2345", None), (None, "7", None)]
     assert masked.schema["d"].dataType.simpleString() == "double"
-    hashed = masking.mask_columns(df, {"s": "hash"}).collect()
+    hashed = masking.mask_columns(df, {"s": "hash"}, hash_key="k").collect()
+    other = masking.mask_columns(df, {"s": "hash"}, hash_key="l").collect()
+    assert hashed[0]["s"] != other[0]["s"]
+    with pytest.raises(ValueError, match="hash_key"):
+        masking.mask_columns(df, {"s": "hash"})
     assert len(hashed[0]["s"]) == 64 and hashed[1]["s"] is None
     with pytest.raises(ValueError, match="Unknown masks"):
         masking.mask_columns(df, {"s": "rot13"})
@@ -251,3 +255,28 @@ def test_key_skew_reads_once(spark):
     assert rows[0]["k"] == -1 and rows[0]["share"] == rows[0]["rows"] / 6000
     assert len(rows) == 3 and rows[0]["rows"] > 1500
     assert "Cartesian" not in plan(top) and "NestedLoop" not in plan(top)
+
+
+def test_files_behind_the_mark_are_skipped(spark, folder):
+    rows = spark.range(100).selectExpr("id", "id DIV 10 AS day", "DATE_ADD(DATE '2024-01-01', CAST(id DIV 10 AS INT)) AS at")
+    rows = rows.union(spark.sql("SELECT 100L, 10L, CAST(NULL AS DATE)"))
+    rows.write.partitionBy("day").parquet(folder)
+    source = spark.read.parquet(folder)
+    mark = loads.high_water_mark(source.where("day < 7"), "at")
+    behind = loads.changed_since(source, "at", mark)
+    assert sorted(r["id"] for r in behind.collect()) == [*range(70, 101)]
+    assert "PushedFilters: [Or(GreaterThanOrEqual(at,2024-01-08),IsNull(at))]" in plan(behind)
+    assert loads.high_water_mark(source.where("false"), "at") is None
+    assert loads.changed_since(source, "at", None) is source
+    later = loads.changed_since(source, "id", 98)
+    assert sorted(r["id"] for r in later.collect()) == [99, 100]
+
+
+def test_violations_of_a_schema(spark):
+    df = spark.createDataFrame([(1, "x")], "a INT, b STRING")
+    contract = quality.Contract(types={"a": "bigint", "c": "string"}, rules={})
+    found = {tuple(r) for r in quality.schema_violations(df, contract).collect()}
+    assert found == {
+        ("a", "bigint", "int", "type"), ("c", "string", None, "missing"), ("b", None, "string", "unexpected"),
+    }
+    assert quality.schema_violations(df, quality.Contract({"a": "int", "b": "string"}, {})).isEmpty()
