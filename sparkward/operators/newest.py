@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import isqrt
 from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkward.functions.times import micros, moment_of
+from sparkward.functions.times import HOUR_IN_MICROS, micros, moment_of
 
 # Spark's own top-N sends this many rows of every task to one task.
 DIRECT_ROWS = 100
@@ -144,28 +143,47 @@ def newest_per_key(
     time: str = "timestamp",
     key: str = "event_id",
     slices: int | None = None,
+    span: int = HOUR_IN_MICROS,
 ) -> DataFrame:
-    """The ``limit`` newest events of each key.
+    """The ``limit`` newest events of each key, for any limit and any skew.
 
-    Ranked twice: within slices of each key, then among the survivors, so that
-    a key with a third of all events is spread over many tasks. A slice is made
-    of whole input partitions; up to Spark's group-limit threshold each task
-    therefore sends at most ``limit`` events per key into the first shuffle. The
+    Events are counted per key and ``span`` (microseconds) of time first, before
+    they are shuffled. That tells each key's span in which its oldest wanted event
+    lies: events behind that span are kept as they are, and only those inside it are
+    ranked, within slices of whole input partitions and then among the survivors.
+    So no more than one span's events of a key are ever brought together, and the
     outcome does not depend on how the slices fall.
     """
-    conf = events.sparkSession.conf
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    if not limit:
+        return events.limit(0)
     if slices is None:
-        slices = int(conf.get("spark.sql.shuffle.partitions"))
-        if limit <= int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-            # Both rankings then see about equally many events of one key.
-            slices = max(8, isqrt(slices))
-    sliced = events.withColumn("_slice", F.spark_partition_id() % F.lit(slices))
+        slices = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = micros(F.col(time), events.schema[time].dataType)
+    # Events without a time come last.
+    spanned = events.withColumn("_span", F.coalesce(at - F.pmod(at, F.lit(span)), F.lit(-(2**63))))
+    counts = spanned.groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
+    newest_first = Window.partitionBy(*keys).orderBy(F.desc("_span"))
+    up_to = newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("_n").over(up_to) - F.col("_n")
+    # Of each key the spans with wanted events; the last one needed may hold more than is wanted.
+    wanted = counts.withColumn("_wanted", F.lit(limit) - before).where(F.col("_wanted") > 0)
+    last = wanted.where(F.col("_n") >= F.col("_wanted"))
+    last = last.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
+                       F.col("_span").alias("_last"), "_wanted")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
+    placed = spanned.join(last, same, "left")
+    whole = placed.where(F.col("_last").isNull() | (F.col("_span") > F.col("_last")))
+    cut = placed.where(F.col("_span") == F.col("_last")).withColumn(
+        "_slice", F.spark_partition_id() % F.lit(slices)
+    )
     within_slice = Window.partitionBy(*keys, "_slice").orderBy(*_order(time, key))
     within_key = Window.partitionBy(*keys).orderBy(*_order(time, key))
-    return (
-        sliced.withColumn("_rank", F.row_number().over(within_slice))
-        .where(F.col("_rank") <= limit)
+    cut = (
+        cut.withColumn("_rank", F.row_number().over(within_slice))
+        .where(F.col("_rank") <= F.col("_wanted"))
         .withColumn("_rank", F.row_number().over(within_key))
-        .where(F.col("_rank") <= limit)
-        .drop("_rank", "_slice")
+        .where(F.col("_rank") <= F.col("_wanted"))
     )
+    return whole.select(*events.columns).unionByName(cut.select(*events.columns))

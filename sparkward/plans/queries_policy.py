@@ -192,6 +192,53 @@ SELECT o_orderkey, concat('shop.c', o_custkey, '.o', o_orderkey % 7) AS table_na
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
 
 
+# Real texts inside literals, comments and behind them, by the remainder of a number. What
+# is left of a statement then depends on its form alone, which the SQL states.
+_SINGLE = "replace(replace(text, chr(92), concat(chr(92), chr(92))), chr(39), concat(chr(92), chr(39)))"
+_DOUBLE = "replace(replace(text, chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34)))"
+_TEXT_FORMS = [
+    f"concat('SELECT ', chr(39), {_SINGLE}, chr(39), ' AS t FROM proj.sales.a')",
+    "concat('/* ', replace(text, '*', ''), ' */ SELECT 1 FROM proj.sales.a')",
+    "concat('-- ', replace(text, chr(10), ' '), chr(10), 'SELECT 1 FROM proj.sales.a')",
+    f"concat('SELECT ', chr(34), {_DOUBLE}, chr(34), '; DROP TABLE x')",
+    f"concat('SELECT 1; SELECT ', chr(39), {_SINGLE}, chr(39))",
+]
+_TEXT_LEFT = [
+    ("SELECT ''  AS t FROM proj.sales.a", policy.READ_ONLY),
+    ("SELECT 1 FROM proj.sales.a", policy.READ_ONLY),
+    ("SELECT 1 FROM proj.sales.a", policy.READ_ONLY),
+    ('SELECT "" ; DROP TABLE x', policy.FORBIDDEN % "['DROP']"),
+    ("SELECT 1; SELECT ''", policy.SEVERAL),
+]
+
+
+def _real_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = derived_table(spark, sf_dir, "documents").selectExpr(
+        "concat('document-', doc_id) AS request_id", "doc_id AS number", "coalesce(text, '') AS text"
+    )
+    turns = derived_table(spark, sf_dir, "conversations").selectExpr(
+        "concat('turn-', conv_id, '-', turn) AS request_id", "conv_id + turn AS number",
+        "coalesce(text, '') AS text",
+    )
+    forms = " ".join(f"WHEN {i} THEN {form}" for i, form in enumerate(_TEXT_FORMS))
+    log = documents.union(turns).selectExpr(
+        "request_id", f"CASE number % {len(_TEXT_FORMS)} {forms} END AS sql"
+    )
+    return policy.classify_sql(log).select("request_id", "cleaned", "read_only", "sql_reason")
+
+
+def _real_texts_sql() -> str:
+    rows = ", ".join(
+        "({}, '{}', '{}')".format(i, left.replace("'", "''"), reason.replace("'", "''"))
+        for i, (left, reason) in enumerate(_TEXT_LEFT)
+    )
+    return f"""
+SELECT request_id, cleaned, sql_reason = '{policy.READ_ONLY}' AS read_only, sql_reason FROM (
+  SELECT concat('document-', doc_id) AS request_id, doc_id AS number FROM documents
+  UNION ALL SELECT concat('turn-', conv_id, '-', turn), conv_id + turn FROM conversations) AS t
+JOIN (VALUES {rows}) AS f(form, cleaned, sql_reason) ON number % {len(_TEXT_FORMS)} = form"""
+
+
 def _preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.preflight(query_log(spark, sf_dir), POLICY).select(
         "request_id", "preflight_reason"
@@ -546,6 +593,7 @@ QUERIES = {
     "policy_table_refs": (_table_refs, _TABLE_REFS_SQL),
     "policy_allow_list": (_allow_list, _ALLOW_LIST_SQL),
     "policy_allow_list_wild": (_wild_allow_list, _WILD_ALLOW_LIST_SQL),
+    "policy_real_texts": (_real_texts, _real_texts_sql()),
     "policy_preflight": (_preflight, _PREFLIGHT_SQL),
     "policy_authorize": (_authorize, _AUTHORIZE_SQL),
     "policy_decision": (_decision, _DECISION_SQL),

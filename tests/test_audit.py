@@ -248,6 +248,36 @@ def test_newest_per_key_equals_a_ranking(spark, limit, slices):
     )
     got = newest_per_key(df, ["actor"], limit, slices=slices)
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    wide = newest_per_key(df, ["actor"], limit, span=10**13)
+    assert sorted(map(str, wide.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_newest_per_key_of_odd_keys(spark):
+    df = spark.sql(
+        "SELECT id AS event_id, timestamp_micros(id * 1000000) AS timestamp, "
+        "CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN NULL ELSE '' END AS actor, id % 2 AS kind FROM range(60)"
+    )
+    got = newest_per_key(df, ["actor", "kind"], 2).groupBy("actor", "kind").agg(F.min("event_id"), F.count("*"))
+    assert {tuple(r) for r in got.collect()} == {
+        ("a", 0, 48, 2), ("a", 1, 51, 2), (None, 0, 52, 2), (None, 1, 49, 2), ("", 0, 50, 2), ("", 1, 53, 2),
+    }
+    assert newest_per_key(df, ["actor"], 0).isEmpty()
+    assert newest_per_key(df.where("false"), ["actor"], 3).isEmpty()
+
+
+def test_a_trail_that_was_hit_by_a_failure_keeps_its_events(spark, folder):
+    first = events_of(spark, [event(i, i) for i in range(3)])
+    broken = first.withColumn("reason", F.raise_error(F.lit("lost")).cast("string"))
+    for append, read in ((trail.append_events, trail.read_events), (trail.append_table, trail.read_table)):
+        path = f"{folder}-{append.__name__}"
+        append(first.limit(2), path, "b1")
+        with pytest.raises(Exception, match="lost"):
+            append(broken, path, "b1")
+        assert read(spark, path).count() == 2
+        append(first, path, "b1")
+        assert sorted(r["event_id"] for r in read(spark, path).collect()) == sorted(
+            r["event_id"] for r in first.collect()
+        )
 
 
 # --- streaming --------------------------------------------------------------
