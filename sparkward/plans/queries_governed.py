@@ -356,14 +356,14 @@ def _guarded_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     inventory = _inventory(spark, sf_dir).select("bucket", "name", "size_bytes")
 
     def listed(bucket: str) -> DataFrame:
-        return access.list_objects(inventory, bucket, f"m.{bucket}", actor="agent-1")
+        return access.list_objects(inventory, bucket, "m.", actor="agent-1")
 
     return _outcomes(spark, path, "bucket", dict.fromkeys([_LISTED, _UNLISTED], listed))
 
 
 _GUARDED_LISTING_SQL = f"""
 SELECT 'row' AS kind, concat('{{"bucket":"', bucket, '","name":"', name, '","size_bytes":', size_bytes, '}}') AS body
-FROM (SELECT * FROM ({_OBJECTS_SQL}) AS q WHERE bucket = '{_LISTED}' AND starts_with(name, 'm.{_LISTED}')
+FROM (SELECT * FROM ({_OBJECTS_SQL}) AS q WHERE bucket = '{_LISTED}' AND starts_with(name, 'm.')
       ORDER BY name LIMIT 100) AS l
 UNION ALL SELECT 'refused', 'Bucket ''{_UNLISTED}'' is not in the allow-list'
 UNION ALL SELECT 'event', 'object_list agent-1 {_LISTED} allowed'

@@ -502,13 +502,12 @@ seen AS (SELECT date_trunc('millisecond', max("timestamp")) - INTERVAL 1 MINUTE
 
 def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch written twice, its name tried for other events, then those under their own."""
-    decisions = _decide(spark, sf_dir)
-    halves = [
-        audit.query_events(decisions.where(F.col("request_id") % 2 == half)).withColumn(
-            "timestamp", F.col("timestamp").cast("timestamp")
-        )
-        for half in (0, 1)
-    ]
+    decisions, halves = _decide(spark, sf_dir), []
+    for half in (0, 1):
+        path = shared_dir(spark, "replayed")
+        events = audit.query_events(decisions.where(F.col("request_id") % 2 == half))
+        events.withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.parquet(path)
+        halves.append(spark.read.schema(audit.AUDIT_SCHEMA).parquet(path))
     parts = []
     for sink, append, read in (
         ("json", trail.append_events, trail.read_events),
