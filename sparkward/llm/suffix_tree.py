@@ -3,7 +3,9 @@
 A text is its words, A-Z lower-cased, each followed by a blank, and then the end: a
 sequence of bytes in which 0x0A is the end. The tree predicts each byte from
 the longest retained context of up to ``depth`` bytes before it, which makes a
-distribution over all sequences of words.
+distribution over all sequences of words. Contexts are retained for the evidence there
+is for them, so their number grows with the corpus: they are tables, never a whole
+on the driver or in a task.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkward.llm.common import LOWER, in_chunks, stored
@@ -24,6 +26,8 @@ from sparkward.llm.common import LOWER, in_chunks, stored
 END = 10
 _END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 _LANE = 1024
+_NEAR = 3  # bytes of context by which codes are dealt
+_FRAME = 250_000
 
 
 @dataclass
@@ -79,13 +83,18 @@ def _laid_out(texts: list[bytes], depth: int) -> tuple[np.ndarray, ...]:
     return data, predicted, starts, hashes, count
 
 
-def _gathered(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (context, byte) codes with counts and distinct words with counts."""
-    data, predicted, _, hashes, count = _laid_out(texts, depth)
+def _codes(data: np.ndarray, predicted: np.ndarray, depth: int) -> np.ndarray:
+    """Of each predicted byte the code of its context and itself; the byte is the lowest."""
     code = np.zeros(len(data), dtype=np.int64)
     for back in range(depth + 1):
         code[back:] |= data[: len(data) - back].astype(np.int64) << (8 * back)
-    grams, n_grams = np.unique(code[predicted], return_counts=True)
+    return code[predicted]
+
+
+def _gathered(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, byte) codes with counts and distinct words with counts."""
+    data, predicted, _, hashes, count = _laid_out(texts, depth)
+    grams, n_grams = np.unique(_codes(data, predicted, depth), return_counts=True)
     ends = np.full(len(count), _END_HASH)
     tokens, n_tokens = np.unique(np.concatenate([hashes, ends]), return_counts=True)
     return grams, n_grams, tokens.view(np.int64), n_tokens
@@ -96,36 +105,186 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def count_training(docs: DataFrame, depth: int) -> DataFrame:
-    """``word, key, n``: how often words (by hash) and contexts with their next byte (by code) occur."""
+def _counted(docs: DataFrame, depth: int) -> DataFrame:
+    """``word, key, n, times, dealt``: counts of :func:`count_all` of each task, dealt by all but the farthest bytes."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(kept: list, word: bool) -> pd.DataFrame:
+        def flush(kept: list, word: bool, training: bool) -> Iterator[pd.DataFrame]:
             keys, n = _summed(kept)
             kept.clear()
-            return pd.DataFrame({"word": word, "key": keys, "n": n})
+            for i in range(0, len(keys), _FRAME):
+                k, m = keys[i : i + _FRAME], n[i : i + _FRAME]
+                yield pd.DataFrame({"word": word, "key": k, "n": m if training else 0, "times": m})
 
-        grams, words = [], []
+        grams, words, others = [], [], []
+        pools = ((grams, False, True), (words, True, True), (others, False, False))
         for batch in batches:
-            for _, texts in in_chunks(batch["text"]):
-                g, n_g, w, n_w = _gathered(texts, depth)
-                grams.append((g, n_g))
-                words.append((w, n_w))
-                for kept, word in ((grams, False), (words, True)):
-                    if sum(len(k) for k, _ in kept) > 4_000_000:
-                        yield flush(kept, word)
-        for kept, word in ((grams, False), (words, True)):
+            for training, part in batch.groupby("training"):
+                for _, texts in in_chunks(part["text"]):
+                    g, n_g, w, n_w = _gathered(texts, depth)
+                    (grams if training else others).append((g, n_g))
+                    if training:
+                        words.append((w, n_w))
+                    for kept, word, trained in pools:
+                        if sum(len(k) for k, _ in kept) > 3_000_000:
+                            yield from flush(kept, word, trained)
+        for kept, word, trained in pools:
             if kept:
-                yield flush(kept, word)
+                yield from flush(kept, word, trained)
+
+    rows = docs.select("text", "training").mapInPandas(count, "word boolean, key bigint, n bigint, times bigint")
+    near = F.shiftright("key", 8).bitwiseAND((1 << (8 * _NEAR)) - 1)
+    rows = rows.withColumn("dealt", F.when(F.col("word"), F.col("key")).otherwise(near))
+    return rows.repartition("word", "dealt").groupBy("word", "dealt", "key").agg(
+        F.sum("n").alias("n"), F.sum("times").alias("times")
+    )
+
+
+def count_all(docs: DataFrame, depth: int) -> DataFrame:
+    """``word, key, n, times`` of ``docs (text, training)``.
+
+    How often words (by hash) and contexts with their next byte (by code) occur in
+    training texts, and how often in all; words of other texts are not counted.
+    """
+    return _counted(docs, depth).drop("dealt")
+
+
+def count_training(docs: DataFrame, depth: int) -> DataFrame:
+    """``word, key, n``: the counts of :func:`count_all` if all texts are for training."""
+    return count_all(docs.select("text", F.lit(True).alias("training")), depth).drop("times")
+
+
+def _far(key: np.ndarray, n: np.ndarray, depth: int, fewest: int, gain: float, smoothing: float) -> tuple:
+    """``given, of_less, stays`` of codes that hold all with the same nearest ``_NEAR`` bytes, or none.
 
-    rows = docs.select("text").mapInPandas(count, "word boolean, key bigint, n bigint")
-    return rows.groupBy("word", "key").agg(F.sum("n").alias("n"))
+    The probability of a code is ``given + of_less * p``, ``p`` that of its last ``_NEAR`` bytes of context;
+    ``stays`` tells whether a longer context of its is retained. See :func:`probabilities`.
+    """
+    stays = np.zeros(len(key), dtype=bool)
+    steps = []
+    for length in range(depth, _NEAR, -1):
+        suffix, shorter = np.unique(key & ((1 << (8 * length)) - 1), return_inverse=True)
+        _, context = np.unique(key >> 8, return_inverse=True)
+        _, parent = np.unique(suffix >> 8, return_inverse=True)
+        follows = np.bincount(shorter, n)
+        before = (follows / np.maximum(np.bincount(parent, follows), 1)[parent])[shorter]
+        own = np.bincount(context, n)[context]
+        told = n * np.log(np.where(n > 0, n, 1) / np.maximum(own, 1) / np.where(n > 0, before, 1))
+        divergent = (own >= max(fewest, 1)) & (np.bincount(context, told)[context] >= gain)
+        retained = divergent | (np.bincount(context, stays) > 0)[context]
+        steps.append((shorter, np.where(retained, own, 0), n, retained))
+        key, n, stays = suffix, follows, np.bincount(shorter, retained) > 0
+    given, of_less, near = np.zeros(len(key)), np.ones(len(key)), stays
+    for shorter, own, n, retained in reversed(steps):
+        given, of_less, near = given[shorter], of_less[shorter], near[shorter]
+        given = np.where(retained, (n + smoothing * given) / (own + smoothing), given)
+        of_less = np.where(retained, smoothing * of_less / (own + smoothing), of_less)
+    return given, of_less, near
+
+
+def learnt(docs: DataFrame, depth: int, fewest: int, gain: float, smoothing: float) -> DataFrame:
+    """``word, key, n, times, p`` of ``docs (text, training)``: :func:`count_all` with :func:`probabilities`.
+
+    Contexts of over ``_NEAR`` bytes are decided in the tasks that hold all codes with
+    the same nearest bytes, a run of them at a time; only the shorter ones, far
+    fewer, are tables of their own. A word has no ``p``.
+    """
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def decided(run: pd.DataFrame) -> pd.DataFrame:
+            given, of_less, stays = _far(
+                run["key"].to_numpy(), run["n"].to_numpy(), depth, fewest, gain, smoothing
+            )
+            return run[["word", "key", "n", "times"]].assign(given=given, of_less=of_less, stays=stays)
+
+        run, size = [], 0
+        for batch in batches:
+            grams = batch[~batch["word"]]
+            if len(grams) < len(batch):
+                yield batch.loc[batch["word"], ["word", "key", "n", "times"]].assign(given=0.0, of_less=0.0, stays=False)
+            if not len(grams):
+                continue
+            run.append(grams)
+            size += len(grams)
+            if size > _FRAME:
+                whole = pd.concat(run)
+                ended = (whole["dealt"] != whole["dealt"].iloc[-1]).to_numpy()
+                if ended.any():
+                    yield decided(whole[ended])
+                run, size = [whole[~ended]], 0
+        if run:
+            yield decided(pd.concat(run))
+
+    schema = "word boolean, key bigint, n bigint, times bigint, given double, of_less double, stays boolean"
+    counted = _counted(docs, depth).sortWithinPartitions("word", "dealt").select("word", "dealt", "key", "n", "times")
+    counted = stored(counted.mapInPandas(decide, schema), "counted")
+    near = min(depth, _NEAR)
+    code = F.col("key").bitwiseAND((1 << (8 * (near + 1))) - 1)
+    level = counted.where("not word").groupBy(code.alias("key")).agg(
+        F.sum("n").alias("n"), F.max("stays").alias("stays")
+    )
+    less = probabilities(level, near, fewest, gain, smoothing).select(F.col("key").alias("suffix"), "p")
+    less = stored(less, "near")
+    joined = counted.join(less, (code == F.col("suffix")) & ~F.col("word"), "left")
+    return joined.select("word", "key", "n", "times", (F.col("given") + F.col("of_less") * F.col("p")).alias("p"))
+
+
+def probabilities(grams: DataFrame, depth: int, fewest: int, gain: float, smoothing: float) -> DataFrame:
+    """``key, p`` for every row of ``grams (key, n, stays)``: the tree's probability of the last byte after its context.
+
+    A context is retained if it occurs ``fewest`` times and its next-byte distribution
+    diverges from that of the context one byte shorter: the Kullback-Leibler divergence
+    times the occurrences is at least ``gain`` (the logarithm of a likelihood ratio).
+    Both are evidence, not shares of the corpus. The suffixes of a retained context stay
+    too. Distributions are smoothed towards that of the shorter context, which
+    weighs ``smoothing`` occurrences, and at the root towards equal probability of all
+    bytes. A row with ``n`` of 0 was not learnt from and only gets its probability; the
+    context of one that ``stays`` is retained.
+
+    Every length is a table of its codes. From the longest to the shortest, a table is
+    dealt by the shorter context, at most 65,536 codes each, where all sums lie;
+    then probabilities go from the shortest to the longest by joins.
+    """
+    level = grams.select("key", "n", "stays")
+    levels: list[DataFrame] = []
+    for length in range(depth, 0, -1):
+        mask = (1 << (8 * length)) - 1
+        level = level.withColumns(
+            {
+                "next": F.col("key").bitwiseAND(255),
+                "context": F.shiftright("key", 8),
+                "parent": F.shiftright("key", 8).bitwiseAND(mask >> 8),
+            }
+        )
+        follows = F.sum("n").over(Window.partitionBy("parent", "next"))
+        level = level.withColumn("before", F.try_divide(follows, F.sum("n").over(Window.partitionBy("parent"))))
+        own = Window.partitionBy("parent", "context")
+        level = level.withColumn("all", F.sum("n").over(own))
+        ratio = F.try_divide(F.try_divide(F.col("n"), F.col("all")), F.col("before"))
+        told = F.when(F.col("n") > 0, F.col("n") * F.log(ratio)).otherwise(0.0)
+        divergent = (F.col("all") >= max(fewest, 1)) & (F.sum(told).over(own) >= gain)
+        level = level.withColumn("retained", F.max("stays").over(own) | divergent)
+        levels.append(stored(level.select("key", "n", "all", "retained"), "level"))
+        level = levels[-1].groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(
+            F.sum("n").alias("n"), F.max("retained").alias("stays")
+        )
+    level = stored(level, "level")
+    total = level.agg(F.sum("n")).first()[0] or 0
+    # Every byte, seen or not, begins with the same share.
+    found = level.select("key", ((F.col("n") + 1.0) / (total + 256.0)).alias("p"))
+    for length, level in enumerate(reversed(levels), 1):
+        shorter = found.select(F.col("key").alias("suffix"), F.col("p").alias("less"))
+        mixed = (F.col("n") + smoothing * F.col("less")) / (F.col("all") + smoothing)
+        level = level.join(shorter, F.col("key").bitwiseAND((1 << (8 * length)) - 1) == F.col("suffix"))
+        found = level.select("key", F.when(F.col("retained"), mixed).otherwise(F.col("less")).alias("p"))
+    return found
 
 
 def grow(grams: DataFrame, depth: int, share: float, fewest: int, gain: float, smoothing: float) -> Tree:
-    """The tree of ``grams (key, n)``.
+    """The tree of ``grams (key, n)`` as a whole on the driver: for small corpora, or if ``share`` bounds it.
 
-    A context is a candidate if it makes up ``share`` of all positions (so at most
+    With a ``share`` of 0 and ``gain`` over the number of positions it is the tree
+    of :func:`probabilities`. A context is a candidate if it makes up ``share`` of all positions (so at most
     ``1 / share`` per length are, whatever the corpus) and occurs ``fewest`` times. It is
     retained if its next-byte distribution diverges from that of the context one byte
     shorter: Kullback-Leibler divergence times the context's share at least ``gain``.
@@ -227,15 +386,38 @@ def _automaton(rows: list[pd.DataFrame], depth: int, smoothing: float) -> Tree:
     return Tree(depth, symbols, following, np.log10(probability).astype(np.float32), sum(map(len, retained)))
 
 
+def _frequent(table: DataFrame, least: int, value: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys that occur ``least`` times, with their values."""
+    found = table.where(F.col("times") >= least).select("key", value.alias("value")).toArrow()
+    keys = found["key"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], found["value"].to_numpy()[order]
+
+
+def _looked_up(
+    frequent: tuple[np.ndarray, np.ndarray], keys: np.ndarray, owner: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Of each of ``keys`` the value or 0, whether it is frequent; and ``owner, key, times`` of those that aren't."""
+    known, value = frequent
+    unique, which = np.unique(keys, return_inverse=True)
+    place = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
+    inside = known[place] == unique if len(known) else np.zeros(len(unique), dtype=bool)
+    values = np.zeros(len(unique))
+    values[inside] = value[place[inside]]
+    inside = inside[which]
+    pairs, times = np.unique(owner[~inside] * len(unique) + which[~inside], return_counts=True)
+    return values[which], inside, (pairs // len(unique), unique[pairs % len(unique)], times)
+
+
 def score_documents(
     docs: DataFrame,
     training: Column,
     depth: int = 6,
-    share: float = 5e-6,
     fewest: int = 10,
-    gain: float = 1e-7,
+    gain: float = 3.0,
     smoothing: float = 32.0,
     frequent_share: float = 1e-6,
+    frequent_grams: float = 1e-7,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of ``docs (doc_id, text)``.
 
@@ -243,13 +425,14 @@ def score_documents(
     text, A-Z lower-cased, then one end. ``base_score`` is the log10 probability under
     the unigrams of the training tokens, half a count added to each; ``n_known`` tokens
     occur among them. ``score`` is the log10 probability under the suffix tree (see
-    :func:`grow` for its parameters; ``depth`` is 6 at most, as a context and the next
-    byte are counted as one 64-bit number).
+    :func:`probabilities` for its parameters; ``depth`` is 6 at most, as a context and the
+    next byte are counted as one 64-bit number).
 
-    The tree is broadcast: it holds at most ``depth / share`` contexts. Counts of words
-    grow with the corpus and are joined. Only words that make up ``frequent_share``
-    of the training tokens, at most ``1 / frequent_share``, are broadcast; those of a
-    document that are rarer go through the join, so no word has many rows there.
+    Counts of words and probabilities of contexts with their next byte grow with the
+    corpus and are joined. Only words that make up ``frequent_share`` of the training
+    tokens, and contexts with a byte that make up ``frequent_grams`` of all positions, at
+    most one over that each, are broadcast; those of a document that are rarer go
+    through the join, so no key has many rows there.
 
     A null text is empty: one token, the end. Repeated rows are scored apart. With no
     training rows every word is unknown and all bytes are equally likely. Other columns
@@ -257,55 +440,50 @@ def score_documents(
     """
     spark = docs.sparkSession
     marked = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("training"))
-    counted = stored(count_training(marked.where("training"), depth), "counted")
-    words = counted.where("word").select("key", "n")
-    n_all, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = grow(counted.where("not word").select("key", "n"), depth, share, fewest, gain, smoothing)
+    counted = stored(learnt(marked, depth, fewest, gain, smoothing), "learnt")
+    words = counted.where("word").select("key", "times", F.log10(F.col("n") + 0.5).alias("value"))
+    n_all, distinct = counted.where("word").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    grams = counted.where("not word")
+    positions = grams.agg(F.sum("times")).first()[0] or 0
+    grams = grams.select("key", "times", F.log10("p").alias("value"))
     common = max(2, math.ceil(frequent_share * n_all))
-    table = words.where(F.col("n") >= common).toArrow()
-    keys = table["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    known = (keys[order], table["n"].to_numpy()[order])
+    usual = max(2, math.ceil(frequent_grams * positions))
     norm = math.log10(n_all + 0.5 * (distinct + 1))
-    shared = spark.sparkContext.broadcast((tree, known))
+    value = F.col("value")
+    shared = spark.sparkContext.broadcast((_frequent(words, common, value), _frequent(grams, usual, value.cast("float"))))
     identifier = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, (keys, n) = shared.value
-        value = np.append(np.log10(n + 0.5), 0.0)
+        words, grams = shared.value
         row = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
         for batch in batches:
-            for first, texts in in_chunks(batch["text"]):
-                data, predicted, starts, hashes, count = _laid_out(texts, tree.depth)
+            for first, texts in in_chunks(batch["text"], 1_000_000):
+                data, predicted, starts, hashes, count = _laid_out(texts, depth)
                 part = batch.iloc[first : first + len(texts)]
-                total = np.add.reduceat(np.where(predicted, tree.scores(data), 0.0).astype(float), starts)
-                ends = np.full(len(texts), _END_HASH)
-                owner = np.concatenate([np.repeat(np.arange(len(texts)), count), np.arange(len(texts))])
-                unique, which = np.unique(np.concatenate([hashes, ends]), return_inverse=True)
-                place = np.minimum(np.searchsorted(keys, unique), max(len(keys) - 1, 0))
-                inside = keys[place] == unique if len(keys) else np.zeros(len(unique), dtype=bool)
-                weight = np.where(inside, value[np.where(inside, place, -1)], 0.0)
-                ids = row + np.arange(len(texts))
+                ids, each = row + np.arange(len(texts)), np.arange(len(texts))
+                length = np.add.reduceat(predicted.astype(np.int64), starts)
+                chance, _, rare_grams = _looked_up(grams, _codes(data, predicted, depth), np.repeat(each, length))
+                tokens = np.concatenate([hashes, np.full(len(texts), _END_HASH)]).view(np.int64)
+                owner = np.concatenate([np.repeat(each, count), each])
+                weight, inside, rare_words = _looked_up(words, tokens, owner)
                 yield pd.DataFrame(
                     {
                         "row": ids,
                         "doc_id": part["doc_id"].to_numpy(),
                         "training": part["training"].to_numpy(),
                         "n": count + 1,
-                        "known": np.bincount(owner, inside[which], len(texts)).astype(np.int64),
-                        "base": np.bincount(owner, weight[which], len(texts)),
-                        "score": total,
+                        "known": np.bincount(owner, inside, len(texts)).astype(np.int64),
+                        "base": np.bincount(owner, weight, len(texts)),
+                        "score": np.add.reduceat(chance, np.cumsum(length) - length),
                     }
                 )
-                rare = ~inside[which]
-                if rare.any():
-                    pairs, times = np.unique(owner[rare] * len(unique) + which[rare], return_counts=True)
-                    yield pd.DataFrame(
-                        {"row": ids[pairs // len(unique)], "key": unique[pairs % len(unique)].view(np.int64), "n": times}
-                    )
+                for word, (who, key, times) in ((True, rare_words), (False, rare_grams)):
+                    if len(who):
+                        yield pd.DataFrame({"row": ids[who], "key": key, "n": times, "word": word})
                 row += len(texts)
 
-    schema = f"row bigint, doc_id {identifier}, training boolean, n bigint, known bigint, base double, score double, key bigint"
+    schema = f"row bigint, doc_id {identifier}, training boolean, n bigint, known bigint, base double, score double"
+    schema += ", key bigint, word boolean"
     names = [field.split()[0] for field in schema.split(", ")]
 
     def complete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,13 +491,17 @@ def score_documents(
             yield frame.reindex(columns=names)
 
     scored = stored(marked.mapInPandas(complete, schema), "scored")
-    rare = scored.where("key is not null").select("row", "key", F.col("n").alias("times"))
-    rare = rare.join(words.where(F.col("n") < common), "key", "left")
-    rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_base"),
+    table = words.where(F.col("times") < common).select(F.lit(True).alias("word"), "key", "value").unionByName(
+        grams.where(F.col("times") < usual).select(F.lit(False).alias("word"), "key", "value")
     )
+    rare = scored.where("key is not null").select("row", "word", "key", F.col("n").alias("times"))
+    rare = rare.join(table, ["word", "key"], "left")
     nothing = F.lit(0)
+    rare = rare.groupBy("row").agg(
+        F.sum(F.when(F.col("word") & value.isNotNull(), F.col("times")).otherwise(nothing)).alias("rare_known"),
+        F.sum(F.when(F.col("word"), F.col("times") * F.coalesce(value, F.log10(F.lit(0.5))))).alias("rare_base"),
+        F.sum(F.when(~F.col("word"), F.col("times") * value)).alias("rare_score"),
+    )
     return (
         scored.where("key is null").join(rare, "row", "left").select(
             "doc_id",
@@ -328,6 +510,6 @@ def score_documents(
             (F.col("known") + F.coalesce("rare_known", nothing)).alias("n_known"),
             F.lit(n_all).cast("bigint").alias("train_tokens"),
             (F.col("base") + F.coalesce("rare_base", nothing) - F.col("n") * F.lit(norm)).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("rare_score", nothing)).alias("score"),
         )
     )

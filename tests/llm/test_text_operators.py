@@ -158,6 +158,32 @@ def test_the_tree_is_a_distribution_and_learns(spark):
     assert rows[2] > rows[3] + 2
 
 
+def test_rare_contexts_are_learnt_in_a_large_corpus(spark):
+    rare = "quixotic zephyrs vex bold jumpy wharf kings"
+    rows = [(i, "the cat sat on the mat and looked out " * 2_000) for i in range(40)]  # over 3 million positions
+    rows += [(100 + i, rare) for i in range(13)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = {r.doc_id: r.score for r in suffix_tree.score_documents(docs, F.col("doc_id") != 112).collect()}
+    assert found[112] / len(rare) > -0.55
+    assert math.isclose(found[112], found[100], rel_tol=1e-6)
+
+
+def test_scores_are_those_of_the_whole_tree(spark):
+    docs = docs_of(spark)
+    training, gain = remainder("doc_id", 5) != 1, 3.0
+    counted = suffix_tree.count_training(docs.where(training), 6).where("not word").select("key", "n")
+    total = counted.agg(F.sum("n")).first()[0]
+    tree = suffix_tree.grow(counted, 6, 0.0, 10, gain / total, 32.0)
+    expected = {}
+    for r in docs.collect():
+        data, predicted, *_ = suffix_tree._laid_out([r.text.encode()], 6)
+        expected[r.doc_id] = float(tree.scores(data)[predicted].astype(float).sum())
+    # Some by the broadcast, many by the join.
+    rows = suffix_tree.score_documents(docs, training, gain=gain, frequent_grams=1e-5).collect()
+    assert len(rows) == len(expected)
+    assert all(math.isclose(r.score, expected[r.doc_id], rel_tol=1e-4) for r in rows)
+
+
 def test_languages(spark, odd, empty):
     docs = docs_of(spark)
     model = language.fit(docs, remainder("doc_id", 4) != 2, rows_per_language=100)
