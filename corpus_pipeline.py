@@ -31,9 +31,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest identifier."""
-    dropped = minhash_dedup.link_documents(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(stored(dropped, "dropped"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies one row.
+
+    It is the one with the smallest identifier, null last, then the smallest hash of the
+    text. Rows are told apart by a number, not by their identifier: another text under
+    the identifier of a near copy stays. Texts without words are no copies and all stay.
+    """
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")), "numbered")
+    text = F.col("row")["text"]
+    linked = minhash_dedup.link_documents(
+        numbered.select(F.col("number").alias("doc_id"), text.alias("text")), words=5, percent=80
+    ).select(F.col("doc_id").alias("number"), "component_id")
+    doc_id = F.col("row")["doc_id"]
+    place = F.struct(doc_id.isNull().alias("last"), doc_id.alias("id"), F.xxhash64(text).alias("hash"), "number")
+    first = numbered.select("number", place.alias("place")).join(linked, "number").groupBy("component_id")
+    first = stored(first.agg(F.min("place")["number"].alias("number")).select("number"), "first")
+    kept = numbered.join(first, "number", "left_semi")
+    return kept.select(*original(kept, "row", ()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

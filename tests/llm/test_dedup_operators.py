@@ -218,3 +218,12 @@ def test_the_pipeline_keeps_columns_and_drops_copies(spark, odd, empty, tmp_path
         assert stage(spark, odd, str(folder)).columns == odd.columns
         stage(spark, odd, str(folder)).collect()
         assert stage(spark, empty, str(folder)).count() == 0
+
+
+def test_the_pipeline_keeps_one_row_of_each_near_copy(spark, odd):
+    copy = "A cat sat on the mat and looked out"
+    more = [(None, copy, "en", "a", "x", "row", "size", "id"), (11, None, "en", "a", "x", "row", "size", "id")]
+    docs = odd.unionByName(spark.createDataFrame(more, odd.schema))
+    kept = dict(corpus_pipeline.STAGES)["minhash_dedup"](spark, docs, "")
+    expected = [(i, t) for i, t, *_ in ODD if t is None or not re.match("(?i)a +cat", t)] + [(1, copy), (11, None)]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(expected)
