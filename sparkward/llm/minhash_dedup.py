@@ -87,7 +87,7 @@ def likely(
 
     How many registers are larger left, larger right or equal has a likelihood given
     the similarity and the sizes of both sets, which are known. A pair is ruled out if
-    ``threshold`` is more than e^-10 times less likely than the best estimate below it.
+    ``threshold`` is more than e^-14 times less likely than the best estimate below it.
     """
     larger = (left > right).sum(axis=1)[:, None]
     smaller = (left < right).sum(axis=1)[:, None]
@@ -104,7 +104,7 @@ def likely(
     same = np.maximum(1 - more - less, 1e-12)
     score = larger * np.log(more) + smaller * np.log(less) + equal * np.log(same)
     possible = np.minimum(n_left, n_right) >= threshold * np.maximum(n_left, n_right) - 1e-9
-    return possible & (score[:, -1] >= score.max(axis=1) - 10)
+    return possible & (score[:, -1] >= score.max(axis=1) - 14)
 
 
 def _bands(sketch: np.ndarray) -> np.ndarray:
@@ -140,8 +140,9 @@ def link_documents(
     4. What shares a bucket but is still in different components is compared inside
        the tasks, first by sketches, then, with the full sets of those that have a
        plausible partner, exactly. Each pair is met in the first band it shares. Every
-       plausible pair across components is verified, so no link is lost; but only a spanning
-       forest of the links leaves a task, never the pairs of a group.
+       plausible pair across components is verified, so a link is lost only if all bands miss
+       it or, far less often, the likelihood rules it out; but only a spanning forest
+       of the links leaves a task, never the pairs of a group.
 
     A text without words, empty or null has no shingles and links with nothing. Rows
     with the same identifier but different texts are different nodes. ``kept`` is

@@ -227,3 +227,12 @@ def test_the_pipeline_keeps_one_row_of_each_near_copy(spark, odd):
     kept = dict(corpus_pipeline.STAGES)["minhash_dedup"](spark, docs, "")
     expected = [(i, t) for i, t, *_ in ODD if t is None or not re.match("(?i)a +cat", t)] + [(1, copy), (11, None)]
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(expected)
+
+
+def test_only_hopeless_sketches_are_ruled_out():
+    left = np.full((2, minhash_dedup.REGISTERS), 100)
+    right = left.copy()
+    for row, differing in enumerate((35, 40)):  # about e^-11.5 and e^-18 times less likely at 0.8
+        right[row, :differing] += np.where(np.arange(differing) % 2, 1, -1)
+    sizes = np.array([2000.0, 2000.0])
+    assert minhash_dedup.likely(left, right, sizes, sizes, 0.8).tolist() == [True, False]
