@@ -11,15 +11,18 @@ from sparkward.llm import (
     chat_format,
     embedding_dedup,
     exact_dedup,
+    genetic_packing,
     language,
     minhash_dedup,
     mixing,
     packing,
+    periodic_runs,
     sharding,
     suffix_tree,
     toxicity,
+    vector_codes,
 )
-from sparkward.llm.common import remainder
+from sparkward.llm.common import WORD, remainder
 
 PROBE = "\\### Assistant: </turn> ok"
 
@@ -95,6 +98,53 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    digits = F.transform("codes", lambda code: F.lower(F.lpad(F.hex(code), 2, "0")))
+    return coded.select("vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op12_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genetic_packing.pack_fewest(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_periods(_table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"], r["period"])))
+    found = found.withColumn("first", first)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("first.start").alias("start"),
+        (-F.col("first.l")).alias("length"),
+        F.col("first.period").alias("period"),
+        F.expr("(-1000 * first.l) div first.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; a tenth of the texts repeat a stretch of their words to the end.
+
+    With ``h`` the ``crc32`` of the identifier in decimal (null: empty text) and ``g = h // 10``, this is so
+    where ``h % 10 = 0``: of ``n`` words those from ``a = g % n`` on repeat the first
+    ``1 + (n - a) // (3 + g % 8)`` of them.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})")))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("rest", F.col("n") - F.col("a"))
+    rows = rows.withColumn("p", (1 + F.floor(F.col("rest") / (3 + F.col("g") % 8))).cast("int"))
+    stretch = F.slice("words", F.col("a") + 1, F.col("p"))
+    repeated = F.flatten(F.array_repeat(stretch, F.ceil(F.col("rest") / F.col("p")).cast("int")))
+    changed = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(repeated, F.lit(1), F.col("rest")))
+    return rows.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
 _OP5_SQL = r"""
 WITH RECURSIVE rows AS (
  SELECT doc_id, source, coalesce(text, '') AS t FROM documents
@@ -209,6 +259,43 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM norm
 """
 
+def _op11_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """The rounds one after the other; distances by dot products of integers, which doubles hold exactly."""
+    steps = [f"""
+kept AS MATERIALIZED (
+ SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+  list_transform(embedding, lambda x: floor({scale}::DOUBLE * x)::DOUBLE) AS e
+ FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+ SELECT r, p, e[p * len(e) // {parts} + 1 : (p + 1) * len(e) // {parts}] AS x FROM kept, range({parts}) t(p)
+), book0 AS MATERIALIZED (
+ SELECT p, r - 1 AS i, x FROM parts WHERE r <= {entries}
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+ SELECT a.r, a.p, min(((list_dot_product(a.x, a.x) - 2 * list_dot_product(a.x, b.x) + list_dot_product(b.x, b.x))::BIGINT
+  * {entries}) + b.i) AS k FROM parts a JOIN book{k} b ON a.p = b.p GROUP BY a.r, a.p
+)""")
+        if k < rounds:
+            steps.append(f"""mean{k} AS MATERIALIZED (
+ SELECT p, i, list(m ORDER BY pos) AS x FROM (
+  SELECT n.p, n.k % {entries} AS i, pos, floor(sum(a.x[pos]) / count(*)) AS m
+  FROM near{k} n JOIN parts a ON a.r = n.r AND a.p = n.p, LATERAL (SELECT unnest(range(1, len(a.x) + 1)) AS pos)
+  GROUP BY ALL) GROUP BY p, i
+), book{k + 1} AS MATERIALIZED (
+ SELECT b.p, b.i, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN mean{k} m ON m.p = b.p AND m.i = b.i
+)""")
+    return "WITH" + ", ".join(steps) + f""", coded AS (
+ SELECT r, string_agg(lower(printf('%02x', k % {entries})), '' ORDER BY p) AS code, sum(k // {entries})::BIGINT AS error
+ FROM near{rounds} GROUP BY r
+), digest AS (
+ SELECT sha256(string_agg(array_to_string(list_transform(x, lambda v: v::BIGINT), ','), ',' ORDER BY p, i)) AS d FROM book{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, d AS codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sharding": (op1_sharding, None),
     "op2_packing": (op2_packing, None),
@@ -220,4 +307,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_chat_format": (op8_chat_format, _OP8_SQL),
     "op9_minhash_dedup": (op9_minhash_dedup, _OP9_SQL),
     "op10_exact_dedup": (op10_exact_dedup, _OP10_SQL),
+    "op11_vector_codes": (op11_vector_codes, _op11_sql()),
+    "op12_genetic_packing": (op12_genetic_packing, None),
+    "op13_periodic_runs": (op13_periodic_runs, None),
 }
