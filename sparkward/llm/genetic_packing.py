@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkward.llm.common import stored
-from sparkward.llm.packing import TOKENIZER, encode
+from sparkward.llm.packing import TOKENIZER, ids_by
 
 Bins = list[list[int]]
 
@@ -28,7 +28,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, with_ids: b
     names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", "ids"][: 6 + with_ids]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_text = encode(tokenizer)
+        encode_text = ids_by(tokenizer)
         row = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
         for batch in batches:
             rows = []

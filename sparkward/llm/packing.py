@@ -44,7 +44,7 @@ def encoder(path: str) -> tiktoken.Encoding:
 
 
 @cache
-def encode(path: str) -> Callable[[str], list[int]]:
+def ids_by(path: str) -> Callable[[str], list[int]]:
     """A function that gives the ids of a text; an added token of the file that stands in it is one id."""
     ranks = encoder(path)
     special = sorted(ranks.special_tokens_set)
@@ -88,7 +88,7 @@ def pieces(
     schema += ", ids array<int>" * with_ids
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_text = encode(tokenizer)
+        encode_text = ids_by(tokenizer)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):

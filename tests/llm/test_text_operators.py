@@ -66,7 +66,7 @@ def test_ids_are_those_of_the_tokenizers_file(spark):
     texts += ["".join(random.Random(i).choices("aé ß\n\t'sЖ中\u0661 1!<|endoftext|>", k=300)) for i in range(50)]
     texts += ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|> x", "<|endoftext|", "<<|endoftext|>>\n"]
     expected = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
-    assert [packing.encode(packing.TOKENIZER)(t) for t in texts] == expected
+    assert [packing.ids_by(packing.TOKENIZER)(t) for t in texts] == expected
 
 
 def check_pieces(rows, ids_of, capacity):
