@@ -73,8 +73,11 @@ def access_events(decisions: DataFrame, operation: str, column: str) -> DataFram
 def _events(
     decisions: DataFrame, operation: str, parameters: Column, phase: Column
 ) -> DataFrame:
+    # A request without an identifier is told from others by what it holds.
+    content = F.to_json(F.struct("ts", "actor", parameters.alias("parameters")))
+    request = F.coalesce(F.col("request_id").cast("string"), F.concat(F.lit("content:"), F.sha2(content, 256)))
     return decisions.select(
-        event_id(F.col("request_id"), phase).alias("event_id"),
+        event_id(request, phase).alias("event_id"),
         F.col("ts").alias("timestamp"),
         F.lit(operation).alias("tool_name"),
         F.col("actor"),
@@ -85,9 +88,9 @@ def _events(
     )
 
 
-def log_lines(events: DataFrame) -> DataFrame:
-    """Each event as one line of JSON in a column ``value``, for text sinks."""
-    return events.select(F.to_json(F.struct(*AUDIT_COLUMNS), JSON_TIMES).alias("value"))
+def log_lines(events: DataFrame, *others: str) -> DataFrame:
+    """Each event as one line of JSON in a column ``value``, for text sinks; with ``others`` beside it."""
+    return events.select(F.to_json(F.struct(*AUDIT_COLUMNS), JSON_TIMES).alias("value"), *others)
 
 
 def record_then_release(
@@ -101,11 +104,12 @@ def record_then_release(
 
     If the trail cannot be written, the cause is logged and every decision of the
     batch becomes a denial; with ``fail_closed=False`` the error is raised instead.
-    A fault of the program (an unresolved column, a wrong type) is always raised.
+    A fault of the program (an unresolved column, a wrong type, a batch name that was used
+    before, an event without an identifier) is always raised: it is no outage.
     """
     try:
         write(events)
-    except (AnalysisException, TypeError, NameError, AttributeError):
+    except (AnalysisException, TypeError, NameError, AttributeError, LookupError, ValueError):
         raise
     except Exception:
         if not fail_closed:

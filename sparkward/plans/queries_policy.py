@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkward.functions.sqltext import FORBIDDEN_WORDS
 from sparkward.operators import audit, policy
-from sparkward.operators.newest import newest
+from sparkward.operators.newest import newest, newest_per_key
 from sparkward.operators.policy import Policy
 from sparkward.plans.derived import (
     OBJECTS,
@@ -536,6 +536,64 @@ _REPLAY_SQL = _with(
 )
 
 
+def _halves(spark: SparkSession, sf_dir: str, name: str, append) -> str:
+    """The events appended in two batches, the first of them twice; the trail's path."""
+    path, stored = shared_dir(spark, name), shared_dir(spark, f"{name}-events")
+    events = _events(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    events.write.parquet(stored)
+    events = spark.read.schema(audit.AUDIT_SCHEMA).parquet(stored)
+    first, second = F.col("event_id") < "8", F.col("event_id") >= "8"
+    for batch, part in (("first", first), ("second", second), ("first", first)):
+        append(events.where(part), path, batch)
+    return path
+
+
+def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the commit records of both kinds of trail say of each batch."""
+    parts = []
+    for sink, append in (("json", trail.append_events), ("table", trail.append_table)):
+        records = trail.commits(spark, _halves(spark, sf_dir, f"commits-{sink}", append))
+        parts.append(records.withColumn("sink", F.lit(sink)))
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy("sink", "batch").agg(
+        F.max("attempt").alias("attempt"),
+        F.sum("events").alias("events"),
+        F.timestamp_micros(F.min("low")).cast("timestamp_ntz").alias("first"),
+        F.timestamp_micros(F.max("high")).cast("timestamp_ntz").alias("last"),
+    )
+
+
+_COMMITS_SQL = _with(
+    _EVENTS_CTES,
+    "SELECT sink, CASE WHEN event_id < '8' THEN 'first' ELSE 'second' END AS batch, 0::BIGINT AS attempt, "
+    'count(*)::BIGINT AS events, min("timestamp") AS first, max("timestamp") AS last '
+    "FROM events_out, (VALUES ('json'), ('table')) AS s(sink) GROUP BY ALL",
+)
+
+
+def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest of a JSON trail, from the files that can hold them."""
+    path = _halves(spark, sf_dir, "zones", trail.append_events)
+    return _plain_time(trail.read_recent(spark, path, 700))
+
+
+def _retention_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One actor has half of all events, and a quarter of all fall on the first moment of their day."""
+    events = derived_table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 4 == 0, F.date_trunc("day", "ts")).otherwise(F.col("ts")).cast("timestamp_ntz").alias("timestamp"),
+        F.when(F.col("event_id") % 2 == 0, "hot").otherwise(F.concat(F.lit("agent-"), F.col("user_id") % 50)).alias("actor"),
+    )
+    return newest_per_key(events, ["actor"], 400, ranked_rows=500)
+
+
+_RETENTION_HOT_SQL = """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN date_trunc('day', ts) ELSE ts END::TIMESTAMP AS "timestamp",
+                  CASE WHEN event_id % 2 = 0 THEN 'hot' ELSE concat('agent-', user_id % 50) END AS actor FROM events)
+SELECT event_id, "timestamp", actor FROM e
+QUALIFY row_number() OVER (PARTITION BY actor ORDER BY "timestamp" DESC, event_id DESC) <= 400"""
+
+
 def _newest_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many events of one time, told apart by whole numbers."""
     days = derived_table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts"))
@@ -609,6 +667,9 @@ QUERIES = {
     "audit_fail_closed": (_fail_closed, _FAIL_CLOSED_SQL),
     "audit_table": (_audit_table, _AUDIT_TABLE_SQL),
     "audit_replay": (_replay, _REPLAY_SQL),
+    "audit_commits": (_commits, _COMMITS_SQL),
+    "audit_zones": (_zones, _newest_sql(700)),
+    "audit_retention_hot": (_retention_hot, _RETENTION_HOT_SQL),
     "audit_newest_numeric": (_newest_numeric, _NEWEST_NUMERIC_SQL),
     "audit_stream_late": (_stream_late, _STREAM_LATE_SQL),
     "audit_table_recent": (_recent_table, _newest_sql(500)),

@@ -47,6 +47,38 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below the cluster's shared folder and read it back.
+
+    Cuts the lineage: later reads need neither the executors that computed it
+    nor the inputs, and what follows plans with its true size.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that nothing will read any more."""
+    for table in tables:
+        remove(table.sparkSession, table._stored_at)
+
+
+def filesystem(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path as it wants it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the library wrote; one that is gone is no error."""
+    files, at = filesystem(spark, path)
+    files.delete(at, True)
+
+
 def local_frame(spark: SparkSession, schema: T.StructType, rows: Sequence[Sequence]) -> DataFrame:
     """Configuration-sized rows as a local relation.
 
