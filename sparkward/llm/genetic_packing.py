@@ -160,7 +160,7 @@ def _bins(flat: Sequence[int]) -> Bins:
 
 
 def _solved(
-    sliced: DataFrame, capacity: int, islands: int, epochs: int, generations: int, population: int, seed: int
+    sliced: DataFrame, capacity: int, islands: int, epochs: int, generations: int, population: int, seed: int, tasks: int
 ) -> DataFrame:
     """``slice, solution``: the best packing of each slice of ``sliced (slice, length)``.
 
@@ -196,7 +196,8 @@ def _solved(
                 names = ["slice", "island", "lengths", "counts", "elites", "bins", "spread", "optimal"]
                 yield pd.DataFrame(rows, columns=names)
 
-        dealt = state.repartition("slice", "island").select("slice", "island", "lengths", "counts", "elites")
+        # An island is much work in few bytes, so tasks are given by number: one island each, up to some thousands.
+        dealt = state.repartition(min(10_000, tasks), "slice", "island").select("slice", "island", "lengths", "counts", "elites")
         state = stored(dealt.mapInPandas(advance, schema + ", bins bigint, spread bigint, optimal boolean"), "islands")
         best = state.groupBy("slice").agg(
             F.min_by(F.col("elites")[0], F.struct("bins", "spread", "island")).alias("solution"),
@@ -259,7 +260,7 @@ def pack_fewest(
     while left:
         slices = max(1, left // pieces_per_slice)
         sliced = loose.withColumn("slice", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(slices)).cast("bigint"))
-        solved = _solved(sliced, capacity, islands, epochs, generations, population, level)
+        solved = _solved(sliced, capacity, islands, epochs, generations, population, level, slices * islands)
         placed = stored(_placed(sliced, solved, capacity, reopened if slices > 1 else 0, level), f"level-{level}")
         result = result.unionByName(placed.where("not reopened").select(*columns, "sequence_id", "offset"))
         loose = placed.where("reopened").select(table.columns)
