@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -77,9 +78,7 @@ def _laid_out(texts: list[bytes], depth: int) -> tuple[np.ndarray, ...]:
     predicted = np.ones(len(data), dtype=bool)
     predicted[(starts[:, None] + np.arange(depth)[None, :]).ravel()] = False
     count = np.array([len(w) for w in words])
-    hashes = np.fromiter(
-        (h for w in words for h in map(xxhash.xxh3_64_intdigest, w)), np.uint64, int(count.sum())
-    )
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(count.sum()))
     return data, predicted, starts, hashes, count
 
 
