@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkward.session import shared_dir
+from sparkward.session import discard, stored
+
+__all__ = [
+    "LOWER", "SPACES", "WORD", "discard", "in_chunks", "numbered", "original", "remainder", "spread_join",
+    "stored", "unit_interval",
+]
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,16 +21,59 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table below the cluster's shared folder and read it back.
+# Above so many files a table is written anew to number its rows.
+MOST_FILES = 2_000_000
+
 
-    Cuts the lineage: later reads need neither the executors that computed it
-    nor the inputs, and what follows plans with its true size.
+def numbered(docs: DataFrame) -> DataFrame:
+    """``number, row``: the columns of ``docs`` as a struct, and a number of their own for every row.
+
+    Rows of Parquet files are numbered by the rank of their file and their place in it, so they
+    have the same numbers whenever the files are read, and nothing is written or shuffled but
+    one row per file. Any other table is stored first.
+    """
+    if not _is_scan(docs):
+        docs = stored(docs, "numbered")
+    placed = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.row_index").alias("place"),
+    )
+    files = stored(placed.select("path").distinct(), "files")
+    if files.count() > MOST_FILES:
+        return numbered(stored(docs, "numbered").where("true"))
+    ranked = files.withColumn("rank", F.row_number().over(Window.orderBy("path")).cast("bigint") - 1)
+    number = F.shiftleft(F.col("rank"), 40) + F.col("place")
+    return placed.join(F.broadcast(ranked), "path").select(number.alias("number"), "row")
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether a table is what files hold, row by row."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString()
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join on a key that ``table`` holds once, with no task for all rows of a frequent key.
+
+    A key with over a thousandth of all ``rows`` (a thousand at least) is dealt over several tasks, each with a
+    copy of its row in ``table``. There are fewer than a thousand such keys; their list is broadcast.
+    ``counts`` may hold ``key, n`` of ``rows``, which are stored.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    limit = max(1_000, rows.count() // 1_000)
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    shares = F.ceil(F.col("n") / limit).cast("int").alias("shares")
+    hot = stored(counts.where(F.col("n") > limit).select(key, shares), "hot")
+    if hot.isEmpty():
+        return rows.join(table, key)
+    share = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in rows.columns]), F.coalesce("shares", F.lit(1)))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("share", share.cast("int")).drop("shares")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))
+    copied = table.join(F.broadcast(hot), key, "left").withColumn("share", copies).drop("shares")
+    return dealt.join(copied, [key, "share"]).drop("share")
 
 
 def remainder(identifier: str | Column, modulus: int) -> Column:

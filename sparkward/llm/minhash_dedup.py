@@ -11,9 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkward.llm.common import LOWER, in_chunks, stored
+from sparkward.llm.common import LOWER, discard, in_chunks, numbered, original, spread_join, stored
 from sparkward.llm.components import components
 from sparkward.llm.pairs import buckets, forest, in_units, ordered
+from sparkward.operators.selection import small
 
 # Registers are floor(1 - log_BASE(h)) of the smallest exponential h with RATE.
 # With a base so near 1, equal registers are about as likely as equal minima.
@@ -127,7 +128,58 @@ def link_documents(
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``.
 
     Documents are linked when ``100 * |A and B| >= percent * |A or B|`` for their
-    sets of distinct ``words``-word shingles; a component is what links reach.
+    sets of distinct ``words``-word shingles; a component is what links reach (:func:`link_rows`).
+
+    A text without words, empty or null has no shingles and links with nothing. Rows
+    with the same identifier but different texts are different nodes. ``kept`` is
+    ``doc_id = component_id``: repeated rows with the smallest id are all kept. A
+    null identifier is never the smallest; it is kept only if its component has no
+    id. Other columns are ignored; an empty table gives an empty result.
+    """
+    rows = numbered(docs).select("number", "row.doc_id", "row.text")
+    linked = link_rows(rows, words, percent, rows_per_unit, rows_per_block)
+    some = linked.where("component is not null")
+    least = some.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    least = stored(least, "least")
+    some = spread_join(some, least.drop("n"), "component", least.select("component", "n"))
+    alone = linked.where("component is null").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "n_shingles", "component_id"]
+    result = some.select(columns).unionByName(alone.select(columns))
+    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs (doc_id, text, ...)`` without all but one of each component of :func:`link_rows`.
+
+    The one with the smallest identifier stays, null last, then the smallest hash of the
+    text, then the first in the table. Rows without words all stay. Only the numbers of the rows
+    that go are brought together; up to 200,000 are broadcast, more are joined.
+    """
+    rows = numbered(docs)
+    texts = rows.select("number", "row.doc_id", "row.text", F.xxhash64("row.text").alias("hash"))
+    linked = link_rows(texts, words, percent, carried=("hash",))
+    some = linked.where("component is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "number")
+    groups = some.groupBy("component").agg(F.min(place)["number"].alias("first"), F.count("*").alias("n"))
+    groups = stored(groups.where("n > 1"), "groups")
+    members = spread_join(some, groups.drop("n"), "component", groups.select("component", "n"))
+    gone = stored(members.where("number <> first").select("number"), "gone")
+    discard(groups, linked)
+    kept = rows.join(small(gone), "number", "left_anti")
+    return kept.select(*original(kept, "row", ()))
+
+
+def link_rows(
+    docs: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    rows_per_unit: int = 20_000,
+    rows_per_block: int = 2_000,
+    carried: Sequence[str] = (),
+) -> DataFrame:
+    """``number, doc_id, n_shingles, component`` of ``docs (number, doc_id, text)`` and ``carried``, stored.
+
+    ``number`` tells rows apart, whenever ``docs`` is read. ``component`` is null for a row without shingles.
 
     1. Each text gives its set, a digest of it and 80 registers. Rows with equal
        sets are one node from here on.
@@ -144,21 +196,19 @@ def link_documents(
        it or, far less often, the likelihood rules it out; but only a spanning forest
        of the links leaves a task, never the pairs of a group.
 
-    A text without words, empty or null has no shingles and links with nothing. Rows
-    with the same identifier but different texts are different nodes. ``kept`` is
-    ``doc_id = component_id``: repeated rows with the smallest id are all kept. A
-    null identifier is never the smallest; it is kept only if its component has no
-    id. Other columns are ignored; an empty table gives an empty result.
+    Frequent sets, nodes that head many pairs and large components are dealt over several tasks.
+    Tables in between are deleted once they were read for the last time.
     """
     threshold = percent / 100
-    rows = stored(_sketched(docs, words), "sketches")
+    rows = stored(_sketched(docs, words, carried), "sketches")
     nodes = (
         rows.where("n_shingles > 0")
         .groupBy("digest")
         .agg(
-            F.min("doc_id").alias("doc_id"),
+            F.min("number").alias("number"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("sketch").alias("sketch"),
+            F.count("*").alias("n"),
         )
         .withColumn("node", F.monotonically_increasing_id())
     )
@@ -167,34 +217,41 @@ def link_documents(
 
     firsts = members.groupBy("bucket").agg(F.min("node").alias("top"), F.count("*").alias("size"))
     firsts = firsts.where("size > 1")
-    pairs = (
+    pairs = stored(
         members.join(firsts, "bucket").where("node <> top")
-        .select(F.col("top").alias("a"), F.col("node").alias("b")).distinct()
+        .select(F.col("top").alias("a"), F.col("node").alias("b")).distinct(),
+        "pairs",
     )
     likely_pairs = stored(_plausible(pairs, nodes, threshold), "likely")
-    links = stored(_verified(likely_pairs, nodes, docs, words, percent), "verified")
+    discard(pairs)
+    links = _verified(likely_pairs, nodes, docs, words, percent)
+    discard(likely_pairs)
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     crossing = stored(
         _crossing(members, nodes, joined, threshold, rows_per_unit, rows_per_block), "crossing"
     )
+    discard(members)
     if not crossing.isEmpty():
         sets = _sets(crossing.select("node").distinct(), nodes, docs, words)
-        more = _linked(crossing, sets, nodes, percent, rows_per_unit // 4, rows_per_block)
-        links = links.unionByName(stored(more, "verified"))
+        more = stored(_linked(crossing, sets, nodes, percent, rows_per_unit // 4, rows_per_block), "verified")
+        discard(sets)
+        both = stored(links.unionByName(more), "links")
+        discard(links, more)
+        links = both
         joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    nodes = nodes.join(joined.withColumnRenamed("id", "node"), "node", "left").select(
-        "digest", "doc_id", F.coalesce("component", "node").alias("component")
-    )
-    least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    nodes = nodes.join(least, "component").select("digest", "component_id")
-    result = rows.join(nodes, "digest", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    labelled = nodes.join(joined.withColumnRenamed("id", "node"), "node", "left").select(
+        "digest", F.coalesce("component", "node").alias("component"), "n"
     )
-    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    labelled = stored(labelled, "labelled")
+    names = ["number", "doc_id", *carried, "n_shingles"]
+    some = rows.where("n_shingles > 0").select(*names, "digest")
+    some = spread_join(some, labelled.drop("n"), "digest", labelled.select("digest", "n"))
+    none = rows.where("n_shingles = 0").withColumn("component", F.lit(None).cast("bigint"))
+    result = stored(some.select(*names, "component").unionByName(none.select(*names, "component")), "linked")
+    discard(rows, nodes, links, crossing, labelled)
+    return result
 
 
 def _crossing(
@@ -287,8 +344,9 @@ def _similar(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, perc
     return result
 
 
-def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    identifier = docs.schema["doc_id"].dataType.simpleString()
+def _sketched(docs: DataFrame, words: int, carried: Sequence[str]) -> DataFrame:
+    names = ["number", "doc_id", *carried]
+    fields = [f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in names]
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -299,18 +357,13 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
                 if some:
                     for i, row in zip(some, sketches([sets[i] for i in some]), strict=True):
                         packed[i] = row.astype("<u2").tobytes()
-                yield pd.DataFrame(
-                    {
-                        "doc_id": batch["doc_id"].iloc[first : first + len(sets)].to_numpy(),
-                        "n_shingles": [len(s) for s in sets],
-                        "digest": [_digest(s) for s in sets],
-                        "sketch": packed,
-                    }
+                part = batch.iloc[first : first + len(sets)][names]
+                yield part.assign(
+                    n_shingles=[len(s) for s in sets], digest=[_digest(s) for s in sets], sketch=packed
                 )
 
-    return docs.select("doc_id", "text").mapInPandas(
-        sketch, f"doc_id {identifier}, n_shingles bigint, digest binary, sketch binary"
-    )
+    schema = ", ".join([*fields, "n_shingles bigint, digest binary, sketch binary"])
+    return docs.select(*names, "text").mapInPandas(sketch, schema)
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -341,38 +394,37 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
             )
             yield batch.loc[ok, ["a", "b"]]
 
-    sides = pairs.join(slim.toDF("b", "n_b", "sketch_b"), "b").join(slim.toDF("a", "n_a", "sketch_a"), "a")
-    return sides.mapInPandas(keep, "a bigint, b bigint")
+    sides = spread_join(pairs, slim.toDF("a", "n_a", "sketch_a"), "a").join(slim.toDF("b", "n_b", "sketch_b"), "b")
+    return sides.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInPandas(keep, "a bigint, b bigint")
 
 
 def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """``node, shingles``, sorted: the full sets of some nodes, made again from their texts."""
-    wanted = nodes.join(wanted, "node", "left_semi").select("node", "digest", F.col("doc_id").alias("id"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
+    """``node, shingles``, sorted: the full sets of some nodes, made again from the text of one row each.
+
+    Up to 200,000 wanted nodes are broadcast, so that no text is shuffled; more are joined.
+    """
+    wanted = stored(nodes.join(wanted, "node", "left_semi").select("node", "number"), "wanted")
+    texts = docs.select("number", "text").join(small(wanted), "number")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first, chunk in in_chunks(batch["text"], 1_000_000):
-                part = batch.iloc[first : first + len(chunk)]
-                rows = [
-                    (node, np.sort(shingles.view(np.int64)))
-                    for node, digest, shingles in zip(
-                        part["node"], part["digest"], shingle_sets(chunk, words), strict=True
-                    )
-                    if _digest(shingles) == digest  # not another text of a repeated identifier
-                ]
-                yield pd.DataFrame(rows, columns=["node", "shingles"])
+                nodes = batch["node"].iloc[first : first + len(chunk)].to_numpy()
+                sets = [np.sort(shingles.view(np.int64)) for shingles in shingle_sets(chunk, words)]
+                yield pd.DataFrame({"node": nodes, "shingles": sets})
 
-    sets = texts.select("node", "digest", "text").mapInPandas(make, "node bigint, shingles array<bigint>")
-    return stored(sets.dropDuplicates(["node"]), "sets")
+    sets = stored(texts.select("node", "text").mapInPandas(make, "node bigint, shingles array<bigint>"), "sets")
+    discard(wanted)
+    return sets
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough. Only sets that occur in a pair are made again."""
+    """Pairs whose full sets are similar enough, stored. Only sets that occur in a pair are made again."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = _sets(wanted, nodes, docs, words)
     both = F.size(F.array_intersect("set_a", "set_b"))
     similar = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
-    return (
-        pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").where(similar).select("a", "b")
-    )
+    sides = spread_join(pairs, sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    links = stored(sides.where(similar).select("a", "b"), "verified")
+    discard(sets)
+    return links

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkward.llm.common import WORD, original, stored, unit_interval
-
-ADDED = ("source", "size", "source_size", "target", "taken")
+from sparkward.llm.common import WORD, discard, numbered, original, stored, unit_interval
+from sparkward.operators.selection import borders, small
 
 
 def quality(text: Column) -> Column:
@@ -56,6 +55,86 @@ def targets(
     return weighed.select("source", "number", "source_size", target.alias("target"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``number, row, source, size, key`` of ``docs (doc_id, text, source)``; no row is shuffled.
+
+    The key is an exponential number divided by the document's quality weight. The
+    identifier alone decides the number (the text where that is null), so reruns agree.
+    """
+    text = F.coalesce("row.text", F.lit(""))
+    drawn = unit_interval(F.coalesce(F.col("row.doc_id").cast("string"), text))
+    return numbered(docs).select(
+        "number",
+        "row",
+        F.col("row.source").alias("source"),
+        F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"),
+        (-F.log(drawn) / quality(text)).alias("key"),
+    )
+
+
+def cuts(
+    rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
+    rows_per_cell: int = 20_000,
+) -> DataFrame:
+    """Per source of ``rows (number, source, size, key)``, stored, how much of it is taken.
+
+    ``of, source_size, target, full, last_key, last_number``: ``full`` complete epochs, and besides
+    each document with a size whose key and number are not behind the last ones. These are found
+    by rounds of histograms over keys and, if too many rows have one key, over numbers
+    (:func:`borders`), until at most ``rows_per_cell`` rows of a source are left to be summed one by one.
+    """
+    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1)
+    sources = sources.withColumn("full", full.cast("bigint"))
+    sources = stored(sources.withColumn("wanted", F.col("target") - F.col("full") * F.col("source_size")), "targets")
+    at_key = borders(rows, ["source"], "key", "size", sources, ranked_rows=rows_per_cell)
+    left = F.col("wanted") - F.col("before")
+    tied = stored(
+        at_key.where(F.col("n") > rows_per_cell).select(F.col("source").alias("of"), F.col("low").alias("tie"), left.alias("wanted")),
+        "tied",
+    )
+    border = at_key.select(F.col("source").alias("of"), "low", "high", left.alias("left"))
+    inside = rows.join(small(border), F.col("source").eqNullSafe(F.col("of"))).where("key between low and high")
+    if not tied.isEmpty():
+        ties = rows.join(small(tied), F.col("source").eqNullSafe(F.col("of"))).where("key = tie")
+        at_number = borders(
+            ties.select("source", "number", "size"), ["source"], "number", "size",
+            stored(tied.select(F.col("of").alias("source"), "wanted"), "tied"), ranked_rows=rows_per_cell,
+        )
+        first = at_number.select(
+            F.col("source").alias("tied"), F.lit(True).alias("is_tied"), F.col("low").alias("from"), F.col("high").alias("to"), left.alias("left_of_ties")
+        )
+        inside = inside.join(small(first), F.col("of").eqNullSafe(F.col("tied")), "left")
+        inside = inside.where("is_tied is null or number between from and to")
+        inside = inside.withColumn("left", F.coalesce("left_of_ties", "left")).withColumn("begin", F.coalesce("from", F.lit(0)))
+    else:
+        inside = inside.withColumn("begin", F.lit(0).cast("bigint"))
+    along = Window.partitionBy("of").orderBy("key", "number")
+    sooner = F.coalesce(F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = sooner + F.col("size") / 2.0 <= F.col("left")
+    inside = inside.select("of", "low", "begin", "key", "number", taken.alias("taken"))
+    # Where none of these is taken, the last one taken lies just before them.
+    last = F.coalesce(F.max(F.when(F.col("taken"), F.struct("key", "number"))), F.struct(F.min("low").alias("key"), (F.min("begin") - 1).alias("number")))
+    last = inside.groupBy("of").agg(last.alias("last"))
+    found = sources.join(last, F.col("source").eqNullSafe(F.col("of")), "left").select(
+        F.col("source").alias("of"), "source_size", "target", "full", F.col("last.key").alias("last_key"), F.col("last.number").alias("last_number")
+    )
+    return stored(found, "cuts")
+
+
+def with_epochs(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """``rows (number, source, size, key, ...)`` with ``source_size, target, epochs``: how often each is taken.
+
+    The table of sources is broadcast up to 200,000 of them, so rows are not shuffled.
+    """
+    last = (F.col("key") < F.col("last_key")) | (
+        (F.col("key") == F.col("last_key")) & (F.col("number") <= F.col("last_number"))
+    )
+    drawn = F.when((F.col("size") > 0) & F.coalesce(last, F.lit(False)), 1).otherwise(0)
+    joined = rows.join(small(cut), F.col("source").eqNullSafe(F.col("of")))
+    return joined.withColumn("epochs", F.col("full") + drawn).drop("of", "full", "last_key", "last_number")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (3, 1, 2),
@@ -67,68 +146,30 @@ def mix(
 
     A target is met by as many complete epochs of its source as fit. For the rest,
     documents are drawn without replacement, heavier ones sooner: the key of a
-    document is an exponential number (from its identifier alone, so reruns agree)
-    divided by its quality weight; by rising key documents are taken while the one
-    at the border lies more than half inside. ``epochs`` says how often a document
-    is taken, ``taken`` is that times its size.
-
-    The sum along a source's keys is found in two steps, so that no source meets in
-    one task: words per cell of the key's range, then, only in the one cell where
-    the border lies, a sum document by document. Cells are made as fine as the
-    table is long (``rows_per_cell``).
+    document is an exponential number divided by its quality weight (:func:`keyed`); by rising
+    key documents are taken while the one at the border lies more than half inside (:func:`cuts`).
+    ``epochs`` says how often a document is taken, ``taken`` is that times its size.
 
     A null text has no words; documents without words are taken 0 words and belong
-    to complete epochs only. Equal keys go by identifier. Repeated rows are
-    documents of their own. Other columns are ignored; an empty table gives an
-    empty result.
+    to complete epochs only. Equal keys go by the place in the table. Repeated rows are
+    documents of their own, and so are rows with a null identifier. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = stored(
-        docs.select(
-            "doc_id",
-            "source",
-            F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"),
-            (-F.log(unit_interval(F.col("doc_id"))) / quality(text)).alias("key"),
-        ),
-        "keys",
-    )
-    cells = max(256, rows.count() // rows_per_cell)
-    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1)
-    sources = stored(
-        sources.withColumn("full", full.cast("bigint")).withColumn(
-            "rest", F.col("target") - F.col("full") * F.col("source_size")
-        ),
-        "targets",
-    )
-    cell = F.floor((1.0 - F.exp(-F.col("key"))) * F.lit(float(cells)))
-    rows = (
-        rows.alias("r")
-        .join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-        .select("doc_id", "r.source", "size", "key", "number", "source_size", "target", "full", "rest")
-        .withColumn("cell", cell)
-    )
-    filled = rows.groupBy("number", "cell", "rest").agg(F.sum("size").alias("words"))
-    up_to = F.sum("words").over(Window.partitionBy("number").orderBy("cell"))
-    filled = filled.withColumn("up_to", up_to).withColumn("before", F.col("up_to") - F.col("words"))
-    filled = filled.select(
-        "number",
-        "cell",
-        "before",
-        F.when(F.col("up_to") <= F.col("rest"), 1).when(F.col("before") > F.col("rest"), 0).alias("inside"),
-    )
-    rows = rows.join(filled, ["number", "cell"])
-    clear = rows.where("inside is not null").withColumn("drawn", F.col("inside"))
-    along = Window.partitionBy("number").orderBy("key", F.asc_nulls_last("doc_id"), "size")
-    sooner = F.coalesce(F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    middle = F.col("before") + sooner + F.col("size") / 2.0
-    border = rows.where("inside is null").withColumn("drawn", (middle <= F.col("rest")).cast("int"))
-    drawn = F.when(F.col("size") > 0, F.col("drawn")).otherwise(0)
-    return (
-        clear.unionByName(border)
-        .withColumn("epochs", F.col("full") + drawn)
-        .select(
-            "doc_id", "source", "size", "source_size", "target", "epochs",
-            (F.col("epochs") * F.col("size")).alias("taken"),
-        )
+    rows = stored(keyed(docs).select("number", "row.doc_id", "source", "size", "key"), "keys")
+    mixed = with_epochs(rows, cuts(rows, weights, share, most, rows_per_cell))
+    return mixed.select(
+        "doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken")
     )
+
+
+def taken_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as :func:`mix` takes it.
+
+    The keys are computed twice, for the cuts and for the rows, so that no text is shuffled or stored.
+    """
+    rows = keyed(docs)
+    slim = stored(rows.select("number", "source", "size", "key"), "keys")
+    mixed = with_epochs(rows, cuts(slim))
+    discard(slim)
+    taken = mixed.where("epochs > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))))
+    return taken.select(*original(taken, "row", ()))
