@@ -31,34 +31,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one row.
+    """Of each group of near copies one row: smallest identifier, null last, then smallest hash of the text.
 
-    It is the one with the smallest identifier, null last, then the smallest hash of the
-    text. Rows are told apart by a number, not by their identifier: another text under
-    the identifier of a near copy stays. Texts without words are no copies and all stay.
+    Rows are told apart by their place in the table: another text under the identifier of a
+    near copy stays. Texts without words are no copies and all stay.
     """
-    numbered = stored(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")), "numbered")
-    text = F.col("row")["text"]
-    linked = minhash_dedup.link_documents(
-        numbered.select(F.col("number").alias("doc_id"), text.alias("text")), words=5, percent=80
-    ).select(F.col("doc_id").alias("number"), "component_id")
-    doc_id = F.col("row")["doc_id"]
-    place = F.struct(doc_id.isNull().alias("last"), doc_id.alias("id"), F.xxhash64(text).alias("hash"), "number")
-    first = numbered.select("number", place.alias("place")).join(linked, "number").groupBy("component_id")
-    first = stored(first.agg(F.min("place")["number"].alias("number")).select("number"), "first")
-    kept = numbered.join(first, "number", "left_semi")
-    return kept.select(*original(kept, "row", ()))
+    return minhash_dedup.one_per_component(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; rows that share an identifier as often as the first of them."""
-    epochs = mixing.mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("epochs").alias("epochs"))
-    epochs = stored(epochs.where("epochs > 0"), "epochs")
-    packed = docs.select("doc_id", F.struct("*").alias("row"))
-    taken = packed.join(epochs, F.col("doc_id").eqNullSafe(F.col("id"))).select(
-        "row", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))
-    )
-    return taken.select(*original(taken, "row", ()))
+    """Every row as often as the mix takes it, each for itself also where rows share an identifier."""
+    return mixing.taken_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
