@@ -11,7 +11,7 @@ from sparkward.session import discard, stored
 
 __all__ = [
     "LOWER", "SPACES", "WORD", "discard", "in_chunks", "numbered", "original", "remainder", "spread_join",
-    "stored", "unit_interval",
+    "stored", "stored_texts", "unit_interval",
 ]
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -76,6 +76,25 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame |
     return dealt.join(copied, [key, "share"]).drop("share")
 
 
+# Rows of text that travel to a Python task at a time: some megabytes, also where texts are long.
+ROWS_OF_TEXT = 1_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored_texts(df: DataFrame, name: str) -> DataFrame:
+    """:func:`stored` for a table made from texts in Python, which are handed over in small batches.
+
+    Spark's own batches of 10,000 rows are held several times over, on both sides of the task.
+    """
+    settings = df.sparkSession.conf
+    before = settings.get(_BATCH_ROWS)
+    settings.set(_BATCH_ROWS, str(min(int(before) if int(before) > 0 else ROWS_OF_TEXT, ROWS_OF_TEXT)))
+    try:
+        return stored(df, name)
+    finally:
+        settings.set(_BATCH_ROWS, before)
+
+
 def remainder(identifier: str | Column, modulus: int) -> Column:
     """``crc32`` of an identifier as text, modulo. A null identifier counts as empty text."""
     column = F.col(identifier) if isinstance(identifier, str) else identifier

@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _least(links: DataFrame) -> DataFrame:
-    return links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return stored(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def _stars(links: DataFrame) -> DataFrame:
     stars = stored(
         others.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars"
     )
-    discard(links)
+    discard(links, least)
     return stars
 
 

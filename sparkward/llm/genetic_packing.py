@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkward.llm.common import stored
+from sparkward.llm.common import stored, stored_texts
 from sparkward.llm.packing import TOKENIZER, ids_by
 
 Bins = list[list[int]]
@@ -249,7 +249,7 @@ def pack_fewest(
     ordinary documents, and neither equal texts nor one identifier meet in one task. Other
     columns are ignored; an empty table gives an empty result.
     """
-    table = stored(pieces(docs, tokenizer, capacity, end, with_ids), "pieces")
+    table = stored_texts(pieces(docs, tokenizer, capacity, end, with_ids), "pieces")
     columns = [name for name in table.columns if name != "row"]
     whole = table.where(F.col("length") == capacity)
     result = whole.withColumns({"sequence_id": -F.col("row") - 1, "offset": F.lit(0).cast("bigint")})

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkward.llm.common import LOWER, discard, in_chunks, numbered, original, spread_join, stored
+from sparkward.llm.common import LOWER, discard, in_chunks, numbered, original, spread_join, stored, stored_texts
 from sparkward.llm.components import components
 from sparkward.llm.pairs import buckets, forest, in_units, ordered
 from sparkward.operators.selection import small
@@ -200,7 +200,7 @@ def link_rows(
     Tables in between are deleted once they were read for the last time.
     """
     threshold = percent / 100
-    rows = stored(_sketched(docs, words, carried), "sketches")
+    rows = stored_texts(_sketched(docs, words, carried), "sketches")
     nodes = (
         rows.where("n_shingles > 0")
         .groupBy("digest")
@@ -413,7 +413,7 @@ def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> D
                 sets = [np.sort(shingles.view(np.int64)) for shingles in shingle_sets(chunk, words)]
                 yield pd.DataFrame({"node": nodes, "shingles": sets})
 
-    sets = stored(texts.select("node", "text").mapInPandas(make, "node bigint, shingles array<bigint>"), "sets")
+    sets = stored_texts(texts.select("node", "text").mapInPandas(make, "node bigint, shingles array<bigint>"), "sets")
     discard(wanted)
     return sets
 

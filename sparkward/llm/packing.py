@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkward.llm.common import stored
+from sparkward.llm.common import stored, stored_texts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -132,7 +132,7 @@ def pack(
     Repeated rows are documents of their own; null identifiers are ordinary values.
     Other columns are ignored; an empty table gives an empty result.
     """
-    table = stored(pieces(docs, tokenizer, capacity, smallest, end, with_ids), "pieces")
+    table = stored_texts(pieces(docs, tokenizer, capacity, smallest, end, with_ids), "pieces")
     runs = max(1, table.count() // pieces_per_run)
     table = table.withColumns(
         {

@@ -13,7 +13,7 @@ from odd_rows import ODD, empty, odd  # noqa: F401
 from test_text_operators import words_of
 
 import corpus_pipeline
-from sparkward.llm import chat_format, embedding_dedup, exact_dedup, minhash_dedup
+from sparkward.llm import chat_format, common, embedding_dedup, exact_dedup, minhash_dedup
 from sparkward.llm.components import components
 
 
@@ -236,3 +236,27 @@ def test_only_hopeless_sketches_are_ruled_out():
         right[row, :differing] += np.where(np.arange(differing) % 2, 1, -1)
     sizes = np.array([2000.0, 2000.0])
     assert minhash_dedup.likely(left, right, sizes, sizes, 0.8).tolist() == [True, False]
+
+
+def test_a_frequent_key_is_dealt_over_tasks(spark):
+    rows = spark.range(9_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k").repartition(3)
+    table = spark.range(8_000).selectExpr("id AS k", "id * 2 AS v")
+    rows, plain = common.stored(rows, "rows"), rows.join(table, "k")
+    spread = common.spread_join(rows, table, "k")
+    assert Counter(map(tuple, spread.select("id", "k", "v").collect())) == Counter(map(tuple, plain.select("id", "k", "v").collect()))
+    assert common.spread_join(common.stored(rows.where("false"), "none"), table, "k").count() == 0
+
+
+def test_rows_keep_their_numbers(spark, folder):
+    spark.range(1_000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text").repartition(7).write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    first, again = ({r.doc_id: r.number for r in common.numbered(docs).select("number", "row.doc_id").collect()} for _ in range(2))
+    assert first == again and len(set(first.values())) == 1_000
+    doubled = common.numbered(docs.unionByName(docs)).select("number")
+    assert doubled.distinct().count() == 2_000
+
+
+def test_texts_of_one_identifier_are_fetched_once(spark):
+    docs = spark.range(400).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CONCAT('a b c d e f g h i j k l m n o p q r s ', id % 200) AS text")
+    rows = minhash_dedup.link_documents(docs).collect()
+    assert len(rows) == 400 and {r.component_id for r in rows} == {None} and all(r.kept for r in rows)

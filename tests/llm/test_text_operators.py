@@ -247,3 +247,24 @@ def test_the_label_model_corrects_given_labels():
     posterior = toxicity.label_model(np.column_stack(good + copied).astype(np.int8), gold, np.ones(4000))
     # Voters only vote for toxic or abstain; a useless one, given four times, does not mislead.
     assert ((posterior > 0.5) == truth).mean() > (gold == truth).mean() + 0.02
+
+
+def test_a_mix_is_a_prefix_by_key_and_place(spark, folder):
+    rows = [(7, "the same text", "a")] * 400 + [(None, f"nameless {i} " + "x " * (i % 5), "a") for i in range(100)]
+    rows += [(i, "12 34 " * (i % 7) + "56", "b") for i in range(100, 900)] + [(i, "w " * (i % 9), None) for i in range(900, 1100)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4).write.parquet(str(folder))
+    docs = spark.read.parquet(str(folder))
+    keyed = mixing.keyed(docs).select("number", "row.doc_id", "source", "size", "key").collect()
+    for per_cell in (20_000, 30):
+        mixed = mixing.mix(docs, rows_per_cell=per_cell).collect()
+        target = {r.source: (r.target, r.source_size) for r in mixed}
+        taken = Counter()
+        for source, (wanted, size) in target.items():
+            full, at = int(wanted // size), 0
+            for r in sorted((r for r in keyed if r.source == source), key=lambda r: (r.key, r.number)):
+                drawn = r.size > 0 and at + r.size / 2 <= wanted - full * size
+                taken[r.doc_id, source, r.size, full + drawn] += 1
+                at += r.size
+        assert Counter((r.doc_id, r.source, r.size, r.epochs) for r in mixed) == taken
+    whole = mixing.taken_rows(docs)
+    assert whole.columns == docs.columns and whole.count() == sum(r.epochs for r in mixed)
