@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,19 +43,15 @@ def high_water_mark(target: DataFrame, column: str):
 
 
 def changed_since(source: DataFrame, column: str, mark) -> DataFrame:
-    """Rows behind a mark: a filter that skips older files. All of them without a mark.
+    """Rows at or behind a mark: a filter that skips older files. All of them without a mark.
 
-    For sources that only add rows with growing values. A mark that is a date
-    stands for the whole day. Rows without a value are not behind any mark: they
-    are kept on every run, to be told apart by their keys.
+    Rows may come later with the mark's own value, so these are read again and are to be told
+    from what was loaded by their keys, as :func:`new_rows` does. Rows without a value are not
+    behind any mark: they are kept on every run, to be told apart alike.
     """
     if mark is None:
         return source
-    if isinstance(mark, date) and not isinstance(mark, datetime):
-        behind = F.col(column) >= F.lit(mark + timedelta(days=1))
-    else:
-        behind = F.col(column) > F.lit(mark)
-    return source.where(behind | F.col(column).isNull())
+    return source.where((F.col(column) >= F.lit(mark)) | F.col(column).isNull())
 
 
 def new_rows(mapped: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:

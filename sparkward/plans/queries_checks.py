@@ -534,6 +534,36 @@ SELECT order_id, line, shipped_on::VARCHAR AS shipped_on, amount::DOUBLE AS amou
 FROM latest WHERE order_id NOT IN (SELECT order_id FROM m WHERE shipped_on < DATE '1997-01-01')"""
 
 
+# Of the last day that the target holds, a fifth of the orders come later, with that same day.
+_LATE = "l_orderkey % 5 = 0 AND CAST(l_shipdate AS DATE) = DATE '1996-12-31'"
+
+
+def _incremental_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that arrive after a load with the load's own high-water mark are loaded by the next."""
+    source = table(spark, sf_dir, "lineitem")
+    loaded = source.where(f"l_shipdate < TIMESTAMP_NTZ '1997-01-01 00:00:00' AND NOT ({_LATE})")
+    target = loads.apply_mapping(loaded, _LOAD_MAPPING)
+    mark = loads.high_water_mark(target, "shipped_on")
+    rows = loads.incremental_load(
+        loads.changed_since(source, "l_shipdate", mark), target, _LOAD_MAPPING, ["order_id", "line"], _LOAD_ORDER
+    )
+    return rows.withColumns(
+        {"shipped_on": F.col("shipped_on").cast("string"), "amount": F.col("amount").cast("double")}
+    )
+
+
+_INCREMENTAL_TIES_SQL = f"""
+WITH m AS (SELECT l_orderkey AS order_id, l_linenumber::BIGINT AS line,
+                  l_shipdate::DATE AS shipped_on, l_extendedprice::DECIMAL(12,2) AS amount,
+                  l_partkey AS part_id, l_suppkey AS supplier_id, {_LATE} AS late FROM lineitem),
+loaded AS (SELECT * FROM m WHERE shipped_on < DATE '1997-01-01' AND NOT late),
+latest AS (SELECT * FROM m WHERE shipped_on >= (SELECT max(shipped_on) FROM loaded)
+           QUALIFY row_number() OVER (PARTITION BY order_id, line
+           ORDER BY shipped_on DESC, line DESC, part_id DESC, supplier_id DESC, amount DESC) = 1)
+SELECT order_id, line, shipped_on::VARCHAR AS shipped_on, amount::DOUBLE AS amount, part_id, supplier_id
+FROM latest WHERE (order_id, line) NOT IN (SELECT (order_id, line) FROM loaded)"""
+
+
 def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masking.mask_columns(
         table(spark, sf_dir, "customer"),
@@ -713,6 +743,7 @@ QUERIES = {
     "mask_columns": (_mask, _MASK_SQL),
     "row_policy": (_row_policy, _ROW_POLICY_SQL),
     "incremental_since": (_incremental_since, _INCREMENTAL_SINCE_SQL),
+    "incremental_ties": (_incremental_ties, _INCREMENTAL_TIES_SQL),
     "quality_schema": (_schema_report, _SCHEMA_SQL),
     "dq_own_check": (_own_check, _OWN_CHECK_SQL),
     "incremental_load": (_incremental, _INCREMENTAL_SQL),
