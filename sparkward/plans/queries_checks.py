@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkward.functions.metrics import Check, at_most, register_check, registered_checks
-from sparkward.operators import loads, masking, quality
+from sparkward.operators import history, loads, masking, quality
 from sparkward.operators.checks import overall_verdict, run_suite, suite_reports
 from sparkward.plans.derived import (
     EVENTS_AS_OF,
@@ -15,7 +15,7 @@ from sparkward.plans.derived import (
     labelled_documents,
     table,
 )
-from sparkward.session import shared_dir
+from sparkward.session import shared_dir, stored
 from sparkward.sources.specs import CheckSpec, parse_checks
 from sparkward.streaming import monitor
 
@@ -683,6 +683,26 @@ SELECT 'o_custkey' AS "column", 'string' AS expected_type, 'bigint' AS actual_ty
        'type' AS problem, count(o_custkey)::BIGINT AS filled FROM orders
 UNION ALL SELECT 'o_clerk', 'string', NULL, 'missing', NULL"""
 
+
+def _load_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders as versions: closed ones first, then all again with those that fall between them."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderstatus", "o_totalprice", "o_orderkey", F.to_date("o_orderdate").alias("ordered_on")
+    )
+    keys = ["o_custkey"]
+    first = stored(history.load_history(None, orders.where("o_orderstatus = 'F'"), keys, "ordered_on"), "history")
+    both = history.load_history(first, orders, keys, "ordered_on")
+    return both.withColumns({c: F.col(c).cast("string") for c in (history.VALID_FROM, history.VALID_TO)})
+
+
+_LOAD_HISTORY_SQL = """
+WITH versions AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate::DATE
+  ORDER BY o_orderstatus DESC, o_totalprice DESC, o_orderkey DESC) = 1)
+SELECT o_custkey, o_orderstatus, o_totalprice, o_orderkey, o_orderdate::DATE::VARCHAR AS valid_from,
+  (lead(o_orderdate::DATE) OVER (PARTITION BY o_custkey ORDER BY o_orderdate))::VARCHAR AS valid_to
+FROM versions"""
+
+
 QUERIES = {
     "dq_suite": (_flagship, _flagship_sql),
     "dq_null_rate": _suite(
@@ -744,6 +764,7 @@ QUERIES = {
     "row_policy": (_row_policy, _ROW_POLICY_SQL),
     "incremental_since": (_incremental_since, _INCREMENTAL_SINCE_SQL),
     "incremental_ties": (_incremental_ties, _INCREMENTAL_TIES_SQL),
+    "load_history": (_load_history, _LOAD_HISTORY_SQL),
     "quality_schema": (_schema_report, _SCHEMA_SQL),
     "dq_own_check": (_own_check, _OWN_CHECK_SQL),
     "incremental_load": (_incremental, _INCREMENTAL_SQL),

@@ -451,6 +451,23 @@ SELECT dag_id, count(*)::BIGINT AS runs,
 FROM (SELECT *, epoch(end_date - start_date)::DOUBLE AS seconds FROM ({_RUN_STATUS_SQL}) AS r) AS t
 GROUP BY dag_id"""
 
+
+def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many runs of each pipeline were active, over all spans of time."""
+    spans = runs.concurrency(runs.run_status(derived.run_payloads(spark, sf_dir)))
+    return spans.withColumns({c: F.unix_seconds(c) for c in ("since", "until")})
+
+
+_OVERLAP_SQL = f"""
+WITH r AS ({_RUN_STATUS_SQL}),
+steps AS (SELECT dag_id, start_date AS since, 1 AS step FROM r
+  UNION ALL SELECT dag_id, greatest(end_date, start_date), -1 FROM r WHERE end_date IS NOT NULL),
+moments AS (SELECT dag_id, since, sum(step) AS step FROM steps GROUP BY ALL HAVING sum(step) <> 0),
+spans AS (SELECT dag_id, epoch(since)::BIGINT AS since, epoch(lead(since) OVER w)::BIGINT AS until,
+  (sum(step) OVER w)::BIGINT AS running FROM moments WINDOW w AS (PARTITION BY dag_id ORDER BY since))
+SELECT * FROM spans WHERE running > 0"""
+
+
 QUERIES = {
     "governed_query": _governed(_LARGE_LINES, 50),
     "governed_total_rows": (
@@ -498,5 +515,6 @@ QUERIES = {
         f"SELECT * FROM ({_RUN_STATUS_SQL}) AS r "
         "WHERE run_id = (SELECT concat('run-', max(o_orderkey)) FROM orders)",
     ),
+    "runs_overlap": (_overlap, _OVERLAP_SQL),
     "runs_service_levels": (_service_levels, _SERVICE_LEVELS_SQL),
 }

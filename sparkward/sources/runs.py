@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkward.operators.ordered import ROWS_PER_SLICE, in_order, neighbour, running_total
+
 RUN_COLUMNS = ["dag_id", "run_id", "state", "start_date", "end_date"]
 
 # States that keep their name; every other one is "unknown".
@@ -82,3 +84,26 @@ def service_levels(runs: DataFrame, max_minutes: float) -> DataFrame:
         F.max("seconds").alias("max_seconds"),
         F.count_if(F.col("seconds") > F.lit(max_minutes * 60.0)).alias("over_limit"),
     )
+
+
+def concurrency(runs: DataFrame, *, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """How many runs of a pipeline were active, from when to when: ``(dag_id, since, until, running)``.
+
+    A run is active from its start up to, but not at, its end; without an end (``until`` is then null for the
+    last span) it still is. Runs without a start are not counted, those that end before or at it take no time. Spans without any
+    active run are left out.
+
+    Starts and ends are steps of +1 and -1, netted per moment before the shuffle and added up along time in
+    slices: a pipeline with any share of the runs is spread over many tasks.
+    """
+    start, ended = F.col("start_date"), F.col("end_date").isNotNull()
+    first = F.struct(start.alias("since"), F.lit(1).cast("long").alias("step"))
+    last = F.struct(F.greatest("end_date", "start_date").alias("since"), F.lit(-1).cast("long").alias("step"))
+    steps = F.when(ended, F.array(first, last)).otherwise(F.array(first))
+    moments = runs.where(start.isNotNull()).select("dag_id", F.inline(steps)).groupBy("dag_id", "since")
+    moments = moments.agg(F.sum("step").alias("step")).where("step != 0")
+    keys, order = ["dag_id"], ["dag_id", "since"]
+    ordered = in_order(moments, order, rows_per_slice=rows_per_slice)
+    counted = running_total(ordered, keys, order, "step", "running")
+    spans = neighbour(counted, keys, order, ["since"], "_next").where("running > 0")
+    return spans.select("dag_id", "since", F.col("_next.since").alias("until"), "running")
