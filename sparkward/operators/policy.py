@@ -24,6 +24,8 @@ from sparkward.functions.sqltext import (
     table_references,
 )
 from sparkward.functions.text import quoted, quoted_names
+from sparkward.operators.selection import BROADCAST_ROWS
+from sparkward.session import discard, stored
 
 # The reasons, in the order they are tested.
 EMPTY = "Empty query"
@@ -289,44 +291,134 @@ def _regex_of(patterns: pd.Series) -> pd.Series:
     return patterns.map(glob_to_regex)
 
 
-def allow_list_report(names: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Match names (column ``table_name``) against an allow-list that is a table.
+# Lengths of the literal pieces that an entry may be filed under.
+_PIECES = (1, 2, 3, 6)
+
+# A piece that more names hold is dealt over several tasks.
+_NAMES_PER_TASK = 10_000
+
+
+def _literals(pattern: Column) -> Column:
+    """The texts between an entry's wildcards; a bracket that is never closed is text."""
+    return F.split(F.regexp_replace(pattern, r"\[!?+(?s:.)[^\]]*+\]|[*?]", "\u0000"), "\u0000")
+
+
+def _pieces_of(text: Column, n: int) -> Column:
+    """All pieces of ``n`` characters, as ``(kind, piece)`` with the length as the kind."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    pieces = F.transform(starts, lambda at: F.struct(F.lit(n).alias("kind"), F.substring(text, at, F.lit(n)).alias("piece")))
+    return F.when(F.length(text) >= n, pieces).otherwise(F.array().cast("array<struct<kind:int,piece:string>>"))
+
+
+def _pieces(text: Column) -> Column:
+    return F.flatten(F.array(*[_pieces_of(text, n) for n in _PIECES]))
 
-    Entries (column ``pattern``) may be of any number, with or without
-    wildcards. Those without are joined by equality. The others are joined by
-    the literal text before their first or behind their last wildcard, whichever
-    is longer, and only then tested: a name meets the entries that share that
-    text with it. A null name is allowed by none.
+
+# Kinds of pieces beside those of a length: a name begins with it, ends with it, or anything (the empty piece).
+_BEGINS, _ENDS, _ANY = -1, -2, 0
+
+
+def _filed(wild: DataFrame) -> DataFrame:
+    """Every piece that an entry could be filed under: ``(pattern, kind, piece)``.
+
+    A name that the entry allows begins with its first literal text, ends with its last and holds
+    every piece of all of them.
     """
-    is_wild = F.col("pattern").rlike(r"[*?\[]")
-    entries = patterns.select("pattern").where(F.col("pattern").isNotNull()).distinct()
-    plain = entries.where(~is_wild).select(F.col("pattern").alias("table_name"))
-    head = F.regexp_extract("pattern", r"^[^*?\[]*", 0)
-    tail = F.regexp_extract("pattern", r"[^*?\[\]]*\z", 0)
-    by_head = F.length(head) >= F.length(tail)
-    wild = entries.where(is_wild).select(
-        by_head.alias("by_head"),
-        F.when(by_head, head).otherwise(tail).alias("anchor"),
-        _regex_of("pattern").alias("regex"),
+    literals = _literals(F.col("pattern"))
+    ends = F.filter(
+        F.array(
+            F.struct(F.lit(_BEGINS).alias("kind"), F.element_at(literals, 1).alias("piece")),
+            F.struct(F.lit(_ENDS).alias("kind"), F.element_at(literals, -1).alias("piece")),
+        ),
+        lambda p: p["piece"] != "",
     )
-    # Every beginning and every end of a name, the empty one as a beginning only.
+    inner = F.flatten(F.transform(literals, _pieces))
+    every = F.array_distinct(F.concat(ends, inner))
+    nothing = F.array(F.struct(F.lit(_ANY).alias("kind"), F.lit("").alias("piece")))
+    return wild.select("pattern", F.inline(F.when(F.size(every) > 0, every).otherwise(nothing)))
+
+
+def _probes(named: DataFrame) -> DataFrame:
+    """Every piece of a name that an entry could be filed under: ``(table_name, kind, piece)``."""
     name, length = F.col("table_name"), F.length("table_name")
     heads = F.transform(
-        F.sequence(F.lit(0), length),
-        lambda n: F.struct(F.lit(True).alias("by_head"), F.left(name, n).alias("anchor")),
+        F.sequence(F.lit(1), length), lambda n: F.struct(F.lit(_BEGINS).alias("kind"), F.left(name, n).alias("piece"))
     )
     tails = F.transform(
-        F.sequence(F.lit(1), length),
-        lambda n: F.struct(F.lit(False).alias("by_head"), F.right(name, n).alias("anchor")),
+        F.sequence(F.lit(1), length), lambda n: F.struct(F.lit(_ENDS).alias("kind"), F.right(name, n).alias("piece"))
     )
-    named = names.select("table_name").where(F.length("table_name") > 0).distinct()
+    anything = F.array(F.struct(F.lit(_ANY).alias("kind"), F.lit("").alias("piece")))
+    every = F.array_distinct(F.concat(anything, heads, tails, _pieces(name)))
+    return named.where(length > 0).select("table_name", F.inline(every))
+
+
+def _allowed_by_length(named: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Names allowed by entries of nothing but ``*`` and ``?``: these say how long a name is."""
+    signs = F.length(F.replace("pattern", F.lit("*")))
+    starred = F.col("pattern").contains("*")
+    # One number per length that an entry asks for.
+    asked = F.struct(
+        F.min(F.when(starred, signs)).alias("least"), F.collect_set(F.when(~starred, signs)).alias("exactly")
+    )
+    asked, length = shapes.agg(asked.alias("asked")).scalar(), F.length("table_name")
+    return named.where((length >= asked["least"]) | F.array_contains(asked["exactly"], length)).select("table_name")
+
+
+# So many parts a table of pieces is copied to where it is too long to be broadcast.
+_COPIES = 16
+
+
+def _by_piece(rows: DataFrame, pieces: DataFrame, how: str, few: int) -> DataFrame:
+    """Join rows, any number of which may have one piece, with a table of one row per piece."""
+    if pieces.count() <= few:
+        return rows.join(F.broadcast(pieces), ["kind", "piece"], how)
+    dealt = pieces.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1))))
+    rows = rows.withColumn("_copy", F.pmod(F.xxhash64(*rows.columns), F.lit(_COPIES)).cast("int"))
+    return rows.join(dealt, ["kind", "piece", "_copy"], how).drop("_copy")
+
+
+def allow_list_report(
+    names: DataFrame, patterns: DataFrame, *, names_per_task: int = _NAMES_PER_TASK, few_pieces: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Match names (column ``table_name``) against an allow-list that is a table.
+
+    Entries (column ``pattern``) may be of any number, with or without wildcards. Those without
+    are joined by equality; those of nothing but ``*`` and ``?`` are one condition on the length. Each
+    other entry is filed under the one literal piece of it that the fewest names hold: the text before its first or
+    behind its last wildcard, or a piece of 1, 2, 3 or 6 characters from anywhere. Names look up their own pieces and are
+    tested against the entries filed there. An entry with a piece that no name holds allows none. A piece held by more than
+    ``names_per_task`` names is dealt over several tasks, and up to ``few_pieces`` pieces are broadcast. Entries of
+    brackets and wildcards alone are filed under the empty piece, which every name but the empty one holds. A null name is
+    allowed by none.
+    """
+    is_wild = F.col("pattern").rlike(r"[*?\[]")
+    entries = patterns.select("pattern").where(F.col("pattern").isNotNull()).distinct()
+    plain = entries.where(~is_wild).select(F.col("pattern").alias("table_name"))
+    of_length = F.col("pattern").rlike(r"\A[*?]+\z")
+    named = names.select("table_name").where(F.col("table_name").isNotNull()).distinct()
+    filed = stored(_filed(entries.where(is_wild & ~of_length)), "filed")
+    # Only pieces that some entry has are shuffled, counted before they are.
+    probes = _by_piece(_probes(named), filed.select("kind", "piece").distinct(), "left_semi", few_pieces)
+    probes = stored(probes, "probes")
+    held = stored(probes.groupBy("kind", "piece").agg(F.count(F.lit(1)).alias("held")), "held")
+    # An entry with a piece that no name holds allows none: that piece is the rarest of all.
+    known = _by_piece(filed, held, "left", few_pieces)
+    rarest = F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "kind", "piece")).alias("rarest")
+    chosen = known.groupBy("pattern").agg(rarest).select("pattern", "rarest.*").where("held > 0")
+    parts = F.ceil(F.col("held") / F.lit(names_per_task)).cast("int").alias("parts")
+    chosen = stored(chosen.select("kind", "piece", parts, _regex_of("pattern").alias("regex")), "chosen")
+    discard(filed, held)
+    dealt = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    places = chosen.select("kind", "piece", "parts").distinct()
+    part = F.pmod(F.xxhash64("table_name"), F.col("parts")).cast("int").alias("part")
+    at = _by_piece(probes, places, "inner", few_pieces).select("kind", "piece", "table_name", part)
     found = (
-        named.select("table_name", F.inline(F.concat(heads, tails)))
-        .join(wild, ["by_head", "anchor"])
+        at.join(dealt, ["kind", "piece", "part"])
         .where(F.rlike(F.col("table_name"), F.col("regex")))
         .select("table_name")
     )
-    listed = plain.union(found).distinct().withColumn("listed", F.lit(True))
+    by_length = _allowed_by_length(named, entries.where(of_length))
+    listed = plain.union(found).union(by_length).distinct().withColumn("listed", F.lit(True))
     return names.join(listed, "table_name", "left").select(
         *names.columns, F.coalesce("listed", F.lit(False)).alias("allowed")
     )

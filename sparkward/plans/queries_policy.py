@@ -192,6 +192,27 @@ SELECT o_orderkey, concat('shop.c', o_custkey, '.o', o_orderkey % 7) AS table_na
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
 
 
+def _inner_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry per customer with its literal text in the middle, against one name per order."""
+    patterns = derived_table(spark, sf_dir, "customer").selectExpr(
+        "CASE c_custkey % 3 WHEN 0 THEN concat('*.c', c_custkey, '.*') "
+        "WHEN 1 THEN concat('[a-z]*.c', c_custkey, '.o?.[!t]*') ELSE '???' END AS pattern"
+    )
+    names = derived_table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "concat(CASE o_orderkey % 2 WHEN 0 THEN 'shop' ELSE 'Shop' END, '.c', o_custkey, '.o', "
+        "o_orderkey % 12, '.', CASE o_orderkey % 5 WHEN 0 THEN 't' ELSE 'u' END) AS table_name"
+    )
+    return policy.allow_list_report(names, patterns)
+
+
+_INNER_ALLOW_LIST_SQL = """
+SELECT o_orderkey, concat(CASE o_orderkey % 2 WHEN 0 THEN 'shop' ELSE 'Shop' END, '.c', o_custkey, '.o',
+    o_orderkey % 12, '.', CASE o_orderkey % 5 WHEN 0 THEN 't' ELSE 'u' END) AS table_name,
+  c_custkey IS NOT NULL AND CASE o_custkey % 3 WHEN 0 THEN true
+    WHEN 1 THEN o_orderkey % 2 = 0 AND o_orderkey % 12 < 10 AND o_orderkey % 5 <> 0 ELSE false END AS allowed
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
+
+
 # Real texts inside literals, comments and behind them, by the remainder of a number. What
 # is left of a statement then depends on its form alone, which the SQL states.
 _SINGLE = "replace(replace(text, chr(92), concat(chr(92), chr(92))), chr(39), concat(chr(92), chr(39)))"
@@ -650,6 +671,7 @@ QUERIES = {
     "policy_table_refs": (_table_refs, _TABLE_REFS_SQL),
     "policy_allow_list": (_allow_list, _ALLOW_LIST_SQL),
     "policy_allow_list_wild": (_wild_allow_list, _WILD_ALLOW_LIST_SQL),
+    "policy_allow_list_inner": (_inner_allow_list, _INNER_ALLOW_LIST_SQL),
     "policy_real_texts": (_real_texts, _real_texts_sql()),
     "policy_preflight": (_preflight, _PREFLIGHT_SQL),
     "policy_authorize": (_authorize, _AUTHORIZE_SQL),
