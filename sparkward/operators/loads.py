@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkward.session import stored
+
 
 @dataclass(frozen=True)
 class Mapping:
@@ -89,3 +91,29 @@ def key_skew(df: DataFrame, keys: Sequence[str], top: int = 20) -> DataFrame:
         .orderBy(F.desc("rows"), *keys)
         .limit(top)
     )
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], share: float, *, cells: int = 65_536, rounds: int = 3) -> DataFrame:
+    """All keys with at least ``share`` of all rows: keys, ``rows``, ``share``. Exact, null a key like others.
+
+    First, rows are counted in ``rounds`` tables of ``cells`` cells by hashes of the key: a table of
+    fixed size, reduced in the map tasks. A key cannot have more rows than any of its cells, so only
+    rows whose cells all reach the share are counted by key; other keys' rows are not shuffled. At most
+    1 / ``share`` cells a round do, which is what is broadcast. ``cells`` should be several times
+    1 / ``share``: with fewer more keys are counted, none is lost.
+    """
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
+    cell = [F.pmod(F.xxhash64(F.lit(r), *keys), F.lit(cells)) for r in range(rounds)]
+    marks = F.array(*[F.struct(F.lit(r).alias("round"), c.alias("cell")) for r, c in enumerate(cell)])
+    sketch = df.select(F.inline(marks)).groupBy("round", "cell").agg(F.count(F.lit(1)).alias("n"))
+    sketch = stored(sketch, "sketch")
+    total = sketch.where("round = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = F.lit(share) * F.lit(float(total))
+    heavy = sketch.where(F.col("n") >= least)
+    candidates = df.select(*keys)
+    for r, c in enumerate(cell):
+        reached = heavy.where(F.col("round") == r).select("cell")
+        candidates = candidates.join(F.broadcast(reached), c == F.col("cell"), "left_semi")
+    counts = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least)
+    return counts.withColumn("share", F.col("rows") / F.lit(float(total)))

@@ -294,6 +294,9 @@ def _regex_of(patterns: pd.Series) -> pd.Series:
 # Lengths of the literal pieces that an entry may be filed under.
 _PIECES = (1, 2, 3, 6)
 
+# So many entries with wildcards are tested as they are.
+_FEW_ENTRIES = 50
+
 # A piece that more names hold is dealt over several tasks.
 _NAMES_PER_TASK = 10_000
 
@@ -310,8 +313,12 @@ def _pieces_of(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, pieces).otherwise(F.array().cast("array<struct<kind:int,piece:string>>"))
 
 
-def _pieces(text: Column) -> Column:
-    return F.flatten(F.array(*[_pieces_of(text, n) for n in _PIECES]))
+def _longest_pieces(text: Column) -> Column:
+    """A literal text's pieces of the greatest length that it has."""
+    pieces = _pieces_of(text, _PIECES[0])
+    for n in _PIECES[1:]:
+        pieces = F.when(F.length(text) >= n, _pieces_of(text, n)).otherwise(pieces)
+    return pieces
 
 
 # Kinds of pieces beside those of a length: a name begins with it, ends with it, or anything (the empty piece).
@@ -322,7 +329,7 @@ def _filed(wild: DataFrame) -> DataFrame:
     """Every piece that an entry could be filed under: ``(pattern, kind, piece)``.
 
     A name that the entry allows begins with its first literal text, ends with its last and holds
-    every piece of all of them.
+    every piece of all of them. Longer pieces are held by fewer names.
     """
     literals = _literals(F.col("pattern"))
     ends = F.filter(
@@ -332,23 +339,26 @@ def _filed(wild: DataFrame) -> DataFrame:
         ),
         lambda p: p["piece"] != "",
     )
-    inner = F.flatten(F.transform(literals, _pieces))
+    inner = F.flatten(F.transform(literals, _longest_pieces))
     every = F.array_distinct(F.concat(ends, inner))
     nothing = F.array(F.struct(F.lit(_ANY).alias("kind"), F.lit("").alias("piece")))
     return wild.select("pattern", F.inline(F.when(F.size(every) > 0, every).otherwise(nothing)))
 
 
-def _probes(named: DataFrame) -> DataFrame:
-    """Every piece of a name that an entry could be filed under: ``(table_name, kind, piece)``."""
+def _probes(named: DataFrame, kinds: Sequence[int]) -> DataFrame:
+    """Every piece of a name, of the kinds that entries are filed under: ``(table_name, kind, piece)``."""
     name, length = F.col("table_name"), F.length("table_name")
-    heads = F.transform(
-        F.sequence(F.lit(1), length), lambda n: F.struct(F.lit(_BEGINS).alias("kind"), F.left(name, n).alias("piece"))
-    )
-    tails = F.transform(
-        F.sequence(F.lit(1), length), lambda n: F.struct(F.lit(_ENDS).alias("kind"), F.right(name, n).alias("piece"))
-    )
-    anything = F.array(F.struct(F.lit(_ANY).alias("kind"), F.lit("").alias("piece")))
-    every = F.array_distinct(F.concat(anything, heads, tails, _pieces(name)))
+    cut = {_BEGINS: lambda n: F.left(name, n), _ENDS: lambda n: F.right(name, n)}
+
+    def of_kind(kind: int) -> Column:
+        if kind in _PIECES:
+            return _pieces_of(name, kind)
+        if kind == _ANY:
+            return F.array(F.struct(F.lit(kind).alias("kind"), F.lit("").alias("piece")))
+        lengths = F.sequence(F.lit(1), length)
+        return F.transform(lengths, lambda n: F.struct(F.lit(kind).alias("kind"), cut[kind](n).alias("piece")))
+
+    every = F.array_distinct(F.flatten(F.array(*[of_kind(kind) for kind in kinds])))
     return named.where(length > 0).select("table_name", F.inline(every))
 
 
@@ -378,27 +388,54 @@ def _by_piece(rows: DataFrame, pieces: DataFrame, how: str, few: int) -> DataFra
 
 
 def allow_list_report(
-    names: DataFrame, patterns: DataFrame, *, names_per_task: int = _NAMES_PER_TASK, few_pieces: int = BROADCAST_ROWS
+    names: DataFrame,
+    patterns: DataFrame,
+    *,
+    few_entries: int = _FEW_ENTRIES,
+    names_per_task: int = _NAMES_PER_TASK,
+    few_pieces: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Match names (column ``table_name``) against an allow-list that is a table.
 
     Entries (column ``pattern``) may be of any number, with or without wildcards. Those without
-    are joined by equality; those of nothing but ``*`` and ``?`` are one condition on the length. Each
-    other entry is filed under the one literal piece of it that the fewest names hold: the text before its first or
-    behind its last wildcard, or a piece of 1, 2, 3 or 6 characters from anywhere. Names look up their own pieces and are
-    tested against the entries filed there. An entry with a piece that no name holds allows none. A piece held by more than
-    ``names_per_task`` names is dealt over several tasks, and up to ``few_pieces`` pieces are broadcast. Entries of
-    brackets and wildcards alone are filed under the empty piece, which every name but the empty one holds. A null name is
-    allowed by none.
+    are joined by equality. Up to ``few_entries`` others are a condition on the name alone. Of more,
+    those of nothing but ``*`` and ``?`` are one condition on the length, and each other is filed
+    under the one literal piece of it that the fewest names hold: the text before its first or behind
+    its last wildcard, or a piece of up to six characters from anywhere. Names look up their own
+    pieces and are tested against the entries filed there. An entry with a piece that no name
+    holds allows none. A piece held by more than ``names_per_task`` names is dealt over several
+    tasks, and up to ``few_pieces`` pieces are broadcast. Entries of brackets and wildcards alone are
+    filed under the empty piece, which every name but the empty one holds. A null name is allowed
+    by none.
     """
     is_wild = F.col("pattern").rlike(r"[*?\[]")
     entries = patterns.select("pattern").where(F.col("pattern").isNotNull()).distinct()
     plain = entries.where(~is_wild).select(F.col("pattern").alias("table_name"))
-    of_length = F.col("pattern").rlike(r"\A[*?]+\z")
+    wild = entries.where(is_wild)
     named = names.select("table_name").where(F.col("table_name").isNotNull()).distinct()
-    filed = stored(_filed(entries.where(is_wild & ~of_length)), "filed")
+    short = [row["pattern"] for row in wild.limit(few_entries + 1).collect()]
+    if len(short) <= few_entries:
+        found = named.where(matches_any(F.col("table_name"), short))
+    else:
+        found = _looked_up(named, wild, names_per_task, few_pieces)
+    listed = plain.union(found).distinct().withColumn("listed", F.lit(True))
+    return names.join(listed, "table_name", "left").select(
+        *names.columns, F.coalesce("listed", F.lit(False)).alias("allowed")
+    )
+
+
+def _looked_up(named: DataFrame, wild: DataFrame, names_per_task: int, few_pieces: int) -> DataFrame:
+    """Names that an entry with wildcards allows, by an index of the entries' literal pieces."""
+    of_length = F.col("pattern").rlike(r"\A[*?]+\z")
+    filed = stored(_filed(wild.where(~of_length)), "filed")
+    by_length = _allowed_by_length(named, wild.where(of_length))
+    # At most one row per kind of piece.
+    kinds = sorted(row["kind"] for row in filed.select("kind").distinct().collect())
+    if not kinds:
+        discard(filed)
+        return by_length
     # Only pieces that some entry has are shuffled, counted before they are.
-    probes = _by_piece(_probes(named), filed.select("kind", "piece").distinct(), "left_semi", few_pieces)
+    probes = _by_piece(_probes(named, kinds), filed.select("kind", "piece").distinct(), "left_semi", few_pieces)
     probes = stored(probes, "probes")
     held = stored(probes.groupBy("kind", "piece").agg(F.count(F.lit(1)).alias("held")), "held")
     # An entry with a piece that no name holds allows none: that piece is the rarest of all.
@@ -417,8 +454,4 @@ def allow_list_report(
         .where(F.rlike(F.col("table_name"), F.col("regex")))
         .select("table_name")
     )
-    by_length = _allowed_by_length(named, entries.where(of_length))
-    listed = plain.union(found).union(by_length).distinct().withColumn("listed", F.lit(True))
-    return names.join(listed, "table_name", "left").select(
-        *names.columns, F.coalesce("listed", F.lit(False)).alias("allowed")
-    )
+    return found.union(by_length)

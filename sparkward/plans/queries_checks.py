@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkward.functions.metrics import Check, at_most, register_check, registered_checks
-from sparkward.operators import history, loads, masking, quality
+from sparkward.operators import bitmaps, history, loads, masking, quality, sketches
 from sparkward.operators.checks import overall_verdict, run_suite, suite_reports
 from sparkward.plans.derived import (
     EVENTS_AS_OF,
@@ -703,6 +703,80 @@ SELECT o_custkey, o_orderstatus, o_totalprice, o_orderkey, o_orderdate::DATE::VA
 FROM versions"""
 
 
+def _heavy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with 1.4 times the lines of an average part."""
+    share = 1.4 / table(spark, sf_dir, "part").count()
+    heavy = loads.heavy_keys(table(spark, sf_dir, "lineitem"), ["l_partkey"], share)
+    return heavy.withColumn("share", F.round("share", 9))
+
+
+_HEAVY_KEYS_SQL = """
+SELECT l_partkey, count(*)::BIGINT AS rows, round(count(*)::DOUBLE / (SELECT count(*) FROM lineitem), 9) AS share
+FROM lineitem GROUP BY l_partkey
+HAVING count(*) >= 1.4::DOUBLE / (SELECT count(*) FROM part) * (SELECT count(*)::DOUBLE FROM lineitem)"""
+
+
+def _incremental_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct keys of the orders after each of three loads, each of which reads its own rows only."""
+    orders, state, after = table(spark, sf_dir, "orders"), None, []
+    for number, status in enumerate(("F", "O", "P"), 1):
+        load = bitmaps.distinct_state(orders.where(F.col("o_orderstatus") == status), ["o_orderkey", "o_custkey"])
+        state = stored(load if state is None else bitmaps.merge_states(state, load), "bitmaps")
+        after.append(bitmaps.uniqueness(state).withColumn("loads", F.lit(number)))
+    return after[0].unionByName(after[1]).unionByName(after[2])
+
+
+_INCREMENTAL_UNIQUENESS_SQL = " UNION ALL ".join(
+    f"""SELECT '{column}' AS "column", count(*)::BIGINT AS rows, count(DISTINCT {column})::BIGINT AS distinct_values,
+  (count(*) - count(DISTINCT {column}))::BIGINT AS duplicates, {number} AS loads
+FROM orders WHERE o_orderstatus IN ({statuses}) HAVING count(*) > 0"""
+    for number, statuses in enumerate(("'F'", "'F', 'O'", "'F', 'O', 'P'"), 1)
+    for column in ("o_orderkey", "o_custkey")
+)
+
+
+# Values ten times as large on two days.
+_SPIKED = "CASE WHEN day(ts) IN (20, 27) THEN value * 10 ELSE value END"
+
+
+def _sketch_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift by sketches of days, and whether the sketches of three days are near the exact values."""
+    events = table(spark, sf_dir, "events").select("ts", F.expr(_SPIKED).alias("value"))
+    daily = stored(sketches.daily_sketches(events, "ts", "value"), "sketches")
+    spans = sketches.rolling(daily, 3)
+    estimates = spans.select(
+        F.col("day").alias("_day"),
+        *[sketches.quantile(F.col("quantiles"), q).alias(f"q{i}") for i, q in enumerate((0.1, 0.5, 0.9))],
+        sketches.distinct_values(F.col("values")).alias("estimate"),
+    )
+    # What the sketches stand for, counted exactly: each event counts for three days.
+    days = F.explode(F.sequence(F.to_date("ts"), F.date_add(F.to_date("ts"), 2)))
+    exact = events.select(days.alias("_day"), "value").join(F.broadcast(estimates), "_day").groupBy("_day")
+    near_rank = [
+        F.abs(F.avg((F.col("value") <= F.col(f"q{i}")).cast("int")) - q) <= 0.01 + 2 / F.count("value")
+        for i, q in enumerate((0.1, 0.5, 0.9))
+    ]
+    distinct = F.count_distinct("value")
+    near_count = F.abs(F.max("estimate") - distinct) <= 0.08 * distinct + 1
+    near = exact.agg((near_rank[0] & near_rank[1] & near_rank[2] & near_count).alias("near"))
+    drift = sketches.sketch_drift(daily, max_distance=0.45)
+    found = drift.join(near, F.col("day") == F.col("_day"))
+    return found.select(F.col("day").cast("string"), "rows", "points", "drifted", "near")
+
+
+_QUANTILES_SQL = ", ".join(str(i / 100) for i in range(1, 100))
+_SKETCH_DRIFT_SQL = f"""
+WITH e AS (SELECT ts::DATE AS day, {_SPIKED} AS value FROM events),
+days AS (SELECT day, count(*)::BIGINT AS rows FROM e GROUP BY day),
+base AS (SELECT d.day, count(DISTINCT e.day)::BIGINT AS points, quantile_disc(e.value, [{_QUANTILES_SQL}]) AS marks
+  FROM days d JOIN e ON e.day BETWEEN d.day - 7 AND d.day - 1 GROUP BY d.day),
+places AS (SELECT day, unnest(marks) AS mark, unnest([{_QUANTILES_SQL}]) AS q FROM base),
+ranks AS (SELECT p.day, p.q, avg((e.value <= p.mark)::INT) AS below FROM places p JOIN e ON e.day = p.day GROUP BY ALL),
+apart AS (SELECT day, max(abs(below - q)) AS distance FROM ranks GROUP BY day)
+SELECT d.day::VARCHAR AS day, d.rows, coalesce(b.points, 0) AS points, coalesce(a.distance > 0.45, false) AS drifted,
+  true AS near FROM days d LEFT JOIN base b ON b.day = d.day LEFT JOIN apart a ON a.day = d.day"""
+
+
 QUERIES = {
     "dq_suite": (_flagship, _flagship_sql),
     "dq_null_rate": _suite(
@@ -765,6 +839,9 @@ QUERIES = {
     "incremental_since": (_incremental_since, _INCREMENTAL_SINCE_SQL),
     "incremental_ties": (_incremental_ties, _INCREMENTAL_TIES_SQL),
     "load_history": (_load_history, _LOAD_HISTORY_SQL),
+    "key_skew_sketch": (_heavy_keys, _HEAVY_KEYS_SQL),
+    "dq_uniqueness_incremental": (_incremental_uniqueness, _INCREMENTAL_UNIQUENESS_SQL),
+    "quality_sketch_drift": (_sketch_drift, _SKETCH_DRIFT_SQL),
     "quality_schema": (_schema_report, _SCHEMA_SQL),
     "dq_own_check": (_own_check, _OWN_CHECK_SQL),
     "incremental_load": (_incremental, _INCREMENTAL_SQL),
