@@ -7,6 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkward.operators.selection import BROADCAST_ROWS, met
+from sparkward.session import discard, stored
+
 
 def _hide(column: Column) -> Column:
     return F.mask(column.cast("string"))
@@ -66,3 +69,25 @@ def visible_rows(
     granted = entitlements.where(F.col("actor") == actor).select(*keys.values()).distinct()
     condition = [df[left] == granted[right] for left, right in keys.items()]
     return df.join(granted, condition, "left_semi")
+
+
+def inherited_grants(grants: DataFrame, hierarchy: DataFrame, *, few: int = BROADCAST_ROWS) -> DataFrame:
+    """All ``(actor, node)`` that ``grants`` (the same columns) reach down a ``hierarchy`` of ``(child, parent)``.
+
+    A grant on a node holds for everything below it, however deep, and for itself. A child may
+    have several parents, and nodes may lead back to themselves: each pair is followed once. Rows with a null
+    are ignored. For one actor, hand in that actor's grants only: a result has as many rows as there are nodes below them.
+
+    One join per level, each with the pairs that are new since the last: broadcast if they are ``few``, else
+    dealt with the hierarchy over parts, so a parent of any number of children is no single task.
+    """
+    edges = hierarchy.where(F.col("child").isNotNull() & F.col("parent").isNotNull())
+    edges = stored(edges.select("child", F.col("parent").alias("node")).distinct(), "edges")
+    given = grants.where(F.col("actor").isNotNull() & F.col("node").isNotNull())
+    new = reached = stored(given.select("actor", "node").distinct(), "grants")
+    while not new.isEmpty():
+        below = met(edges, new, ["node"], "inner", few=few).select("actor", F.col("child").alias("node")).distinct()
+        new = stored(below.join(reached, ["actor", "node"], "left_anti"), "grants")
+        reached = reached.unionByName(new)
+    discard(edges)
+    return reached

@@ -24,7 +24,7 @@ from sparkward.functions.sqltext import (
     table_references,
 )
 from sparkward.functions.text import quoted, quoted_names
-from sparkward.operators.selection import BROADCAST_ROWS
+from sparkward.operators.selection import BROADCAST_ROWS, met
 from sparkward.session import discard, stored
 
 # The reasons, in the order they are tested.
@@ -323,6 +323,7 @@ def _longest_pieces(text: Column) -> Column:
 
 # Kinds of pieces beside those of a length: a name begins with it, ends with it, or anything (the empty piece).
 _BEGINS, _ENDS, _ANY = -1, -2, 0
+_PIECE = ["kind", "piece"]
 
 
 def _filed(wild: DataFrame) -> DataFrame:
@@ -374,19 +375,6 @@ def _allowed_by_length(named: DataFrame, shapes: DataFrame) -> DataFrame:
     return named.where((length >= asked["least"]) | F.array_contains(asked["exactly"], length)).select("table_name")
 
 
-# So many parts a table of pieces is copied to where it is too long to be broadcast.
-_COPIES = 16
-
-
-def _by_piece(rows: DataFrame, pieces: DataFrame, how: str, few: int) -> DataFrame:
-    """Join rows, any number of which may have one piece, with a table of one row per piece."""
-    if pieces.count() <= few:
-        return rows.join(F.broadcast(pieces), ["kind", "piece"], how)
-    dealt = pieces.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1))))
-    rows = rows.withColumn("_copy", F.pmod(F.xxhash64(*rows.columns), F.lit(_COPIES)).cast("int"))
-    return rows.join(dealt, ["kind", "piece", "_copy"], how).drop("_copy")
-
-
 def allow_list_report(
     names: DataFrame,
     patterns: DataFrame,
@@ -435,11 +423,12 @@ def _looked_up(named: DataFrame, wild: DataFrame, names_per_task: int, few_piece
         discard(filed)
         return by_length
     # Only pieces that some entry has are shuffled, counted before they are.
-    probes = _by_piece(_probes(named, kinds), filed.select("kind", "piece").distinct(), "left_semi", few_pieces)
+    wanted = filed.select(*_PIECE).distinct()
+    probes = met(_probes(named, kinds), wanted, _PIECE, "left_semi", few=few_pieces)
     probes = stored(probes, "probes")
     held = stored(probes.groupBy("kind", "piece").agg(F.count(F.lit(1)).alias("held")), "held")
     # An entry with a piece that no name holds allows none: that piece is the rarest of all.
-    known = _by_piece(filed, held, "left", few_pieces)
+    known = met(filed, held, _PIECE, "left", few=few_pieces)
     rarest = F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "kind", "piece")).alias("rarest")
     chosen = known.groupBy("pattern").agg(rarest).select("pattern", "rarest.*").where("held > 0")
     parts = F.ceil(F.col("held") / F.lit(names_per_task)).cast("int").alias("parts")
@@ -448,7 +437,7 @@ def _looked_up(named: DataFrame, wild: DataFrame, names_per_task: int, few_piece
     dealt = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     places = chosen.select("kind", "piece", "parts").distinct()
     part = F.pmod(F.xxhash64("table_name"), F.col("parts")).cast("int").alias("part")
-    at = _by_piece(probes, places, "inner", few_pieces).select("kind", "piece", "table_name", part)
+    at = met(probes, places, _PIECE, "inner", few=few_pieces).select("kind", "piece", "table_name", part)
     found = (
         at.join(dealt, ["kind", "piece", "part"])
         .where(F.rlike(F.col("table_name"), F.col("regex")))

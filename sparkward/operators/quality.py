@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from sparkward.functions.metrics import get_check
 from sparkward.operators.checks import metric_column, split_specs
-from sparkward.session import local_frame
+from sparkward.operators.selection import met, same
+from sparkward.session import local_frame, stored
 from sparkward.sources.specs import CheckSpec
 
 # --- trends -----------------------------------------------------------------
@@ -309,19 +310,18 @@ def surplus_copies(
         .where(F.col("_copies") > 1)
         .withColumn("_slices", F.ceil(F.col("_copies") / rows_per_slice).cast("int"))
     )
-    hot = firsts.where("_slices > 1").select(*[F.col(n).alias(f"_hot{n}") for n in names], F.col("_slices").alias("_parts"))
-    is_hot = [F.col(k).eqNullSafe(F.col(f"_hot{n}")) for k, n in zip(keys, names, strict=True)]
-    # At most one in rows_per_slice rows of the table is in this list.
-    rows = df.join(F.broadcast(hot), is_hot, "left").withColumn(
-        "_slice", F.coalesce(F.pmod(F.xxhash64(order), F.col("_parts")), F.lit(0)).cast("int")
-    )
-    sliced = firsts.withColumn("_of", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
-    return (
-        rows.join(sliced, [*same, F.col("_slice") == F.col("_of")])
-        .where(F.col(order) != F.col("kept"))
-        .select(*df.columns, "kept")
-    )
+    # Numbers in place of keys, so that long texts are not sent around. Keys of one number share its
+    # slices on both sides.
+    hot = firsts.where("_slices > 1").groupBy(F.xxhash64(*names).alias("_hash"))
+    hot = stored(hot.agg(F.max("_slices").alias("_parts")), "hot")
+    parts = F.coalesce("_parts", F.lit(1))
+    rows = met(df.withColumn("_hash", F.xxhash64(*keys)), hot, ["_hash"], "left")
+    rows = rows.withColumn("_slice", F.pmod(F.xxhash64(order), parts).cast("int"))
+    sliced = met(firsts.withColumn("_hash", F.xxhash64(*names)), hot, ["_hash"], "left")
+    sliced = sliced.withColumn("_of", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hash", "_parts")
+    at = same([*keys, "_slice"], [*names, "_of"])
+    return rows.join(sliced, at).where(F.col(order) != F.col("kept")).select(*df.columns, "kept")
+
 
 def exception_summary(results: DataFrame) -> DataFrame:
     """Checks and failures per table and kind, per table, and in all.

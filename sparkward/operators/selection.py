@@ -19,6 +19,23 @@ def small(table: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(table) if (table.count() if rows is None else rows) <= BROADCAST_ROWS else table
 
 
+# So many parts a table is copied to where it is too long to be broadcast.
+COPIES = 16
+
+
+def met(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str, *, few: int = BROADCAST_ROWS) -> DataFrame:
+    """Join ``rows``, any share of which may have one key, with a stored table of few rows per key.
+
+    Of up to ``few`` rows the table is broadcast. A longer one is copied to 16 parts, and
+    the rows are dealt over these by all their columns, so no key's rows meet in one task.
+    """
+    if table.count() <= few:
+        return rows.join(F.broadcast(table), list(on), how)
+    dealt = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    rows = rows.withColumn("_copy", F.pmod(F.xxhash64(*rows.columns), F.lit(COPIES)).cast("int"))
+    return rows.join(dealt, [*on, "_copy"], how).drop("_copy")
+
+
 def same(left: Sequence[str | Column], right: Sequence[str | Column]) -> Column:
     """Equal keys; null equals null."""
     column = lambda c: F.col(c) if isinstance(c, str) else c

@@ -597,6 +597,35 @@ _ROW_POLICY_SQL = (
     "(SELECT n_nationkey FROM nation WHERE n_nationkey % 7 = 3)"
 )
 
+
+# Grants on regions, nations and customers, and what lies below what.
+_GRANTS = """
+SELECT concat('agent-', r_regionkey % 3) AS actor, concat('r', r_regionkey) AS node FROM {region}
+UNION ALL SELECT concat('agent-', n_nationkey % 4), concat('n', n_nationkey) FROM {nation}
+UNION ALL SELECT 'agent-9', concat('c', c_custkey) FROM {customer} WHERE c_acctbal > 9000"""
+_BELOW = """
+SELECT concat('n', n_nationkey) AS child, concat('r', n_regionkey) AS parent FROM {nation}
+UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM {customer}"""
+
+
+def _row_policy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers that each actor sees by a grant on them, their nation or its region."""
+    region, nation, customer = (table(spark, sf_dir, name) for name in ("region", "nation", "customer"))
+    grants = spark.sql(_GRANTS, region=region, nation=nation, customer=customer)
+    below = spark.sql(_BELOW, nation=nation, customer=customer)
+    seen = masking.inherited_grants(grants, below)
+    named = customer.withColumn("node", F.concat(F.lit("c"), "c_custkey"))
+    return named.join(seen, "node").select("actor", "c_custkey", "c_nationkey")
+
+
+_ROW_POLICY_TREE_SQL = f"""
+WITH g AS ({_GRANTS.format(region="region", nation="nation", customer="customer")}),
+tree AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT actor, c_custkey, c_nationkey FROM tree JOIN g ON node = concat('c', c_custkey)
+UNION SELECT actor, c_custkey, c_nationkey FROM tree JOIN g ON node = concat('n', c_nationkey)
+UNION SELECT actor, c_custkey, c_nationkey FROM tree JOIN g ON node = concat('r', n_regionkey)"""
+
+
 _LOAD_MAPPING = [
     loads.Mapping("l_orderkey", "order_id", "bigint"),
     loads.Mapping("l_linenumber", "line", "bigint"),
@@ -836,6 +865,7 @@ QUERIES = {
     "quality_playbook": (_playbook, _PLAYBOOK_SQL),
     "mask_columns": (_mask, _MASK_SQL),
     "row_policy": (_row_policy, _ROW_POLICY_SQL),
+    "row_policy_tree": (_row_policy_tree, _ROW_POLICY_TREE_SQL),
     "incremental_since": (_incremental_since, _INCREMENTAL_SINCE_SQL),
     "incremental_ties": (_incremental_ties, _INCREMENTAL_TIES_SQL),
     "load_history": (_load_history, _LOAD_HISTORY_SQL),

@@ -13,7 +13,7 @@ RUN_COLUMNS = ["dag_id", "run_id", "state", "start_date", "end_date"]
 KNOWN_STATES = ["queued", "running", "success", "failed"]
 UNKNOWN_STATE = "unknown"
 
-_BODY = "dag_run_id STRING, state STRING, start_date STRING, end_date STRING"
+_FIELDS = "map<string,variant>"
 
 
 class RunNotFound(Exception):
@@ -47,14 +47,18 @@ def run_status(payloads: DataFrame, *, strict: bool = True) -> DataFrame:
     state and times instead, so that it is not taken for a run in an unknown state.
     """
     refused = F.raise_error(F.concat(F.lit("Broken payload of run "), F.coalesce("run_id", F.lit("null"))))
-    body = F.when(is_broken(F.col("body")), refused if strict else F.lit(None)).otherwise(F.col("body"))
-    decoded = payloads.select("dag_id", "run_id", F.from_json(body.cast("string"), _BODY).alias("body"))
-    return decoded.select(
+    # One parse: the object's fields, or null for what is no object.
+    fields = F.try_variant_get(F.try_parse_json("body"), "$", _FIELDS)
+    if strict:
+        fields = F.coalesce(fields, refused.cast(_FIELDS))
+    parsed = payloads.select("dag_id", "run_id", fields.alias("body"))
+    text = {name: F.try_variant_get(F.col("body")[name], "$", "string") for name in ("state", "start_date", "end_date")}
+    return parsed.select(
         "dag_id",
         "run_id",
-        F.when(F.col("body").isNotNull(), normalize_state(F.col("body.state"))).alias("state"),
-        parse_time(F.col("body.start_date"), strict=strict).alias("start_date"),
-        parse_time(F.col("body.end_date"), strict=strict).alias("end_date"),
+        F.when(F.col("body").isNotNull(), normalize_state(text["state"])).alias("state"),
+        parse_time(text["start_date"], strict=strict).alias("start_date"),
+        parse_time(text["end_date"], strict=strict).alias("end_date"),
     )
 
 

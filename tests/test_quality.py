@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from conftest import DATA, plan
 from pyspark.sql import functions as F
@@ -223,6 +225,34 @@ def test_row_policy(spark):
         assert [r["id"] for r in rows] == ids
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_grants_reach_down(spark, few):
+    draw = random.Random(6)
+    edges = [(f"n{i}", f"n{draw.randrange(i)}") for i in range(1, 60)] + [(f"leaf{i}", "n3") for i in range(300)]
+    edges += [("n0", "n50"), ("n7", "n12"), ("leaf5", "n1"), ("n1", "n0"), (None, "n1"), ("x", None)]
+    grants = [("a", "n3"), ("a", "n3"), ("b", "n40"), ("b", "leaf1"), ("c", "nowhere"), (None, "n1"), ("d", None)]
+    got = masking.inherited_grants(
+        spark.createDataFrame(grants, "actor STRING, node STRING"),
+        spark.createDataFrame(edges, "child STRING, parent STRING"), few=few,
+    )
+    expected = set()
+    for actor, node in grants:
+        left = [node] if actor and node else []
+        while left:
+            node = left.pop()
+            if (actor, node) not in expected:
+                expected.add((actor, node))
+                left += [c for c, p in edges if p == node and c]
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+    assert masking.visible_rows(got.selectExpr("node"), got, "c", {"node": "node"}).count() == 1
+
+
+def test_grants_of_nobody(spark):
+    none = spark.createDataFrame([], "actor STRING, node STRING")
+    assert masking.inherited_grants(none, spark.createDataFrame([("b", "a")], "child STRING, parent STRING")).isEmpty()
+
+
 MAPPING = [
     loads.Mapping("k", "key", "bigint"), loads.Mapping("v", "value", "decimal(8,2)"),
     loads.Mapping("at", "changed_on", "date"),
