@@ -141,7 +141,8 @@ def _append(
 def _staged(written: DataFrame, hidden: str, batch: str, attempt: int) -> list[dict]:
     """The rows of the record of staged files; one with no events for a batch without any."""
     at = micros(F.col("timestamp"), written.schema["timestamp"].dataType)
-    files = written.groupBy(F.col("_metadata.file_path").alias("at")).agg(
+    # Spark's newer file reader has no _metadata.
+    files = written.withColumn("at", F.input_file_name()).groupBy("at").agg(
         F.count(F.lit(1)).alias("events"), F.count("event_id").alias("named"), _digest().alias("digest"),
         F.min(at).alias("low"), F.max(at).alias("high"),
     ).collect()
