@@ -21,7 +21,7 @@ from sparkward.plans.derived import (
 from sparkward.plans.derived import table as derived_table
 from sparkward.session import local_frame, shared_dir
 from sparkward.sources import trail
-from sparkward.streaming import monitor
+from sparkward.streaming import monitor, sides
 
 POLICY = Policy(
     tables=["proj.sales.*"],
@@ -664,6 +664,40 @@ closed AS (SELECT max(window_end) AS last_end FROM counted, seen
     "CASE WHEN window_end <= last_end THEN recorded - in_time END::BIGINT AS late FROM counted, closed",
 )
 
+
+
+def _stream_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the events comes late, with some of the others once more: late ones come out as rows."""
+    decisions = _decide(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    last = decisions.agg(F.max("ts")).first()[0]
+    recent = F.col("ts") >= F.lit(last) - F.expr("INTERVAL 1 DAY")
+    late = (F.col("request_id") % 5 == 0) & ~recent
+    path, out = shared_dir(spark, "side-trail"), shared_dir(spark, "side-windows")
+    state = shared_dir(spark, "side-state")
+    for batch, arriving in (("in-time", ~late), ("late", late | recent)):
+        trail.append_events(audit.query_events(decisions.where(arriving)), path, batch)
+        given = sides.windows_with_late(
+            monitor.read_events_stream(spark, path), window="6 hours", remember="2 days", slices=2
+        )
+        sides.late_to_files(given, out, state).awaitTermination()
+    totals = sides.window_totals(spark.read.schema(given.schema).parquet(out))
+    return totals.withColumns(
+        {name: F.col(name).cast("timestamp_ntz") for name in ("window_start", "window_end")}
+    )
+
+
+_STREAM_SIDE_SQL = _with(
+    _DECIDED_CTES
+    + """,
+seen AS (SELECT max(ts) AS last, date_trunc('millisecond', max(ts)) - INTERVAL 1 MINUTE AS watermark
+         FROM decided),
+arrived AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS window_start, decision, watermark,
+                   request_id % 5 = 0 AND ts < last - INTERVAL 1 DAY AS late FROM decided, seen)""",
+    "SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, 'sql_query' AS tool_name, decision, "
+    "count(*) FILTER (WHERE NOT late)::BIGINT AS events, count(*) FILTER (WHERE late)::BIGINT AS late "
+    "FROM arrived WHERE window_start + INTERVAL 6 HOUR <= watermark GROUP BY ALL",
+)
+
 QUERIES = {
     "policy_clean_sql": (_clean, _with(_TEXT_CTES, "SELECT request_id, cleaned FROM cleaned")),
     "policy_clean_sql_compat": (_compat, _COMPAT_SQL),
@@ -694,6 +728,7 @@ QUERIES = {
     "audit_retention_hot": (_retention_hot, _RETENTION_HOT_SQL),
     "audit_newest_numeric": (_newest_numeric, _NEWEST_NUMERIC_SQL),
     "audit_stream_late": (_stream_late, _STREAM_LATE_SQL),
+    "audit_stream_side": (_stream_side, _STREAM_SIDE_SQL),
     "audit_table_recent": (_recent_table, _newest_sql(500)),
     "audit_stream_windows": (_stream_windows, _STREAM_WINDOWS_SQL),
 }
