@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkward.functions.metrics import Check, at_most, register_check, registered_checks
-from sparkward.operators import bitmaps, history, loads, masking, quality, sketches
+from sparkward.operators import bitmaps, history, keys, loads, masking, quality, sketches
 from sparkward.operators.checks import overall_verdict, run_suite, suite_reports
 from sparkward.plans.derived import (
     EVENTS_AS_OF,
@@ -806,6 +808,32 @@ SELECT d.day::VARCHAR AS day, d.rows, coalesce(b.points, 0) AS points, coalesce(
   true AS near FROM days d LEFT JOIN base b ON b.day = d.day LEFT JOIN apart a ON a.day = d.day"""
 
 
+_KEY_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate",
+]
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smallest sets of up to three columns that identify a line."""
+    found = keys.candidate_keys(table(spark, sf_dir, "lineitem"), _KEY_COLUMNS)
+    return found.select(F.array_join("columns", ",").alias("columns"), "size", "rows")
+
+
+def _keys_sql() -> str:
+    """Every set counted, and of those that are keys the ones without a smaller key inside."""
+    sets = [s for size in (1, 2, 3) for s in combinations(_KEY_COLUMNS, size)]
+    counted = " UNION ALL ".join(
+        f"SELECT {[*s]!r} AS names, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM lineitem)) AS n"
+        for s in sets
+    )
+    return (
+        f"WITH counted AS ({counted}), total AS (SELECT count(*) AS r FROM lineitem), "
+        "k AS (SELECT names, r FROM counted, total WHERE n = r) "
+        "SELECT array_to_string(names, ',') AS columns, len(names)::BIGINT AS size, r::BIGINT AS rows FROM k "
+        "WHERE NOT EXISTS (SELECT 1 FROM k AS s WHERE len(s.names) < len(k.names) AND list_has_all(k.names, s.names))"
+    )
+
+
 QUERIES = {
     "dq_suite": (_flagship, _flagship_sql),
     "dq_null_rate": _suite(
@@ -856,6 +884,7 @@ QUERIES = {
     "quality_profile": (_profile, _profile_sql()),
     "quality_profile_approx": (_profile_approx, _profile_approx_sql()),
     "quality_rules": (_rules, _RULES_SQL),
+    "quality_keys": (_keys, _keys_sql()),
     "quality_contract": (_contract_report, _CONTRACT_SQL),
     "quality_contract_rows": (_contract_rows, _CONTRACT_ROWS_SQL),
     "quality_duplicates": (_duplicates, _DUPLICATES_SQL),
