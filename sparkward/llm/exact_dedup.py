@@ -28,10 +28,10 @@ def mark_copies(docs: DataFrame, smallest_slice: int = 1_000, most_slices: int =
     be that frequent, which bounds the broadcast list of their hashes.
 
     Of equal texts the row with the smallest identifier stays; a null identifier
-    comes last. Of repeated rows with the same identifier one stays. Input columns
+    comes last; identifiers may be of any type that has an order. Of repeated rows with the same identifier one stays. Input columns
     named like an added one are replaced. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    identifier = docs.schema["doc_id"].dataType
     keyed = docs.select(F.struct("*").alias("row"))
     norm = _normalised("row")
     keyed = keyed.select(
@@ -50,11 +50,9 @@ def mark_copies(docs: DataFrame, smallest_slice: int = 1_000, most_slices: int =
         heads = _runs(cut, whole).where("place = 1")
         merged = heads.groupBy("norm").agg(F.min("keep_id").alias("first_id"), F.sum("group_size").alias("all"))
         merged = stored(merged.select(F.sha2("norm", 256).alias("text_sha256"), "first_id", "all"), "merged")
-    else:
-        merged = spark.createDataFrame([], "text_sha256 string, first_id bigint, all bigint")
     marked = runs.select("row", "place", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
     marked = marked.join(F.broadcast(merged), "text_sha256", "left") if whole else marked.withColumns(
-        {"first_id": F.lit(None).cast("bigint"), "all": F.lit(None).cast("bigint")}
+        {"first_id": F.lit(None).cast(identifier), "all": F.lit(None).cast("bigint")}
     )
     keep_id = F.when(F.col("all").isNull(), F.col("keep_id")).otherwise(F.col("first_id"))
     return marked.select(

@@ -122,11 +122,13 @@ def fit(
     not shuffled. What reaches the driver is their hashed terms. Of the terms with at
     least three rows the ``terms`` that tell the labels apart best are features, and of
     those at home in toxic texts ``voters`` become lexicon voters beside the fixed ones. Rows
-    of one identifier with different labels count as toxic; a null label is none.
+    of one identifier with different labels count as toxic; a label that is null or
+    neither 0 nor 1 is none.
 
     Without rows of both labels every text scores 0 or, if all are toxic, 1.
     """
-    given = labels.where(F.col("toxic").isNotNull() & learnable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    label = F.col("toxic").try_cast("int")
+    given = labels.where(label.isin(0, 1) & learnable).groupBy("doc_id").agg(F.max(label).alias("toxic"))
     total = {int(r["toxic"]): r["count"] for r in given.groupBy("toxic").count().collect()}
     if len(total) < 2:
         empty = np.zeros(0)

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 from odd_rows import ODD, empty, odd  # noqa: F401
 from test_text_operators import words_of
@@ -113,6 +114,11 @@ def test_exact_copies(odd, empty, spark):
     assert exact_dedup.mark_copies(odd).columns[:4] == ["doc_id", "text", "lang", "source"]
     assert exact_dedup.mark_copies(odd).columns.count("kept") == 1
     assert exact_dedup.mark_copies(empty).count() == 0
+    named = repeated.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    for slices in ({}, {"smallest_slice": 7, "most_slices": 40}):
+        found = exact_dedup.mark_copies(named, **slices).where("kept").collect()
+        assert all(r.doc_id == r.keep_id and (r.doc_id is None or r.doc_id[0] == "d") for r in found)
+        assert len(found) == exact_dedup.mark_copies(repeated, **slices).where("kept").count()
 
 
 def test_sorted_content_is_shuffled_once(spark):

@@ -236,6 +236,11 @@ def test_toxicity(spark, odd, empty):
     clean = labels.where("toxic = 0")
     nothing = toxicity.fit(docs, clean, F.lit(True))
     assert {r.predicted for r in toxicity.predict(odd, nothing).collect()} == {0}
+    small = docs.where("length(text) < 2000")
+    odd_labels = labels.withColumn("toxic", F.when(F.col("doc_id") % 7 == 0, 2).when(F.col("doc_id") % 7 == 1, -1).otherwise(F.col("toxic")))
+    known = labels.where("doc_id % 7 > 1")
+    assert toxicity.predict(odd, toxicity.fit(small, odd_labels, F.lit(True))).collect() == toxicity.predict(
+        odd, toxicity.fit(small, known, F.lit(True))).collect()
 
 
 def test_the_label_model_corrects_given_labels():
