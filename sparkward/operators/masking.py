@@ -78,16 +78,20 @@ def inherited_grants(grants: DataFrame, hierarchy: DataFrame, *, few: int = BROA
     have several parents, and nodes may lead back to themselves: each pair is followed once. Rows with a null
     are ignored. For one actor, hand in that actor's grants only: a result has as many rows as there are nodes below them.
 
-    One join per level, each with the pairs that are new since the last: broadcast if they are ``few``, else
-    dealt with the hierarchy over parts, so a parent of any number of children is no single task.
+    One join per level, each with the pairs that are new since the last and have something below them: broadcast
+    if they are ``few``, else dealt with the hierarchy over parts, so a parent of any number of children is no single task.
     """
     edges = hierarchy.where(F.col("child").isNotNull() & F.col("parent").isNotNull())
     edges = stored(edges.select("child", F.col("parent").alias("node")).distinct(), "edges")
+    parents = stored(edges.select("node").distinct(), "parents")
     given = grants.where(F.col("actor").isNotNull() & F.col("node").isNotNull())
     new = reached = stored(given.select("actor", "node").distinct(), "grants")
-    while not new.isEmpty():
-        below = met(edges, new, ["node"], "inner", few=few).select("actor", F.col("child").alias("node")).distinct()
-        new = stored(below.join(reached, ["actor", "node"], "left_anti"), "grants")
+    while True:
+        leading = stored(met(new, parents, ["node"], "left_semi", few=few), "leading")
+        if leading.isEmpty():
+            break
+        below = met(edges, leading, ["node"], "inner", few=few).select("actor", F.col("child").alias("node")).distinct()
+        new = stored(below.join(reached.hint("merge"), ["actor", "node"], "left_anti"), "grants")
         reached = reached.unionByName(new)
-    discard(edges)
+    discard(edges, parents)
     return reached

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from sparkward.session import stored
 
-# A table of up to so many short rows is broadcast; above, Spark chooses the join.
+# A table of up to so many short rows is broadcast. A longer one never is: the size of its files, by which
+# Spark would choose the join, says little of that of its rows, least of all of copies.
 BROADCAST_ROWS = 200_000
 
 
 def small(table: DataFrame, rows: int | None = None) -> DataFrame:
     """A stored table (of ``rows`` rows, counted if not given), to be broadcast if it is short enough."""
-    return F.broadcast(table) if (table.count() if rows is None else rows) <= BROADCAST_ROWS else table
+    few = (table.count() if rows is None else rows) <= BROADCAST_ROWS
+    return F.broadcast(table) if few else table.hint("merge")
 
 
 # So many parts a table is copied to where it is too long to be broadcast.
@@ -33,7 +35,7 @@ def met(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str, *, few:
         return rows.join(F.broadcast(table), list(on), how)
     dealt = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     rows = rows.withColumn("_copy", F.pmod(F.xxhash64(*rows.columns), F.lit(COPIES)).cast("int"))
-    return rows.join(dealt, [*on, "_copy"], how).drop("_copy")
+    return rows.join(dealt.hint("merge"), [*on, "_copy"], how).drop("_copy")
 
 
 def same(left: Sequence[str | Column], right: Sequence[str | Column]) -> Column:

@@ -8,8 +8,11 @@ import pytest
 from conftest import DATA, plan
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from sparkward.operators import loads, masking, quality
 from sparkward.operators.checks import run_suite
+from sparkward.operators.selection import met
+from sparkward.session import stored
 from sparkward.sources.specs import parse_check, parse_checks
 
 
@@ -248,6 +251,16 @@ def test_grants_reach_down(spark, few):
     assert masking.visible_rows(got.selectExpr("node"), got, "c", {"node": "node"}).count() == 1
 
 
+def test_long_tables_are_not_broadcast(spark):
+    # Spark would, by the size of their few kB of files.
+    rows = stored(spark.range(100).selectExpr("id % 7 AS k", "id AS v"), "rows")
+    table = stored(spark.range(7).selectExpr("id AS k"), "table")
+    joined = met(rows, table, ["k"], "inner", few=6)
+    assert "BroadcastHashJoin" not in plan(joined) and joined.count() == 100
+    assert "BroadcastHashJoin" in plan(met(rows, table, ["k"], "inner", few=7))
+    assert "BroadcastHashJoin" not in plan(queries()["row_policy_tree"](spark, DATA))
+
+
 def test_grants_of_nobody(spark):
     none = spark.createDataFrame([], "actor STRING, node STRING")
     assert masking.inherited_grants(none, spark.createDataFrame([("b", "a")], "child STRING, parent STRING")).isEmpty()
