@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from sparkward.functions.sqltext import (
 )
 from sparkward.functions.text import quoted, quoted_names
 from sparkward.operators.selection import BROADCAST_ROWS, met
-from sparkward.session import discard, stored
+from sparkward.session import discard, local_frame, stored
 
 # The reasons, in the order they are tested.
 EMPTY = "Empty query"
@@ -45,6 +46,7 @@ ACCESS_ALLOWED = "%s is allow-listed"
 # Of this library alone: a request whose scan nobody estimated.
 NOT_ESTIMATED = "Query has no estimate of the bytes scanned"
 
+_BITMAP = T.StructType([T.StructField("bits", T.ArrayType(T.LongType()))])
 PATTERN_SCHEMA = T.StructType([T.StructField("pattern", T.StringType(), False)])
 
 PREFLIGHT, AUTHORIZE = "preflight", "authorize"
@@ -300,54 +302,64 @@ _FEW_ENTRIES = 50
 # A piece that more names hold is dealt over several tasks.
 _NAMES_PER_TASK = 10_000
 
+# Bits of a filter: so many for each number in it, and at most 8 MB.
+_BITS_PER_NUMBER, _MOST_BITS = 16, 1 << 26
+
 
 def _literals(pattern: Column) -> Column:
     """The texts between an entry's wildcards; a bracket that is never closed is text."""
     return F.split(F.regexp_replace(pattern, r"\[!?+(?s:.)[^\]]*+\]|[*?]", "\u0000"), "\u0000")
 
 
-def _pieces_of(text: Column, n: int) -> Column:
-    """All pieces of ``n`` characters, as ``(kind, piece)`` with the length as the kind."""
-    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    pieces = F.transform(starts, lambda at: F.struct(F.lit(n).alias("kind"), F.substring(text, at, F.lit(n)).alias("piece")))
-    return F.when(F.length(text) >= n, pieces).otherwise(F.array().cast("array<struct<kind:int,piece:string>>"))
+def _numbered(kind: int, piece: Column) -> Column:
+    """A piece as a number. Two pieces of one number cost a test more, no more."""
+    return F.xxhash64(F.lit(kind), piece)
 
 
-def _longest_pieces(text: Column) -> Column:
-    """A literal text's pieces of the greatest length that it has."""
-    pieces = _pieces_of(text, _PIECES[0])
-    for n in _PIECES[1:]:
-        pieces = F.when(F.length(text) >= n, _pieces_of(text, n)).otherwise(pieces)
-    return pieces
+def _pieces_of(text: Column, n: int) -> Column:
+    """The numbers of all pieces of ``n`` characters; the length is their kind."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    pieces = F.transform(starts, lambda at: _numbered(n, F.substring(text, at, F.lit(n))))
+    return F.when(F.length(text) >= n, pieces).otherwise(F.array().cast("array<long>"))
 
 
 # Kinds of pieces beside those of a length: a name begins with it, ends with it, or anything (the empty piece).
 _BEGINS, _ENDS, _ANY = -1, -2, 0
-_PIECE = ["kind", "piece"]
 
 
 def _filed(wild: DataFrame) -> DataFrame:
-    """Every piece that an entry could be filed under: ``(pattern, kind, piece)``.
+    """Every piece that an entry could be filed under: ``(pattern, kind, number)``.
 
     A name that the entry allows begins with its first literal text, ends with its last and holds
     every piece of all of them. Longer pieces are held by fewer names.
     """
     literals = _literals(F.col("pattern"))
-    ends = F.filter(
-        F.array(
-            F.struct(F.lit(_BEGINS).alias("kind"), F.element_at(literals, 1).alias("piece")),
-            F.struct(F.lit(_ENDS).alias("kind"), F.element_at(literals, -1).alias("piece")),
-        ),
-        lambda p: p["piece"] != "",
-    )
-    inner = F.flatten(F.transform(literals, _longest_pieces))
-    every = F.array_distinct(F.concat(ends, inner))
-    nothing = F.array(F.struct(F.lit(_ANY).alias("kind"), F.lit("").alias("piece")))
+
+    def of_kind(kind: int, numbers: Column) -> Column:
+        return F.transform(F.array_distinct(numbers), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("number")))
+
+    def end(kind: int, at: int) -> Column:
+        text = F.element_at(literals, at)
+        return F.when(text != "", F.array(_numbered(kind, text))).otherwise(F.array().cast("array<long>"))
+
+    def inner(n: int, longer: int) -> Column:
+        fitting = F.filter(literals, lambda text: (F.length(text) >= n) & (F.length(text) < longer))
+        return F.flatten(F.transform(fitting, lambda text: _pieces_of(text, n)))
+
+    # Of each literal text the pieces of the greatest length that it has.
+    longer = [*_PIECES[1:], 2**31 - 1]
+    kinds = [of_kind(_BEGINS, end(_BEGINS, 1)), of_kind(_ENDS, end(_ENDS, -1))]
+    kinds += [of_kind(n, inner(n, m)) for n, m in zip(_PIECES, longer, strict=True)]
+    every = F.concat(*kinds)
+    nothing = F.array(F.struct(F.lit(_ANY).alias("kind"), _numbered(_ANY, F.lit("")).alias("number")))
     return wild.select("pattern", F.inline(F.when(F.size(every) > 0, every).otherwise(nothing)))
 
 
-def _probes(named: DataFrame, kinds: Sequence[int]) -> DataFrame:
-    """Every piece of a name, of the kinds that entries are filed under: ``(table_name, kind, piece)``."""
+def _probes(named: DataFrame, kinds: Sequence[int], wanted: DataFrame) -> DataFrame:
+    """Every piece of a name, of the kinds that entries are filed under: ``(table_name, number)``.
+
+    Of the pieces that are not ``wanted`` (column ``number``, stored) a bitmap lets few through.
+    """
     name, length = F.col("table_name"), F.length("table_name")
     cut = {_BEGINS: lambda n: F.left(name, n), _ENDS: lambda n: F.right(name, n)}
 
@@ -355,12 +367,32 @@ def _probes(named: DataFrame, kinds: Sequence[int]) -> DataFrame:
         if kind in _PIECES:
             return _pieces_of(name, kind)
         if kind == _ANY:
-            return F.array(F.struct(F.lit(kind).alias("kind"), F.lit("").alias("piece")))
-        lengths = F.sequence(F.lit(1), length)
-        return F.transform(lengths, lambda n: F.struct(F.lit(kind).alias("kind"), cut[kind](n).alias("piece")))
+            return F.array(_numbered(kind, F.lit("")))
+        return F.transform(F.sequence(F.lit(1), length), lambda n: _numbered(kind, cut[kind](n)))
+
+    every = F.array_distinct(F.concat(*[of_kind(kind) for kind in kinds]))
+    probes = named.where(length > 0).select("table_name", F.explode(every).alias("number"))
+    return probes.where(_maybe_in(wanted, F.col("number")))
+
 
-    every = F.array_distinct(F.flatten(F.array(*[of_kind(kind) for kind in kinds])))
-    return named.where(length > 0).select("table_name", F.inline(every))
+def _places(number: Column, words: int) -> tuple[Column, Column]:
+    """Where a number's bit is: the word and the place in it."""
+    return F.pmod(F.shiftright(number, 6), F.lit(words)).cast("int"), number.bitwiseAND(63).cast("int")
+
+
+def _maybe_in(wanted: DataFrame, number: Column) -> Column:
+    """True for every number in a stored table (column ``number``), and for few others."""
+    bits = min(max(_BITS_PER_NUMBER * wanted.count(), 64), _MOST_BITS)
+    words = 1 << max((bits - 1).bit_length() - 6, 0)
+    word, bit = _places(F.col("number"), words)
+    filled = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    filled = filled.toArrow()
+    bitmap = np.zeros(words, np.int64)
+    bitmap[filled["word"].to_numpy()] = filled["bits"].to_numpy()
+    # Read back from the shared folder, so that no plan holds it.
+    table = stored(local_frame(wanted.sparkSession, _BITMAP, [(bitmap,)]), "bitmap")
+    word, bit = _places(number, words)
+    return F.getbit(F.get(table.select("bits").scalar(), word), bit) == 1
 
 
 def _allowed_by_length(named: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -390,7 +422,7 @@ def allow_list_report(
     those of nothing but ``*`` and ``?`` are one condition on the length, and each other is filed
     under the one literal piece of it that the fewest names hold: the text before its first or behind
     its last wildcard, or a piece of up to six characters from anywhere. Names look up their own
-    pieces and are tested against the entries filed there. An entry with a piece that no name
+    pieces, those that a bitmap of the filed ones lets through, and are tested against the entries filed there. An entry with a piece that no name
     holds allows none. A piece held by more than ``names_per_task`` names is dealt over several
     tasks, and up to ``few_pieces`` pieces are broadcast. Entries of brackets and wildcards alone are
     filed under the empty piece, which every name but the empty one holds. A null name is allowed
@@ -405,7 +437,7 @@ def allow_list_report(
     if len(short) <= few_entries:
         found = named.where(matches_any(F.col("table_name"), short))
     else:
-        found = _looked_up(named, wild, names_per_task, few_pieces)
+        found = _looked_up(stored(named, "named"), wild, names_per_task, few_pieces)
     listed = plain.union(found).distinct().withColumn("listed", F.lit(True))
     return names.join(listed, "table_name", "left").select(
         *names.columns, F.coalesce("listed", F.lit(False)).alias("allowed")
@@ -422,24 +454,29 @@ def _looked_up(named: DataFrame, wild: DataFrame, names_per_task: int, few_piece
     if not kinds:
         discard(filed)
         return by_length
-    # Only pieces that some entry has are shuffled, counted before they are.
-    wanted = filed.select(*_PIECE).distinct()
-    probes = met(_probes(named, kinds), wanted, _PIECE, "left_semi", few=few_pieces)
-    probes = stored(probes, "probes")
-    held = stored(probes.groupBy("kind", "piece").agg(F.count(F.lit(1)).alias("held")), "held")
+    wanted = stored(filed.select("number").distinct(), "wanted")
+    # Only pieces that some entry has are counted, before any shuffle.
+    held = _probes(named, kinds, wanted).groupBy("number").agg(F.count(F.lit(1)).alias("held"))
+    held = stored(held, "held")
     # An entry with a piece that no name holds allows none: that piece is the rarest of all.
-    known = met(filed, held, _PIECE, "left", few=few_pieces)
-    rarest = F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "kind", "piece")).alias("rarest")
+    known = met(filed, held, ["number"], "left", few=few_pieces)
+    rarest = F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "kind", "number")).alias("rarest")
     chosen = known.groupBy("pattern").agg(rarest).select("pattern", "rarest.*").where("held > 0")
     parts = F.ceil(F.col("held") / F.lit(names_per_task)).cast("int").alias("parts")
-    chosen = stored(chosen.select("kind", "piece", parts, _regex_of("pattern").alias("regex")), "chosen")
-    discard(filed, held)
-    dealt = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    places = chosen.select("kind", "piece", "parts").distinct()
-    part = F.pmod(F.xxhash64("table_name"), F.col("parts")).cast("int").alias("part")
-    at = met(probes, places, _PIECE, "inner", few=few_pieces).select("kind", "piece", "table_name", part)
+    chosen = stored(chosen.select("kind", "number", parts, _regex_of("pattern").alias("regex")), "chosen")
+    discard(filed, wanted, held)
+    kinds = sorted(row["kind"] for row in chosen.select("kind").distinct().collect())
+    if not kinds:
+        return by_length
+    places = stored(chosen.select("number", "parts").distinct(), "places")
+    several = stored(places.where("parts > 1"), "several")
+    probes = met(_probes(named, kinds, places), several, ["number"], "left", few=few_pieces)
+    part = F.pmod(F.xxhash64("table_name"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    dealt = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # Its files tell too little of its size to let Spark choose the join.
     found = (
-        at.join(dealt, ["kind", "piece", "part"])
+        probes.select("table_name", "number", part)
+        .join(dealt.drop("parts", "kind").hint("merge"), ["number", "part"])
         .where(F.rlike(F.col("table_name"), F.col("regex")))
         .select("table_name")
     )
