@@ -246,6 +246,17 @@ def test_allow_lists_equal_one_entry_at_a_time(spark, few_pieces):
         assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
 
 
+@pytest.mark.parametrize("piece", ["concat('*.c', id, '.*')", "concat('shop.c', id, '.o[0-3]')"])
+def test_entries_of_a_long_list_are_not_broadcast(spark, piece):
+    # Spark would, by the size of their few kB of files.
+    names = spark.range(300).selectExpr("concat('shop.c', id, '.o', id % 7) AS table_name")
+    patterns = spark.range(60).selectExpr(f"{piece} AS pattern")
+    report = policy.allow_list_report(names, patterns, few_pieces=0)
+    joins = re.findall(r"\) (\w+Join).*\nLeft keys \[\d\]: \[.*part#", plan(report))
+    assert joins == ["SortMergeJoin"]
+    assert report.where("allowed").count() == (60 if piece.startswith("concat('*") else 36)
+
+
 def test_inner_literals_are_looked_up(spark):
     # 2,000 names and 500 entries without a literal beginning or end: one name is tested per entry.
     names = spark.range(2000).selectExpr("concat('shop.c', id, '.o', id % 7) AS table_name")
