@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 from conftest import DATA
 
+from sparkward.operators import keys
 from sparkward.operators.keys import candidate_keys, repeats
 
 
@@ -35,6 +36,20 @@ def test_equal_to_brute_force(spark, seed):
         assert found(df, most_columns=most) == brute(rows, names, most)
 
 
+def test_large_tables_count_few_rows(spark, monkeypatch):
+    # 45 of 3,000 rows repeat in b: only rows that repeat in a part of (a, b, d) are counted for it.
+    df = spark.range(3000).selectExpr(
+        "id % 1500 AS a", "CASE WHEN id < 30 THEN id % 15 WHEN id BETWEEN 1500 AND 1514 THEN id - 1500 ELSE id END AS b",
+        "IF(id >= 1500, 1, 0) AS c", "id % 15 AS d", "NULL AS n",
+    )
+    counted = []
+    monkeypatch.setattr(keys, "_repeated", lambda rows, s, f=keys._repeated: counted.append((tuple(s), rows.count())) or f(rows, s))
+    got = found(df, large_rows=0)
+    assert got == brute([tuple(r) for r in df.collect()], df.columns, 3) and ["a", "c"] in got
+    assert 0 < max(n for s, n in counted if s == ("a", "b", "d")) <= 45
+    assert got == found(df, large_rows=10**9)
+
+
 def test_nulls_change_places(spark):
     df = spark.createDataFrame([(None, 1), (1, None), (1, 1)], "a INT, b INT")
     assert found(df) == [["a", "b"]]
