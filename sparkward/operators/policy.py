@@ -439,7 +439,8 @@ def allow_list_report(
     else:
         found = _looked_up(stored(named, "named"), wild, names_per_task, few_pieces)
     listed = plain.union(found).distinct().withColumn("listed", F.lit(True))
-    return names.join(listed, "table_name", "left").select(
+    # Never broadcast: a list just short enough for Spark takes five times its size in the driver.
+    return names.join(listed.hint("merge"), "table_name", "left").select(
         *names.columns, F.coalesce("listed", F.lit(False)).alias("allowed")
     )
 

@@ -257,6 +257,22 @@ def test_entries_of_a_long_list_are_not_broadcast(spark, piece):
     assert report.where("allowed").count() == (60 if piece.startswith("concat('*") else 36)
 
 
+@pytest.mark.parametrize("few_entries", [0, 100])
+def test_the_names_on_the_list_are_not_broadcast(spark, few_entries):
+    # Spark would once the job runs and the list is below its 10 MB.
+    names = spark.range(300).selectExpr("concat('shop.c', id, '.o', id % 7) AS table_name")
+    patterns = spark.range(90).selectExpr(
+        "concat('shop.c', id, CASE id % 3 WHEN 0 THEN '.o[0-3]' ELSE '.o5' END) AS pattern"
+    )
+    report = policy.allow_list_report(names, patterns, few_entries=few_entries)
+    allowed = [i for i in range(90) if (i % 7 <= 3 if i % 3 == 0 else i % 7 == 5)]
+    rows = report.collect()
+    assert len(rows) == 300
+    assert sorted(r["table_name"] for r in rows if r["allowed"]) == sorted(f"shop.c{i}.o{i % 7}" for i in allowed)
+    joins = re.findall(r"\) (\w+Join).*\nLeft keys \[1\]: \[table_name#", plan(report))
+    assert set(joins) == {"SortMergeJoin"}
+
+
 def test_inner_literals_are_looked_up(spark):
     # 2,000 names and 500 entries without a literal beginning or end: one name is tested per entry.
     names = spark.range(2000).selectExpr("concat('shop.c', id, '.o', id % 7) AS table_name")
