@@ -12,6 +12,18 @@ from pyspark.sql.streaming import StreamingQuery
 from sparkward.operators.audit import AUDIT_SCHEMA, log_lines
 from sparkward.sources.trail import append_events, append_table
 
+# How streams started here keep state: on disk, with bounded memory.
+_ROCKSDB = "spark.sql.streaming.stateStore.rocksdb"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_ROCKSDB}.boundedMemoryUsage": "true",
+}
+
+# State is kept in no more than twice as many parts as there are cores, or in so many where these are few.
+_STATE_PARTS = 32
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
 
 def read_events_stream(
     spark: SparkSession, path: str, *, max_files: int | None = None
@@ -113,14 +125,29 @@ def metric_windows(
 
 
 def run_to_files(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Process what is there and append closed windows to Parquet, each once."""
-    return (
-        results.writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(path)
-    )
+    """Process what is there and append closed windows to Parquet, each once.
+
+    Every part of the state writes files in every micro-batch, however little it holds. So a new
+    checkpoint has few parts if the session asks for more; one that exists keeps its own number. A query
+    keeps the settings it was started with; the session gets its own back.
+    """
+    spark = results.sparkSession
+    parts = min(int(spark.conf.get(_PARTITIONS)), max(_STATE_PARTS, 2 * spark.sparkContext.defaultParallelism))
+    wanted = {**STATE_CONF, _PARTITIONS: str(parts)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        return (
+            results.writeStream.outputMode("append")
+            .format("parquet")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start(path)
+        )
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _in_batches(

@@ -16,13 +16,7 @@ from pyspark.sql.streaming.stateful_processor import (
     TimerValues,
 )
 
-from sparkward.streaming.monitor import run_to_files
-
-# What :func:`windows_with_late` needs of a session: state that is not held in memory.
-STATE_CONF = {
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-}
+from sparkward.streaming.monitor import STATE_CONF, run_to_files  # noqa: F401
 
 _OUT = T.StructType(
     [
@@ -166,16 +160,5 @@ def window_totals(given: DataFrame) -> DataFrame:
 
 
 def late_to_files(given: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """:func:`monitor.run_to_files` for :func:`windows_with_late`, with the state it needs.
-
-    A query keeps the settings it was started with; the session gets its own back.
-    """
-    settings = given.sparkSession.conf
-    before = {name: settings.get(name, None) for name in STATE_CONF}
-    for name, value in STATE_CONF.items():
-        settings.set(name, value)
-    try:
-        return run_to_files(given, path, checkpoint)
-    finally:
-        for name, value in before.items():
-            settings.unset(name) if value is None else settings.set(name, value)
+    """:func:`monitor.run_to_files` for :func:`windows_with_late`, which sets the state it needs."""
+    return run_to_files(given, path, checkpoint)

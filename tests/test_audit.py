@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from conftest import plan
@@ -410,6 +411,28 @@ def test_windows_count_each_event_once(spark, folder):
     ]
 
 
+def test_streams_keep_state_on_disk_in_few_parts(spark, conf, folder):
+    conf("spark.sql.shuffle.partitions", "40")
+    made = spark.range(2000).selectExpr(
+        "CAST(id % 1900 AS STRING) AS event_id", "timestamp_seconds(1700000000 + id % 1900 * 3) AS timestamp",
+        "'op' AS tool_name", "'a' AS actor", "'{}' AS parameters", "'allowed' AS decision", "'' AS reason",
+        "CAST(NULL AS STRING) AS backend_job_id",
+    )
+    trail.append_events(made, folder, "a")
+    windows = monitor.decision_windows(monitor.read_events_stream(spark, folder), window="1 minute")
+    monitor.run_to_files(windows, folder + "-out", folder + "-state").awaitTermination()
+    closed = spark.read.parquet(folder + "-out")
+    in_closed = made.dropDuplicates(["event_id"]).where(
+        F.date_trunc("minute", "timestamp") + F.expr("INTERVAL 2 MINUTES") <= F.lit(made.agg(F.max("timestamp")).first()[0])
+    )
+    assert closed.agg(F.sum("events")).first()[0] == in_closed.count()
+    state = Path(folder + "-state")
+    parts = [[d for d in (state / "state" / operator).iterdir() if d.name.isdigit()] for operator in "01"]
+    assert [len(p) for p in parts] == [32, 32]
+    assert "RocksDB" in (state / "offsets" / "0").read_text()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+
+
 def test_a_stopped_stream_goes_on(spark, folder):
     trail.append_events(events_of(spark, [event(1, 1), event(2, 12)]), folder, "b1")
     assert streamed(spark, folder, folder).count() == 1
