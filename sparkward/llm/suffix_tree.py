@@ -11,24 +11,33 @@ on the driver or in a task.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkward.llm.common import LOWER, in_chunks, stored
+from sparkward.llm.common import LOWER, discard, in_chunks, stored, stored_texts
 
 END = 10
 _END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 _LANE = 1024
 _NEAR = 3  # bytes of context by which codes are dealt
 _FRAME = 250_000
+_DEALT = 1021  # groups of keys that travel as lists; a prime, so that all bytes of a key tell its group
+_LISTS = 128  # lists that go to Spark at once
+_POOL = 3_000_000  # keys that a task holds before it sums or hands them on
+_MOST = 1 << 30  # occurrences that a task holds before it hands them on
+_PAIRS = 1_000_000  # rare keys of documents that a block of documents holds
+_UNKNOWN = math.log10(0.5)  # of a word that no training text holds
+# Numbers that travel packed, many in a row.
+_TYPES = {"key": np.int64, "n": np.int32, "times": np.int32, "owner": np.int32, "known": np.int32, "value": np.float64}
 
 
 @dataclass
@@ -84,10 +93,9 @@ def _laid_out(texts: list[bytes], depth: int) -> tuple[np.ndarray, ...]:
 
 def _codes(data: np.ndarray, predicted: np.ndarray, depth: int) -> np.ndarray:
     """Of each predicted byte the code of its context and itself; the byte is the lowest."""
-    code = np.zeros(len(data), dtype=np.int64)
-    for back in range(depth + 1):
-        code[back:] |= data[: len(data) - back].astype(np.int64) << (8 * back)
-    return code[predicted]
+    padded = np.concatenate([np.zeros(7, dtype=np.uint8), data])
+    code = np.ndarray(len(data), dtype=">i8", buffer=padded, strides=(1,))  # the eight bytes up to each
+    return code[predicted].astype(np.int64) & ((1 << (8 * (depth + 1))) - 1)
 
 
 def _gathered(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,44 +107,126 @@ def _gathered(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, n
     return grams, n_grams, tokens.view(np.int64), n_tokens
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of ``parts (key, count, ...)``, each sorted by its distinct keys, the distinct keys with their sums, sorted."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, *counts = (np.concatenate(column) for column in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")  # merges what is sorted already
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], *(np.add.reduceat(n[order], first) for n in counts)
 
 
-def _counted(docs: DataFrame, depth: int) -> DataFrame:
-    """``word, key, n, times, dealt``: counts of :func:`count_all` of each task, dealt by all but the farthest bytes."""
+def _packed(sizes: np.ndarray, **columns: np.ndarray) -> dict[str, pa.Array]:
+    """Binary columns in which every row holds as many numbers as ``sizes`` says, one row after the other."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    packed = {}
+    for name, values in columns.items():
+        values = np.ascontiguousarray(values, dtype=_TYPES[name])
+        offsets = (ends * values.itemsize).astype(np.int32)
+        packed[name] = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    return packed
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(kept: list, word: bool, training: bool) -> Iterator[pd.DataFrame]:
-            keys, n = _summed(kept)
-            kept.clear()
-            for i in range(0, len(keys), _FRAME):
-                k, m = keys[i : i + _FRAME], n[i : i + _FRAME]
-                yield pd.DataFrame({"word": word, "key": k, "n": m if training else 0, "times": m})
 
-        grams, words, others = [], [], []
-        pools = ((grams, False, True), (words, True, True), (others, False, False))
+def _lists(group: np.ndarray, **columns: np.ndarray) -> dict[str, pa.Array]:
+    """A row for each ``group`` there is: its number as ``dealt``, and the values of its rows, in their order."""
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    sizes = np.bincount(group, minlength=_DEALT)
+    present = np.flatnonzero(sizes)
+    packed = _packed(sizes[present], **{name: values[order] for name, values in columns.items()})
+    return {"dealt": pa.array(present, pa.int32())} | packed
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of :func:`_lists` in pieces of some megabytes, which both sides of a task can hold at ease."""
+    yield from (batch.slice(i, _LISTS) for i in range(0, batch.num_rows, _LISTS))
+
+
+def _rows(batch: pa.RecordBatch, plain: tuple[str, ...], lists: tuple[str, ...]) -> Iterator[tuple]:
+    """Of each row its values of the columns ``plain`` and, as arrays, the numbers in the columns ``lists``."""
+    columns = [batch.column(name).to_pylist() for name in plain]
+    for name in lists:
+        columns.append([np.frombuffer(packed or b"", _TYPES[name]) for packed in batch.column(name).to_pylist()])
+    return zip(*columns, strict=True)
+
+
+def _dealt(docs: DataFrame, depth: int) -> DataFrame:
+    """``word, dealt, key, n, times``: counts of :func:`count_all` of each task, as lists by group of keys.
+
+    All codes with the same nearest ``_NEAR`` bytes are in the same group. A task's
+    counts are some rows a group and not one a key, so shuffling and sorting them costs little.
+    """
+    near_mask = (1 << (8 * _NEAR)) - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(kept: list, word: bool) -> Iterator[pa.RecordBatch]:
+            keys, n, times = _summed(kept)
+            kept.clear()
+            group = (keys if word else (keys >> 8) & near_mask) % _DEALT
+            lists = _lists(group, key=keys, n=n, times=times)
+            yield from _cut(pa.RecordBatch.from_pydict({"word": pa.repeat(word, len(lists["dealt"]))} | lists))
+
+        def gather(training: bool) -> Iterator[pa.RecordBatch]:
+            size[training] = 0
+            for _, texts in in_chunks(waiting[training]):
+                g, n_g, w, n_w = _gathered(texts, depth)
+                pools[False].append((g, n_g if training else np.zeros_like(n_g), n_g))
+                if training:
+                    pools[True].append((w, n_w, n_w))
+                for word, kept in pools.items():
+                    counted = sum(int(m.sum()) for *_, m in kept)  # counts travel as 32 bits
+                    if counted > _MOST or sum(len(k) for k, *_ in kept) > _POOL:
+                        yield from flush(kept, word)
+            waiting[training].clear()
+
+        pools: dict[bool, list] = {False: [], True: []}
+        waiting: dict[bool, list] = {False: [], True: []}
+        size = {False: 0, True: 0}
         for batch in batches:
-            for training, part in batch.groupby("training"):
-                for _, texts in in_chunks(part["text"]):
-                    g, n_g, w, n_w = _gathered(texts, depth)
-                    (grams if training else others).append((g, n_g))
-                    if training:
-                        words.append((w, n_w))
-                    for kept, word, trained in pools:
-                        if sum(len(k) for k, _ in kept) > 3_000_000:
-                            yield from flush(kept, word, trained)
-        for kept, word, trained in pools:
+            for text, training in zip(batch.column("text").to_pylist(), batch.column("training").to_pylist(), strict=True):
+                waiting[training].append(text)
+                size[training] += len(text or "") + 1
+                if size[training] > _POOL:
+                    yield from gather(training)
+        for training in waiting:
+            yield from gather(training)
+        for word, kept in pools.items():
             if kept:
-                yield from flush(kept, word, trained)
+                yield from flush(kept, word)
 
-    rows = docs.select("text", "training").mapInPandas(count, "word boolean, key bigint, n bigint, times bigint")
-    near = F.shiftright("key", 8).bitwiseAND((1 << (8 * _NEAR)) - 1)
-    rows = rows.withColumn("dealt", F.when(F.col("word"), F.col("key")).otherwise(near))
-    return rows.repartition("word", "dealt").groupBy("word", "dealt", "key").agg(
-        F.sum("n").alias("n"), F.sum("times").alias("times")
-    )
+    schema = "word boolean, dealt int, key binary, n binary, times binary"
+    return docs.select("text", "training").mapInArrow(count, schema)
+
+
+def _counted(docs: DataFrame, depth: int, schema: str, finish: Callable[..., dict]) -> DataFrame:
+    """What ``finish`` makes of ``word, key, n, times`` of every group of :func:`_dealt`, summed over all tasks.
+
+    The parts of a group come one after the other and are merged as they come.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finished() -> Iterator[pa.RecordBatch]:
+            made = pa.RecordBatch.from_pydict(finish(group[0], *_summed(parts)))
+            yield from (made.slice(i, _FRAME) for i in range(0, made.num_rows, _FRAME))
+
+        group, parts, size, most = None, [], 0, _POOL
+        for batch in batches:
+            for word, dealt, key, n, times in _rows(batch, ("word", "dealt"), ("key", "n", "times")):
+                if (word, dealt) != group:
+                    if parts:
+                        yield from finished()
+                    group, parts, size, most = (word, dealt), [], 0, _POOL
+                parts.append((key, n.astype(np.int64), times.astype(np.int64)))
+                size += len(key)
+                if size > most:
+                    parts = [_summed(parts)]
+                    size = len(parts[0][0])
+                    most = max(_POOL, 2 * size)
+        if parts:
+            yield from finished()
+
+    return _dealt(docs, depth).repartition("word", "dealt").sortWithinPartitions("word", "dealt").mapInArrow(merge, schema)
 
 
 def count_all(docs: DataFrame, depth: int) -> DataFrame:
@@ -145,7 +235,11 @@ def count_all(docs: DataFrame, depth: int) -> DataFrame:
     How often words (by hash) and contexts with their next byte (by code) occur in
     training texts, and how often in all; words of other texts are not counted.
     """
-    return _counted(docs, depth).drop("dealt")
+
+    def finish(word: bool, key: np.ndarray, n: np.ndarray, times: np.ndarray) -> dict:
+        return {"word": pa.repeat(word, len(key)), "key": key, "n": n, "times": times}
+
+    return _counted(docs, depth, "word boolean, key bigint, n bigint, times bigint", finish)
 
 
 def count_training(docs: DataFrame, depth: int) -> DataFrame:
@@ -185,38 +279,19 @@ def learnt(docs: DataFrame, depth: int, fewest: int, gain: float, smoothing: flo
     """``word, key, n, times, p`` of ``docs (text, training)``: :func:`count_all` with :func:`probabilities`.
 
     Contexts of over ``_NEAR`` bytes are decided in the tasks that hold all codes with
-    the same nearest bytes, a run of them at a time; only the shorter ones, far
+    the same nearest bytes, a group of them at a time; only the shorter ones, far
     fewer, are tables of their own. A word has no ``p``.
     """
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def decided(run: pd.DataFrame) -> pd.DataFrame:
-            given, of_less, stays = _far(
-                run["key"].to_numpy(), run["n"].to_numpy(), depth, fewest, gain, smoothing
-            )
-            return run[["word", "key", "n", "times"]].assign(given=given, of_less=of_less, stays=stays)
-
-        run, size = [], 0
-        for batch in batches:
-            grams = batch[~batch["word"]]
-            if len(grams) < len(batch):
-                yield batch.loc[batch["word"], ["word", "key", "n", "times"]].assign(given=0.0, of_less=0.0, stays=False)
-            if not len(grams):
-                continue
-            run.append(grams)
-            size += len(grams)
-            if size > _FRAME:
-                whole = pd.concat(run)
-                ended = (whole["dealt"] != whole["dealt"].iloc[-1]).to_numpy()
-                if ended.any():
-                    yield decided(whole[ended])
-                run, size = [whole[~ended]], 0
-        if run:
-            yield decided(pd.concat(run))
+    def decide(word: bool, key: np.ndarray, n: np.ndarray, times: np.ndarray) -> dict:
+        given, of_less, stays = np.zeros(len(key)), np.zeros(len(key)), np.zeros(len(key), dtype=bool)
+        if not word:
+            given, of_less, stays = _far(key, n, depth, fewest, gain, smoothing)
+        counts = {"word": pa.repeat(word, len(key)), "key": key, "n": n, "times": times}
+        return counts | {"given": given, "of_less": of_less, "stays": stays}
 
     schema = "word boolean, key bigint, n bigint, times bigint, given double, of_less double, stays boolean"
-    counted = _counted(docs, depth).sortWithinPartitions("word", "dealt").select("word", "dealt", "key", "n", "times")
-    counted = stored(counted.mapInPandas(decide, schema), "counted")
+    counted = stored_texts(_counted(docs, depth, schema, decide), "counted")
     near = min(depth, _NEAR)
     code = F.col("key").bitwiseAND((1 << (8 * (near + 1))) - 1)
     level = counted.where("not word").groupBy(code.alias("key")).agg(
@@ -225,7 +300,10 @@ def learnt(docs: DataFrame, depth: int, fewest: int, gain: float, smoothing: flo
     less = probabilities(level, near, fewest, gain, smoothing).select(F.col("key").alias("suffix"), "p")
     less = stored(less, "near")
     joined = counted.join(less, (code == F.col("suffix")) & ~F.col("word"), "left")
-    return joined.select("word", "key", "n", "times", (F.col("given") + F.col("of_less") * F.col("p")).alias("p"))
+    p = F.col("given") + F.col("of_less") * F.col("p")
+    found = stored(joined.select("word", "key", "n", "times", p.alias("p")), "learnt")
+    discard(counted, less)
+    return found
 
 
 def probabilities(grams: DataFrame, depth: int, fewest: int, gain: float, smoothing: float) -> DataFrame:
@@ -408,6 +486,70 @@ def _looked_up(
     return values[which], inside, (pairs // len(unique), unique[pairs % len(unique)], times)
 
 
+def _rare_sums(rare: DataFrame, table: DataFrame) -> DataFrame:
+    """``block, word, owner, known, value``: of owners in a block the sums over their rare keys, in several parts.
+
+    ``rare (block, word, dealt, owner, key, times)`` holds lists; ``table (word, key, value)``
+    a row a key. The table's keys of a group come first, then all lists with keys of that
+    group, one after the other, so no key has too many of them.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, key, value = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("word", "key", "value"))
+            for own in (True, False):
+                if (word == own).any():
+                    lists = _lists(key[word == own] % _DEALT, key=key[word == own], value=value[word == own])
+                    yield from _cut(pa.RecordBatch.from_pydict({"word": pa.repeat(own, len(lists["dealt"]))} | lists))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            made = []
+            for (block, word), parts in sums.items():
+                owner, known, value = (np.concatenate(column) for column in zip(*parts, strict=True))
+                owner, which = np.unique(owner, return_inverse=True)
+                made.append((block, word, owner, np.bincount(which, known), np.bincount(which, value)))
+            sums.clear()
+            block, word, owner, known, value = zip(*made, strict=True)
+            sizes = np.array([len(o) for o in owner])
+            owner, known, value = map(np.concatenate, (owner, known, value))
+            lists = _packed(sizes, owner=owner, known=known, value=value)
+            return pa.RecordBatch.from_pydict({"block": pa.array(block), "word": pa.array(word)} | lists)
+
+        nothing = (np.empty(0, dtype=np.int64), np.empty(0))
+        group, parts, keys, values, sums, size = None, [], None, None, {}, 0
+        plain, lists = ("word", "dealt", "block"), ("key", "value", "owner", "times")
+        for batch in batches:
+            for word, dealt, block, key, value, owner, times in _rows(batch, plain, lists):
+                if (word, dealt) != group:
+                    group, parts, keys = (word, dealt), [nothing], None
+                if block is None:
+                    parts.append((key, value))
+                    continue
+                if keys is None:
+                    keys, values = map(np.concatenate, zip(*parts, strict=True))
+                    order = np.argsort(keys)
+                    keys, values = keys[order], values[order]
+                place = np.searchsorted(keys, key)
+                inside = np.append(keys, 0)[place] == key
+                inside &= place < len(keys)
+                found = np.where(inside, np.append(values, 0.0)[place], _UNKNOWN)
+                sums.setdefault((block, word), []).append((owner, times * inside, times * found))
+                size += len(key)
+                if size > _POOL:
+                    yield flush()
+                    size = 0
+        if sums:
+            yield flush()
+
+    lists = table.mapInArrow(listed, "word boolean, dealt int, key binary, value binary")
+    both = rare.unionByName(lists, allowMissingColumns=True).select(
+        "word", "dealt", "block", "key", "value", "owner", "times"
+    )
+    both = both.repartition("word", "dealt").sortWithinPartitions("word", "dealt", F.col("block").asc_nulls_first())
+    return both.mapInArrow(add, "block bigint, word boolean, owner binary, known binary, value binary")
+
+
 def score_documents(
     docs: DataFrame,
     training: Column,
@@ -428,7 +570,8 @@ def score_documents(
     next byte are counted as one 64-bit number).
 
     Counts of words and probabilities of contexts with their next byte grow with the
-    corpus and are joined. Only words that make up ``frequent_share`` of the training
+    corpus and are joined. Documents travel to that join in blocks of some megabytes, a list of
+    rare keys for each group of keys, and not a row for each. Only words that make up ``frequent_share`` of the training
     tokens, and contexts with a byte that make up ``frequent_grams`` of all positions, at
     most one over that each, are broadcast; those of a document that are rarer go
     through the join, so no key has many rows there.
@@ -439,7 +582,7 @@ def score_documents(
     """
     spark = docs.sparkSession
     marked = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("training"))
-    counted = stored(learnt(marked, depth, fewest, gain, smoothing), "learnt")
+    counted = learnt(marked, depth, fewest, gain, smoothing)
     words = counted.where("word").select("key", "times", F.log10(F.col("n") + 0.5).alias("value"))
     n_all, distinct = counted.where("word").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     grams = counted.where("not word")
@@ -451,64 +594,99 @@ def score_documents(
     value = F.col("value")
     shared = spark.sparkContext.broadcast((_frequent(words, common, value), _frequent(grams, usual, value.cast("float"))))
     identifier = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"block bigint, place int, doc_id {identifier}, training boolean, n bigint, known bigint, base double, score double"
+    schema += ", word boolean, dealt int, owner binary, key binary, times binary"
+    own = {"block": pa.int64(), "place": pa.int32(), "doc_id": None, "training": pa.bool_(), "n": pa.int64()}
+    own |= {"known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "word": pa.bool_(), "dealt": pa.int32()}
+    own |= {"owner": pa.binary(), "key": pa.binary(), "times": pa.binary()}
+
+    def framed(columns: dict, size: int, identifiers: pa.DataType) -> pa.RecordBatch:
+        filled = {name: pa.nulls(size, kind or identifiers) for name, kind in own.items()} | columns
+        return pa.RecordBatch.from_pydict(filled)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, grams = shared.value
-        row = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
+        block, place = (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0, 0
+        rare: dict[bool, list] = {True: [], False: []}
+
+        def flush(identifiers: pa.DataType | None) -> Iterator[pa.RecordBatch]:
+            for word, kept in rare.items():
+                if kept:
+                    owner, key, times = (np.concatenate(column) for column in zip(*kept, strict=True))
+                    kept.clear()
+                    lists = _lists(key % _DEALT, owner=owner, key=key, times=times)
+                    size = len(lists["dealt"])
+                    columns = {"block": pa.repeat(block, size), "word": pa.repeat(word, size)} | lists
+                    yield from _cut(framed(columns, size, identifiers))
+
+        identifiers = None
         for batch in batches:
-            for first, texts in in_chunks(batch["text"], 1_000_000):
+            identifiers = batch.schema.field("doc_id").type
+            for first, texts in in_chunks(batch.column("text").to_pylist(), 1_000_000):
                 data, predicted, starts, hashes, count = _laid_out(texts, depth)
-                part = batch.iloc[first : first + len(texts)]
-                ids, each = row + np.arange(len(texts)), np.arange(len(texts))
+                each = np.arange(len(texts))
                 length = np.add.reduceat(predicted.astype(np.int64), starts)
                 chance, _, rare_grams = _looked_up(grams, _codes(data, predicted, depth), np.repeat(each, length))
                 tokens = np.concatenate([hashes, np.full(len(texts), _END_HASH)]).view(np.int64)
                 owner = np.concatenate([np.repeat(each, count), each])
                 weight, inside, rare_words = _looked_up(words, tokens, owner)
-                yield pd.DataFrame(
-                    {
-                        "row": ids,
-                        "doc_id": part["doc_id"].to_numpy(),
-                        "training": part["training"].to_numpy(),
-                        "n": count + 1,
-                        "known": np.bincount(owner, inside, len(texts)).astype(np.int64),
-                        "base": np.bincount(owner, weight, len(texts)),
-                        "score": np.add.reduceat(chance, np.cumsum(length) - length),
-                    }
-                )
+                rows = {
+                    "block": pa.repeat(block, len(texts)),
+                    "place": (place + each).astype(np.int32),
+                    "doc_id": batch.column("doc_id").slice(first, len(texts)),
+                    "training": batch.column("training").slice(first, len(texts)),
+                    "n": count + 1,
+                    "known": np.bincount(owner, inside, len(texts)).astype(np.int64),
+                    "base": np.bincount(owner, weight, len(texts)),
+                    "score": np.add.reduceat(chance, np.cumsum(length) - length),
+                }
+                yield framed(rows, len(texts), identifiers)
                 for word, (who, key, times) in ((True, rare_words), (False, rare_grams)):
                     if len(who):
-                        yield pd.DataFrame({"row": ids[who], "key": key, "n": times, "word": word})
-                row += len(texts)
-
-    schema = f"row bigint, doc_id {identifier}, training boolean, n bigint, known bigint, base double, score double"
-    schema += ", key bigint, word boolean"
-    names = [field.split()[0] for field in schema.split(", ")]
-
-    def complete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in score(batches):
-            yield frame.reindex(columns=names)
-
-    scored = stored(marked.mapInPandas(complete, schema), "scored")
+                        rare[word].append((place + who, key, times))
+                place += len(texts)
+                if place > _FRAME or sum(len(k) for kept in rare.values() for _, k, _ in kept) > _PAIRS:
+                    yield from flush(identifiers)
+                    block, place = block + 1, 0
+        yield from flush(identifiers)
+
+    scored = stored_texts(marked.mapInArrow(score, schema), "scored")
     table = words.where(F.col("times") < common).select(F.lit(True).alias("word"), "key", "value").unionByName(
         grams.where(F.col("times") < usual).select(F.lit(False).alias("word"), "key", "value")
     )
-    rare = scored.where("key is not null").select("row", "word", "key", F.col("n").alias("times"))
-    rare = rare.join(table, ["word", "key"], "left")
-    nothing = F.lit(0)
-    rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("word") & value.isNotNull(), F.col("times")).otherwise(nothing)).alias("rare_known"),
-        F.sum(F.when(F.col("word"), F.col("times") * F.coalesce(value, F.log10(F.lit(0.5))))).alias("rare_base"),
-        F.sum(F.when(~F.col("word"), F.col("times") * value)).alias("rare_score"),
-    )
-    return (
-        scored.where("key is null").join(rare, "row", "left").select(
-            "doc_id",
-            (~F.col("training")).alias("held_out"),
-            F.col("n").alias("n_tokens"),
-            (F.col("known") + F.coalesce("rare_known", nothing)).alias("n_known"),
-            F.lit(n_all).cast("bigint").alias("train_tokens"),
-            (F.col("base") + F.coalesce("rare_base", nothing) - F.col("n") * F.lit(norm)).alias("base_score"),
-            (F.col("score") + F.coalesce("rare_score", nothing)).alias("score"),
+    sums = _rare_sums(scored.where("place is null").select("block", "word", "dealt", "owner", "key", "times"), table)
+    sums = stored_texts(sums, "sums")
+
+    def complete(rows: pa.Table, parts: pa.Table) -> pa.Table:
+        place = rows["place"].to_numpy()
+        added = np.zeros((3, len(place)))
+        where = np.empty(place.max(initial=-1) + 1, dtype=np.int64)
+        where[place] = np.arange(len(place))
+        for part in parts.combine_chunks().to_batches():
+            for word, owner, known, of_all in _rows(part, ("word",), ("owner", "known", "value")):
+                np.add.at(added[2 * (not word)], where[owner], of_all)
+                if word:
+                    np.add.at(added[1], where[owner], known)
+        base, known, chance = added
+        return pa.table(
+            {
+                "doc_id": rows["doc_id"],
+                "training": rows["training"],
+                "n": rows["n"],
+                "known": rows["known"].to_numpy() + known.astype(np.int64),
+                "base": rows["base"].to_numpy() + base,
+                "score": rows["score"].to_numpy() + chance,
+            }
         )
+
+    schema = f"doc_id {identifier}, training boolean, n bigint, known bigint, base double, score double"
+    rows = scored.where("place is not null").drop("word", "dealt", "owner", "key", "times")
+    return rows.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(complete, schema).select(
+        "doc_id",
+        (~F.col("training")).alias("held_out"),
+        F.col("n").alias("n_tokens"),
+        F.col("known").alias("n_known"),
+        F.lit(n_all).cast("bigint").alias("train_tokens"),
+        (F.col("base") - F.col("n") * F.lit(norm)).alias("base_score"),
+        "score",
     )

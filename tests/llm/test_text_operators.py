@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 from odd_rows import ODD, empty, odd  # noqa: F401
@@ -183,6 +184,34 @@ def test_scores_are_those_of_the_whole_tree(spark):
     assert all(math.isclose(r.score, expected[r.doc_id], rel_tol=1e-4) for r in rows)
 
 
+def test_rare_keys_and_counts_travel_as_lists(spark):
+    docs = docs_of(spark)
+    training = remainder("doc_id", 5) != 1
+    marked = docs.select("text", training.alias("training"))
+    rows = suffix_tree.score_documents(docs, training, frequent_grams=1e-5)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    newest = max(shared.glob("scored-*"), key=lambda folder: folder.stat().st_mtime)
+    groups = 2 * 1021 * docs.rdd.getNumPartitions()  # words and contexts
+    assert spark.read.parquet(str(newest)).count() <= docs.count() + 2 * groups  # over a million pairs, in two blocks
+    assert suffix_tree._dealt(marked, 6).count() <= groups < suffix_tree.count_all(marked, 6).count() / 10
+    assert rows.count() == docs.count()
+
+
+def test_scores_of_many_small_blocks(spark, odd, monkeypatch):
+    def scores(docs):
+        rows = suffix_tree.score_documents(docs, remainder("doc_id", 5) != 1, frequent_grams=1e-4).collect()
+        return sorted(map(tuple, rows), key=repr)
+
+    for docs in (spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), odd):
+        whole = scores(docs)
+        with monkeypatch.context() as small:
+            for name, value in (("_POOL", 20_000), ("_MOST", 50_000), ("_PAIRS", 20_000), ("_FRAME", 100), ("_LISTS", 7)):
+                small.setattr(suffix_tree, name, value)
+            cut = scores(docs)
+        assert [r[:5] for r in cut] == [r[:5] for r in whole]
+        assert all(math.isclose(a, b, rel_tol=1e-9) for c, w in zip(cut, whole, strict=True) for a, b in zip(c[5:], w[5:], strict=True))
+
+
 def test_languages(spark, odd, empty):
     docs = docs_of(spark)
     model = language.fit(docs, remainder("doc_id", 4) != 2, rows_per_language=100)
